@@ -10,6 +10,7 @@ text is rejected.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -150,22 +151,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS) -> Langua
     some = known.filter(F.col("lang").isin(labels) & drawn).select("lang", (F.crc32(F.col("doc_id").cast("string")) % 5 == 4).alias("second"), "text")
 
     def make():
-        def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-            at, n = [], []
-            for text in texts_of(batch):
-                counts = subword_counts([text], buckets)[0]
-                hit = np.flatnonzero(counts)
-                at.append(hit.astype(np.int32))
-                n.append(counts[hit].astype(np.int32))
-            return [pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int32()))]
-
-        return compute
+        return lambda batch: [pa.array([zlib.compress(subword_counts([x], buckets)[0].astype(np.uint32).tobytes(), 1) for x in texts_of(batch)], pa.binary())]
 
-    ints = T.ArrayType(T.IntegerType())
-    rows = with_arrow_columns(some, [T.StructField("at", ints), T.StructField("n", ints)], make).select("lang", "second", "at", "n").limit(2 * sample).collect()
+    rows = with_arrow_columns(some, [T.StructField("counts", T.BinaryType())], make).select("lang", "second", "counts").limit(2 * sample).collect()
     x = np.zeros((len(rows), buckets), np.float32)
     for i, r in enumerate(rows):
-        x[i, r["at"]] = r["n"]
+        x[i] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.uint32)
     x /= np.maximum(x.sum(axis=1, keepdims=True), 1)
     y, second = np.array([labels.index(r["lang"]) for r in rows], int), np.array([r["second"] for r in rows], bool)
     if len(rows) < 20:  # too few to spare any

@@ -10,13 +10,12 @@ of its targets has a sensitive name and it looks like a value, not a placeholder
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -130,28 +129,25 @@ def redact(text: str, mark: str = "[REDACTED]") -> str:
     return "".join([*out, text[at:]]) if out else text
 
 
-def _listed(spans: list[Span]) -> str:
-    return ",".join(f"{k}:{a}:{b}" for k, a, b, *_ in spans)
+def scan(docs: DataFrame, found: str = "found") -> DataFrame:
+    """doc_id and ``found``, the secrets of every row's whole text: an array of kind, start, end and the value's own place, by start and kind.
 
-
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, n_literal, base_sha256 and spans of every row's whole text.
-
-    A null or empty text has no spans (the hash is that of an empty string).
-    Rows repeat as they are; other columns are ignored; an empty table gives no rows.
+    A null or empty text has none. Rows repeat as they are; other columns are
+    ignored; an empty table gives no rows.
     """
+    names = ("start", "end", "value_start", "value_end")
+    kind = pa.list_(pa.struct([("kind", pa.string()), *((n, pa.int32()) for n in names)]))
 
     def make():
-        def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-            all_spans = [spans_of(x) for x in texts_of(batch)]
-            counts = [pa.array([sum(s[0] == k for s in spans) for spans in all_spans], pa.int64()) for k in KINDS]
-            base = [_listed([s for s in spans if s[0] != "literal"]) for spans in all_spans]
-            return [*counts, pa.array([hashlib.sha256(x.encode()).hexdigest() for x in base], pa.string()), pa.array(map(_listed, all_spans), pa.string())]
+        return lambda batch: [pa.array([[dict(zip(("kind", *names), s, strict=True)) for s in spans_of(x)] for x in texts_of(batch)], kind)]
+
+    span = T.StructType([T.StructField("kind", T.StringType()), *(T.StructField(n, T.IntegerType()) for n in names)])
+    return with_arrow_columns(docs.select("doc_id", "text"), [T.StructField(found, T.ArrayType(span))], make).drop("text")
 
-        return compute
 
-    fields = [T.StructField(f"n_{k}", T.LongType()) for k in KINDS] + [T.StructField(n, T.StringType()) for n in ("base_sha256", "spans")]
-    return with_arrow_columns(docs.select("doc_id", "text"), fields, make).drop("text")
+def listed(spans: Column) -> Column:
+    """Spans as kind:start:end, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
 def redacted(docs: DataFrame) -> DataFrame:
