@@ -1,9 +1,9 @@
 """Document fingerprints as invertible Bloom lookup sketches.
 
 A text's paragraphs are its lines, and within a line what ends at a sentence
-mark or, so that long ones divide, after a word that ends in s or n. Each occurrence of a paragraph has a 64-bit digest that is hashed into
-three cells; a cell holds the count, the exclusive or of its digests and that of
-their checks. Sketches of two versions subtract cell by cell: what they share
+mark or, so that long ones divide, after a word that ends in s or n. Each
+occurrence of a paragraph has a 64-bit digest that is hashed into three cells; a
+cell holds the count, the exclusive or of its digests and that of their checks. Sketches of two versions subtract cell by cell: what they share
 cancels, and peeling cells with a single digest recovers those that differ. If
 peeling stops early, both are sketched again with more cells.
 """
@@ -21,13 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Cells of a fingerprint (a multiple of three), and how many times more each retry has.
+#: Cells of a fingerprint (a multiple of three).
 CELLS = 24
-LARGER = 4
 PARTS = re.compile(r"\n+|(?<=[.!?|。！？sn])\s+")
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xD6E8FEB86659FD93)
+_SHIFTS = np.array([[4], [24], [44]], np.uint64)
+_THIRDS = np.array([[0], [1], [2]], np.uint64)
 
 
 def digests(text: str) -> np.ndarray:
@@ -51,68 +52,80 @@ class Sketch:
     @staticmethod
     def places(keys: np.ndarray, cells: int) -> np.ndarray:
         """The cell of each key in each third."""
-        third, mixed = cells // 3, keys * _MIX
-        return np.stack([((mixed >> np.uint64(4 + 20 * i)) % np.uint64(third)).astype(np.int64) + i * third for i in range(3)])
+        third, mixed = np.uint64(cells // 3), keys * _MIX
+        return ((mixed >> _SHIFTS) % third + _THIRDS * third).astype(np.int64)
 
     @staticmethod
     def check(keys: np.ndarray) -> np.ndarray:
-        return ((keys ^ keys >> np.uint64(32)) * _MIX2) >> np.uint64(48)
+        return ((keys ^ keys >> np.uint64(32)) * _MIX2) >> np.uint64(32)
 
     @classmethod
     def of(cls, keys: np.ndarray, cells: int = CELLS) -> Sketch:
-        at = cls.places(keys, cells)
-        out = cls(len(keys), np.bincount(at.ravel(), minlength=cells), np.zeros(cells, np.uint64), np.zeros(cells, np.uint64))
-        for row in at:
-            np.bitwise_xor.at(out.keys, row, keys)
-            np.bitwise_xor.at(out.checks, row, cls.check(keys))
+        out = cls(len(keys), np.zeros(cells, np.int64), np.zeros(cells, np.uint64), np.zeros(cells, np.uint64))
+        out.put(keys, 1)
         return out
 
+    def put(self, keys: np.ndarray, sign: int | np.ndarray) -> None:
+        """Adds keys, or takes them away."""
+        check = self.check(keys)
+        for at in self.places(keys, len(self.count)):
+            np.add.at(self.count, at, sign)
+            np.bitwise_xor.at(self.keys, at, keys)
+            np.bitwise_xor.at(self.checks, at, check)
+
     def minus(self, other: Sketch) -> Sketch:
         return Sketch(self.n - other.n, self.count - other.count, self.keys ^ other.keys, self.checks ^ other.checks)
 
     def peel(self) -> tuple[np.ndarray, np.ndarray] | None:
         """Digests that only the first, and only the second version has; None if they cannot be told."""
-        count, keys, checks = self.count.copy(), self.keys.copy(), self.checks.copy()
+        left = Sketch(self.n, self.count.copy(), self.keys.copy(), self.checks.copy())
         only: tuple[list, list] = ([], [])
-        while True:
-            pure = np.flatnonzero(np.abs(count) == 1)
-            pure = pure[self.check(keys[pure]) == checks[pure]]
+        for _ in range(len(left.count) + 1):  # a cell that only looks single could be peeled back and forth
+            pure = np.flatnonzero(np.abs(left.count) == 1)
+            pure = pure[self.check(left.keys[pure]) == left.checks[pure]]
             if not len(pure):
                 break
-            found, first = np.unique(keys[pure], return_index=True)
-            sign = count[pure[first]]
-            at = self.places(found, len(count))
-            ok = (at == pure[first]).any(axis=0)  # a key lies in one of its own cells
-            found, sign, at = found[ok], sign[ok], at[:, ok]
-            if not len(found):
-                break
+            found, first = np.unique(left.keys[pure], return_index=True)
+            sign = left.count[pure[first]]
             only[0].append(found[sign > 0])
             only[1].append(found[sign < 0])
-            for row in at:
-                np.subtract.at(count, row, sign)
-                np.bitwise_xor.at(keys, row, found)
-                np.bitwise_xor.at(checks, row, self.check(found))
-        if count.any() or keys.any() or checks.any():
+            left.put(found, -sign)
+        if left.count.any() or left.keys.any() or left.checks.any():
             return None
-        return tuple(np.concatenate(x) if x else np.zeros(0, np.uint64) for x in only)
+        found = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in only]
+        every = np.concatenate(found)
+        return tuple(found) if len(np.unique(every)) == len(every) else None
 
     def __str__(self) -> str:
         """Paragraphs, then each cell's count, digests and checks, in base 64."""
-        return f"{self.n}:" + base64.b64encode(self.count.astype("<i4").tobytes() + self.keys.astype("<u8").tobytes() + self.checks.astype("<u2").tobytes()).decode()
+        return f"{self.n}:" + base64.b64encode(self.count.astype("<i4").tobytes() + self.keys.astype("<u8").tobytes() + self.checks.astype("<u4").tobytes()).decode()
+
 
+def estimate(left: Sketch) -> int:
+    """About how many digests differ: each adds one or takes one from three cells, so their squares add up."""
+    n, cells = left.n, len(left.count)
+    return int(max(abs(n), (np.square(left.count).sum() - (3 * n) ** 2 / cells) / 3))
 
-def difference(a: np.ndarray, b: np.ndarray, cells: int = CELLS, larger: int = LARGER) -> tuple[np.ndarray, np.ndarray]:
-    """Digests that only the first, and only the second has: peeled from sketches, larger ones after each failure."""
-    while cells * 0.8 < abs(len(a) - len(b)):  # cannot hold the difference
-        cells *= larger
-    while (found := Sketch.of(a, cells).minus(Sketch.of(b, cells)).peel()) is None:
-        cells *= larger
+
+def difference(a: np.ndarray, b: np.ndarray, cells: int = CELLS, bases: tuple[Sketch, Sketch] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Digests that only the first, and only the second has: peeled from sketches, larger ones after each failure.
+
+    The first retry is as large as the counts of the failed sketch make likely, later ones twice as large each.
+    """
+    first, second = bases or (Sketch.of(a, cells), Sketch.of(b, cells))
+    left = first.minus(second)
+    guess = estimate(left)
+    found = left.peel() if guess <= cells else None
+    cells = max(cells, 3 * (guess * 2 // 3))
+    while found is None:
+        cells *= 2
+        found = Sketch.of(a, cells).minus(Sketch.of(b, cells)).peel()
     return found
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
+def likeness(a: np.ndarray, b: np.ndarray, cells: int = CELLS, bases: tuple[Sketch, Sketch] | None = None) -> float:
     """Shared digests by all digests; two texts without paragraphs are alike."""
-    differ = sum(map(len, difference(a, b)))
+    differ = sum(map(len, difference(a, b, cells, bases)))
     both = (len(a) + len(b) - differ) // 2
     return both / (both + differ) if both + differ else 1.0
 
@@ -173,13 +186,15 @@ def fingerprint(docs: DataFrame, buckets: int | None = None, cells: int = CELLS)
             kinds = [batch.schema.field(0).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
             for doc, text, bucket, ahead in zip(*(batch.column(batch.schema.names.index(c)).to_pylist() for c in ("doc_id", "text", "bucket", "ahead")), strict=True):
                 here = digests(text)
+                base = Sketch.of(here, cells)
                 if waits and waits[0] == bucket:
-                    _, was, before, there = waits
+                    _, was, before, there, old = waits
                     new = edited(before, text)
                     changed = digests(new)
-                    rows.append((was, len(before), new, str(Sketch.of(there, cells)), str(Sketch.of(changed, cells)), likeness(there, changed), likeness(there, here)))
+                    other = Sketch.of(changed, cells)
+                    rows.append((was, len(before), new, str(old), str(other), likeness(there, changed, cells, (old, other)), likeness(there, here, cells, (old, base))))
                     held += len(new)
-                waits = None if ahead else (bucket, doc, text, here)
+                waits = None if ahead else (bucket, doc, text, here, base)
                 if held > 4_000_000 or len(rows) >= 2000:
                     yield out()
                     rows, held = [], 0
