@@ -165,7 +165,7 @@ def pack(docs: DataFrame, tokenizer: str, room: int = ROOM, deal: int = DEAL) ->
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = dealt.groupBy("length", "part").agg(F.count("*").alias("n")).select("length", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     inside = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "start", "ids_crc32"))
-    numbered = dealt.withColumn("inside", inside).join(F.broadcast(before), ["length", "part"])
+    numbered = dealt.withColumn("inside", inside).join(before, ["length", "part"])
     numbered = numbered.select(*cut.columns, (F.col("before") + F.col("inside") - 1).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

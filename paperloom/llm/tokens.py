@@ -16,7 +16,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 #: Words kept at most; then the store starts anew.
-KEPT = 600_000
+KEPT = 400_000
 
 #: White space in a row, or other than blanks and line ends.
 ODD = ("  ", "\n\n", " \n", "\n ", *(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"))
