@@ -1,6 +1,7 @@
 """Quality by nearest-neighbour voting over latent-semantic vectors.
 
-A text is the hashed three-byte runs in it, log-scaled and weighted by rarity.
+A text is the hashed three-byte runs in it, and the tenth into which the share of
+its repeated six-byte runs falls, log-scaled and weighted by rarity.
 A truncated singular value decomposition of a bounded labelled sample gives the
 latent space; the sample's vectors are broadcast. Every document's exact cosines
 to all of them are computed in blocks, and its nearest neighbours vote with
@@ -30,15 +31,24 @@ SHARPNESS = 4
 LEAST = 0.3
 
 
+#: Steps of the share of repeated runs, and the count that stands for the step.
+STEPS = 10
+STEP_COUNT = 20_000
+
+
 def counts_of(text: str, buckets: int = BUCKETS) -> np.ndarray:
-    """How often the three-byte runs of the text fall into each bucket."""
+    """How often the three-byte runs of the text fall into each bucket, and after the buckets its step of repetition. No text: all zero."""
     a = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
-    if len(a) < 3:
-        a = np.concatenate((a, np.zeros(3 - len(a), np.uint32))) if len(a) else a
+    out = np.zeros(buckets + STEPS, np.int64)
     if not len(a):
-        return np.zeros(buckets, np.int64)
+        return out
+    a = np.concatenate((a, np.zeros(max(0, 6 - len(a)), np.uint32)))
     runs = (a[:-2] << np.uint32(16) | a[1:-1] << np.uint32(8) | a[2:]) * np.uint32(2654435761)
-    return np.bincount((runs >> np.uint32(33 - buckets.bit_length())).astype(np.int64), minlength=buckets)
+    out[:buckets] = np.bincount((runs >> np.uint32(33 - buckets.bit_length())).astype(np.int64), minlength=buckets)
+    double = runs[:-3] * np.uint32(31) ^ runs[3:]
+    again = 1 - len(np.unique(double)) / len(double)
+    out[buckets + min(STEPS - 1, int(again * STEPS))] = STEP_COUNT
+    return out
 
 
 @dataclass
@@ -58,7 +68,7 @@ class QualityModel:
         if not len(self.labels):
             return np.full(len(texts), 0.5)
         prior = float(self.labels.mean())
-        counts = np.stack([counts_of(x, len(self.rarity)) for x in texts])
+        counts = np.stack([counts_of(x, len(self.rarity) - STEPS) for x in texts])
         near = self.embed(counts) @ self.vectors.T
         k = min(NEIGHBOURS, near.shape[1])
         at = np.argpartition(-near, k - 1, axis=1)[:, :k]
@@ -100,7 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, buckets: int =
         return compute
 
     rows = with_arrow_columns(texts, [T.StructField("counts", T.BinaryType())], make).select("label", "counts").limit(2 * sample).collect()
-    counts = np.zeros((len(rows), buckets), np.uint32)
+    counts = np.zeros((len(rows), buckets + STEPS), np.uint32)
     for i, r in enumerate(rows):
         counts[i] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.uint32)
     return decompose(counts, np.array([r["label"] for r in rows], np.float64))
