@@ -110,7 +110,9 @@ def estimate(left: Sketch) -> int:
 def difference(a: np.ndarray, b: np.ndarray, cells: int = CELLS, bases: tuple[Sketch, Sketch] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Digests that only the first, and only the second has: peeled from sketches, larger ones after each failure.
 
-    The first retry is as large as the counts of the failed sketch make likely, later ones twice as large each.
+    The first retry is as large as the counts of the failed sketch make likely,
+    later ones twice as large each. Sketches of 64 cells a digest that still do
+    not peel are given up for the digests themselves.
     """
     first, second = bases or (Sketch.of(a, cells), Sketch.of(b, cells))
     left = first.minus(second)
@@ -119,6 +121,8 @@ def difference(a: np.ndarray, b: np.ndarray, cells: int = CELLS, bases: tuple[Sk
     cells = max(cells, 3 * (guess * 2 // 3))
     while found is None:
         cells *= 2
+        if cells > 64 * (len(a) + len(b)) + CELLS:
+            return np.setdiff1d(a, b), np.setdiff1d(b, a)
         found = Sketch.of(a, cells).minus(Sketch.of(b, cells)).peel()
     return found
 
