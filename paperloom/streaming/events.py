@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from paperloom.operators.governance import fan_out
 
@@ -77,94 +77,64 @@ def ingest_sync(events: DataFrame, target: str, checkpoint: str):
     return events.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-class _Idempotent(StatefulProcessor):
-    """The first request hash of each key, kept for a time."""
+def _rows(batches: Iterator[pd.DataFrame], *order: str) -> list:
+    """The key's rows of a micro-batch in order."""
+    return list(pd.concat(list(batches)).sort_values(list(order)).itertuples())
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState("first", T.StructType([T.StructField("hash", T.StringType())]), 7 * 24 * 3600 * 1000)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            out = []
-            for r in batch.sort_values(["ts", "event_id"]).itertuples():
-                known = self.first.get()
-                if known is None:
-                    self.first.update((r.request_hash,))
-                out.append((key[0], int(r.event_id), "new" if known is None else "replay" if known[0] == r.request_hash else "conflict"))
-            yield pd.DataFrame(out, columns=["key", "event_id", "outcome"])
+def idempotent_stream(events: DataFrame, kept_ms: int = 7 * 24 * 3600 * 1000) -> DataFrame:
+    """key, event_id and outcome (new, replay, conflict) of events (key, event_id, request_hash, ts). After seven days without a request a key counts as new."""
 
-    def close(self) -> None:
-        pass
+    def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        first, out = (state.get[0] if state.exists else None), []
+        for r in _rows(batches, "ts", "event_id"):
+            out.append((key[0], int(r.event_id), "new" if first is None else "replay" if first == r.request_hash else "conflict"))
+            first = r.request_hash if first is None else first
+        state.update((first,))
+        state.setTimeoutDuration(kept_ms)
+        yield pd.DataFrame(out, columns=["key", "event_id", "outcome"])
 
-
-def idempotent_stream(events: DataFrame) -> DataFrame:
-    """key, event_id and outcome (new, replay, conflict) of events (key, event_id, request_hash, ts). After seven days without state a key counts as new."""
-    return events.groupBy("key").transformWithStateInPandas(_Idempotent(), "key string, event_id long, outcome string", "Append", "ProcessingTime")
-
-
-class _Lease(StatefulProcessor):
-    """The last lease of each job; a timer at its end."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.lease = handle.getValueState("lease", T.StructType([T.StructField("until", T.LongType())]))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last = None
-        for batch in rows:
-            top = batch.sort_values("ts").iloc[-1]
-            if last is None or top["ts"] >= last["ts"]:
-                last = top
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        if last is not None and last["status"] == "claimed":
-            until = int(last["lease_until"])
-            self.lease.update((until,))
-            self.handle.registerTimer(until)
-        else:
-            self.lease.clear()
-        yield pd.DataFrame({"job_id": pd.Series([], dtype="str"), "status": pd.Series([], dtype="str")})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.lease.exists():
-            self.lease.clear()
-            yield pd.DataFrame({"job_id": [key[0]], "status": ["queued"]})
-
-    def close(self) -> None:
-        pass
+    return events.groupBy("key").applyInPandasWithState(judge, "key string, event_id long, outcome string", "hash string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def expired_leases_stream(events: DataFrame, late: str = "1 minute") -> DataFrame:
-    """job_id and status queued of jobs (job_id, status, ts, lease_until in milliseconds) whose lease ends before a heartbeat renews it."""
-    return events.withWatermark("ts", late).groupBy("job_id").transformWithStateInPandas(_Lease(), "job_id string, status string", "Append", "EventTime")
+    """job_id and status queued of jobs (job_id, status, ts, lease_until in milliseconds) whose lease ends, in event time, before another event renews or ends it."""
 
+    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"job_id": [key[0]], "status": ["queued"]})
+            return
+        last = _rows(batches, "ts")[-1]
+        if last.status != "claimed":
+            if state.exists:
+                state.remove()
+        elif int(last.lease_until) <= state.getCurrentWatermarkMs():
+            yield pd.DataFrame({"job_id": [key[0]], "status": ["queued"]})
+        else:
+            state.update((int(last.lease_until),))
+            state.setTimeoutTimestamp(int(last.lease_until))
 
-class _Status(StatefulProcessor):
-    """The last status of each resource."""
+    timed = events.withWatermark("ts", late)
+    return timed.groupBy("job_id").applyInPandasWithState(watch, "job_id string, status string", "until long", "append", GroupStateTimeout.EventTimeTimeout)
 
-    def __init__(self, allowed: set[tuple[str, str]]) -> None:
-        self.allowed = allowed
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", T.StructType([T.StructField("status", T.StringType())]))
+def status_timeline(events: DataFrame, allowed: set[tuple[str, str]]) -> DataFrame:
+    """Forbidden status changes of a stream of events (resource_id, event_id, status, ts), in order within each batch."""
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        for batch in rows:
-            for r in batch.sort_values(["ts", "event_id"]).itertuples():
-                known = self.last.get()
-                if known is not None and known[0] != r.status and (known[0], r.status) not in self.allowed:
-                    out.append((key[0], int(r.event_id), known[0], r.status))
-                self.last.update((r.status,))
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, out = (state.get[0] if state.exists else None), []
+        for r in _rows(batches, "ts", "event_id"):
+            if last is not None and last != r.status and (last, r.status) not in allowed:
+                out.append((key[0], int(r.event_id), last, r.status))
+            last = r.status
+        state.update((last,))
         yield pd.DataFrame(out, columns=["resource_id", "event_id", "from_status", "to_status"])
 
-    def close(self) -> None:
-        pass
-
-
-def status_timeline(events: DataFrame, allowed: set[tuple[str, str]]) -> DataFrame:
-    """Forbidden status changes of a stream of events (resource_id, event_id, status, ts), in order within each batch."""
-    return events.groupBy("resource_id").transformWithStateInPandas(_Status(allowed), "resource_id string, event_id long, from_status string, to_status string", "Append", "None")
+    return events.groupBy("resource_id").applyInPandasWithState(follow, "resource_id string, event_id long, from_status string, to_status string", "status string", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
