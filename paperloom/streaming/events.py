@@ -139,6 +139,12 @@ def status_timeline(events: DataFrame, allowed: set[tuple[str, str]]) -> DataFra
 
 def run_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there now into a Parquet table, and reads that table."""
-    query = df.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    conf, key = df.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(key)
+    conf.set(key, "false")  # a processing-time timeout asks for one more batch for ever
+    try:
+        query = df.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set(key, before)
     query.awaitTermination()
     return df.sparkSession.read.schema(df.schema).parquet(path)
