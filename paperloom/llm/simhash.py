@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,8 @@ SEED = 42
 MOST_BITS = 4
 #: Own keys of one bucket that one task compares; larger buckets are split over several.
 BUCKET = 20_000
+#: Groups at most into which a bucket of an equal segment is dealt; every two of them meet.
+GROUPS = 1000
 
 #: Generator polynomial of the (23, 12) Golay code.
 GOLAY = 0b110001110101
@@ -130,6 +132,26 @@ def keys_of(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(of), np.concatenate(asks)
 
 
+def raw_keys(fp: Column) -> Column:
+    """The keys of kinds 0 to 2 of ``keys_of``, in columns."""
+    return F.array(*[F.shiftrightunsigned(fp, low).bitwiseAND((1 << width) - 1) * 8 + i for i, (low, width) in enumerate(SEGMENTS)])
+
+
+def narrow_keys(key: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """For raw-segment keys and their fingerprints: five keys each, of the segment and a fifth of the other bits. Four flipped bits leave a fifth equal."""
+    kind = key & 7
+    out = np.zeros((len(key), MOST_BITS + 1), np.int64)
+    for i, (low, width) in enumerate(SEGMENTS):
+        own_kind, others = kind == i, 64 - width
+        p, turn = prints[own_kind], (low + width) % 64
+        p = p >> np.uint64(turn) | p << np.uint64(64 - turn) if turn else p  # the other bits come lowest
+        for j in range(MOST_BITS + 1):
+            a, b = j * others // (MOST_BITS + 1), (j + 1) * others // (MOST_BITS + 1)
+            fifth = (p >> np.uint64(a) & np.uint64((1 << (b - a)) - 1)).astype(np.int64)
+            out[own_kind, j] = ((key[own_kind] >> 3 << 9 | fifth) << 5 | j << 2 | i) << 3 | 6
+    return out
+
+
 def forest(members: np.ndarray, most: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Edges that connect what links of at most ``most`` bits connect among the fingerprints; fewer edges than members."""
     left, right = [], []
@@ -198,7 +220,7 @@ def linked(prints: DataFrame, most: int = MOST_BITS, bucket: int = BUCKET) -> Da
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             key, part, fp, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
-            mixed = key * 1024 + part  # one number for the key and its part
+            mixed = key << 20 | part  # one number for the key and its part
             cut = len(mixed) - int(np.searchsorted(mixed[::-1] != mixed[-1], True)) if len(mixed) else 0
             if cut and (mixed[0] != mixed[-1] or (held and held[0][0][-1] != mixed[0])):
                 whole = [np.concatenate(x) for x in zip(*held, (mixed[:cut], fp[:cut], asks[:cut]), strict=True)] if held else [mixed[:cut], fp[:cut], asks[:cut]]
@@ -209,15 +231,31 @@ def linked(prints: DataFrame, most: int = MOST_BITS, bucket: int = BUCKET) -> Da
         if held:
             yield out(*[np.concatenate(x) for x in zip(*held, strict=True)])
 
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, fp = (batch.column(c).to_numpy() for c in range(2))
+            yield pa.RecordBatch.from_arrays([pa.array(narrow_keys(key, fp.view(np.uint64)).ravel()), pa.array(np.repeat(fp, MOST_BITS + 1))], names=["key", "fp"])
+
     keyed = prints.select("fp").distinct().mapInArrow(emit, "key long, fp long, asks boolean")
     asked = prints.select("fp").distinct().mapInArrow(emit, "key long, fp long, asks boolean").filter("asks").groupBy("key").count().filter(F.col("count") > bucket)
     hot = staged(asked.select("key", F.least(F.lit(1000), F.ceil(F.col("count") / bucket)).cast("int").alias("parts")))
     if hot.isEmpty():
         keyed = keyed.select("key", F.lit(0).cast("long").alias("part"), "fp", "asks")
-    else:  # who asks goes to one part, who is asked to all parts of a large bucket
-        keyed = keyed.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    else:
+        # of a pair of codewords who asks goes to one part, who is asked to all parts of a large bucket
+        raw = F.col("key").bitwiseAND(7) < 3
+        keyed = keyed.join(hot, "key", "left").filter(~raw | F.col("parts").isNull()).withColumn("parts", F.coalesce("parts", F.lit(1)))
         to = F.when(F.col("asks"), F.array(F.pmod(F.xxhash64("fp"), F.col("parts")))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1).cast("array<long>"))
         keyed = keyed.select("key", F.explode(to).alias("part"), "fp", "asks")
+        # with an equal segment all ask: a large bucket is divided by fifths of the other bits, and where those are large too, every two groups meet
+        large = prints.select("fp").distinct().select(F.explode(raw_keys(F.col("fp"))).alias("key"), "fp").join(hot.filter(raw), "key", "left_semi")
+        fifths = staged(large.select("key", "fp").mapInArrow(narrow, "key long, fp long"))
+        sizes = fifths.groupBy("key").count().filter(F.col("count") > bucket)
+        groups = F.least(F.lit(GROUPS), F.ceil(2 * F.col("count") / bucket)).cast("long")
+        fifths = fifths.join(sizes.select("key", groups.alias("groups")), "key", "left").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("groups")))
+        others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1), lambda g: g != F.col("mine"))
+        meets = F.transform(others, lambda g: (F.greatest(g, "mine") * (F.greatest(g, "mine") - 1) / 2).cast("long") + F.least(g, "mine"))
+        keyed = keyed.union(fifths.select("key", F.explode(F.coalesce(meets, F.array(F.lit(0).cast("long")))).alias("part"), "fp", F.lit(True)))
     return keyed.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(reduce, "a long, b long")
 
 

@@ -167,6 +167,37 @@ def test_keys_lose_no_pair():
             assert find(int(x)) == find(int(y))
 
 
+@pytest.mark.parametrize("bucket", [100, 8])
+def test_split_segments_lose_no_link(spark, bucket):
+    rng = random.Random(4)
+    flipped = lambda p, bits: p ^ sum(1 << b for b in bits)
+    for i, (low, width) in enumerate(simhash.SEGMENTS):
+        others = [s for j, s in enumerate(simhash.SEGMENTS) if j != i]
+        segment = rng.getrandbits(width) << low
+        ends = set()
+        for n, m in ((2, 2), (1, 3), (2, 1), (0, 4), (0, 2)) * 30:
+            a = flipped(segment, [b for lo, w in others for b in range(lo, lo + w) if rng.random() < 0.5])
+            b = flipped(a, [lo + x for (lo, w), k in zip(others, (n, m), strict=True) for x in rng.sample(range(w), k)])
+            ends |= {a, b}
+        base = flipped(segment, [others[0][0]])
+        family = {flipped(base, rng.sample(range(others[1][0], sum(others[1])), 2)) for _ in range(60)}
+        prints = np.array(sorted(ends | family), np.uint64)
+        edges = simhash.linked(spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "fp long"), bucket=bucket).collect()
+        root = {int(x): int(x) for x in prints.view(np.int64)}
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for x, y in edges:
+            assert ((x ^ y) & (1 << 64) - 1).bit_count() <= 4
+            root[find(x)] = find(y)
+        for x in prints:
+            for y in prints[np.bitwise_count(prints ^ x) <= 4]:
+                assert find(int(x.view(np.int64))) == find(int(y.view(np.int64)))
+
+
 def test_secrets(docs, empty, pairs):
     listed = lambda spans: ",".join(f"{s[0]}:{s[1]}:{s[2]}" for s in spans)
     found = Counter((r["doc_id"], listed([s for s in r["found"] if s["kind"] != "literal"])) for r in secrets.scan(docs).collect())
