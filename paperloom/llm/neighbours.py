@@ -80,11 +80,22 @@ class Hashes:
 
 
 def fit(sample: np.ndarray, n: int, longest: float, k: int, tables: int = TABLES, aim: float = AIM, seed: int = 11) -> Hashes:
-    """Hash functions for ``n`` vectors of which ``sample`` is one; a bucket for all where a block holds them."""
-    rng = np.random.default_rng(seed)
-    dim = sample.shape[1] + 1
+    """Hash functions for ``n`` vectors of which ``sample`` is one; a bucket for all where a block holds them.
+
+    Where ``VISITS`` visits do not reach the recall aimed at, there are fewer
+    projections, hence larger buckets; at none every query meets all vectors.
+    """
     per_slot = 4.0  # populated slots of a projection, about
     count = 0 if n <= BLOCK else max(2, round(math.log(n / 2048) / math.log(per_slot)))
+    while (out := _fitted(sample, n, longest, k, tables, aim, seed, count)) is None:
+        count -= 1
+    return out
+
+
+def _fitted(sample: np.ndarray, n: int, longest: float, k: int, tables: int, aim: float, seed: int, count: int) -> Hashes | None:
+    """Hash functions of ``count`` projections; none if the sample misses the aim within ``VISITS`` visits."""
+    rng = np.random.default_rng(seed)
+    dim = sample.shape[1] + 1
     spread = longest or 1.0  # a projection of a vector has its norm as standard deviation over directions
     out = Hashes(rng.normal(size=(tables, count, dim)), np.zeros((tables, count)), spread / math.sqrt(max(dim, 1)) * WIDTH * math.sqrt(dim), 1.0, 1, longest)
     if not count:
@@ -108,8 +119,8 @@ def fit(sample: np.ndarray, n: int, longest: float, k: int, tables: int = TABLES
         for i in range(len(queries)):
             at = {key: r for r, key in reversed(list(enumerate(out.probes(places[i], VISITS).tolist())))}
             ranks[i] = np.minimum(ranks[i], [at.get(key, VISITS) for key in keys[best[i]].tolist()])
-    out.visits = int(min(VISITS, math.ceil(np.quantile(ranks, aim)) + 1))
-    return out
+    out.visits = int(np.quantile(ranks, aim, method="higher")) + 1
+    return out if out.visits <= VISITS else None
 
 
 def _vectors(batch: pa.RecordBatch, column: int) -> np.ndarray:

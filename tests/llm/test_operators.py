@@ -357,6 +357,26 @@ def test_neighbours_recall(spark):
     assert hits / (20 * len(range(0, 9000, 60))) >= 0.9
 
 
+@pytest.mark.parametrize("n", [300_000, 8_000_000])
+def test_visits_reach_the_aim_on_large_tables(n):
+    v = np.random.default_rng(12).normal(size=(4096 + 200, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    sample, queries = v[:4096], v[4096:]
+    queries = 0.8 * sample[:200] + 0.6 * queries  # as near as 0.8 to the one to be found
+    hashes = neighbours.fit(sample, n, 1.0, 20)
+    met = np.zeros(200, bool)
+    for t in range(len(hashes.directions)):
+        keys, places = hashes.key(np.floor(hashes.places(sample[:200], t, False))), hashes.places(queries, t, True)
+        met |= [keys[i] in hashes.probes(places[i], hashes.visits) for i in range(200)]
+    near = sample[::16] @ sample.T
+    near[np.arange(256), np.arange(256) * 16] = -np.inf
+    best, found = near.argmax(axis=1), np.zeros(256, bool)
+    for t in range(len(hashes.directions)):
+        keys, places = hashes.key(np.floor(hashes.places(sample[best], t, False))), hashes.places(sample[::16], t, True)
+        found |= [keys[i] in hashes.probes(places[i], hashes.visits) for i in range(256)]
+    assert hashes.visits <= neighbours.VISITS and met.mean() >= 0.95 and found.mean() >= 0.95
+
+
 def test_edited_hash():
     assert sketches.edited("abcdef", "xy") == "abcxy" and sketches.edited("a", "b") == "a"
     assert hashlib.sha256(sketches.edited("", "b").encode()).hexdigest() == hashlib.sha256(b"").hexdigest()
