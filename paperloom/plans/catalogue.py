@@ -614,7 +614,7 @@ def user_sessions(spark, sf):
 @query()
 def page_cells(spark, sf):
     pages = V.table(spark, sf, "pages")
-    grid = F.transform(F.split(F.substring("url", 1, 60), "/"), lambda p: F.concat(F.lit("<td>"), p, F.lit("</td>")))
+    grid = F.transform(F.split("url", "/"), lambda p: F.concat(F.lit("<td>"), p, F.lit("</td>")))
     wide = F.when(F.col("page_id") % 3 == 0, F.lit('<tr><td colspan="2">head</td><td rowspan="2">side</td></tr><tr><td>a</td><td>b</td></tr>')).otherwise("")
     with_tables = pages.select("page_id", F.concat("html", F.lit("<table><tr>"), F.array_join(grid, ""), F.lit("</tr>"), wide, F.lit("</table>")).alias("html"))
     return reconcile.extract_cells(with_tables)
@@ -623,7 +623,7 @@ def page_cells(spark, sf):
 @query()
 def student_pack(spark, sf):
     q = V.questions(spark, sf)
-    item = F.struct("question_id", F.substring("text", 1, 200).alias("text"), "topic", F.lit(None).cast("string").alias("objective"), "difficulty", F.lit("en").alias("language"), F.lit("archive").alias("provenance"), F.lit(None).cast("string").alias("accessibility_description"), ((F.col("doc_id") + F.col("group_no")) % 2 == 0).alias("teacher_approved"))
+    item = F.struct("question_id", "text", "topic", F.lit(None).cast("string").alias("objective"), "difficulty", F.lit("en").alias("language"), F.lit("archive").alias("provenance"), F.lit(None).cast("string").alias("accessibility_description"), ((F.col("doc_id") + F.col("group_no")) % 2 == 0).alias("teacher_approved"))
     packs = q.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("group_no", item.alias("i")))), lambda s: s["i"]).alias("items"))
     return governance.student_safe(packs).select("doc_id", F.size("items").alias("n_items"), F.sha2(F.to_json("items"), 256).alias("items_hash"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import geometry as G
 from paperloom.functions import keys as K
 from paperloom.operators import curriculum, datasets, enrich, governance, jobs, overlays, reconcile, reports, similarity
+from paperloom.plans import catalogue
 
 LINE = "doc_id long, seq int, line_id string, page_number int, text string, confidence double, normalized_bbox array<double>"
 
@@ -28,6 +29,18 @@ def test_approved_fresh_overlays_replace_text(spark):
     assert {(r["correction_id"], r["rule"]) for r in overlays.validate_corrections(bad, lines).collect()} == {(f"c{i}", rule) for i in range(1, 5) for rule in ("reason", "missing_target")}
 
 
+def test_packs_and_cells_keep_whole_texts(spark, monkeypatch):
+    long = "word " * 60
+    q = spark.createDataFrame([(d, 0, "q", f"{long}{end}") for d, end in ((2, "a"), (4, "b"))], "doc_id long, group_no int, question_id string, text string").withColumns({"topic": F.lit("t"), "difficulty": F.lit("low")})
+    monkeypatch.setattr(catalogue.V, "questions", lambda *_: q)
+    packs = catalogue.student_pack(spark, "").collect()
+    assert [r["n_items"] for r in packs] == [1, 1] and len({r["items_hash"] for r in packs}) == 2
+    url = "https://example.org/" + "/".join(f"part{i}" for i in range(20))
+    monkeypatch.setattr(catalogue.V, "table", lambda *_: spark.createDataFrame([(1, "", url)], "page_id long, html string, url string"))
+    cells = [str(r.asDict(recursive=True)) for r in catalogue.page_cells(spark, "").collect()]
+    assert all(any(f"'{part}'" in c for c in cells) for part in url.split("/"))
+
+
 def test_present_but_null_override_wins(spark):
     df = spark.createDataFrame([({"topic": "x"}, {"topic": None}), ({"topic": "x"}, {}), ({"topic": "x"}, None)], "ai map<string,string>, teacher_override map<string,string>")
     assert [r["t"] for r in df.select(overlays.effective_value("topic").alias("t")).collect()] == [None, "x", "x"]
