@@ -5,7 +5,8 @@ license templates. A hit votes for its diagonal, the offset between text and
 template. A diagonal with all votes of a template is a place where the template
 stands word by word; neighbouring diagonals are merged, so that a template with
 a few words put in or left out still gathers its votes, and the merged span is
-verified by its length and share of votes.
+verified by its length and share of votes. So is every stretch of neighbouring
+diagonals within it, since stray hits beside a place would make it too long.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = 2
 SHARE = 0.8
 STRETCH = 1.3
+#: Diagonals that a stretch reaches on: as far as the longest template may be stretched.
+REACH = 19
 
 
 def templates(spark: SparkSession, base: tuple = BASE, more: tuple = TEMPLATES) -> DataFrame:
@@ -71,15 +74,26 @@ def scan(docs: DataFrame, base: tuple = BASE, more: tuple = TEMPLATES) -> DataFr
     diagonals = hits.groupBy("doc_id", "text_hash", "template", "label", "is_base", "pairs", (F.col("word") - F.col("at")).alias("diagonal")).agg(F.bit_or(vote).alias("votes"))
     along = Window.partitionBy("doc_id", "text_hash", "template").orderBy("diagonal")
     begins = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(along) > GAP).cast("int"), F.lit(1))
-    runs = diagonals.withColumn("begins", begins).withColumn("run", F.sum("begins").over(along))
     one = F.col("is_base") & (F.bit_count("votes") == F.col("pairs"))
     low = F.col("diagonal") + F.length(F.regexp_extract(F.reverse(F.bin("votes")), "^0*", 0))
     high = F.col("diagonal") + F.length(F.bin("votes")) + 1
+    fits = lambda votes, low, high: (F.bit_count(votes) / F.col("pairs") >= SHARE) & (high - low <= (F.col("pairs") + 1) * STRETCH)
+    # from each diagonal on: whether it and so many of the next verify together
+    nexts = F.collect_list(F.struct("diagonal", "votes", low.cast("int").alias("low"), high.cast("int").alias("high"))).over(along.rangeBetween(0, REACH))
+
+    def longer(s, d):
+        on = s["on"] & (d["diagonal"] - s["diagonal"] <= GAP)
+        votes, least, most = s["votes"].bitwiseOR(d["votes"]), F.least(s["low"], d["low"]), F.greatest(s["high"], d["high"])
+        return F.struct(on.alias("on"), d["diagonal"].alias("diagonal"), votes.alias("votes"), least.alias("low"), most.alias("high"), (s["ok"] | (on & fits(votes, least, most))).alias("ok"))
+
+    start = F.struct(F.lit(True).alias("on"), F.col("diagonal"), F.lit(0).cast("long").alias("votes"), low.cast("int").alias("low"), high.cast("int").alias("high"), F.lit(False).alias("ok"))
+    runs = diagonals.withColumn("begins", begins).withColumn("nexts", nexts).withColumn("run", F.sum("begins").over(along))
+    runs = runs.withColumn("stands", ~F.col("is_base") & F.aggregate("nexts", start, longer, lambda s: s["ok"]))
     spans = runs.groupBy("doc_id", "text_hash", "template", "label", "is_base", "pairs", "run").agg(
-        F.bit_count(F.bit_or("votes")).alias("votes"), F.min(low).alias("low"), F.max(high).alias("high"), F.count_if(one).alias("places"), F.min(F.when(one, F.col("diagonal"))).alias("first"), F.max(F.when(one, F.col("diagonal"))).alias("last")
+        F.bit_count(F.bit_or("votes")).alias("votes"), F.min(low).alias("low"), F.max(high).alias("high"), F.count_if(one).alias("places"), F.min(F.when(one, F.col("diagonal"))).alias("first"), F.max(F.when(one, F.col("diagonal"))).alias("last"), F.bool_or("stands").alias("stands")
     )
     share = F.col("votes") / F.col("pairs")
-    verified = ~F.col("is_base") & (share >= SHARE) & (F.col("high") - F.col("low") <= (F.col("pairs") + 1) * STRETCH)
+    verified = F.col("stands") | (~F.col("is_base") & (share >= SHARE) & (F.col("high") - F.col("low") <= (F.col("pairs") + 1) * STRETCH))
     found = spans.groupBy("doc_id", "text_hash").agg(
         F.sum("places").alias("n_base"),
         F.min("first").cast("long").alias("first_word"),

@@ -227,6 +227,17 @@ def test_license_text_with_other_words_in_it(spark):
     assert r["labels"] == "bsd" and 0.8 <= r["score"] < 1
 
 
+def test_stray_hits_beside_a_license(spark):
+    expected = {
+        "creative commons creative commons attribution": "cc-by",
+        "eclipse public license public license": "epl",
+        "gnu lesser gnu lesser general general public license": "gpl,lgpl",  # votes of two diagonals, and a stray one
+        "creative commons and no more of it than creative commons": "",
+    }
+    found = licenses.scan(spark.createDataFrame([(i, t) for i, t in enumerate(expected)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["labels"] for r in found} == dict(enumerate(expected.values()))
+
+
 def test_quality(spark, docs, empty):
     labels = spark.createDataFrame([(r[0], (r[0] or 0) % 2, 0) for r in rows()] + [(7, None, None)], "doc_id long, quality int, toxic int")
     model = quality.fit(docs, labels)
