@@ -267,13 +267,18 @@ def near_duplicates(docs: DataFrame, most: int = MOST_BITS, width: int = SHINGLE
     smallest (null where a component has no other id); repeated rows stay; other
     columns are ignored; an empty table gives no rows.
     """
+    return _rooted(docs, most, width).drop(own("root"))
+
+
+def _rooted(docs: DataFrame, most: int, width: int) -> DataFrame:
+    """``near_duplicates`` and the smallest fingerprint of each row's component."""
     prints = staged(fingerprints(docs.select("doc_id", "text"), "fp", width).select("doc_id", F.xxhash64("text").alias("text_hash"), "fp"))
     edges = staged(linked(prints, most).distinct())
     root = own("root")
     roots = connected_components(edges).select(F.col("node").alias("fp"), F.col("root").alias(root))
     firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first")).join(roots, "fp", "left").withColumn(root, F.coalesce(root, "fp"))
     smallest = firsts.groupBy(root).agg(F.min("first").alias("component_id"))
-    return prints.join(firsts.join(smallest, root).select("fp", "component_id"), "fp")
+    return prints.join(firsts.join(smallest, root).select("fp", "component_id", root), "fp")
 
 
 def keep_one(docs: DataFrame, most: int = MOST_BITS, width: int = SHINGLE) -> DataFrame:
@@ -283,10 +288,10 @@ def keep_one(docs: DataFrame, most: int = MOST_BITS, width: int = SHINGLE) -> Da
     where no row of their component has an id, one of each text.
     """
     mark, rank = own("mark", docs), own("rank", docs)
-    found = near_duplicates(docs, most, width)
+    found = _rooted(docs, most, width)
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # of rows with the same id and component one text stays
-    kept = kept.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("fp")).alias("fp")).agg(F.min("text_hash").alias("text_hash"))
+    kept = kept.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("fp")).otherwise(F.col(own("root"))).alias("fp")).agg(F.min("text_hash").alias("text_hash"))
     ids = kept.select(F.col("doc_id").alias(own("id", docs)), F.col("text_hash").alias(mark))
     hit = docs.join(ids, F.col(own("id", docs)).eqNullSafe(F.col("doc_id")) & (F.xxhash64("text") == F.col(mark)), "left_semi")
     from pyspark.sql import Window

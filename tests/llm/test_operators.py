@@ -140,6 +140,12 @@ def test_one_of_each_component_stays(docs, pairs):
     assert Counter(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == Counter(expected)
 
 
+def test_an_id_on_two_texts_keeps_both_components(spark):
+    a, b = ("".join(f"{w}{i} " for i in range(40)) for w in ("left", "right"))
+    kept = simhash.keep_one(spark.createDataFrame([(1, a), (1, b), (2, a), (3, b)], "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["text"]) for r in kept} == {(1, a), (1, b)} and len(kept) == 2
+
+
 def test_keys_lose_no_pair():
     rng = random.Random(2)
     prints = {rng.getrandbits(64) for _ in range(60)}
