@@ -41,6 +41,15 @@ def test_packs_and_cells_keep_whole_texts(spark, monkeypatch):
     assert all(any(f"'{part}'" in c for c in cells) for part in url.split("/"))
 
 
+def test_search_without_its_row_and_headers_of_any_line(spark, monkeypatch):
+    monkeypatch.setattr(catalogue.V, "table", lambda *_: spark.createDataFrame([(5, [1.0, 0.0])], "vec_id long, embedding array<float>"))
+    assert catalogue.vector_topk(spark, "").count() == 0
+    texts = ["Physics Examination", "Physics Examination", "Physlcs Examination"]
+    rows = [(1, 40 * i + 15, f"l{i}", i + 1, t, 0.9, [0.1, 0.1, 0.9, 0.12]) for i, t in enumerate(texts)]
+    monkeypatch.setattr(catalogue.V, "lines", lambda *_: spark.createDataFrame(rows, LINE))
+    assert [(r["original"], r["corrected"]) for r in catalogue.header_consensus(spark, "").collect()] == [(texts[2], texts[0])]
+
+
 def test_present_but_null_override_wins(spark):
     df = spark.createDataFrame([({"topic": "x"}, {"topic": None}), ({"topic": "x"}, {}), ({"topic": "x"}, None)], "ai map<string,string>, teacher_override map<string,string>")
     assert [r["t"] for r in df.select(overlays.effective_value("topic").alias("t")).collect()] == [None, "x", "x"]
