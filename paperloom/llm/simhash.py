@@ -3,7 +3,8 @@
 A 64-bit fingerprint is cut into three segments of 22, 21 and 21 bits. Two
 fingerprints at four or fewer differing bits fall into one of two cases:
 
-* one segment is equal: the raw segment is their common key;
+* one segment is equal: of the other bits, cut into fifths, one fifth is equal
+  too, and the segment with that fifth is their common key;
 * every segment differs, so two of them differ in exactly one bit each. A
   segment read as a word of the perfect (23, 12) Golay code decodes to the only
   codeword within three errors; after one more flipped bit that codeword is
@@ -12,6 +13,8 @@ fingerprints at four or fewer differing bits fall into one of two cases:
   segments' parities (one flipped bit turns a parity around).
 
 No pair is lost, and every pair found is verified on the whole fingerprints.
+Where too many fingerprints share a key, they are dealt to groups, and every two
+groups meet in a task of their own: nothing is compared less, only elsewhere.
 """
 
 from __future__ import annotations
@@ -22,20 +25,20 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm._common import own, staged, texts_of, with_arrow_columns
+from paperloom.llm._common import join_spread, own, staged, texts_of, with_arrow_columns
 from paperloom.llm.components import connected_components
 
 SHINGLE = 4
 SEED = 42
 MOST_BITS = 4
-#: Own keys of one bucket that one task compares; larger buckets are split over several.
+#: Fingerprints that look up one key in one task; where there are more, they are dealt to groups.
 BUCKET = 20_000
-#: Groups at most into which a bucket of an equal segment is dealt; every two of them meet.
-GROUPS = 1000
+#: Distinct fingerprints whose keys one task makes.
+SPREAD = 1 << 14
 
 #: Generator polynomial of the (23, 12) Golay code.
 GOLAY = 0b110001110101
@@ -105,53 +108,44 @@ def golay() -> Golay:
     return _golay[0]
 
 
-def keys_of(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For distinct fingerprints (uint64): keys, the row of each key, and whether it is a key of the side that looks up."""
+def fifths(prints: np.ndarray) -> np.ndarray:
+    """For each fingerprint fifteen keys, of a segment and a fifth of the other bits: at four flipped bits outside the segment one of its five is equal."""
+    out = np.zeros((len(prints), len(SEGMENTS) * (MOST_BITS + 1)), np.int64)
+    for i, (low, width) in enumerate(SEGMENTS):
+        segment = (prints >> np.uint64(low) & np.uint64((1 << width) - 1)).astype(np.int64)
+        others, turn = 64 - width, (low + width) % 64
+        p = prints >> np.uint64(turn) | prints << np.uint64(64 - turn) if turn else prints  # the other bits come lowest
+        for j in range(MOST_BITS + 1):
+            a, b = j * others // (MOST_BITS + 1), (j + 1) * others // (MOST_BITS + 1)
+            fifth = (p >> np.uint64(a) & np.uint64((1 << (b - a)) - 1)).astype(np.int64)
+            out[:, i * (MOST_BITS + 1) + j] = ((segment << 9 | fifth) << 5 | j << 2 | i) << 2 | 3
+    return out
+
+
+def keys_of(prints: np.ndarray, asked: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For distinct fingerprints (uint64): keys, the row of each key, and whether it is a key of the side that looks up; only those if not ``asked``."""
     code, n = golay(), len(prints)
     segments = [((prints >> np.uint64(low)) & np.uint64((1 << width) - 1)).astype(np.int64) for low, width in SEGMENTS]
     near = [code.near(s).astype(np.int64) for s in segments]
     odd = [np.bitwise_count(s).astype(np.int64) & 1 for s in segments]
-    rows = np.arange(n)
-    keys, of, asks = [], [], []
-    for i, s in enumerate(segments):
-        keys.append(s << 3 | i)
-        of.append(rows)
-        asks.append(np.ones(n, bool))
+    rows, same = np.arange(n), fifths(prints)
+    keys, of, asks = [same.ravel()], [np.repeat(rows, same.shape[1])], [np.ones(same.size, bool)]
     for k, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
         def key(a, b, p, q, k=k):
-            return ((a << 12 | b) << 2 | p << 1 | q) << 3 | 3 + k
+            return ((a << 12 | b) << 2 | p << 1 | q) << 2 | k
 
         keys.append(key(near[i][:, 0], near[j][:, 0], odd[i], odd[j]))
         of.append(rows)
         asks.append(np.ones(n, bool))
-        both = (near[i][:, :, None] >= 0) & (near[j][:, None, :] >= 0)
-        r, x, y = np.nonzero(both)
-        keys.append(key(near[i][r, x], near[j][r, y], 1 - odd[i][r], 1 - odd[j][r]))
-        of.append(r)
-        asks.append(np.zeros(len(r), bool))
+        if asked:
+            both = (near[i][:, :, None] >= 0) & (near[j][:, None, :] >= 0)
+            r, x, y = np.nonzero(both)
+            keys.append(key(near[i][r, x], near[j][r, y], 1 - odd[i][r], 1 - odd[j][r]))
+            of.append(r)
+            asks.append(np.zeros(len(r), bool))
     return np.concatenate(keys), np.concatenate(of), np.concatenate(asks)
 
 
-def raw_keys(fp: Column) -> Column:
-    """The keys of kinds 0 to 2 of ``keys_of``, in columns."""
-    return F.array(*[F.shiftrightunsigned(fp, low).bitwiseAND((1 << width) - 1) * 8 + i for i, (low, width) in enumerate(SEGMENTS)])
-
-
-def narrow_keys(key: np.ndarray, prints: np.ndarray) -> np.ndarray:
-    """For raw-segment keys and their fingerprints: five keys each, of the segment and a fifth of the other bits. Four flipped bits leave a fifth equal."""
-    kind = key & 7
-    out = np.zeros((len(key), MOST_BITS + 1), np.int64)
-    for i, (low, width) in enumerate(SEGMENTS):
-        own_kind, others = kind == i, 64 - width
-        p, turn = prints[own_kind], (low + width) % 64
-        p = p >> np.uint64(turn) | p << np.uint64(64 - turn) if turn else p  # the other bits come lowest
-        for j in range(MOST_BITS + 1):
-            a, b = j * others // (MOST_BITS + 1), (j + 1) * others // (MOST_BITS + 1)
-            fifth = (p >> np.uint64(a) & np.uint64((1 << (b - a)) - 1)).astype(np.int64)
-            out[own_kind, j] = ((key[own_kind] >> 3 << 9 | fifth) << 5 | j << 2 | i) << 3 | 6
-    return out
-
-
 def forest(members: np.ndarray, most: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Edges that connect what links of at most ``most`` bits connect among the fingerprints; fewer edges than members."""
     left, right = [], []
@@ -204,58 +198,56 @@ def linked(prints: DataFrame, most: int = MOST_BITS, bucket: int = BUCKET) -> Da
     if most > MOST_BITS:
         raise ValueError(f"the keys find pairs of at most {MOST_BITS} bits")
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            all_prints = batch.column(0).to_numpy().view(np.uint64)
-            for at in range(0, len(all_prints), 2048):
-                some = all_prints[at : at + 2048]
-                key, row, asks = keys_of(some)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(some[row].view(np.int64)), pa.array(asks)], names=["key", "fp", "asks"])
+    def emit(asked: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                all_prints = batch.column(0).to_numpy().view(np.uint64)
+                for at in range(0, len(all_prints), 2048):
+                    some = all_prints[at : at + 2048]
+                    key, row, asks = keys_of(some, asked)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(some[row].view(np.int64)), pa.array(asks)], names=["key", "fp", "asks"])
+
+        return run
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(key, fp, asks):
-            a, b = bucket_edges(key, fp.view(np.uint64), asks, most)
+        def out(rows: list[list[np.ndarray]]) -> pa.RecordBatch:
+            key, part, fp, asks = (np.concatenate(x) for x in zip(*rows, strict=True))
+            group = np.cumsum(np.concatenate(([False], (key[1:] != key[:-1]) | (part[1:] != part[:-1]))))
+            a, b = bucket_edges(group, fp.view(np.uint64), asks, most)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[list[np.ndarray]] = []  # the rows of the last group, which may go on
         for batch in batches:
-            key, part, fp, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
-            mixed = key << 20 | part  # one number for the key and its part
-            cut = len(mixed) - int(np.searchsorted(mixed[::-1] != mixed[-1], True)) if len(mixed) else 0
-            if cut and (mixed[0] != mixed[-1] or (held and held[0][0][-1] != mixed[0])):
-                whole = [np.concatenate(x) for x in zip(*held, (mixed[:cut], fp[:cut], asks[:cut]), strict=True)] if held else [mixed[:cut], fp[:cut], asks[:cut]]
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(4)]
+            if not len(cols[0]):
+                continue
+            other = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut or (held and (held[-1][0][-1], held[-1][1][-1]) != (cols[0][0], cols[1][0])):
+                rows = [*held, [c[:cut] for c in cols]] if cut else held
                 held = []
-                yield out(*whole)
-            if cut < len(mixed):
-                held.append((mixed[cut:], fp[cut:], asks[cut:]))
+                yield out(rows)
+            held.append([c[cut:] for c in cols])
         if held:
-            yield out(*[np.concatenate(x) for x in zip(*held, strict=True)])
-
-    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key, fp = (batch.column(c).to_numpy() for c in range(2))
-            yield pa.RecordBatch.from_arrays([pa.array(narrow_keys(key, fp.view(np.uint64)).ravel()), pa.array(np.repeat(fp, MOST_BITS + 1))], names=["key", "fp"])
-
-    keyed = prints.select("fp").distinct().mapInArrow(emit, "key long, fp long, asks boolean")
-    asked = prints.select("fp").distinct().mapInArrow(emit, "key long, fp long, asks boolean").filter("asks").groupBy("key").count().filter(F.col("count") > bucket)
-    hot = staged(asked.select("key", F.least(F.lit(1000), F.ceil(F.col("count") / bucket)).cast("int").alias("parts")))
+            yield out(held)
+
+    schema = "key long, fp long, asks boolean"
+    distinct = staged(prints.select("fp").distinct())
+    spread = distinct.repartition(max(1, -(-distinct.count() // SPREAD)), "fp")
+    sizes = spread.mapInArrow(emit(False), schema).groupBy("key").count().filter(F.col("count") > bucket)
+    hot = staged(sizes.select("key", F.ceil(F.col("count") / bucket).cast("long").alias("groups")))
+    keyed = spread.mapInArrow(emit(True), schema)
     if hot.isEmpty():
         keyed = keyed.select("key", F.lit(0).cast("long").alias("part"), "fp", "asks")
     else:
-        # of a pair of codewords who asks goes to one part, who is asked to all parts of a large bucket
-        raw = F.col("key").bitwiseAND(7) < 3
-        keyed = keyed.join(hot, "key", "left").filter(~raw | F.col("parts").isNull()).withColumn("parts", F.coalesce("parts", F.lit(1)))
-        to = F.when(F.col("asks"), F.array(F.pmod(F.xxhash64("fp"), F.col("parts")))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1).cast("array<long>"))
+        # who asks meets who is asked at each crossing of their groups; where all ask, every two groups meet
+        keyed = keyed.join(hot, "key", "left").withColumn("groups", F.coalesce("groups", F.lit(1).cast("long")))
+        mine, groups = F.pmod(F.xxhash64("fp"), F.col("groups")), F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)
+        two = F.transform(F.filter(groups, lambda g: g != mine), lambda g: F.greatest(g, mine) * F.col("groups") + F.least(g, mine))
+        one_kind = F.col("key").bitwiseAND(3) == 3
+        crossing = F.when(F.col("asks"), F.transform(groups, lambda g: mine * F.col("groups") + g)).otherwise(F.transform(groups, lambda g: g * F.col("groups") + mine))
+        to = F.when(F.col("groups") == 1, F.array(F.lit(0).cast("long"))).when(one_kind, two).otherwise(crossing)
         keyed = keyed.select("key", F.explode(to).alias("part"), "fp", "asks")
-        # with an equal segment all ask: a large bucket is divided by fifths of the other bits, and where those are large too, every two groups meet
-        large = prints.select("fp").distinct().select(F.explode(raw_keys(F.col("fp"))).alias("key"), "fp").join(hot.filter(raw), "key", "left_semi")
-        fifths = staged(large.select("key", "fp").mapInArrow(narrow, "key long, fp long"))
-        sizes = fifths.groupBy("key").count().filter(F.col("count") > bucket)
-        groups = F.least(F.lit(GROUPS), F.ceil(2 * F.col("count") / bucket)).cast("long")
-        fifths = fifths.join(sizes.select("key", groups.alias("groups")), "key", "left").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("groups")))
-        others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1), lambda g: g != F.col("mine"))
-        meets = F.transform(others, lambda g: (F.greatest(g, "mine") * (F.greatest(g, "mine") - 1) / 2).cast("long") + F.least(g, "mine"))
-        keyed = keyed.union(fifths.select("key", F.explode(F.coalesce(meets, F.array(F.lit(0).cast("long")))).alias("part"), "fp", F.lit(True)))
     return keyed.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(reduce, "a long, b long")
 
 
@@ -273,12 +265,15 @@ def near_duplicates(docs: DataFrame, most: int = MOST_BITS, width: int = SHINGLE
 def _rooted(docs: DataFrame, most: int, width: int) -> DataFrame:
     """``near_duplicates`` and the smallest fingerprint of each row's component."""
     prints = staged(fingerprints(docs.select("doc_id", "text"), "fp", width).select("doc_id", F.xxhash64("text").alias("text_hash"), "fp"))
-    edges = staged(linked(prints, most).distinct())
+    groups = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    edges = staged(linked(groups, most).distinct())
     root = own("root")
     roots = connected_components(edges).select(F.col("node").alias("fp"), F.col("root").alias(root))
-    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first")).join(roots, "fp", "left").withColumn(root, F.coalesce(root, "fp"))
-    smallest = firsts.groupBy(root).agg(F.min("first").alias("component_id"))
-    return prints.join(firsts.join(smallest, root).select("fp", "component_id", root), "fp")
+    firsts = staged(groups.join(roots, "fp", "left").withColumn(root, F.coalesce(root, "fp")))
+    smallest = staged(firsts.groupBy(root).agg(F.min("first").alias("component_id"), F.count("*").alias("size")))
+    n = firsts.count()
+    named = staged(join_spread(firsts, smallest, [root], "size", n).select("fp", "component_id", root, "n"))
+    return join_spread(prints, named, ["fp"], "n", prints.count()).select("doc_id", "text_hash", "fp", "component_id", root)
 
 
 def keep_one(docs: DataFrame, most: int = MOST_BITS, width: int = SHINGLE) -> DataFrame:
@@ -294,7 +289,5 @@ def keep_one(docs: DataFrame, most: int = MOST_BITS, width: int = SHINGLE) -> Da
     kept = kept.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("fp")).otherwise(F.col(own("root"))).alias("fp")).agg(F.min("text_hash").alias("text_hash"))
     ids = kept.select(F.col("doc_id").alias(own("id", docs)), F.col("text_hash").alias(mark))
     hit = docs.join(ids, F.col(own("id", docs)).eqNullSafe(F.col("doc_id")) & (F.xxhash64("text") == F.col(mark)), "left_semi")
-    from pyspark.sql import Window
-
     same = Window.partitionBy("doc_id", mark).orderBy(mark)
     return hit.withColumn(mark, F.xxhash64("text")).withColumn(rank, F.row_number().over(same)).filter(F.col(rank) == 1).select(*docs.columns)
