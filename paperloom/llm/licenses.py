@@ -1,12 +1,12 @@
 """License scans by diagonal voting, in DataFrame operations only.
 
-Every pair of words in a row is joined, by hash and text, to its positions in
-license templates. A hit votes for its diagonal, the offset between text and
-template. A diagonal with all votes of a template is a place where the template
-stands word by word; neighbouring diagonals are merged, so that a template with
-a few words put in or left out still gathers its votes, and the merged span is
-verified by its length and share of votes. So is every stretch of neighbouring
-diagonals within it, since stray hits beside a place would make it too long.
+Every pair of words in a row is joined, by hash and then by its words, to its
+positions in license templates. A hit votes for its diagonal, the offset between
+text and template. A diagonal with all votes of a template is a place where the
+template stands word by word, whatever lies beside it. Neighbouring diagonals
+are merged, so that a long template with a few words put in or left out still
+gathers its votes; from each diagonal on, the merged stretch is verified by its
+length and its share of votes.
 """
 
 from __future__ import annotations
@@ -31,15 +31,26 @@ TEMPLATES = (
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("cc-by", "creative commons attribution"),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use reproduce display distribute execute and transmit the software"),
+    ("cc0", "to the extent possible under law the person who associated this work has waived all copyright and related or neighboring rights to this work"),
+    ("agpl-3.0", "gnu affero general public license version 3"),
+    ("lgpl-2.1", "gnu lesser general public license version 2 1"),
+    ("lgpl-3.0", "gnu lesser general public license version 3"),
+    ("gfdl", "gnu free documentation license"),
+    ("artistic-2.0", "the artistic license 2 0"),
 )
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Diagonals at most so far apart are merged; votes and length that a merged span needs, as shares of the template's.
+#: The only character beyond ASCII whose lower case is ASCII; only A-Z are to be folded, so another such character takes its place.
+KELVIN, OTHER = "\u212a", "\u00e5"
+#: Diagonals at most so far apart are merged.
 GAP = 2
+#: Votes that a stretch needs, as a share of the template's pairs: all of a template with fewer pairs than LONG, whose every word tells.
+LONG = 12
 SHARE = 0.8
+#: Length of a stretch at most, as a multiple of the template's.
 STRETCH = 1.3
-#: Diagonals that a stretch reaches on: as far as the longest template may be stretched.
-REACH = 19
 
 
 def templates(spark: SparkSession, base: tuple = BASE, more: tuple = TEMPLATES) -> DataFrame:
@@ -47,65 +58,66 @@ def templates(spark: SparkSession, base: tuple = BASE, more: tuple = TEMPLATES)
     rows = []
     for t, (label, text) in enumerate((*base, *more)):
         words = text.split(" ")
-        if not 2 <= len(words) <= 64:
-            raise ValueError(f"a template has 2 to 64 words: {text}")
-        rows += [f"({t}, '{label}', {str(t < len(base)).lower()}, {i}, {len(words) - 1}, '{a} {b}')" for i, (a, b) in enumerate(zip(words, words[1:], strict=False))]
-    found = spark.sql(f"select * from values {', '.join(rows)} as t(template, label, is_base, at, pairs, pair)")
-    return found.withColumn("pair_hash", F.xxhash64("pair"))
+        if len(words) < 2:
+            raise ValueError(f"a template has two words at least: {text}")
+        rows += [f"({t}, '{label}', {str(t < len(base)).lower()}, {i}, {len(words) - 1}, '{a}', '{b}')" for i, (a, b) in enumerate(zip(words, words[1:], strict=False))]
+    found = spark.sql(f"select * from values {', '.join(rows)} as t(template, label, is_base, at, pairs, first, second)")
+    return found.withColumn("pair_hash", F.xxhash64("first", "second"))
+
+
+def reach(base: tuple = BASE, more: tuple = TEMPLATES) -> int:
+    """Diagonals that a stretch of the longest template reaches on: as many as words may be put in."""
+    return int(max(len(text.split(" ")) for _, text in (*base, *more)) * (STRETCH - 1))
 
 
 def scan(docs: DataFrame, base: tuple = BASE, more: tuple = TEMPLATES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every row's whole text.
 
-    Words are runs of digits, letters and characters beyond ASCII, lower case.
-    score is the largest share of a template's pairs that stand in one span. A
-    null or empty text has no words and null places; equal rows give equal rows;
-    a null id is an id like any other; other columns are ignored; an empty table
-    gives no rows.
+    Words are runs of digits, letters and characters beyond ASCII, A-Z in lower
+    case. score is the largest share of a template's pairs that stand in one
+    stretch. A null or empty text has no words and null places; equal rows give
+    equal rows; a null id is an id like any other; other columns are ignored; an
+    empty table gives no rows.
     """
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    words = docs.select("doc_id", "text_hash", F.filter(F.split("text", SEPARATORS), lambda w: w != "").alias("words"))
-    pairs = words.select("doc_id", "text_hash", F.posexplode(F.zip_with("words", F.slice("words", F.lit(2), F.greatest(F.size("words"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))).alias("word", "pair"))
-    pairs = pairs.select("doc_id", "text_hash", "word", F.lower("pair").alias("pair"))
-    known = templates(spark, base, more)
-    hits = pairs.withColumn("pair_hash", F.xxhash64("pair")).join(F.broadcast(known), ["pair_hash", "pair"])
-    vote = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at"))
-    diagonals = hits.groupBy("doc_id", "text_hash", "template", "label", "is_base", "pairs", (F.col("word") - F.col("at")).alias("diagonal")).agg(F.bit_or(vote).alias("votes"))
-    along = Window.partitionBy("doc_id", "text_hash", "template").orderBy("diagonal")
-    begins = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(along) > GAP).cast("int"), F.lit(1))
-    one = F.col("is_base") & (F.bit_count("votes") == F.col("pairs"))
-    low = F.col("diagonal") + F.length(F.regexp_extract(F.reverse(F.bin("votes")), "^0*", 0))
-    high = F.col("diagonal") + F.length(F.bin("votes")) + 1
-    fits = lambda votes, low, high: (F.bit_count(votes) / F.col("pairs") >= SHARE) & (high - low <= (F.col("pairs") + 1) * STRETCH)
-    # from each diagonal on: whether it and so many of the next verify together
-    nexts = F.collect_list(F.struct("diagonal", "votes", low.cast("int").alias("low"), high.cast("int").alias("high"))).over(along.rangeBetween(0, REACH))
+    text = F.lower(F.replace(F.coalesce("text", F.lit("")), F.lit(KELVIN), F.lit(OTHER)))
+    words = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.array_remove(F.split(text, SEPARATORS), "").alias("words"))
+    each = words.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), "words", F.posexplode_outer("words").alias("word", "one"))
+    pairs = each.select("doc_id", "text_hash", "n_words", "word", "one", F.get("words", F.col("word") + 1).alias("two"))
+    pairs = pairs.withColumn("pair_hash", F.xxhash64("one", "two"))
+    met = pairs.join(F.broadcast(templates(docs.sparkSession, base, more)), "pair_hash", "left")
+    # the first word of a text stays without a hit, too: so every text has a row
+    met = met.filter(F.col("template").isNotNull() | (F.coalesce("word", F.lit(0)) == 0))
+    met = met.withColumn("hit", F.coalesce((F.col("one") == F.col("first")) & (F.col("two") == F.col("second")), F.lit(False))).filter("hit or coalesce(word, 0) = 0")
+    known = [F.when(F.col("hit"), F.col(c)).alias(c) for c in ("template", "label", "is_base", "pairs", "at")]
+    votes = met.select("doc_id", "text_hash", "n_words", *known, F.when(F.col("hit"), F.col("word") - F.col("at")).alias("diagonal"))
+    text_key = ["doc_id", "text_hash", "n_words"]
+    # equal rows vote together: each place of a diagonal has as many votes as there are rows
+    diagonals = votes.groupBy(*text_key, "template", "label", "is_base", "pairs", "diagonal").agg(F.collect_set("at").alias("ats"), F.count("*").alias("n"))
+    along = Window.partitionBy(*text_key, "template").orderBy("diagonal")
+    nexts = F.collect_list(F.struct("diagonal", "ats")).over(along.rangeBetween(0, reach(base, more)))
 
     def longer(s, d):
+        ats = F.array_union(s["ats"], d["ats"])
         on = s["on"] & (d["diagonal"] - s["diagonal"] <= GAP)
-        votes, least, most = s["votes"].bitwiseOR(d["votes"]), F.least(s["low"], d["low"]), F.greatest(s["high"], d["high"])
-        return F.struct(on.alias("on"), d["diagonal"].alias("diagonal"), votes.alias("votes"), least.alias("low"), most.alias("high"), (s["ok"] | (on & fits(votes, least, most))).alias("ok"))
+        low = F.least(s["low"], d["diagonal"] + F.array_min(d["ats"]))
+        high = F.greatest(s["high"], d["diagonal"] + F.array_max(d["ats"]) + 2)
+        fits = on & (high - low <= (F.col("pairs") + 1) * STRETCH)
+        return F.struct(on.alias("on"), d["diagonal"].alias("diagonal"), ats.alias("ats"), low.alias("low"), high.alias("high"), F.when(fits, F.greatest(s["most"], F.size(ats))).otherwise(s["most"]).alias("most"))
 
-    start = F.struct(F.lit(True).alias("on"), F.col("diagonal"), F.lit(0).cast("long").alias("votes"), low.cast("int").alias("low"), high.cast("int").alias("high"), F.lit(False).alias("ok"))
-    runs = diagonals.withColumn("begins", begins).withColumn("nexts", nexts).withColumn("run", F.sum("begins").over(along))
-    runs = runs.withColumn("stands", ~F.col("is_base") & F.aggregate("nexts", start, longer, lambda s: s["ok"]))
-    spans = runs.groupBy("doc_id", "text_hash", "template", "label", "is_base", "pairs", "run").agg(
-        F.bit_count(F.bit_or("votes")).alias("votes"), F.min(low).alias("low"), F.max(high).alias("high"), F.count_if(one).alias("places"), F.min(F.when(one, F.col("diagonal"))).alias("first"), F.max(F.when(one, F.col("diagonal"))).alias("last"), F.bool_or("stands").alias("stands")
+    none = F.struct(F.lit(True).alias("on"), F.col("diagonal"), F.array().cast("array<int>").alias("ats"), (F.col("diagonal") + F.array_min("ats")).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("most"))
+    runs = diagonals.withColumn("nexts", nexts).withColumn("most", F.greatest(F.size("ats"), F.aggregate("nexts", none, longer, lambda s: s["most"])))
+    place = F.when(F.col("is_base") & (F.size("ats") == F.col("pairs")), F.col("diagonal"))
+    needed = F.when(F.col("pairs") < LONG, F.col("pairs")).otherwise(F.ceil(F.col("pairs") * SHARE))
+    found = runs.groupBy(*text_key).agg(
+        F.count(place).alias("n_base"),
+        F.min(place).cast("long").alias("first_word"),
+        F.max(place).cast("long").alias("last_word"),
+        F.array_sort(F.collect_set(F.when(place.isNotNull(), F.col("label")))).alias("base_labels"),
+        F.array_sort(F.collect_set(F.when(place.isNotNull() | (~F.col("is_base") & (F.col("most") >= needed)), F.col("label")))).alias("labels"),
+        F.max(F.col("most") / F.col("pairs")).alias("score"),
+        F.max((F.col("n") / F.greatest(F.size("ats"), F.lit(1))).cast("int")).alias("copies"),
     )
-    share = F.col("votes") / F.col("pairs")
-    verified = F.col("stands") | (~F.col("is_base") & (share >= SHARE) & (F.col("high") - F.col("low") <= (F.col("pairs") + 1) * STRETCH))
-    found = spans.groupBy("doc_id", "text_hash").agg(
-        F.sum("places").alias("n_base"),
-        F.min("first").cast("long").alias("first_word"),
-        F.max("last").cast("long").alias("last_word"),
-        F.array_sort(F.collect_set(F.when(F.col("places") > 0, F.col("label")))).alias("base_labels"),
-        F.array_sort(F.collect_set(F.when((F.col("places") > 0) | verified, F.col("label")))).alias("labels"),
-        F.max(share).alias("score"),
+    out = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return out.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score")
     )
-    found = found.withColumnsRenamed({"doc_id": "id", "text_hash": "hash"})
-    counted = docs.select("doc_id", "text_hash", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"))
-    joined = counted.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")), "left")
-    return joined.select(
-        "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
-        F.coalesce(F.array_join("base_labels", ","), F.lit("")).alias("base_labels"), F.coalesce(F.array_join("labels", ","), F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
-    )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import langid, licenses, mixing, neighbours, packing, quality, secrets, simhash, sketches, substrings
+from paperloom.llm import langid, licenses, mixing, neighbours, packing, quality, secrets, simhash, sketches, sql, substrings
 from paperloom.llm._common import is_held_out, table
 
 
@@ -75,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_substring_dedup": sql.substring_dedup(), "op6_license_scan": sql.license_scan()}

@@ -85,6 +85,33 @@ def licenses(text: str | None) -> tuple:
     return len(w), len(places), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places}))
 
 
+def license_labels(text: str | None, base: tuple, more: tuple, gap: int, long: int, share: float, stretch: float, reach: int) -> tuple[str, float]:
+    """All labels and the score: every stretch of neighbouring diagonals of every template, tried one by one."""
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+    labels, score = set(), 0.0
+    for t, (label, phrase) in enumerate((*base, *more)):
+        p = phrase.split()
+        pairs, hits = len(p) - 1, [(i, j) for i in range(len(w) - 1) for j in range(len(p) - 1) if w[i : i + 2] == p[j : j + 2]]
+        most = 0
+        lines = sorted({i - j for i, j in hits})
+        for a in range(len(lines)):
+            for b in range(a, len(lines)):
+                if (b > a and lines[b] - lines[b - 1] > gap) or lines[b] - lines[a] > reach:
+                    break
+                inside = [(i, j) for i, j in hits if lines[a] <= i - j <= lines[b]]
+                if a == b or max(i for i, _ in inside) + 2 - min(i for i, _ in inside) <= len(p) * stretch:
+                    most = max(most, len({j for _, j in inside}))
+        score = max(score, most / pairs)
+        if t < len(base):
+            found = any(w[i : i + len(p)] == p for i in range(len(w) - len(p) + 1))
+        else:
+            found = most >= (pairs if pairs < long else -(-pairs * share // 1))
+        if found:
+            labels.add(label)
+    return ",".join(sorted(labels)), score
+
+
 def neighbours(rows: list[tuple], k: int = 20, every: int = 20) -> dict[int, list[tuple]]:
     ok = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all() and np.any(np.array(v, float))]
     out = {}

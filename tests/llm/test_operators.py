@@ -244,6 +244,36 @@ def test_stray_hits_beside_a_license(spark):
     assert {r["doc_id"]: r["labels"] for r in found} == dict(enumerate(expected.values()))
 
 
+def test_license_labels_equal_brute_force(spark):
+    rng = random.Random(8)
+    options = (licenses.BASE, licenses.TEMPLATES, licenses.GAP, licenses.LONG, licenses.SHARE, licenses.STRETCH, licenses.reach())
+    texts = [None, "", "license", "MIT \u212aey License", "gnu general public license version 3", "GNU General Public License, version 2", "gnu general public license version 4", "creative commons attribution commons attribution commons attribution"]
+    for _, phrase in licenses.TEMPLATES:
+        w = phrase.split(" ")
+        texts += [phrase, " ".join(w[:-1]), " ".join(w[1:]), " ".join(w[: len(w) // 2] + ["and", "so"] + w[len(w) // 2 :]), f"{phrase} {phrase}", " ".join(w[: len(w) // 2] * 2 + w[len(w) // 2 :])]
+        for _ in range(3):
+            v = list(w)
+            for _ in range(rng.randint(1, 4)):
+                at = rng.randrange(len(v) + 1)
+                v[at : at + rng.randint(0, 2)] = rng.choice([[], ["some"], ["the"], ["license", "the"]])
+            texts.append(" ".join(v))
+    found = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    expected = {i: brute.license_labels(t, *options) for i, t in enumerate(texts)}
+    assert {i: found[i][0] for i in found} == {i: e[0] for i, e in expected.items()}
+    assert all(found[i][1] == pytest.approx(expected[i][1]) for i in found)
+    by_text = {t: found[i][0] for i, t in enumerate(texts)}
+    assert by_text["gnu general public license version 3"] == "gpl,gpl-3.0" and by_text["GNU General Public License, version 2"] == "gpl,gpl-2.0" and by_text["gnu general public license version 4"] == "gpl"
+    assert by_text["creative commons attribution commons attribution commons attribution"] == "cc-by"
+    for label, phrase in licenses.TEMPLATES:  # each template names itself and no other's license
+        assert {x for x in by_text[phrase].split(",") if x not in ("mit", "apache", "gpl")} <= {label, "lgpl", "agpl"} and label in by_text[phrase].split(",")
+
+
+def test_equal_license_rows_give_equal_rows(spark):
+    rows = [(1, "mit license"), (1, "mit license"), (None, "mit license"), (None, "mit license"), (2, ""), (2, "")]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["n_base"], r["n_words"]) for r in found) == Counter({(1, 1, 2): 2, (None, 1, 2): 2, (2, 0, 0): 2})
+
+
 def test_quality(spark, docs, empty):
     labels = spark.createDataFrame([(r[0], (r[0] or 0) % 2, 0) for r in rows()] + [(7, None, None)], "doc_id long, quality int, toxic int")
     model = quality.fit(docs, labels)
