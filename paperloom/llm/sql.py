@@ -19,15 +19,15 @@ def license_scan(base: tuple = licenses.BASE, more: tuple = licenses.TEMPLATES)
     """Every pair of words against every pair of every template, and every stretch of neighbouring diagonals."""
     listed = ", ".join(f"({t}, '{label}', {str(t < len(base)).lower()}, '{text}')" for t, (label, text) in enumerate((*base, *more)))
     return f"""WITH v AS (SELECT *, string_split(phrase, ' ') AS w FROM (VALUES {listed}) AS v(template, label, is_base, phrase)),
-t AS (SELECT template, label, is_base, len(w) - 1 AS pairs, w, unnest(range(1, len(w))) AS k FROM v), tp AS (SELECT template, label, is_base, pairs, k - 1 AS at, w[k] AS a, w[k + 1] AS b FROM t),
+t AS (SELECT template, label, is_base, len(w) - 1 AS pairs, w, unnest(range(1, len(w))) AS k FROM v), tp AS (SELECT template, label, is_base, pairs, k - 1 AS spot, w[k] AS a, w[k + 1] AS b FROM t),
 d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 i AS (SELECT doc_id, w, unnest(range(1, len(w))) AS k FROM d), p AS (SELECT doc_id, k - 1 AS word, w[k] AS a, w[k + 1] AS b FROM i),
-h AS (SELECT doc_id, template, label, is_base, pairs, at, word, word - at AS diagonal FROM p JOIN tp USING (a, b)),
+h AS (SELECT doc_id, template, label, is_base, pairs, spot, word, word - spot AS diagonal FROM p JOIN tp USING (a, b)),
 g AS (SELECT doc_id, template, label, is_base, pairs, diagonal, count(*) AS n FROM h GROUP BY ALL),
 o AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER a <= {licenses.GAP} THEN 0 ELSE 1 END AS begins FROM g WINDOW a AS (PARTITION BY doc_id, template ORDER BY diagonal)),
 r AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS run FROM o),
 s AS (SELECT x.doc_id, x.template, x.pairs, x.diagonal AS d0, y.diagonal AS d1 FROM r x JOIN r y ON x.doc_id = y.doc_id AND x.template = y.template AND x.run = y.run AND y.diagonal BETWEEN x.diagonal AND x.diagonal + {licenses.reach(base, more)}),
-m AS (SELECT s.doc_id, s.template, s.pairs, d0, d1, count(DISTINCT at) AS votes, max(word) + 2 - min(word) AS span FROM s JOIN h ON h.doc_id = s.doc_id AND h.template = s.template AND h.diagonal BETWEEN d0 AND d1 GROUP BY ALL),
+m AS (SELECT s.doc_id, s.template, s.pairs, d0, d1, count(DISTINCT spot) AS votes, max(word) + 2 - min(word) AS span FROM s JOIN h ON h.doc_id = s.doc_id AND h.template = s.template AND h.diagonal BETWEEN d0 AND d1 GROUP BY ALL),
 b AS (SELECT doc_id, template, max(votes) AS most FROM m WHERE d0 = d1 OR span <= (pairs + 1) * {licenses.STRETCH} GROUP BY ALL),
 l AS (SELECT b.doc_id, max(most / pairs) AS score, list(DISTINCT label) FILTER (most >= CASE WHEN pairs < {licenses.LONG} THEN pairs ELSE ceil(pairs * {licenses.SHARE}) END AND NOT is_base) AS own FROM b JOIN (SELECT DISTINCT template, label, is_base, pairs FROM tp) USING (template) GROUP BY b.doc_id),
 q AS (SELECT doc_id, count(*) AS n_base, min(diagonal) AS first_word, max(diagonal) AS last_word, list(DISTINCT label) AS base FROM g WHERE is_base AND n = pairs GROUP BY doc_id)
