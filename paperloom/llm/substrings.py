@@ -3,17 +3,18 @@
 A window is 50 words in a row. Consecutive windows of a text that share their
 minimiser (the least hash of the word 5-grams in it) form a super-k-mer. Equal
 windows have equal minimisers, so only super-k-mers whose minimiser occurs in
-two documents can matter; of those with equal words the one of the smallest
-document stands for all. Where a minimiser has several different super-k-mers,
-each travels as one packed string to the minimiser's bucket, and there sorting
-their windows finds the smallest document of each. A bucket of many strings is
-split into parts; what a window's parts found is then joined on the window.
+two documents can matter; of those with equal words (the same minimiser, digest
+and number of words) the one of the smallest document stands for all. Where a
+minimiser has several different super-k-mers, each travels as one packed string
+to the minimiser's bucket. There the windows of all strings are sorted exactly,
+by their words: ranks of one word give ranks of two, four and so on, so that
+memory is in proportion to the words, whatever they repeat. The windows of a
+bucket with too many words for one task are sorted by Spark instead, each a row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm._common import staged, texts_of, with_arrow_columns
+from paperloom.llm._common import join_spread, staged, texts_of, with_arrow_columns
 
 WINDOW = 50
 GRAM = 5
-#: Different strings of one bucket that one task sorts; larger buckets are split.
-BUCKET = 2000
+#: Words of one bucket that one task sorts; Spark sorts the windows of larger ones.
+BUCKET = 2_000_000
+#: Words that are sorted together at least, if there are as many: small buckets share a sort.
+TOGETHER = 300_000
 
 _POWERS = np.cumprod(np.full(4096, 0x100000001B3, np.uint64))
 _STEPS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
@@ -92,93 +95,111 @@ def _runs(docs: DataFrame, window: int) -> DataFrame:
     return known.mapInArrow(run, f"minimiser long, digest long, doc_id {kind}, text_hash long, start int, n int")
 
 
-def _packed(asked: DataFrame, kind: str, window: int) -> DataFrame:
-    """The packed strings of the super-k-mers listed with each text."""
+def _packed(asked: DataFrame, kind: str, window: int, apart: bool) -> DataFrame:
+    """The packed strings of the super-k-mers listed with each text; if ``apart``, each of their windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["minimiser", "digest", "n", "i", "packed", "doc_id"]
         for batch in batches:
-            of, cols = [], ([], [], [], [])
-            for i, (text, wanted) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                words = text.encode().split()
-                for w in wanted:
-                    of.append(i)
-                    for into, x in zip(cols, (w["minimiser"], w["digest"], w["parts"], b" ".join(words[w["start"] : w["start"] + w["n"] + window - 1])), strict=True):
-                        into.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), batch.column(0).take(pa.array(of, pa.int64()))], names=["minimiser", "digest", "parts", "packed", "doc_id"])
-
-    return asked.mapInArrow(run, f"minimiser long, digest long, parts int, packed binary, doc_id {kind}")
-
-
-def _sorted_windows(packed: DataFrame, kind: str, window: int) -> DataFrame:
-    """Of each string, its windows that a smaller document has: found here, or, in split buckets, each window with its digest."""
-
-    def bucket(rows: list[tuple], split: bool) -> Iterator[tuple]:
-        windows = []
-        for at, (_, digest, string, doc) in enumerate(rows):
-            words = string.split(b" ")
-            ends = _ends(words).tolist()
-            starts = [0, *(e + 1 for e in ends)]
-            for i in range(len(words) - window + 1):
-                windows.append((string[starts[i] : ends[i + window - 1]], doc, at, i))
-        if split:
-            for w, doc, at, i in windows:
-                yield rows[at][0], rows[at][1], doc, i, xxhash.xxh3_128_digest(w)
-            return
-        windows.sort()
-        for _, same in groupby(windows, key=lambda x: x[0]):
-            least = None
-            for _, doc, at, i in same:  # the first has the smallest document
-                least = doc if least is None else least
-                if least < doc:
-                    yield rows[at][0], rows[at][1], doc, i, None
+            docs, texts, lists = (batch.column(c) for c in range(3))
+
+            def out(of: list[int], cols: tuple[list, ...], docs=docs) -> pa.RecordBatch:
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), docs.take(pa.array(of, pa.int64()))], names=names)
+
+            of, cols, held = [], ([], [], [], [], []), 0
+            for row in range(batch.num_rows):
+                words = texts[row].as_py().encode().split()
+                for w in lists[row].as_py():
+                    for i in range(w["n"]) if apart else (0,):
+                        at = w["start"] + i
+                        packed = b" ".join(words[at : at + (window if apart else w["n"] + window - 1)])
+                        of.append(row)
+                        for into, x in zip(cols, (w["minimiser"], w["digest"], w["n"], i, packed), strict=True):
+                            into.append(x)
+                        held += len(packed)
+                        if held > 8_000_000:
+                            yield out(of, cols)
+                            of, cols, held = [], ([], [], [], [], []), 0
+            yield out(of, cols)
+
+    return asked.mapInArrow(run, f"minimiser long, digest long, n int, i int, packed binary, doc_id {kind}")
+
+
+def late_windows(packed: list[bytes], n: np.ndarray, doc: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Of all windows of the strings, ``n`` of each in a row: whether the words of one also start in a string of a smaller ``doc``."""
+    words = b" ".join(packed).split(b" ")
+    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    rank = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+    total, width = len(words), 1
+    while width * 2 <= window:  # ranks of the runs of ``width`` words from each word on
+        rank = np.unique(rank[:-width] * (rank.max() + 1) + rank[width:], return_inverse=True)[1]
+        width *= 2
+    count, shift = total - window + 1, window - width
+    rank = rank[:count] * (rank.max() + 1) + rank[shift : shift + count]
+    starts = np.cumsum(n + window - 1) - (n + window - 1)
+    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    kind = np.unique(rank[np.repeat(starts, n) + inside], return_inverse=True)[1]
+    own = np.repeat(doc, n)
+    least = np.full(kind.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, kind, own)
+    return least[kind] < own
+
+
+def _sorted_windows(packed: DataFrame, window: int) -> DataFrame:
+    """Of each string, the windows that a smaller document has, too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["minimiser", "digest", "doc_id", "i", "window"])
-
-        kinds, held, at, ready = None, [], None, []
+            minimiser, digest, n, strings, docs = zip(*rows, strict=True)
+            place = {d: i for i, d in enumerate(sorted(set(docs)))}
+            late = late_windows(list(strings), np.array(n, np.int64), np.array([place[d] for d in docs], np.int64), window)
+            ends = np.cumsum(n)
+            found = [np.flatnonzero(late[b - k : b]).tolist() for b, k in zip(ends.tolist(), n, strict=True)]
+            keep = [i for i, x in enumerate(found) if x]
+            pick = lambda x, kind: pa.array([x[i] for i in keep], kind)
+            return pa.RecordBatch.from_arrays([pick(minimiser, pa.int64()), pick(digest, pa.int64()), pick(n, pa.int32()), pick(found, pa.list_(pa.int32()))], names=["minimiser", "digest", "n", "late"])
+
+        ready: list[tuple] = []
+        size = 0
         for batch in batches:
-            kinds = [pa.int64(), pa.int64(), batch.schema.field("doc_id").type, pa.int32(), pa.binary()]
-            cols = [batch.column(batch.schema.names.index(c)).to_pylist() for c in ("minimiser", "part", "parts", "digest", "packed", "doc_id")]
-            for m, part, parts, digest, packed, doc in zip(*cols, strict=True):
-                if at and at[:2] != (m, part):
-                    ready += bucket(held, at[2] > 1)
-                    held = []
-                    if len(ready) > 20_000:
-                        yield out(ready)
-                        ready = []
-                at = (m, part, parts)
-                held.append((m, digest, packed, doc))
-        if held:
-            ready += bucket(held, at[2] > 1)
-        if kinds:
+            for row in zip(*(batch.column(batch.schema.names.index(c)).to_pylist() for c in ("minimiser", "digest", "n", "packed", "doc_id")), strict=True):
+                if size > TOGETHER and row[0] != ready[-1][0]:  # equal windows have equal minimisers: whole buckets can be sorted together
+                    yield out(ready)
+                    ready, size = [], 0
+                ready.append(row)
+                size += row[2] + window - 1
+        if ready:
             yield out(ready)
 
-    dealt = packed.withColumn("part", F.pmod(F.col("digest"), F.col("parts")))
-    return dealt.repartition("minimiser", "part").sortWithinPartitions("minimiser", "part").mapInArrow(run, f"minimiser long, digest long, doc_id {kind}, i int, window binary")
+    return packed.repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(run, "minimiser long, digest long, n int, late array<int>")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, bucket: int = BUCKET) -> DataFrame:
     """doc_id, text_hash and ``found``: ranges (first, last) of starts of windows whose words also start in a document with a smaller id."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    key = ["minimiser", "digest", "n"]
     runs = staged(_runs(docs, window))
-    shared = runs.groupBy("minimiser").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("minimiser")
-    runs = staged(runs.join(shared, "minimiser"))
-    strings = runs.groupBy("minimiser", "digest").agg(F.min(F.struct("doc_id", "text_hash", "start", "n")).alias("first"))
-    strings = staged(strings.select("minimiser", "digest", "first.*"))
-    several = strings.groupBy("minimiser").agg(F.count("*").alias("k")).filter("k > 1").select("minimiser", F.ceil(F.col("k") / bucket).cast("int").alias("parts"))
-    asked = strings.join(several, "minimiser").groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(F.collect_list(F.struct("minimiser", "digest", "start", "n", "parts")).alias("wanted"))
-    texts = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("text_hash").eqNullSafe(F.col("hash"))).select("doc_id", "text", "wanted")
-    seen = staged(_sorted_windows(_packed(texts, kind, window), kind, window))
-    whole = seen.filter("window is null").select("minimiser", "digest", "i")
-    split = seen.filter("window is not null")
-    least = split.groupBy("window").agg(F.min("doc_id").alias("least"))
-    late = split.join(least, "window").filter("least < doc_id").select("minimiser", "digest", "i")
-    inner = whole.union(late).groupBy("minimiser", "digest").agg(F.array_sort(F.collect_set("i")).alias("late"))
-    firsts = strings.select("minimiser", "digest", F.col("doc_id").alias("least")).join(inner, ["minimiser", "digest"], "left")
-    placed = runs.join(firsts, ["minimiser", "digest"]).filter("doc_id > least or late is not null")
+    shared = runs.groupBy("minimiser").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("size"))
+    shared = staged(shared.filter("low < high").select("minimiser", "size"))
+    runs = staged(join_spread(runs, shared, ["minimiser"], "size", runs.count()))
+    strings = staged(runs.groupBy(*key).agg(F.min(F.struct("doc_id", "text_hash", "start")).alias("first"), F.count("*").alias("copies")).select(*key, "first.*", "copies"))
+    several = strings.groupBy("minimiser").agg(F.count("*").alias("size"), F.sum(F.col("n") + (window - 1)).alias("words")).filter("size > 1")
+    several = staged(several.select("minimiser", "size", (F.col("words") > bucket).alias("large")))
+
+    def texts(large: bool) -> DataFrame:
+        listed = join_spread(strings, several.filter(F.col("large") == large).drop("large"), ["minimiser"], "size", strings.count())
+        asked = listed.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(F.collect_list(F.struct(*key, "start")).alias("wanted"))
+        return docs.join(asked, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("text_hash").eqNullSafe(F.col("hash"))).select("doc_id", "text", "wanted")
+
+    inner = staged(_sorted_windows(_packed(texts(False), kind, window, False), window))
+    if not several.filter("large").isEmpty():
+        split = staged(_packed(texts(True), kind, window, True))
+        least = staged(split.groupBy("packed").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")))
+        late = join_spread(split, least, ["packed"], "size", split.count()).filter("least < doc_id")
+        inner = inner.union(late.groupBy(*key).agg(F.array_sort(F.collect_set("i")).alias("late")))
+    firsts = strings.withColumnRenamed("doc_id", "least").select(*key, "least", "copies").join(inner, key, "left").filter("copies > 1 or late is not null")
+    placed = join_spread(runs, staged(firsts), key, "copies", runs.count()).filter("doc_id > least or late is not null")
     all_of_it = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n") - 1).alias("b")))
     some = F.transform("late", lambda i: F.struct((F.col("start") + i).alias("a"), (F.col("start") + i).alias("b")))
     ranges = F.when(F.col("doc_id") > F.col("least"), all_of_it).otherwise(some)

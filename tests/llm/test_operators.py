@@ -124,6 +124,18 @@ def test_substrings(docs, empty, pairs, bucket):
     assert substrings.dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("bucket", [2_000_000, 3000, 1])
+def test_substrings_of_repetitive_texts(spark, bucket):
+    rng = random.Random(6)
+    some = [f"w{i}" for i in range(3)]
+    texts = ["a " * 3000, "a " * 2000 + "b", "b " + "a " * 2500, "a b " * 700, "b a " * 800, "x" * 200_000, None, ""]
+    texts += [" ".join(rng.choice(some[:2]) for _ in range(400)) for _ in range(3)]
+    texts += [" ".join([*"q r s t u v".split(), *["a"] * rng.randint(40, 60), f"end{i}", *some * 30]) for i in range(12)]
+    rows = list(enumerate(texts))
+    found = substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string"), bucket=bucket).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect()
+    assert same(found, brute.substrings(rows))
+
+
 @pytest.mark.parametrize("bucket", [20_000, 2])
 def test_simhash(docs, empty, pairs, bucket, monkeypatch):
     monkeypatch.setattr(simhash, "BUCKET", bucket)
