@@ -327,6 +327,45 @@ def test_fingerprints(docs, empty):
     assert sketches.fingerprint(empty).count() == 0
 
 
+def test_fingerprints_equal_brute_force(spark):
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice(["alpha ", "beta ", "gamma\n", "deltaé ", "日本", "x"]) for _ in range(n))
+    base = text(400)
+    texts = [text(rng.choice([0, 1, 5, 60, 300])) for _ in range(30)] + [base, base, base[:300] + text(20) + base[300:], "same line\n" * 500, "same line\n" * 400, "y" * 5000, "", None, text(20_000), text(30_000)]
+    rows = [(7 * i, t, "x") for i, t in enumerate(texts)]
+    found = {r["doc_id"]: r for r in sketches.fingerprint(spark.createDataFrame(rows, "doc_id long, text string, edited string"), buckets=3).collect()}
+
+    def jaccard(a, b):
+        a, b = Counter(map(int, sketches.raw_digests(a))), Counter(map(int, sketches.raw_digests(b)))
+        union = sum((a | b).values())
+        return sum((a & b).values()) / union if union else 1.0
+
+    for i, (d, t, _) in enumerate(rows):
+        t, following = t or "", texts[(i + 1) % len(texts)] or ""
+        new = sketches.edited(t, following)
+        assert found[d]["edited"] == new and found[d]["near_edited"] == pytest.approx(jaccard(t, new)) and found[d]["near_next"] == pytest.approx(jaccard(t, following))
+        n, packed = found[d]["edited_fingerprint"].split(":")
+        keys = sketches.digests(new)
+        plain = sketches.Sketches.of(keys, np.zeros(len(keys), np.int64), 1)
+        assert f"{n}:{packed}" == plain.texts()[0] and int(n) == len(keys)
+    assert found[30 * 7]["fingerprint"] == found[31 * 7]["fingerprint"] and found[30 * 7]["near_next"] == 1.0
+    assert found[36 * 7]["near_next"] == 1.0  # empty and null
+
+
+def test_fingerprints_refuse_other_ids(spark):
+    with pytest.raises(TypeError):
+        sketches.fingerprint(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+@pytest.mark.parametrize("text", ["", "a", "a\n", "\n\n", "日本語" * 900_000, "word " * 300_000])
+def test_paragraphs_make_up_the_text(text):
+    data = text.encode()
+    ends = sketches.cuts(data).tolist()
+    assert ends == sorted(set(ends)) and (ends[-1] == len(data) if data else not ends)
+    assert all(i + 1 in ends for i, b in enumerate(data[:100_000]) if b == 10)
+    assert np.array_equal(sketches.cuts(data), np.array([e for e in sketches.cuts(data + b"!") if e < len(data)] + ([len(data)] if data else []), np.int64))
+
+
 def test_peeling_recovers_what_differs():
     rng = np.random.default_rng(1)
     for n, m, shared in ((0, 0, 0), (3, 2, 100), (40, 0, 10), (500, 700, 50)):
