@@ -153,7 +153,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS) -> Langua
     def make():
         return lambda batch: [pa.array([zlib.compress(subword_counts([x], buckets)[0].astype(np.uint32).tobytes(), 1) for x in texts_of(batch)], pa.binary())]
 
-    rows = with_arrow_columns(some, [T.StructField("counts", T.BinaryType())], make).select("lang", "second", "counts").limit(2 * sample).collect()
+    rows = with_arrow_columns(some, [T.StructField("counts", T.BinaryType())], make).select("lang", "second", "counts").orderBy(F.xxhash64("counts"), "counts", "lang").limit(2 * sample).collect()  # the same order, however the rows are dealt
     x = np.zeros((len(rows), buckets), np.float32)
     for i, r in enumerate(rows):
         x[i] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.uint32)
@@ -169,7 +169,8 @@ def identify(docs: DataFrame, model: LanguageModel, lang: str = "lang_pred", sco
 
     A null text, or one without letters, is ``und`` with score 0 and rejected;
     a model that learned nothing names all ``und`` and rejects only those. Rows
-    repeat as they are; an empty table gives no rows.
+    repeat as they are; a column of ``docs`` with a new column's name goes; an
+    empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -80,13 +80,18 @@ class Hashes:
 
 
 def fit(sample: np.ndarray, n: int, longest: float, k: int, tables: int = TABLES, aim: float = AIM, seed: int = 11) -> Hashes:
-    """Hash functions for ``n`` vectors of which ``sample`` is one; a bucket for all where a block holds them.
+    """Hash functions for ``n`` vectors of which ``sample`` is one.
 
     Where ``VISITS`` visits do not reach the recall aimed at, there are fewer
-    projections, hence larger buckets; at none every query meets all vectors.
+    projections, hence larger buckets; at none every query meets all vectors. A
+    sample that is the whole table has to find all.
     """
     per_slot = 4.0  # populated slots of a projection, about
-    count = 0 if n <= BLOCK else max(2, round(math.log(n / 2048) / math.log(per_slot)))
+    count = max(2, round(math.log(max(n, 2048) / 2048) / math.log(per_slot)))
+    if len(sample) < 2:
+        count = 0
+    if len(sample) == n:
+        aim = 1.0
     while (out := _fitted(sample, n, longest, k, tables, aim, seed, count)) is None:
         count -= 1
     return out

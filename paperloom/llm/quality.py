@@ -100,7 +100,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, buckets: int =
     """Learns from the texts and ``quality`` of labelled rows that may train; about ``sample`` of them, drawn by a hash of their ids."""
     known = labels.filter(may_train() & F.col("quality").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("label"))
     n = known.count()
-    drawn = known.filter(F.xxhash64("doc_id", F.lit("quality")).bitwiseAND(F.lit(0xFFFFFF)) / float(1 << 24) < sample / max(n, 1)).limit(2 * sample)
+    drawn = known.filter(F.xxhash64("doc_id", F.lit("quality")).bitwiseAND(F.lit(0xFFFFFF)) / float(1 << 24) < sample / max(n, 1)).orderBy("doc_id").limit(2 * sample)
     texts = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
 
     def make():
@@ -109,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, buckets: int =
 
         return compute
 
-    rows = with_arrow_columns(texts, [T.StructField("counts", T.BinaryType())], make).select("label", "counts").limit(2 * sample).collect()
+    rows = with_arrow_columns(texts, [T.StructField("counts", T.BinaryType())], make).select("label", "counts").orderBy(F.xxhash64("counts"), "counts", "label").limit(2 * sample).collect()  # the same order, however the rows are dealt
     counts = np.zeros((len(rows), buckets + STEPS), np.uint32)
     for i, r in enumerate(rows):
         counts[i] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.uint32)
@@ -120,7 +120,8 @@ def classify(docs: DataFrame, model: QualityModel, least: float = LEAST) -> Data
     """``docs`` with score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= ``least``) of each whole text.
 
     A null or empty text gets the sample's share of label 1; a model without
-    labels gives all 0.5. Rows repeat as they are; an empty table gives no rows.
+    labels gives all 0.5. Rows repeat as they are; a column of ``docs`` with a
+    new column's name goes; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -17,6 +17,29 @@ def held_out(doc_id) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 0
 
 
+def subwords(text: str, buckets: int) -> np.ndarray:
+    """How often the runs of one to three characters, word edges as character 0, fall into each bucket."""
+    out, mask = np.zeros(buckets, np.int64), (1 << 32) - 1
+    shift = 32 - (buckets.bit_length() - 1)
+    a = [0]
+    for c in text.lower():
+        x = ord(c) if c.isalpha() else 0
+        if x or a[-1]:
+            a.append(x)
+    if a[-1]:
+        a.append(0)
+    mix = lambda x: x * 2654435761 & mask
+    for x in a:
+        if x:
+            out[(mix(x) * 0x85EBCA6B & mask) >> shift] += 1
+    for x, y in zip(a, a[1:], strict=False):
+        out[((mix(x) * 31 & mask ^ mix(y)) * 0xC2B2AE35 & mask) >> shift] += 1
+    for x, y, z in zip(a, a[1:], a[2:], strict=False):
+        if y:
+            out[(((mix(x) * 31 & mask ^ mix(y)) * 131 & mask ^ mix(z)) * 0x27D4EB2F & mask) >> shift] += 1
+    return out
+
+
 def substrings(docs: list[tuple], window: int = 50) -> list[tuple]:
     first: dict[tuple, int] = {}
     words = [WORD.findall(text or "") for _, text in docs]

@@ -77,6 +77,46 @@ def test_language_is_right_on_held_out_rows(spark):
     assert right[0] > 0.98 and right[1] < 0.02
 
 
+def test_columns_with_clashing_names(spark, docs):
+    again = docs.withColumn("lang_pred", F.lit("x")).withColumn("Rejected", F.lit(1)).withColumn("predicted", F.lit("y"))
+    model = langid.fit(again)
+    found = langid.identify(again, model)
+    assert dict(found.dtypes)["score"] == "double" and dict(found.dtypes)["rejected"] == "boolean" and len(found.columns) == len(set(map(str.lower, found.columns)))
+    assert same(found.select("doc_id", "lang_pred", "score").collect(), langid.identify(docs.select("doc_id", "text"), model).select("doc_id", "lang_pred", "score").collect())
+    assert langid.keep_identified(again, model).columns == again.columns
+    scorer = quality.fit(again, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int"))
+    scored = quality.classify(again, scorer)
+    assert dict(scored.dtypes)["score"] == "double" and dict(scored.dtypes)["predicted"] == "int"
+    assert same(scored.select("doc_id", "score").collect(), quality.classify(docs.select("doc_id", "text"), scorer).select("doc_id", "score").collect())
+
+
+def test_models_do_not_depend_on_partitions(spark, docs):
+    one, two = langid.fit(docs), langid.fit(docs.repartition(3))
+    assert np.array_equal(one.embeddings, two.embeddings) and one.temperature == two.temperature and one.least == two.least
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    assert np.array_equal(quality.fit(docs, labels).vectors, quality.fit(docs.repartition(3), labels.repartition(2)).vectors)
+
+
+def test_models_equal_a_plain_version(spark):
+    """The same answers text by text, from the definition of the features and the scores."""
+    full = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(full)
+    for r in langid.identify(full.select("doc_id", "text"), model).limit(40).collect():
+        counts = brute.subwords(r["text"] or "", langid.BUCKETS)
+        z = (counts / max(counts.sum(), 1)) @ model.embeddings.astype(float) @ model.weights.astype(float) + model.bias
+        p = np.exp(z / model.temperature - (z / model.temperature).max())
+        p /= p.sum()
+        assert r["lang_pred"] == model.labels[int(p.argmax())] and r["score"] == pytest.approx(p.max(), abs=1e-3)
+    scorer = quality.fit(full, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    for r in quality.classify(full.select("doc_id", "text"), scorer).limit(40).collect():
+        x = np.log1p(quality.counts_of(r["text"] or "")) * scorer.rarity
+        v = x @ scorer.basis
+        near = sorted(zip(scorer.vectors @ (v / max(np.linalg.norm(v), 1e-12)), scorer.labels, strict=True), key=lambda p: -p[0])[: quality.NEIGHBOURS]
+        votes = [max(c, 0) ** quality.SHARPNESS for c, _ in near]
+        expected = sum(w * y for w, (_, y) in zip(votes, near, strict=True)) / sum(votes) if r["text"] else scorer.labels.mean()
+        assert r["score"] == pytest.approx(expected, abs=1e-3)
+
+
 def test_mixing(docs, empty):
     out = mixing.mix(docs).collect()
     assert len(out) == docs.count() and mixing.mix(empty).count() == 0
