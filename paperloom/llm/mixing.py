@@ -120,7 +120,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, all columns kept: each as often as the words taken of it hold its size, rounded; one without words stays once."""
-    plan = mix(docs, **options)
+    plan = staged(mix(docs, **options))
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(1)).cast("int")
     count, key, mark, at = own("count", docs), own("key", docs), own("mark", docs), own("at", docs)
     # equal rows lie side by side in their shard's order: how often each is repeated

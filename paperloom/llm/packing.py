@@ -24,8 +24,9 @@ from paperloom.llm._common import staged
 from paperloom.llm.tokens import WordTokenizer
 
 ROOM = 2048
-#: Groups into which the pieces of one length are dealt before they are numbered.
+#: Groups at least into which the pieces of one length are dealt before they are numbered, and pieces of a group at most, about.
 DEAL = 256
+GROUP = 50_000
 
 
 @dataclass
@@ -149,7 +150,7 @@ def pieces(docs: DataFrame, tokenizer: str, room: int = ROOM) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(docs: DataFrame, tokenizer: str, room: int = ROOM, deal: int = DEAL) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, room: int = ROOM, deal: int | None = None) -> DataFrame:
     """The pieces of all rows of ``docs`` (doc_id, text) with sequence_id and offset, in sequences of ``room`` tokens at most.
 
     A null or empty text is the one token 0; equal rows are packed each by
@@ -161,6 +162,7 @@ def pack(docs: DataFrame, tokenizer: str, room: int = ROOM, deal: int = DEAL) ->
     for r in cut.groupBy("length").count().collect():  # at most ``room`` rows
         counts[r["length"]] = r["count"]
     shared = docs.sparkSession.sparkContext.broadcast(plan(counts, room))
+    deal = deal or max(DEAL, int(counts.max()) // GROUP)
     dealt = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(deal)).cast("int"))
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = dealt.groupBy("length", "part").agg(F.count("*").alias("n")).select("length", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))

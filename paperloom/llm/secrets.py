@@ -35,6 +35,9 @@ SENSITIVE = {
     "credentials": 0.9, "bearer": 0.8, "auth": 0.6, "authorization": 0.7, "pin": 0.5, "salt": 0.5, "api key": 1.0, "access key": 1.0,
     "secret key": 1.0, "private key": 1.0, "signing key": 1.0, "encryption key": 1.0, "client secret": 1.0, "connection string": 0.8,
 }
+#: Parts that count wherever a part ends with them (dbpassword), and names whose quoted literals may hold blanks.
+ENDINGS = ("password", "passwd", "passphrase", "secret", "token", "apikey")
+PHRASES = ("password", "passwd", "passphrase", "pwd")
 PLACEHOLDER = re.compile(r"(?i)^(?:(.)\1*|<.*>|\$\{?.*|\{\{.*|%\(?\w+.*|your[_-]?.*|change.?me.*|example.*|dummy.*|placeholder.*|redacted|none|null|nil|true|false|undefined|string|env|os\.environ.*|process\.env.*)$")
 LEAST_SCORE = 0.5
 
@@ -49,12 +52,13 @@ Span = tuple[str, int, int, int, int]
 
 def name_weight(name: str) -> float:
     parts = [p.lower() for p in PARTS.findall(name)]
-    return max([0.0, *(SENSITIVE.get(p, 0.0) for p in parts), *(SENSITIVE.get(f"{a} {b}", 0.0) for a, b in zip(parts, parts[1:], strict=False))])
+    ends = (SENSITIVE[e] for p in parts for e in ENDINGS if p.endswith(e))
+    return max([0.0, *ends, *(SENSITIVE.get(p, 0.0) for p in parts), *(SENSITIVE.get(f"{a} {b}", 0.0) for a, b in zip(parts, parts[1:], strict=False))])
 
 
-def literal_weight(value: str) -> float:
-    """How much a literal looks like a secret: 0 for short, blank or placeholder ones, then by the entropy of its characters."""
-    if len(value) < LEAST_VALUE or PLACEHOLDER.match(value) or any(c.isspace() for c in value):
+def literal_weight(value: str, phrase: bool = False) -> float:
+    """How much a literal looks like a secret: 0 for short, placeholder or (unless a ``phrase`` may stand there) blank-holding ones, then by the entropy of its characters."""
+    if len(value) < LEAST_VALUE or PLACEHOLDER.match(value) or (any(c.isspace() for c in value) and not (phrase and 3 <= len(value.split()) <= 12)):
         return 0.0
     n = len(value)
     entropy = -sum(k / n * math.log2(k / n) for k in Counter(value).values())
@@ -99,7 +103,8 @@ def lexed(text: str) -> list[tuple[int, int]]:
     for name, spans in given.items():
         for a, b in spans:
             value = text[a:b]
-            if value not in given and weight[name] * literal_weight(value) >= LEAST_SCORE:
+            phrase = text[a - 1 : a] in ("'", '"', "`") and name.lower().endswith(PHRASES)
+            if value not in given and weight[name] * literal_weight(value, phrase) >= LEAST_SCORE:
                 found.add((a, b))
     return sorted(found)
 

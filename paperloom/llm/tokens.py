@@ -15,8 +15,9 @@ import numpy as np
 import tiktoken
 from tokenizers import Tokenizer
 
-#: Words kept at most; then the store starts anew.
+#: Words kept at most, then the store starts anew; longer words are not kept.
 KEPT = 400_000
+LONGEST = 64
 
 #: White space in a row, or other than blanks and line ends.
 ODD = ("  ", "\n\n", " \n", "\n ", *(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"))
@@ -38,9 +39,11 @@ class _Words(dict):
         self.encode, self.lead = encode, lead
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= KEPT:
-            self.clear()
-        self[word] = found = array("I", self.encode(self.lead + word)).tobytes()
+        found = array("I", self.encode(self.lead + word)).tobytes()
+        if len(word) <= LONGEST:
+            if len(self) >= KEPT:
+                self.clear()
+            self[word] = found
         return found
 
 

@@ -271,6 +271,12 @@ def test_secrets_follow_constants():
     assert secrets.redact("plain words stay") == "plain words stay"
 
 
+def test_secrets_of_joined_names_and_phrases():
+    text = 'dbpassword = "pl9-Xk22"\npassphrase: "correct horse battery staple"\ntitle = "correct horse battery staple"\n'
+    assert [text[a:b] for a, b in secrets.lexed(text)] == ["pl9-Xk22", "correct horse battery staple"]
+    assert secrets.lexed("") == [] and secrets.lexed("a = " * 5000 + "b") == []
+
+
 def test_licenses(docs, empty, pairs):
     found = licenses.scan(docs).collect()
     assert same([(r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in found], [(d, *brute.licenses(t)) for d, t in pairs])

@@ -38,3 +38,19 @@ def test_pipeline(spark):
     tokens = sum((len(whole.encode(expected[d], add_special_tokens=False).ids) + 1) * n for d, n in times.items())
     assert sum(r["length"] for r in packed) == tokens
     assert len({r["sequence_id"] for r in packed}) <= -(-tokens // 2048) + 2
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, empty and repeated rows, clashing columns and no rows at all: no stage fails, columns stay, and nothing clean goes but copies."""
+    from test_operators import SCHEMA, rows
+
+    for some in (rows(), []):
+        docs = spark.createDataFrame(some, SCHEMA).repartition(3)
+        now = docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            before, now = now, corpus_pipeline.staged(stage(spark, now, ""))
+            assert now.columns == docs.columns, name
+            if name != "mixing to target weights":
+                assert {r["doc_id"] for r in now.collect()} <= {r["doc_id"] for r in before.collect()}
+        packed = dict(corpus_pipeline.STAGES)["best-fit packing"](spark, now, "").collect()
+        assert (len(packed) > 0) == bool(some) and all(r["offset"] + r["length"] <= 2048 for r in packed)
