@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.sources.staging import staged
+
 
 def validate_objectives(objectives: DataFrame) -> DataFrame:
     """row and rule of imported objectives (row, stable_code, title, description, parent_code, prerequisites, replaces): required_field, duplicate_code (the later one), unknown references."""
@@ -29,24 +31,28 @@ def check_references(objectives: DataFrame) -> DataFrame:
     return refs.join(known, "reference", "left_anti").select("row", "kind", "reference")
 
 
-def tree_check(nodes: DataFrame, most: int = 100) -> DataFrame:
-    """node_id and rule of a tree's (node_id, parent_id) faults: duplicate, unknown_parent, cycle (not reached from a root within ``most`` levels)."""
-    spark = nodes.sparkSession
-    flat = nodes.select("node_id", "parent_id").distinct()
-    twice = nodes.groupBy("node_id").count().filter("count > 1").select("node_id", F.lit("duplicate").alias("rule"))
-    known = flat.select(F.col("node_id").alias("parent_id"))
-    lost = flat.filter("parent_id is not null").join(known, "parent_id", "left_anti").select("node_id", F.lit("unknown_parent").alias("rule"))
-    hangs = lost.select("node_id")
-    reached = spark.sql(
-        """with recursive walk(node_id, depth) as (
-             select node_id, 0 from {flat} where parent_id is null
-             union all
-             select f.node_id, w.depth + 1 from {flat} f join walk w on f.parent_id = w.node_id where w.depth < {most})
-           select distinct node_id from walk""",
-        flat=flat, most=most,
-    )
-    loops = flat.join(reached, "node_id", "left_anti").join(hangs, "node_id", "left_anti").select("node_id", F.lit("cycle").alias("rule"))
-    return twice.union(lost).union(loops)
+def tree_check(nodes: DataFrame) -> DataFrame:
+    """node_id and rule of a tree's (node_id, parent_id) faults: duplicate, unknown_parent, cycle (parents lead back to a node on the way).
+
+    Every round a node's pointer jumps as far again, so a tree of any depth takes
+    as many rounds as its depth has bits; what no round brings to an end runs
+    into a cycle. A null node_id is left out.
+    """
+    flat = nodes.filter("node_id is not null").select("node_id", "parent_id").distinct()
+    twice = nodes.filter("node_id is not null").groupBy("node_id").count().filter("count > 1").select("node_id", F.lit("duplicate").alias("rule"))
+    known = flat.select(F.col("node_id").alias("parent_id")).distinct()
+    lost = flat.filter("parent_id is not null").join(known, "parent_id", "left_anti").select("node_id", F.lit("unknown_parent").alias("rule")).distinct()
+    # a pointer that leaves the tree, at a root or an unknown parent, has come to its end
+    at = staged(flat.join(known, "parent_id", "left_semi").groupBy("node_id").agg(F.min("parent_id").alias("jump")))
+    left = at.count()
+    while left:
+        on = staged(at.join(at.select(F.col("node_id").alias("jump"), F.col("jump").alias("next")), "jump").select("node_id", F.col("next").alias("jump")))
+        now = on.count()
+        at = on
+        if now == left:
+            break
+        left = now
+    return twice.union(lost).union(at.select("node_id", F.lit("cycle").alias("rule")))
 
 
 def objective_coverage(objectives: DataFrame, mappings: DataFrame, approved_only: bool = False) -> DataFrame:

@@ -31,13 +31,20 @@ def dataset_release(items: DataFrame) -> DataFrame:
 def release_manifest(items: DataFrame) -> DataFrame:
     """One row: item_count, not_gold, releasable, the counts of the splits and the manifest's hash over the sorted items' hashes.
 
-    Two levels of hashes keep the list of items out of any one row: by the first
-    three digits of the item's own hash, then over at most 4096 groups.
+    A tree of hashes keeps the list of items out of any one row: each level joins
+    the hashes that agree in three digits less than the level below, so that a
+    row holds about 4096 of them, and the tree is as deep as the count asks.
     """
     entry = F.sha2(F.concat_ws("\0", F.col("item_id").cast("string"), "content_sha256", split_of("source_document_id")), 256)
     each = items.select("state", entry.alias("entry"), split_of("source_document_id").alias("split"))
-    groups = each.groupBy(F.substring("entry", 1, 3).alias("g")).agg(
-        F.count("*").alias("n"), F.count_if(F.col("state") != "gold").alias("bad"), *[F.count_if(F.col("split") == s).alias(f"n_{s}") for s in ("train", "validation", "test")], F.sha2(F.array_join(F.array_sort(F.collect_list("entry")), "\n"), 256).alias("h")
-    )
-    one = groups.agg(F.sum("n").alias("item_count"), F.sum("bad").alias("not_gold"), *[F.sum(f"n_{s}").alias(f"n_{s}") for s in ("train", "validation", "test")], F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "h"))), lambda s: s["h"]), "\n"), 256).alias("manifest_sha256"))
+    depth = 3
+    while items.count() >> 4 * (depth + 3):
+        depth += 3
+    names = [f"n_{s}" for s in ("train", "validation", "test")]
+    level = each.select("entry", F.col("entry").alias("h"), F.lit(1).cast("long").alias("n"), (F.col("state") != "gold").cast("long").alias("bad"), *[(F.col("split") == n[2:]).cast("long").alias(n) for n in names])
+    for digits in range(depth, -1, -3):
+        joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("entry", "h"))), lambda s: s["h"]), "\n"), 256)
+        level = level.withColumn("g", F.substring("entry", 1, digits)).groupBy("g").agg(joined.alias("h"), *[F.sum(c).alias(c) for c in ("n", "bad", *names)]).withColumnRenamed("g", "entry")
+    whole = level.agg(F.max("h").alias("manifest_sha256"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "bad", *names)])
+    one = whole.select(F.col("n").alias("item_count"), F.col("bad").alias("not_gold"), *names, "manifest_sha256")
     return one.withColumn("releasable", (F.col("item_count") > 0) & (F.col("not_gold") == 0))

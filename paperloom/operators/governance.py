@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as X
+from paperloom.sources.staging import is_small
 
 #: Kinds of resources that retention may remove, and final states.
 RETENTION_TYPES = ("archive_document", "evidence_version", "review_task", "answer_script", "answer_response", "dataset_item", "dataset_release", "accessibility_description", "worker_job", "worker_source")
@@ -44,10 +45,27 @@ def apply_scope(resources: DataFrame, tenant: str, subject: str, courses: Sequen
 
 
 def apply_scopes(resources: DataFrame, principals: DataFrame) -> DataFrame:
-    """Resources seen by each of many principals (subject, tenant_id, courses: an array, ``*`` for all)."""
-    p = principals.select("subject", "tenant_id", "courses")
-    met = resources.join(p, "tenant_id")
-    return met.filter(((F.coalesce("visibility", F.lit("tenant")) != "private") | (F.col("created_by") == F.col("subject"))) & (F.array_contains("courses", "*") | F.col("course_id").isNull() | F.expr("array_contains(courses, course_id)")))
+    """Resources seen by each of many principals (subject, tenant_id, courses: an array, ``*`` for all).
+
+    Private rows meet their creator only, all others the principals of their
+    tenant and course, so that rows and principals that do not fit never meet.
+    """
+    each = principals.select("subject", "tenant_id", F.explode("courses").alias("course")).distinct()
+    every = each.filter("course = '*'").select("subject", "tenant_id")
+    named = each.join(every, ["subject", "tenant_id"], "left_anti")
+    private = F.coalesce("visibility", F.lit("tenant")) == "private"
+    shared, own = resources.filter(~private), resources.filter(private)
+    by_course = shared.join(named.withColumnRenamed("course", "course_id"), ["tenant_id", "course_id"])
+    no_course = shared.filter("course_id is null").join(named.select("subject", "tenant_id").distinct(), "tenant_id")
+    mine = own.withColumn("subject", F.col("created_by"))
+    mine_named = mine.filter("course_id is not null").join(named.withColumnRenamed("course", "course_id"), ["tenant_id", "subject", "course_id"], "left_semi")
+    mine_free = mine.filter("course_id is null").join(named, ["tenant_id", "subject"], "left_semi")
+    mine_all = mine.join(every, ["tenant_id", "subject"], "left_semi")
+    columns = [*resources.columns, "subject"]
+    out = by_course.select(*columns)
+    for part in (no_course, shared.join(every, "tenant_id"), mine_named, mine_free, mine_all):
+        out = out.union(part.select(*columns))
+    return out
 
 
 def search_lexical(resources: DataFrame, query: str = "", resource_type: str | None = None, status: str | None = None, course_id: str | None = None, unit_id: str | None = None, assessment_id: str | None = None, created_by: str | None = None, created_from: datetime | None = None, created_to: datetime | None = None, quality_min: float | None = None, warning_max: int | None = None, language: str | None = None) -> DataFrame:
@@ -131,13 +149,22 @@ def chain_audit(events: DataFrame, chain: str = "tenant", last: DataFrame | None
     return before.select(chain, F.col("sequence").cast("long").alias("sequence"), "body", "start").repartition(chain).sortWithinPartitions(chain, "sequence").mapInPandas(run, schema)
 
 
-def fan_out(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """event_id and subscription_id of each event for each subscription that names its action, or all (``*``)."""
+def subscribed(subscriptions: DataFrame) -> DataFrame:
+    """subscription_id and event_type, one row for each; of a subscription to all (``*``) only that one."""
     named = subscriptions.select("subscription_id", F.explode("event_types").alias("event_type")).distinct()
-    some = events.join(named.filter("event_type <> '*'"), events["action"] == named["event_type"]).select("event_id", "subscription_id")
-    every = named.filter("event_type = '*'").agg(F.collect_set("subscription_id").alias("all"))  # one row, as long as the list of subscriptions
-    to_all = events.withColumn("one", F.lit(1)).join(every.withColumn("one", F.lit(1)), "one").select("event_id", F.explode("all").alias("subscription_id"))
-    return some.union(to_all).distinct()
+    every = named.filter("event_type = '*'").select("subscription_id")
+    return named.filter("event_type = '*'").union(named.join(every, "subscription_id", "left_anti").select("subscription_id", "event_type"))
+
+
+def fan_out(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """event_id and subscription_id of each event for each subscription that names its action, or all (``*``).
+
+    An event looks up its action and ``*``; no pair comes twice, so nothing is
+    made distinct afterwards. A list of subscriptions that is small is broadcast.
+    """
+    named = subscribed(subscriptions)
+    asked = events.select("event_id", F.explode(F.array(F.col("action"), F.lit("*"))).alias("event_type"))
+    return asked.join(F.broadcast(named) if is_small(named) else named, "event_type").select("event_id", "subscription_id")
 
 
 def grade_return_feed(scripts: DataFrame, identities: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import geometry as G
+from paperloom.sources.staging import is_small
 
 
 def line_confidence(*readings: str) -> Column:
@@ -138,7 +139,8 @@ def check_transitions(events: DataFrame, allowed: DataFrame, key: str, order: st
     """Status changes of a key that ``allowed`` (from_status, to_status) does not name; a first status and a repeated one are allowed."""
     steps = events.withColumn("from_status", F.lag(status).over(Window.partitionBy(key).orderBy(order))).withColumn("to_status", F.col(status))
     moved = steps.filter("from_status is not null and from_status <> to_status")
-    return moved.join(F.broadcast(allowed.distinct()), ["from_status", "to_status"], "left_anti")
+    named = allowed.select("from_status", "to_status").distinct()
+    return moved.join(F.broadcast(named) if is_small(named) else named, ["from_status", "to_status"], "left_anti")
 
 
 def version_conflicts(updates: DataFrame, key: str, order: str, version: str = "version") -> DataFrame:

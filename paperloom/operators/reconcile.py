@@ -266,11 +266,11 @@ def better_reading(pairs: DataFrame, page: bool = False) -> DataFrame:
 
 
 def _attribute(tag: Column, name: str) -> Column:
-    return F.coalesce(F.nullif(F.regexp_extract(tag, rf"""(?i)\b{name}\s*=\s*["']?(\d+)""", 1), F.lit("")).cast("int"), F.lit(1))
+    return F.coalesce(F.nullif(F.regexp_extract(tag, rf"""(?i)\b{name}\s*=\s*["']?(\d{{1,9}})""", 1), F.lit("")).cast("int"), F.lit(1))
 
 
 def extract_cells(pages: DataFrame, most: int = 100_000) -> DataFrame:
-    """page_id, table_index, row, col, row_span, col_span and text of the tables in ``html``. A page of more cells gives one row with an error.
+    """page_id, table_index, row, col, row_span, col_span and text of the tables in ``html``. A page whose cells cover more positions gives one row with an error.
 
     Cells get their columns natively; only tables with spans take an ordered fold.
     """
@@ -283,7 +283,7 @@ def extract_cells(pages: DataFrame, most: int = 100_000) -> DataFrame:
         bare = F.replace(bare, F.lit(entity), F.lit(sign))
     cells = cells.select("page_id", "table_index", "row", "place", _attribute(opening, "rowspan").alias("row_span"), _attribute(opening, "colspan").alias("col_span"), bare.alias("text"))
     size = Window.partitionBy("page_id")
-    cells = cells.withColumn("n", F.count("*").over(size)).withColumn("spans", F.max((F.col("row_span") > 1) | (F.col("col_span") > 1)).over(Window.partitionBy("page_id", "table_index")))
+    cells = cells.withColumn("n", F.sum(F.col("row_span").cast("double") * F.col("col_span")).over(size)).withColumn("spans", F.max((F.col("row_span") > 1) | (F.col("col_span") > 1)).over(Window.partitionBy("page_id", "table_index")))
     fine = cells.filter(F.col("n") <= most)
     plain = fine.filter("not spans").select("page_id", "table_index", "row", F.col("place").alias("col"), "row_span", "col_span", "text", F.lit(None).cast("string").alias("error"))
 

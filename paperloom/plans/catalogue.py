@@ -15,6 +15,7 @@ from paperloom.operators import curriculum, datasets, governance, jobs, overlays
 from paperloom.plans import sql as S
 from paperloom.plans import views as V
 from paperloom.sources import readers
+from paperloom.sources.staging import new_folder
 from paperloom.streaming import events as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -566,11 +567,7 @@ def fan_out(spark, sf):
 
 def _scratch(spark: SparkSession) -> str:
     """A new folder for a stream's table and checkpoint, in the folder that executors share."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='paperloom-')}"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return new_folder(spark, "stream")
 
 
 def _event_files(spark: SparkSession, sf: str) -> DataFrame:
@@ -583,7 +580,7 @@ def _event_files(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT event_id AS sequence, user_id % 10 AS tenant, event_type AS action, ts AS created_at FROM events WHERE event_id > 100")
 def audit_tail_stream(spark, sf):
     at = _scratch(spark)
-    return stream.run_once(stream.tail_audit(_event_files(spark, sf), 100), f"{at}/out", f"{at}/state")
+    return stream.run_once(stream.tail_audit(_event_files(spark, sf).withColumn("tenant", F.col("user_id") % 10), 100), f"{at}/out", f"{at}/state")
 
 
 @query("""WITH e AS (SELECT event_id, user_id AS resource_id, props, CASE WHEN event_type = 'error' THEN 'event_type' WHEN event_id % 9 = 0 THEN 'evidence_hash' WHEN event_id % 10 = 0 THEN 'overlay_hash' ELSE 'ok' END AS verdict FROM events)

@@ -22,15 +22,14 @@ def event_stream(spark: SparkSession, path: str, schema: T.StructType, files: in
 
 
 def tail_audit(events: DataFrame, after: int | None = None) -> DataFrame:
-    """Audit events beyond a sequence, without document text; the checkpoint of the stream remembers where a reader is."""
+    """Audit events (event_id, tenant, event_type, ts) beyond a sequence, without document text; the checkpoint of the stream remembers where a reader is."""
     rows = events if after is None else events.filter(F.col("event_id") > after)
-    return rows.select(F.col("event_id").alias("sequence"), (F.col("user_id") % 10).alias("tenant"), F.col("event_type").alias("action"), F.col("ts").alias("created_at"))
+    return rows.select(F.col("event_id").alias("sequence"), "tenant", F.col("event_type").alias("action"), F.col("ts").alias("created_at"))
 
 
 def audit_fanout(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """A stream of audit events (event_id, action) by subscription: a stream-static join."""
-    named = subscriptions.select("subscription_id", F.explode("event_types").alias("event_type")).distinct()
-    return events.join(named, (events["action"] == named["event_type"]) | (named["event_type"] == "*")).select("event_id", "subscription_id") if events.isStreaming else fan_out(events, subscriptions)
+    """A stream of audit events (event_id, action) by subscription: a stream-static join on the action and on ``*``."""
+    return fan_out(events, subscriptions)
 
 
 def event_windows(events: DataFrame, length: str = "1 day", late: str = "1 day") -> DataFrame:
@@ -122,19 +121,23 @@ def expired_leases_stream(events: DataFrame, late: str = "1 minute") -> DataFram
     return timed.groupBy("job_id").applyInPandasWithState(watch, "job_id string, status string", "until long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def status_timeline(events: DataFrame, allowed: set[tuple[str, str]]) -> DataFrame:
-    """Forbidden status changes of a stream of events (resource_id, event_id, status, ts), in order within each batch."""
+def status_timeline(events: DataFrame, allowed: set[tuple[str, str]], kept_ms: int = 90 * 24 * 3600 * 1000) -> DataFrame:
+    """Forbidden status changes of a stream of events (resource_id, event_id, status, ts), in order within each batch. A resource without an event for ``kept_ms`` is forgotten: its next status counts as the first."""
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last, out = (state.get[0] if state.exists else None), []
         for r in _rows(batches, "ts", "event_id"):
             if last is not None and last != r.status and (last, r.status) not in allowed:
                 out.append((key[0], int(r.event_id), last, r.status))
             last = r.status
         state.update((last,))
+        state.setTimeoutDuration(kept_ms)
         yield pd.DataFrame(out, columns=["resource_id", "event_id", "from_status", "to_status"])
 
-    return events.groupBy("resource_id").applyInPandasWithState(follow, "resource_id string, event_id long, from_status string, to_status string", "status string", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("resource_id").applyInPandasWithState(follow, "resource_id string, event_id long, from_status string, to_status string", "status string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def run_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
