@@ -109,6 +109,35 @@ def delivery_counts(deliveries: DataFrame) -> DataFrame:
     return deliveries.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("delivered", "pending", "failed")], F.count("*").alias("total"))
 
 
+def sync_counts(outcomes: DataFrame) -> DataFrame:
+    """One row of counts of a sync run (ok: true, false, or null where nothing was sent): completed, and pending_after_error."""
+    return outcomes.agg(F.count_if(F.coalesce("ok", F.lit(False))).alias("completed"), F.count_if(~F.coalesce("ok", F.lit(True))).alias("pending_after_error"))
+
+
+def feature_counts() -> dict[str, Column]:
+    """n_tables, n_figures and n_equations of a result: the count that it states, else its list, else (figures, equations) its elements of such a type."""
+    listed = lambda c: F.coalesce(F.greatest(F.size(c), F.lit(0)), F.lit(0))
+    typed = lambda *kinds: F.coalesce(F.size(F.filter("elements", lambda e: F.lower(e["type"]).isin(*kinds))), F.lit(0))
+    stated = lambda c: F.when(F.col(c) >= 0, F.col(c))
+    return {
+        "n_tables": F.coalesce(stated("table_count"), listed("tables")),
+        "n_figures": F.coalesce(stated("figure_count"), F.nullif(listed("figures"), F.lit(0)), typed("figure", "image")),
+        "n_equations": F.coalesce(stated("equation_count"), F.nullif(listed("equations"), F.lit(0)), typed("equation", "formula")),
+    }
+
+
+def document_profiles(elements: DataFrame, requested: str = "auto") -> DataFrame:
+    """doc_id and document_profile of elements (doc_id, seq, page_index, content): exam where the first two pages hold three signs of one, of which sub-questions give three at most."""
+    if requested != "auto":
+        return elements.select("doc_id", F.lit(requested).alias("document_profile")).distinct()
+    early = F.when(F.coalesce("page_index", F.lit(0)) <= 1, F.struct("seq", F.coalesce("content", F.lit("")).alias("content")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(early)), lambda s: s["content"]), "\n")
+    pages = elements.groupBy("doc_id").agg(text.alias("text"))
+    found = lambda pattern: F.size(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
+    signs = found(X.EXAM_SIGNAL) + F.least(found(X.SUBQUESTION), F.lit(3))
+    return pages.select("doc_id", F.when(signs >= 3, "exam").otherwise("general").alias("document_profile"))
+
+
 def retry_summary(pages: DataFrame) -> DataFrame:
     """doc_id with the sums of adaptive retries attempted and accepted."""
     return pages.groupBy("doc_id").agg(*[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("adaptive_retry_attempted", "adaptive_retry_accepted")])
@@ -131,7 +160,11 @@ def practice_starters(questions: DataFrame, most: int = 20, cut: int = 900) -> D
 
 
 def analysis_markdown(questions: DataFrame) -> DataFrame:
-    """doc_id and a Markdown report of its questions in order."""
-    line = F.format_string("- **%s** (%s): %s", "display_number", F.coalesce(F.concat(F.col("marks").cast("string"), F.lit(" marks")), F.lit("marks not detected")), X.escape_markdown("text"))
-    rows = questions.select("doc_id", "group_no", line.alias("line"))
-    return rows.groupBy("doc_id").agg(F.concat(F.lit("# Question analysis\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("group_no", "line"))), lambda s: s["line"]), "\n")).alias("markdown"))
+    """doc_id and a Markdown report of its questions in order: text, source page and lines, confidence, topic, difficulty and marks."""
+    said = lambda c, otherwise: F.coalesce(F.col(c).cast("string"), F.lit(otherwise))
+    part = F.concat(
+        F.lit("### "), "display_number", F.lit("\n\n"), X.escape_markdown("text"), F.lit("\n\nSource: page "), said("source_page", "not known"), F.lit(", lines "), F.array_join("source_line_ids", ", "),
+        F.lit("\nConfidence: "), said("ocr_confidence", "not available"), F.lit("\nTopic: "), said("topic", "Unclassified"), F.lit("\nDifficulty: "), said("difficulty", "Unclassified"), F.lit("\nMarks: "), said("marks", "not detected"), F.lit("\n"),
+    )
+    rows = questions.select("doc_id", "group_no", part.alias("part"))
+    return rows.groupBy("doc_id").agg(F.concat(F.lit("# Question analysis\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("group_no", "part"))), lambda s: s["part"]), "\n")).alias("markdown"))

@@ -12,6 +12,10 @@ from paperloom.operators.overlays import effective_value
 from paperloom.operators.segment import segment_questions
 
 
+#: The type of a model's record of a question.
+AI = "struct<source_line_ids:array<string>,source_page:int,question_id:string>"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

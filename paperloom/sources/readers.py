@@ -47,7 +47,7 @@ def elements_from_blocks(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _aliases(c: str) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), F.trim), lambda a: a != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), lambda a: F.trim(a)), lambda a: a != "")
 
 
 def taxonomy_rows(raw: DataFrame) -> DataFrame:
