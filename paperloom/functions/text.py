@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A question's number at the start of a line, marks, and a number.
 QUESTION_PREFIX = (
@@ -154,6 +156,21 @@ def remove_terms(c: Column | str, terms: Sequence[str]) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, r"[ \t]{2,}", " "), r"(?m)[ \t]+([,.;:!?])", "$1"), r"(?m)^[ \t]+|[ \t]+$", "")
 
 
+def without_terms(c: Column | str, terms: Sequence[str]) -> Column:
+    """Literal terms on word edges, in any case, cut out; nothing else changes."""
+    return F.regexp_replace(_col(c), _term(terms), "")
+
+
+def tidy_line(c: Column | str) -> Column:
+    """A line after words were cut out: blanks and marks closed up, and empty if no more than a list sign and marks are left."""
+    c = _col(c)
+    lead = F.regexp_extract(c, r"^[ \t]*", 0)
+    body = F.substring(c, F.length(lead) + 1, F.length(c))
+    closed = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, r"[ \t]{2,}", " "), r"[ \t]+([,.;:!?])", "$1"), r"([(\[{])\s+", "$1")
+    whole = F.rtrim(F.concat(lead, closed))
+    return F.when(whole.rlike(r"^\s*(?:#{1,6}|>|[-*+]|\d+[.)])?\s*[-.,;:!?]*\s*$"), F.lit("")).otherwise(whole)
+
+
 def escape_markdown(c: Column | str) -> Column:
     """Text that Markdown shows as it is: HTML signs and Markdown marks as entities."""
     c = _col(c)
@@ -162,9 +179,20 @@ def escape_markdown(c: Column | str) -> Column:
     return c
 
 
+def composed(c: Column | str) -> Column:
+    """Text in Unicode's composed form (NFC); only texts with characters beyond ASCII go through Python."""
+
+    @F.pandas_udf(T.StringType())
+    def nfc(x: pd.Series) -> pd.Series:
+        return x.str.normalize("NFC")
+
+    c = _col(c)
+    return F.when(c.rlike(r"[^\x00-\x7F]"), nfc(c)).otherwise(c)
+
+
 def safe_stem(c: Column | str, fallback: str = "document", most: int = 120) -> Column:
-    """A file name's stem: no path, no characters that file systems refuse, no reserved name, bounded."""
-    leaf = F.regexp_replace(F.replace(_col(c), F.lit("\\"), F.lit("/")), r"^.*/", "")
+    """A file name's stem: the last part of its path in composed characters, without its ending or what file systems refuse, no reserved name, bounded."""
+    leaf = composed(F.element_at(F.split(_col(c), r"[/\\]"), -1))
     stem = F.when(leaf.rlike(r"^.+\.[^.]+$"), F.regexp_replace(leaf, r"\.[^.]+$", "")).otherwise(leaf)
     bare = F.replace(F.regexp_replace(stem, r'[<>:"/\\|?*\x00-\x1F]', "_"), F.lit(".."), F.lit("_"))
     ends = lambda x: F.regexp_replace(x, r"^[ .]+|[ .]+$", "")
@@ -207,8 +235,11 @@ def sanitise_html(c: Column | str) -> Column:
     return c
 
 
-#: Commands that a formula must not hold.
-UNSAFE_FORMULA = r"(?i)\\(?:catcode|csname|def|href|html\w*|immediate|include\w*|input|let|newcommand|openin|openout|read|renewcommand|special|url|usepackage|write)\b"
+#: Commands that a formula must not hold, in any case.
+UNSAFE_COMMANDS = (
+    "class", "clearpage", "def", "documentclass", "href", "htmlclass", "htmlid", "htmlstyle", "id", "include", "includegraphics", "input",
+    "newcommand", "newpage", "openout", "pagebreak", "read", "renewcommand", "require", "style", "url", "usepackage", "write",
+)
 
 
 def strip_formula(c: Column | str) -> Column:
@@ -220,34 +251,47 @@ def strip_formula(c: Column | str) -> Column:
     return bare
 
 
-def formula_verdict(c: Column | str) -> Column:
-    """Why a bare formula is refused, or null: empty, control_character, math_delimiter, brackets, environments, unsafe_command, line_break, alignment, comment, incomplete_script."""
-    c = _col(c)
-    plain = F.regexp_replace(c, r"\\.", "")  # without escaped signs and commands' first letters
-    opening = {"}": "{", "]": "[", ")": "("}
-
-    def fold_signs(stack: Column, sign: Column) -> Column:
-        matches = F.lit(False)
-        for close, begin in opening.items():
-            matches = matches | ((sign == close) & (F.try_element_at(stack, F.lit(-1)) == begin))
-        return F.when(sign.isin("{", "[", "("), F.concat(stack, F.array(sign))).when(matches, F.slice(stack, F.lit(1), F.size(stack) - 1)).otherwise(F.concat(stack, F.array(F.lit("!"))))
+def formula_verdict(c: Column | str, commands: Sequence[str] | None = None, environments: Sequence[str] | None = None) -> Column:
+    """Why a bare formula is refused, or null: empty, control_character, math_delimiter, brackets, environments, unsupported_environment, unsafe_command, unsupported_command, line_break, alignment, comment, incomplete_script.
 
+    One pass cuts the formula into tokens: an environment's begin or end, a
+    command, an escaped sign, or a sign of its own. A fold over them keeps what is
+    open; all other rules ask which tokens there are. ``commands`` and
+    ``environments`` name all that is allowed; without them only the unsafe are refused.
+    """
+    c = _col(c)
+    tokens = F.regexp_extract_all(c, F.lit(r"\\(?:begin|end)\s*\{[^{}]*\}|\\[A-Za-z]+|\\[\s\S]|[{}()\[\]$&%#]"), F.lit(0))
     none = F.array().cast("array<string>")
-    brackets = F.aggregate(F.regexp_extract_all(plain, F.lit(r"[{}()\[\]]"), F.lit(0)), none, fold_signs)
-    name = lambda m: F.regexp_extract(m, r"\{([A-Za-z*]+)\}", 1)
-    environments = F.aggregate(
-        F.regexp_extract_all(c, F.lit(r"\\(?:begin|end)\s*\{[A-Za-z*]+\}"), F.lit(0)), none,
-        lambda s, m: F.when(m.startswith("\\begin"), F.concat(s, F.array(name(m)))).when(F.try_element_at(s, F.lit(-1)) == name(m), F.slice(s, F.lit(1), F.size(s) - 1)).otherwise(F.concat(s, F.array(F.lit("!")))),
-    )
-    inside = c.rlike(r"\\(?:begin|end)\s*\{")
-    return (
-        F.when(F.coalesce(F.trim(c), F.lit("")) == "", "empty")
-        .when(c.rlike(r"[\x00-\x08\x0B-\x1F]"), "control_character")
-        .when(plain.contains("$") | c.rlike(r"(?<!\\)\\[()\[\]]"), "math_delimiter")
-        .when(F.size(brackets) > 0, "brackets").when(F.size(environments) > 0, "environments").when(c.rlike(UNSAFE_FORMULA), "unsafe_command")
-        .when(~inside & c.contains("\\\\"), "line_break").when(~inside & c.contains("&"), "alignment")
-        .when(c.rlike(r"(?<!\\)[%#]"), "comment").when(c.rlike(r"(?<!\\)[_^]\s*$"), "incomplete_script")
-    )
+
+    def verdict(all_tokens: Column) -> Column:
+        inside = lambda t: F.trim(F.regexp_extract(t, r"\{([^{}]*)\}", 1))
+        begins, ends = (lambda t: t.rlike(r"^\\begin\s*\{")), (lambda t: t.rlike(r"^\\end\s*\{"))
+        names = F.transform(F.filter(all_tokens, lambda t: t.rlike(r"^\\[A-Za-z]+$")), lambda t: F.substring(t, F.lit(2), F.length(t)))
+        framed = F.filter(all_tokens, lambda t: begins(t) | ends(t))
+        has = lambda *signs: F.exists(all_tokens, lambda t: t.isin(*signs))
+
+        def nest(opened: Column, t: Column) -> Column:
+            """The stack after a token; what closes nothing stays on it."""
+            top = F.try_element_at(opened, F.lit(-1))
+            closes = ((t == "}") & (top == "{")) | ((t == "]") & (top == "[")) | ((t == ")") & (top == "("))
+            return F.when(F.coalesce(closes, F.lit(False)), F.slice(opened, F.lit(1), F.size(opened) - 1)).otherwise(F.concat(opened, F.array(t)))
+
+        def frame(opened: Column, t: Column) -> Column:
+            top = F.try_element_at(opened, F.lit(-1))
+            closes = ends(t) & F.coalesce(top == inside(t), F.lit(False))
+            return F.when(begins(t), F.concat(opened, F.array(inside(t)))).when(closes, F.slice(opened, F.lit(1), F.size(opened) - 1)).otherwise(F.concat(opened, F.array(F.lit("?"))))
+
+        open_signs = F.aggregate(F.filter(all_tokens, lambda t: t.rlike(r"^[{}()\[\]]$")), none, nest)
+        open_frames = F.aggregate(framed, none, frame)
+        strange = lambda items, known: F.exists(items, lambda n: ~n.isin(*known)) if known is not None else F.lit(False)
+        return (
+            F.when(F.coalesce(F.trim(c), F.lit("")) == "", "empty").when(c.rlike(r"[\x00-\x08\x0B-\x1F]"), "control_character").when(has("$", r"\(", r"\)", r"\[", r"\]"), "math_delimiter")
+            .when(F.size(open_signs) > 0, "brackets").when(strange(F.transform(framed, inside), environments), "unsupported_environment").when(F.size(open_frames) > 0, "environments")
+            .when(F.exists(names, lambda n: F.lower(n).isin(*UNSAFE_COMMANDS)), "unsafe_command").when(strange(names, commands), "unsupported_command")
+            .when((F.size(framed) == 0) & has("\\\\"), "line_break").when((F.size(framed) == 0) & has("&"), "alignment").when(has("%", "#"), "comment").when(c.rlike(r"(?<!\\)[_^]\s*$"), "incomplete_script")
+        )
+
+    return bound(tokens, verdict)
 
 
 def safe_csv_cell(c: Column | str) -> Column:

@@ -305,6 +305,30 @@ def extract_cells(pages: DataFrame, most: int = 100_000) -> DataFrame:
     return plain.unionByName(spanned).unionByName(large)
 
 
+@F.udtf(returnType="table_index int, row int, col int, row_span int, col_span int, text string")
+class html_cells:
+    """Table function: the cells of an HTML text's tables, for lateral joins over pages of usual size (``extract_cells`` for whole tables of them)."""
+
+    def eval(self, html: str):
+        import html as entities
+        import re
+
+        span = lambda tag, name: int(m[1]) if (m := re.search(rf"""(?i)\b{name}\s*=\s*["']?(\d{{1,5}})""", tag)) else 1
+        for t, table in enumerate(re.findall(r"(?is)<table\b.*?</table\s*>", html or "")):
+            free_from: dict[int, int] = {}  # of each column, the first row that no span from above covers
+            for r, row in enumerate(re.findall(r"(?is)<tr\b.*?(?=<tr\b|</tr\s*>|</table\s*>)", table)):
+                col = 0
+                for cell in re.findall(r"(?is)<t[dh]\b.*?(?=<t[dh]\b|$)", row):
+                    while free_from.get(col, 0) > r:
+                        col += 1
+                    tag = re.match(r"(?is)<t[dh]\b[^>]*>", cell)
+                    rows, cols = (span(tag[0], "rowspan"), span(tag[0], "colspan")) if tag else (1, 1)
+                    yield t, r, col, rows, cols, " ".join(entities.unescape(re.sub(r"(?s)<[^>]*>", " ", cell)).split())
+                    for c in range(col, col + min(cols, 1000)):
+                        free_from[c] = r + rows
+                    col += cols
+
+
 def cell_grid(cells: DataFrame) -> DataFrame:
     """page_id, table_index, row and Markdown of each row of a table; positions that a span covers are empty."""
     keys = ["page_id", "table_index"]
@@ -315,6 +339,20 @@ def cell_grid(cells: DataFrame) -> DataFrame:
     return filled.groupBy(*keys, "row").agg(F.array_sort(F.collect_list(F.struct("col", F.coalesce("t", F.lit("")).alias("t")))).alias("c")).select(*keys, "row", F.concat(F.lit("| "), F.array_join(F.transform("c", lambda s: s["t"]), " | "), F.lit(" |")).alias("markdown"))
 
 
+def cell_html(cells: DataFrame) -> DataFrame:
+    """page_id, table_index and HTML of each table, spans as attributes; cells in the first row are headings."""
+    keys = ["page_id", "table_index"]
+    tag = F.when(F.col("row") == 0, "th").otherwise("td")
+    span = lambda name, c: F.when(F.col(c) > 1, F.concat(F.lit(f' {name}="'), F.col(c).cast("string"), F.lit('"'))).otherwise("")
+    text = F.trim(F.coalesce("text", F.lit("")))
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(sign), F.lit(entity))
+    cell = F.concat(F.lit("    <"), tag, span("rowspan", "row_span"), span("colspan", "col_span"), F.lit(">"), text, F.lit("</"), tag, F.lit(">"))
+    in_order = lambda order, value: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda s: s[value]), "\n")
+    rows = cells.filter("error is null").select(*keys, "row", "col", cell.alias("cell")).groupBy(*keys, "row").agg(F.concat(F.lit("  <tr>\n"), in_order("col", "cell"), F.lit("\n  </tr>")).alias("tr"))
+    return rows.groupBy(*keys).agg(F.concat(F.lit("<table>\n"), in_order("row", "tr"), F.lit("\n</table>")).alias("html"))
+
+
 def correct_spelling(tokens: DataFrame, unigrams: DataFrame, least: int = 5000, dominance: float = 10.0) -> DataFrame:
     """token and corrected of distinct words (token) one edit from a known word (word, n): frequent, ten times the next candidate and the word itself.
 

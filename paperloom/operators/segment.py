@@ -159,3 +159,26 @@ def join_paragraph_lines(lines: DataFrame) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.struct("seq", "line_id"))), lambda s: s["line_id"]).alias("line_ids"),
         F.min("confidence").alias("confidence"), F.max_by("normalized_bbox", "seq").alias("normalized_bbox"),
     )
+
+
+def remove_from_markdown(documents: DataFrame, terms: list[str]) -> DataFrame:
+    """doc_id, markdown without the terms, and how many were removed, of documents (doc_id, markdown).
+
+    The first line, source and source-page lines and display formulas stay; of an
+    image only the alternative text changes. A line that loses its words is
+    tidied, and one of which no more than a mark is left is emptied.
+    """
+    line = documents.select("doc_id", F.posexplode(F.split("markdown", "\n")).alias("seq", "line")).withColumn("bare", F.trim("line"))
+    upto = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    marker = F.col("bare") == "$$"
+    fences = F.sum(marker.cast("int")).over(upto)
+    kept = marker | (fences % 2 == 1) | (F.col("seq") == 0) | F.startswith("bare", F.lit("Source file:")) | F.startswith("bare", F.lit("## Source page "))
+    image = r"^(\s*!\[)(.*?)(\]\([^)]+\).*)$"
+    alone = F.col("bare").startswith("![") & F.col("line").rlike(image) & ~marker & (fences % 2 == 0)
+    target = F.when(alone, F.regexp_extract("line", image, 2)).when(kept, F.lit("")).otherwise(F.col("line"))
+    marked = line.withColumn("alone", alone).withColumn("target", target).withColumn("n", F.when(F.col("target") == "", 0).otherwise(X.count_terms("target", terms)))
+    bare = X.without_terms("target", terms)
+    changed = F.when(F.col("alone"), F.concat(F.regexp_extract("line", image, 1), F.trim(bare), F.regexp_extract("line", image, 3))).otherwise(X.tidy_line(bare))
+    parts = marked.select("doc_id", F.struct("seq", F.when(F.col("n") > 0, changed).otherwise(F.col("line")).alias("line")).alias("part"), "n")
+    joined = parts.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["line"]), "\n").alias("markdown"), F.sum("n").cast("long").alias("removed"))
+    return joined.select("doc_id", F.regexp_replace("markdown", r"\n{4,}", "\n\n\n").alias("markdown"), "removed")

@@ -356,13 +356,15 @@ def audit_verify(spark, sf):
     return governance.verify_audit_chain(V.audit(spark, sf)).select("tenant", "sequence", "previous_hash", "expected_previous")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id % 10 AS tenant, event_id AS sequence, event_type || '|' || props AS body, row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) AS n FROM events),
+c AS (SELECT tenant, n, sequence, body, CAST(NULL AS VARCHAR) AS previous_hash, sha256(body) AS event_hash FROM e WHERE n = 1 UNION ALL SELECT e.tenant, e.n, e.sequence, e.body, c.event_hash, sha256(c.event_hash || e.body) FROM c JOIN e ON e.tenant = c.tenant AND e.n = c.n + 1)
+SELECT tenant, sequence, body, previous_hash, event_hash FROM c""")
 def audit_chain(spark, sf):
     e = V.table(spark, sf, "events").select((F.col("user_id") % 10).alias("tenant"), F.col("event_id").alias("sequence"), F.concat_ws("|", "event_type", "props").alias("body"))
     return governance.chain_audit(e)
 
 
-@query()
+@query(S.pseudonyms(b"not a secret: the key is an option"))
 def pseudonyms(spark, sf):
     return V.table(spark, sf, "customer").select("c_custkey", K.pseudonym(b"not a secret: the key is an option", F.col("c_nationkey").cast("string"), "c_name").alias("pseudonym"))
 
@@ -469,7 +471,10 @@ def captions(spark, sf):
     return reconcile.caption_context(V.elements(spark, sf).filter("type = 'figure'"), V.lines(spark, sf)).select("doc_id", "element_id", F.sha2("caption", 256).alias("caption_hash"))
 
 
-@query()
+@query(S.cte(S.LINES, S.ELEMENTS) + """, b AS (SELECT doc_id, page_number, seq, line_id, (y1 + y2) / 2 AS y FROM lines), a AS (SELECT doc_id, page_number, element_id, (e1 + e2) / 2 AS ay FROM elements),
+f AS (SELECT a.doc_id, a.page_number, element_id, ay, min(seq) FILTER (y > ay) AS before FROM a LEFT JOIN b ON b.doc_id = a.doc_id AND b.page_number = a.page_number GROUP BY ALL),
+o AS (SELECT doc_id, page_number, coalesce(before - 0.5, 1e18) AS spot, 0 AS kind, element_id, NULL AS line_id, ay FROM f UNION ALL SELECT doc_id, page_number, seq, 1, NULL, line_id, y FROM b)
+SELECT doc_id, CAST(page_number AS INTEGER) AS page_number, CAST(row_number() OVER (PARTITION BY doc_id, page_number ORDER BY spot, kind, ay, element_id) AS INTEGER) AS place, element_id, line_id FROM o""")
 def merge_anchors(spark, sf):
     return reconcile.merge_anchors(V.lines(spark, sf), V.elements(spark, sf))
 
@@ -517,7 +522,13 @@ def remove_terms(spark, sf):
     return found.select("doc_id", F.when(F.col("left") == 0, F.col("n_terms")).alias("n_terms"))
 
 
-@query()
+@query(r"""WITH q AS (SELECT conv_id AS s, 'q-' || turn AS question_id, CAST(turn + 1 AS VARCHAR) AS number FROM conversations WHERE role = 'user'),
+k AS (SELECT s, number, max(question_id) AS named FROM q GROUP BY ALL), one AS (SELECT s, min(question_id) AS only_one FROM q GROUP BY s HAVING count(*) = 1),
+r AS (SELECT conv_id AS s, turn AS seq, conv_id || ':' || turn AS line_id, CASE WHEN turn % 3 <> 2 THEN turn || '. ' || text ELSE text END AS text FROM conversations WHERE role <> 'user'),
+m AS (SELECT *, nullif(regexp_replace(regexp_replace(lower(regexp_extract(text, '^\s*(?:question\s+)?(\d+(?:\s*\([a-z0-9ivx]+\))?|[a-z])\s*[.):\-]', 1, 'i')), '\s+', '', 'g'), '[.)]+$', ''), '') AS number FROM r),
+p AS (SELECT m.*, named, coalesce(last_value(named IGNORE NULLS) OVER (PARTITION BY m.s ORDER BY seq ROWS UNBOUNDED PRECEDING), only_one) AS question_id FROM m LEFT JOIN k ON k.s = m.s AND k.number = m.number LEFT JOIN one ON one.s = m.s),
+a AS (SELECT s, question_id, string_agg(text, chr(10) ORDER BY seq) AS text, string_agg(line_id, ',' ORDER BY seq) AS line_ids, bool_or(coalesce(named = question_id, false)) AS explicit FROM p WHERE question_id IS NOT NULL GROUP BY ALL)
+SELECT q.s AS script_id, q.question_id, sha256(coalesce(text, '')) AS text_hash, line_ids, CASE WHEN text IS NOT NULL THEN 0.9 END::DOUBLE AS ocr_confidence, CASE WHEN explicit THEN 0.95 WHEN text IS NOT NULL THEN 0.75 ELSE 0.0 END::DOUBLE AS alignment_confidence FROM q LEFT JOIN a ON a.s = q.s AND a.question_id = q.question_id""")
 def answer_alignment(spark, sf):
     c = V.table(spark, sf, "conversations")
     q = c.filter("role = 'user'").select(F.col("conv_id").alias("script_id"), F.concat(F.lit("q-"), "turn").alias("question_id"), (F.col("turn") + 1).cast("string").alias("display_number"))
@@ -618,7 +629,8 @@ def page_cells(spark, sf):
     return reconcile.extract_cells(with_tables)
 
 
-@query()
+@query(S.cte(S.QUESTIONS) + """, i AS (SELECT doc_id, group_no, (doc_id + group_no) % 2 = 0 AS ok, {'question_id': question_id, 'text': text, 'topic': topic, 'difficulty': difficulty, 'language': 'en', 'provenance': 'archive'} AS item FROM questions)
+SELECT doc_id, CAST(count(*) FILTER (ok) AS INTEGER) AS n_items, sha256(coalesce(CAST(to_json(list(item ORDER BY group_no) FILTER (ok)) AS VARCHAR), '[]')) AS items_hash FROM i GROUP BY doc_id""")
 def student_pack(spark, sf):
     q = V.questions(spark, sf)
     item = F.struct("question_id", "text", "topic", F.lit(None).cast("string").alias("objective"), "difficulty", F.lit("en").alias("language"), F.lit("archive").alias("provenance"), F.lit(None).cast("string").alias("accessibility_description"), ((F.col("doc_id") + F.col("group_no")) % 2 == 0).alias("teacher_approved"))

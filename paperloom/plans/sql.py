@@ -62,3 +62,13 @@ elements AS (SELECT doc_id, page_number, doc_id || '-' || page_number || '-' ||
 
 def cte(*views: str) -> str:
     return "WITH " + ",".join(v.strip() for v in views) + "\n"
+
+
+def pseudonyms(key: bytes) -> str:
+    """Keyed hashes of a tenant and a name, and the 20 letters of their first 100 bits (the last four are zero)."""
+    block = key.ljust(64, b"\0")
+    inner, outer = (bytes(b ^ pad for b in block).hex() for pad in (0x36, 0x5C))
+    five = "CAST('0x' || substr(d, {at}, 5) AS BIGINT)"
+    letters = " || ".join(f"substr('abcdefghijklmnopqrstuvwxyz234567', CAST(({five.format(at=5 * i + 1)} >> {s}) % 32 + 1 AS BIGINT), 1)" for i in range(5) for s in (15, 10, 5, 0))
+    return f"""WITH m AS (SELECT c_custkey, sha256(from_hex('{inner}') || encode(c_nationkey || chr(0) || c_name)) AS h FROM customer), o AS (SELECT c_custkey, substr(sha256(from_hex('{outer}') || from_hex(h)), 1, 24) || '0' AS d FROM m)
+SELECT c_custkey, 'learner-' || {letters} AS pseudonym FROM o"""

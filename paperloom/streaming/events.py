@@ -140,11 +140,11 @@ def status_timeline(events: DataFrame, allowed: set[tuple[str, str]], kept_ms: i
     return events.groupBy("resource_id").applyInPandasWithState(follow, "resource_id string, event_id long, from_status string, to_status string", "status string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def run_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there now into a Parquet table, and reads that table."""
+def run_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append", close: bool = False) -> DataFrame:
+    """Runs a stream over all that is there now into a Parquet table, and reads that table. With ``close`` a last batch without data brings out what the watermark has passed."""
     conf, key = df.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
     before = conf.get(key)
-    conf.set(key, "false")  # a processing-time timeout asks for one more batch for ever
+    conf.set(key, str(close).lower())  # a processing-time timeout asks for one more batch for ever
     try:
         query = df.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     finally:
