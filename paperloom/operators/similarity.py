@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperloom.functions import text as X
+from paperloom.sources.staging import staged
 
 
 def exact_duplicates(questions: DataFrame) -> DataFrame:
@@ -26,28 +30,33 @@ def prefix_pairs(sets: DataFrame, threshold: float, key: str = "question_key", i
 
     Items are ranked rare first; two sets that alike share an item among the
     first n - ceil(t n) + 1 of each, so only these are joined; sizes must fit
-    too. A candidate is met once, at the first item that both prefixes share, and
-    the score comes from the items themselves.
+    too, and what follows the shared items must suffice. Only keys, sizes and
+    places travel through that join; the items of the pairs that are left are
+    looked at once. Items are handled by their 64-bit hashes, hashed once.
     """
     if not 0 < threshold <= 1:
         raise ValueError("every pair matches at a threshold of 0: the threshold must lie above it")
-    sized = sets.select(F.col(key).alias("k"), F.col(items).alias("all")).withColumn("n", F.size("all")).filter("n > 0")
-    each = sized.select("k", "n", F.explode("all").alias("item")).withColumn("h", F.xxhash64("item"))
-    ranked = each.join(each.groupBy("h").agg(F.count("*").alias("df")), "h")
-    per = ranked.groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("order"))
+    kind = sets.schema[items].dataType.elementType
+    hashed = F.col(items) if kind.simpleString() == "bigint" else F.transform(items, lambda x: F.xxhash64(x))
+    sized = staged(sets.select(F.col(key).alias("k"), hashed.alias("all")).filter(F.size("all") > 0))
+    each = sized.select("k", F.size("all").alias("n"), F.explode("all").alias("h"))
+    frequent = each.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+    # an item of a single set meets nothing, but holds its place among the rare ones
+    met = each.join(frequent, "h")
+    per = met.groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("order"))
     keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    prefix = per.select("k", "n", F.posexplode(F.slice("order", F.lit(1), F.greatest(keep, F.lit(1)).cast("int"))).alias("at", "o")).filter("o.df > 1").select("k", "n", "at", F.col("o.h").alias("h"))
+    alone = F.col("n") - F.size("order")
+    shared_places = F.slice("order", F.lit(1), F.greatest(keep - alone, F.lit(0)).cast("int"))
+    prefix = staged(per.select("k", "n", alone.alias("alone"), F.posexplode(shared_places).alias("i", "o")).select("k", "n", (F.col("i") + F.col("alone")).alias("at"), F.col("o.h").alias("h")))
     left, right = (prefix.select(*[F.col(c).alias(f"{c}{s}") for c in ("k", "n", "at")], "h") for s in ("1", "2"))
     fits = (F.col("k1") < F.col("k2")) & (F.least("n1", "n2") >= F.greatest("n1", "n2") * threshold - 1e-9)
-    # what is left after the shared item must suffice
     left_over = F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2"))
     enough = left_over >= (F.col("n1") + F.col("n2")) * (threshold / (1 + threshold)) - F.least("at1", "at2") - 1e-9
     pairs = left.join(right, "h").filter(fits & enough).select("k1", "k2").distinct()
-    texts = sized.select("k", "all")
-    both = pairs.join(texts.select(F.col("k").alias("k1"), F.col("all").alias("a")), "k1").join(texts.select(F.col("k").alias("k2"), F.col("all").alias("b")), "k2")
-    shared = F.size(F.array_intersect("a", "b"))
-    scored = both.withColumn("score", shared / (F.size("a") + F.size("b") - shared))
-    return scored.filter(F.col("score") >= threshold).select(F.col("k1").alias("left_key"), F.col("k2").alias("right_key"), "score", "a", "b")
+    both = pairs.join(sized.select(F.col("k").alias("k1"), F.col("all").alias("a")), "k1").join(sized.select(F.col("k").alias("k2"), F.col("all").alias("b")), "k2")
+    scored = both.select("k1", "k2", F.size(F.array_intersect("a", "b")).alias("both"), (F.size("a") + F.size("b")).alias("sum"))
+    scored = scored.withColumn("score", F.col("both") / (F.col("sum") - F.col("both")))
+    return scored.filter(F.col("score") >= threshold).select(F.col("k1").alias("left_key"), F.col("k2").alias("right_key"), "score")
 
 
 def duplicate_questions(questions: DataFrame, threshold: float = 0.55) -> DataFrame:
@@ -57,21 +66,20 @@ def duplicate_questions(questions: DataFrame, threshold: float = 0.55) -> DataFr
     names two representatives, or a representative and one of its copies, so
     that a group of copies gives as many rows as it has members, not their square.
     """
-    q = questions.select("question_key", "text").withColumn("normal", X.normalise_question("text"))
-    heads = q.groupBy("normal").agg(F.min(F.struct("question_key", "text")).alias("head"))
-    named = heads.select("normal", F.col("head.question_key").alias("head_key"), F.col("head.text").alias("head_text"))
-    sets = named.select(F.col("head_key").alias("question_key"), X.shingles("head_text").alias("items"))
-    near = prefix_pairs(sets, threshold)
-    texts = named.select("head_key", "head_text")
-    near = near.join(texts.select(F.col("head_key").alias("left_key"), F.col("head_text").alias("left_text")), "left_key").join(texts.select(F.col("head_key").alias("right_key"), F.col("head_text").alias("right_text")), "right_key")
-    near = near.select("left_key", "right_key", "left_text", "right_text", F.round("score", 4).alias("score"), F.lit("token_shingle").alias("method"), F.slice(F.array_sort(F.array_intersect("a", "b")), 1, 10).alias("shared_phrases"))
-    copies = q.filter("normal <> ''").join(named, "normal").filter("question_key <> head_key")
-    exact = copies.select(
-        F.col("head_key").alias("left_key"), F.col("question_key").alias("right_key"), F.col("head_text").alias("left_text"), F.col("text").alias("right_text"),
-        F.lit(1.0).alias("score"), F.lit("exact_fingerprint").alias("method"), F.slice(F.array_sort(X.shingles("text")), 1, 10).alias("shared_phrases"),
-    )
-    pairs = near.union(exact).withColumn("left_numbers", X.numbers("left_text")).withColumn("right_numbers", X.numbers("right_text"))
-    return pairs.withColumn("changed_numbers", F.col("left_numbers") != F.col("right_numbers")).withColumn("automatic_action", F.lit("none")).drop("left_text", "right_text")
+    normal = X.normalise_question("text")
+    q = staged(questions.select("question_key", F.sha2(normal, 256).alias("normal"), (normal == "").alias("empty")))
+    named = staged(q.groupBy("normal").agg(F.min("question_key").alias("head_key"), F.bool_or("empty").alias("empty")))
+    heads = named.filter("not empty").select(F.col("head_key").alias("question_key"))
+    sets = questions.join(heads, "question_key", "left_semi").select("question_key", F.transform(X.shingles("text"), lambda x: F.xxhash64(x)).alias("items"))
+    near = prefix_pairs(sets, threshold).select("left_key", "right_key", F.round("score", 4).alias("score"), F.lit("token_shingle").alias("method"))
+    copies = q.filter("not empty").join(named.select("normal", "head_key"), "normal").filter("question_key <> head_key")
+    exact = copies.select(F.col("head_key").alias("left_key"), F.col("question_key").alias("right_key"), F.lit(1.0).alias("score"), F.lit("exact_fingerprint").alias("method"))
+    pairs = staged(near.union(exact))
+    texts = questions.select("question_key", "text")
+    side = lambda name: texts.select(F.col("question_key").alias(f"{name}_key"), F.col("text").alias(f"{name}_text"))
+    shown = pairs.join(side("left"), "left_key").join(side("right"), "right_key").withColumn("left_numbers", X.numbers("left_text")).withColumn("right_numbers", X.numbers("right_text"))
+    shown = shown.withColumn("shared_phrases", F.slice(F.array_sort(F.array_intersect(X.shingles("left_text"), X.shingles("right_text"))), 1, 10))
+    return shown.withColumn("changed_numbers", F.col("left_numbers") != F.col("right_numbers")).withColumn("automatic_action", F.lit("none")).drop("left_text", "right_text").select("left_key", "right_key", "score", "method", "shared_phrases", "left_numbers", "right_numbers", "changed_numbers", "automatic_action")
 
 
 def suggest_mappings(sources: DataFrame, objectives: DataFrame, k: int = 10, pattern: str = r"[A-Za-z0-9]{3,}") -> DataFrame:
@@ -148,12 +156,60 @@ def hashed_vectors(texts: DataFrame, key: str = "doc_id") -> DataFrame:
     return dims.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key))))
 
 
+#: Queries that one pass over the texts holds, as a matrix of so many rows and ``DIMENSIONS`` columns.
+QUERY_BLOCK = 4096
+
+
 def search_semantic(texts: DataFrame, queries: DataFrame, k: int = 20, key: str = "doc_id") -> DataFrame:
-    """query_id, key, score and rank: each query's ``k`` nearest texts by the cosine of hashed vectors; all texts are ranked."""
-    hits = hashed_vectors(texts, key).join(hashed_vectors(queries, "query_id").withColumnRenamed("w", "q"), "dim")
-    scored = hits.groupBy("query_id", key).agg(F.round(F.sum(F.col("w") * F.col("q")), 6).alias("score"))
+    """query_id, key, score and rank: each query's ``k`` nearest texts by the cosine of hashed vectors; all texts are ranked.
+
+    Queries are few against texts: they go to the tasks as matrices of
+    ``QUERY_BLOCK`` rows, a pass over the text vectors for each. A task multiplies
+    each batch of texts by the matrix and gives out each query's ``k`` best; these
+    are merged. A text and a query that share no dimension do not meet.
+    """
+    kind = texts.schema[key].dataType.simpleString()
+    dense = F.map_from_entries(F.collect_list(F.struct("dim", "w"))).alias("v")
+    vectors = staged(hashed_vectors(texts, key).groupBy(key).agg(dense))
+    asked = hashed_vectors(queries, "query_id").groupBy("query_id").agg(dense)
+    held = asked.orderBy("query_id").toLocalIterator()
+    found, block = None, list(islice(held, QUERY_BLOCK))
+    while block:
+        names = [r["query_id"] for r in block]
+        matrix = np.zeros((len(block), DIMENSIONS))
+        for i, r in enumerate(block):
+            for dim, w in r["v"].items():
+                matrix[i, dim] = w
+        part = _nearest(vectors, key, kind, queries.schema["query_id"].dataType.simpleString(), names, matrix, k)
+        found = part if found is None else found.union(part)
+        block = list(islice(held, QUERY_BLOCK))
+    if found is None:
+        return vectors.limit(0).select(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), key, F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def _nearest(vectors: DataFrame, key: str, kind: str, query_kind: str, names: list, matrix: np.ndarray, k: int) -> DataFrame:
+    """query_id, key and score of each query's ``k`` best, and what ties with them, among the vectors of each batch."""
+    shared = vectors.sparkSession.sparkContext.broadcast((names, matrix))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, matrix = shared.value
+        asked = pa.array(names)
+        for batch in batches:
+            maps, n = batch.column(1), batch.num_rows
+            lengths = np.diff(maps.offsets.to_numpy())
+            x = np.zeros((DIMENSIONS, n))
+            x[maps.keys.to_numpy()[: lengths.sum()], np.repeat(np.arange(n), lengths)] = maps.items.to_numpy()[: lengths.sum()]
+            there = (x != 0).astype(np.float32)
+            for a in range(0, len(matrix), 256):
+                some = matrix[a : a + 256]
+                scores = np.where((some != 0).astype(np.float32) @ there > 0, np.round(some @ x, 6), -np.inf)
+                kth = np.partition(scores, max(0, n - k), axis=1)[:, max(0, n - k)]
+                q, c = np.nonzero((scores >= kth[:, None]) & (scores > -np.inf))  # ties at the k-th place stay, all of them
+                yield pa.RecordBatch.from_arrays([asked.take(pa.array(q + a)), batch.column(0).take(pa.array(c)), pa.array(scores[q, c])], names=["query_id", key, "score"])
+
+    return vectors.select(key, "v").mapInArrow(run, f"query_id {query_kind}, {key} {kind}, score double")
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:

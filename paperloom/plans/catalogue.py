@@ -99,6 +99,14 @@ def duplicates_near(spark, sf):
     return similarity.duplicate_questions(turns).select("left_key", "right_key", "score", "method")
 
 
+@query(_near(f"SELECT item_id AS k, {NORMAL} AS normal FROM benchmark UNION ALL SELECT item_id + 1000000, {NORMAL.replace('text', 'text || chr(32) || chr(97) || chr(32) || item_id')} FROM benchmark", 0.55))
+def near_questions(spark, sf):
+    """Each question and a version with two words more."""
+    b = V.table(spark, sf, "benchmark")
+    more = b.select((F.col("item_id") + 1000000).alias("question_key"), F.concat("text", F.lit(" a "), F.col("item_id").cast("string")).alias("text"))
+    return similarity.duplicate_questions(b.select(F.col("item_id").alias("question_key"), "text").union(more)).select("left_key", "right_key", "score", "method")
+
+
 @query(_near(f"SELECT doc_id AS k, {NORMAL} AS normal FROM documents", 0.55))
 def duplicate_documents(spark, sf):
     docs = V.table(spark, sf, "documents").select(F.col("doc_id").alias("question_key"), "text")

@@ -215,3 +215,82 @@ def test_perfect_case_scores_one(spark):
     r = reports.score_cases(e, a).first().asDict()
     assert r["character_error_rate"] == r["word_error_rate"] == 0 and all(r[k] == 1.0 for k in r if k.endswith(("accuracy", "traceability", "grounding_rate")))
     assert reports.score_cases(e, a.limit(0)).first()["error"] == "missing_result"
+
+
+def test_search_ranks_all_texts_as_plain_python_does(spark):
+    import math
+
+    sf = "/root/testdata/sf0.001"
+    texts, queries = ([tuple(r) for r in spark.read.parquet(f"{sf}/{t}.parquet").select(c, "text").collect()] for t, c in (("documents", "doc_id"), ("benchmark", "item_id")))
+
+    def vector(text):
+        import re
+
+        v = [0.0] * 128
+        for w in re.findall(r"[\w'-]{2,}", (text or "").lower().replace("ß", "ss")):
+            d = hashlib.blake2b(w.encode(), digest_size=16).digest()
+            v[int.from_bytes(d[:4], "big") % 128] += 1.0 if d[4] & 1 else -1.0
+        n = math.sqrt(sum(x * x for x in v))
+        return [x / n for x in v] if n else v
+
+    known = [(d, vector(t)) for d, t in texts]
+    found = {}
+    for r in similarity.search_semantic(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet").withColumnRenamed("item_id", "query_id"), 10).collect():
+        found.setdefault(r["query_id"], {})[r["rank"]] = r["score"]
+    for i, t in queries:
+        q = vector(t)
+        best = sorted((round(sum(a * b for a, b in zip(q, v)), 6) for _, v in known if any(a and b for a, b in zip(q, v))), reverse=True)[:10]
+        assert [found[i][k + 1] for k in range(len(best))] == pytest.approx(best, abs=2e-6)
+
+
+def test_table_function_agrees_with_the_job(spark):
+    html = '<table><tr><td colspan="2">head</td><td rowspan=2>side</td></tr><tr><td>a&amp;b</td><td>c</td></tr></table><table><tr><th>k</th><th>v</th></tr></table>'
+    pages = spark.createDataFrame([(1, html), (2, ""), (3, None)], "page_id long, html string")
+    spark.udtf.register("html_cells_of_test", reconcile.html_cells)
+    pages.createOrReplaceTempView("pages_of_test")
+    lateral = spark.sql("select page_id, c.* from pages_of_test, lateral html_cells_of_test(html) c").collect()
+    job = reconcile.extract_cells(pages).collect()
+    pick = lambda rows: sorted((r["page_id"], r["table_index"], r["row"], r["col"], r["row_span"], r["col_span"], r["text"]) for r in rows)
+    assert pick(lateral) == pick(job) and len(lateral) == 6
+
+
+def test_trees_of_any_depth(spark):
+    chain = [(f"n{i}", f"n{i - 1}" if i else None) for i in range(700)]
+    odd = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "c"), ("lost", "nobody"), ("child", "lost"), ("self", "self"), ("n5", "n4")]
+    found = {(r["node_id"], r["rule"]) for r in curriculum.tree_check(spark.createDataFrame(chain + odd, "node_id string, parent_id string")).collect()}
+    assert found == {("a", "cycle"), ("b", "cycle"), ("c", "cycle"), ("d", "cycle"), ("self", "cycle"), ("lost", "unknown_parent"), ("n5", "duplicate")}
+
+
+def test_scopes_of_many_principals_equal_those_of_each(spark):
+    resources = spark.createDataFrame([(i, f"t{i % 2}", [None, "m", "p"][i % 3], ["private", "tenant", None][i % 3 if i % 5 else 0], f"u{i % 4}", "x") for i in range(60)], "resource_id long, tenant_id string, course_id string, visibility string, created_by string, resource_type string").withColumn("unit_id", F.lit(None).cast("string"))
+    people = [("u0", "t0", ["m"]), ("u1", "t1", ["*"]), ("u2", "t0", ["m", "p", "m"]), ("u3", "t1", ["*", "m"]), ("u4", "t0", [])]
+    found = {(r["subject"], r["resource_id"]) for r in governance.apply_scopes(resources, spark.createDataFrame(people, "subject string, tenant_id string, courses array<string>")).collect()}
+    rows = governance.apply_scopes(resources, spark.createDataFrame(people, "subject string, tenant_id string, courses array<string>")).count()
+    each = {(s, r["resource_id"]) for s, t, c in people if c for r in governance.apply_scope(resources, t, s, c).collect()}
+    assert found == each and rows == len(found)
+
+
+def test_subscriptions_give_each_pair_once(spark):
+    events = spark.createDataFrame([(1, "view"), (2, "click"), (3, "other")], "event_id long, action string")
+    subs = spark.createDataFrame([(1, ["view", "*"]), (2, ["click", "click"]), (3, [])], "subscription_id long, event_types array<string>")
+    assert sorted(tuple(r) for r in governance.fan_out(events, subs).collect()) == [(1, 1), (2, 1), (2, 2), (3, 1)]
+
+
+def test_word_error_rate_of_very_large_pairs_is_null(spark, monkeypatch):
+    from paperloom.functions import text as X
+
+    monkeypatch.setattr(X, "MOST_WORDS", 3)
+    rows = spark.createDataFrame([("a b c", "a b d"), ("a b", "a c")], "e string, a string").select(X.word_error_rate("e", "a").alias("w"), X.word_error_known("e", "a").alias("k")).collect()
+    assert [tuple(r) for r in rows] == [(None, False), (0.5, True)]
+
+
+def test_spans_that_fill_a_worker_are_an_error(spark):
+    html = '<table><tr><td rowspan="1000000" colspan="9">x</td></tr></table>'
+    assert reconcile.extract_cells(spark.createDataFrame([(1, html)], "page_id long, html string")).first()["error"] == "too_many_cells"
+
+
+def test_manifest_tree_is_as_deep_as_the_count_asks(spark):
+    items = spark.range(70_000).select(F.col("id").alias("item_id"), F.col("id").alias("source_document_id"), F.sha2(F.col("id").cast("string"), 256).alias("content_sha256"), F.lit("gold").alias("state"))
+    one, two = (datasets.release_manifest(x).first() for x in (items, items.repartition(3)))
+    assert one == two and one["item_count"] == 70_000 and one["releasable"] and one["n_train"] + one["n_test"] + one["n_validation"] == 70_000
+    assert datasets.release_manifest(items.limit(0)).first()["releasable"] is False
