@@ -82,6 +82,18 @@ def shingles(c: Column | str, width: int = 3) -> Column:
     return bound(F.regexp_extract_all(fold(c), F.lit(WORD), F.lit(0)), runs)
 
 
+def words(c: Column | str) -> Column:
+    """Folded words without punctuation."""
+    return F.regexp_extract_all(fold(c), F.lit(WORD), F.lit(0))
+
+
+def shingle_hashes(normal_words: Column, width: int = 3) -> Column:
+    """Distinct 64-bit hashes of the runs of ``width`` words of an array of words; fewer words are one run, none are none."""
+    run = lambda i: F.xxhash64(*[F.get(normal_words, i + j) for j in range(width)])
+    each = F.transform(F.sequence(F.lit(0), F.greatest(F.size(normal_words) - width, F.lit(0))), run)
+    return F.when(F.size(normal_words) == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(each))
+
+
 def numbers(c: Column | str) -> Column:
     return F.regexp_extract_all(_col(c), F.lit(NUMBER), F.lit(0))
 

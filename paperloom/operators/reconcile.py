@@ -371,6 +371,41 @@ def correct_spelling(tokens: DataFrame, unigrams: DataFrame, least: int = 5000,
     return best.filter((F.col("n") >= F.col("next_n") * dominance) & (F.col("n") >= F.coalesce("own_n", F.lit(0)) * dominance)).select("token", F.col("word").alias("corrected"))
 
 
+#: A line's words, with inner apostrophes and hyphens, and what lies between them.
+PIECES = r"[A-Za-z]+(?:['-][A-Za-z]+)*|[^A-Za-z]+"
+#: A correction's neighbours must speak for it by this factor where they speak for the word as it stands.
+CONTEXT_GAIN = 3.0
+
+
+def correct_lines(lines: DataFrame, spelling: DataFrame, bigrams: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Corrected lines (doc_id, line_id, original, text, confidence), and the corrections that are left to a reviewer (doc_id, line_id, place, token, suggested).
+
+    ``spelling`` (token, corrected) proposes for words in lower case; ``bigrams``
+    (first, second, n) tell how often two words stand together. Where a word's
+    neighbours already speak for it, the proposal has to be three times as likely
+    beside them (in the sum of logarithms), or it is only a review. Lines with an
+    equals sign stay as they are.
+    """
+    cut = lines.filter(~F.contains("text", F.lit("="))).select("doc_id", "line_id", F.col("text").alias("original"), F.regexp_extract_all("text", F.lit(PIECES), F.lit(0)).alias("pieces"))
+    each = cut.select("doc_id", "line_id", "pieces", F.posexplode("pieces").alias("place", "token"))
+    is_word = lambda w: w.rlike("^[A-Za-z]")
+    earlier = lambda i: F.filter(F.slice("pieces", F.lit(1), i), is_word)
+    found = each.join(spelling.select("token", "corrected"), "token")
+    later = F.filter(F.slice("pieces", F.col("place") + 2, F.size("pieces")), is_word)
+    found = found.withColumn("before", F.lower(F.try_element_at(earlier(F.col("place")), F.lit(-1)))).withColumn("after", F.lower(F.get(later, F.lit(0)))).drop("pieces")
+    for name, first, second in (("s1", "before", "token"), ("s2", "token", "after"), ("c1", "before", "corrected"), ("c2", "corrected", "after")):
+        known = bigrams.select(F.col("first").alias(first), F.col("second").alias(second), F.log1p("n").alias(name))
+        found = found.join(known, [first, second], "left")
+    stands = F.coalesce("s1", F.lit(0.0)) + F.coalesce("s2", F.lit(0.0))
+    speaks = F.coalesce("c1", F.lit(0.0)) + F.coalesce("c2", F.lit(0.0))
+    better = speaks > stands + F.log(F.lit(CONTEXT_GAIN))
+    judged = found.withColumn("better", better).withColumn("taken", (stands == 0) | better)
+    taken = judged.filter("taken").groupBy("doc_id", "line_id").agg(F.map_from_entries(F.collect_list(F.struct("place", "corrected"))).alias("new"), F.min(F.when(F.col("better"), 0.95).otherwise(0.9)).alias("confidence"))
+    text = F.array_join(F.transform("pieces", lambda w, i: F.coalesce(F.try_element_at("new", i), w)), "")
+    corrected = cut.join(taken, ["doc_id", "line_id"]).select("doc_id", "line_id", "original", text.alias("text"), "confidence")
+    return corrected, judged.filter("not taken").select("doc_id", "line_id", "place", "token", F.col("corrected").alias("suggested"))
+
+
 def reject_blocks(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Elements of layout blocks (type, bbox, content: an array joined by blanks), and the malformed ones."""
     box = G.box_of("bbox")

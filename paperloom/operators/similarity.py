@@ -66,11 +66,11 @@ def duplicate_questions(questions: DataFrame, threshold: float = 0.55) -> DataFr
     names two representatives, or a representative and one of its copies, so
     that a group of copies gives as many rows as it has members, not their square.
     """
-    normal = X.normalise_question("text")
-    q = staged(questions.select("question_key", F.sha2(normal, 256).alias("normal"), (normal == "").alias("empty")))
+    known = X.bound(X.words("text"), lambda w: F.struct(F.sha2(F.array_join(w, " "), 256).alias("normal"), (F.size(w) == 0).alias("empty"), X.shingle_hashes(w).alias("items")))
+    q = staged(questions.select("question_key", known.alias("q")).select("question_key", "q.*"))
     named = staged(q.groupBy("normal").agg(F.min("question_key").alias("head_key"), F.bool_or("empty").alias("empty")))
     heads = named.filter("not empty").select(F.col("head_key").alias("question_key"))
-    sets = questions.join(heads, "question_key", "left_semi").select("question_key", F.transform(X.shingles("text"), lambda x: F.xxhash64(x)).alias("items"))
+    sets = q.join(heads, "question_key", "left_semi").select("question_key", "items")
     near = prefix_pairs(sets, threshold).select("left_key", "right_key", F.round("score", 4).alias("score"), F.lit("token_shingle").alias("method"))
     copies = q.filter("not empty").join(named.select("normal", "head_key"), "normal").filter("question_key <> head_key")
     exact = copies.select(F.col("head_key").alias("left_key"), F.col("question_key").alias("right_key"), F.lit(1.0).alias("score"), F.lit("exact_fingerprint").alias("method"))
@@ -142,18 +142,36 @@ DIMENSIONS = 128
 TOKEN = r"(?U)[\w'-]{2,}"
 
 
-def hashed_vectors(texts: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, dim and w: sparse hashed vectors of length 1 of the texts' words; the hash is computed once a distinct word."""
+def dense_vectors(texts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key and v, the hashed vector of length 1 of each text's words; texts whose words cancel out, or that have none, are left out.
+
+    Each batch's words are numbered by Arrow, hashed once each, and summed up by
+    document and dimension in numpy: nothing is shuffled.
+    """
+    kind = texts.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests = [hashlib.blake2b(w.encode(), digest_size=16).digest() for w in batch["word"]]
-            yield pd.DataFrame({"word": batch["word"], "dim": [int.from_bytes(d[:4], "big") % DIMENSIONS for d in digests], "sign": [1.0 if d[4] & 1 else -1.0 for d in digests]})
+            n, lists = batch.num_rows, batch.column(1)
+            of = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+            coded = lists.flatten().dictionary_encode()
+            digests = [hashlib.blake2b(w.encode(), digest_size=16).digest() for w in coded.dictionary.to_pylist()]
+            dims = np.array([int.from_bytes(d[:4], "big") % DIMENSIONS for d in digests], np.int64)
+            signs = np.array([1.0 if d[4] & 1 else -1.0 for d in digests])
+            at = coded.indices.to_numpy()
+            v = np.bincount(of * DIMENSIONS + dims[at], signs[at], n * DIMENSIONS).reshape(n, DIMENSIONS) if len(at) else np.zeros((n, DIMENSIONS))
+            norm = np.sqrt((v * v).sum(axis=1))
+            some = np.flatnonzero(norm > 0)
+            flat = (v[some] / norm[some, None]).ravel()
+            out = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * DIMENSIONS), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), out], names=[key, "v"])
+
+    return texts.select(key, F.coalesce(X.tokens("text", TOKEN), F.array().cast("array<string>")).alias("words")).mapInArrow(run, f"{key} {kind}, v array<double>")
+
 
-    words = texts.select(key, F.explode(X.tokens("text", TOKEN)).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
-    known = words.select("word").distinct().mapInPandas(run, "word string, dim int, sign double")
-    dims = words.join(known, "word").groupBy(key, "dim").agg(F.sum(F.col("n") * F.col("sign")).alias("w")).filter("w <> 0")
-    return dims.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key))))
+def hashed_vectors(texts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, dim and w: the numbers of ``dense_vectors`` that are not zero."""
+    return dense_vectors(texts, key).select(key, F.posexplode("v").alias("dim", "w")).filter("w <> 0")
 
 
 #: Queries that one pass over the texts holds, as a matrix of so many rows and ``DIMENSIONS`` columns.
@@ -169,17 +187,12 @@ def search_semantic(texts: DataFrame, queries: DataFrame, k: int = 20, key: str
     are merged. A text and a query that share no dimension do not meet.
     """
     kind = texts.schema[key].dataType.simpleString()
-    dense = F.map_from_entries(F.collect_list(F.struct("dim", "w"))).alias("v")
-    vectors = staged(hashed_vectors(texts, key).groupBy(key).agg(dense))
-    asked = hashed_vectors(queries, "query_id").groupBy("query_id").agg(dense)
-    held = asked.orderBy("query_id").toLocalIterator()
+    vectors = staged(dense_vectors(texts, key))
+    held = dense_vectors(queries, "query_id").orderBy("query_id").toLocalIterator()
     found, block = None, list(islice(held, QUERY_BLOCK))
     while block:
         names = [r["query_id"] for r in block]
-        matrix = np.zeros((len(block), DIMENSIONS))
-        for i, r in enumerate(block):
-            for dim, w in r["v"].items():
-                matrix[i, dim] = w
+        matrix = np.array([r["v"] for r in block])
         part = _nearest(vectors, key, kind, queries.schema["query_id"].dataType.simpleString(), names, matrix, k)
         found = part if found is None else found.union(part)
         block = list(islice(held, QUERY_BLOCK))
@@ -197,10 +210,10 @@ def _nearest(vectors: DataFrame, key: str, kind: str, query_kind: str, names: li
         names, matrix = shared.value
         asked = pa.array(names)
         for batch in batches:
-            maps, n = batch.column(1), batch.num_rows
-            lengths = np.diff(maps.offsets.to_numpy())
-            x = np.zeros((DIMENSIONS, n))
-            x[maps.keys.to_numpy()[: lengths.sum()], np.repeat(np.arange(n), lengths)] = maps.items.to_numpy()[: lengths.sum()]
+            n = batch.num_rows
+            if not n:
+                continue
+            x = batch.column(1).flatten().to_numpy().reshape(n, DIMENSIONS).T
             there = (x != 0).astype(np.float32)
             for a in range(0, len(matrix), 256):
                 some = matrix[a : a + 256]

@@ -11,7 +11,7 @@ from paperloom.functions import text as X
 from paperloom.operators import curriculum, datasets, enrich, governance, jobs, overlays, reconcile, reports
 from paperloom.plans import sql as S
 from paperloom.plans import views as V
-from paperloom.plans.catalogue import query
+from paperloom.plans.catalogue import COVERAGE, REVIEWS, _dispositions, _release_items, query
 from paperloom.plans.exchange import BANK, _bank
 
 NOON = datetime(2024, 1, 15)
@@ -302,3 +302,41 @@ def boxes_turned(spark, sf):
     # found at twice the scale on a page turned by so many quarters
     box = G.turned_back(F.array(F.lit(200.0), y1 * 2, F.lit(1800.0), y2 * 2), F.col("seq") % 4, F.lit(1000.0), F.lit(1000.0), F.lit(2.0))
     return V.lines(spark, sf).select("doc_id", F.col("seq").cast("long").alias("seq"), F.round(F.get(box, F.lit(0)), 6).alias("left_"), F.round(F.get(box, F.lit(3)), 6).alias("bottom"))
+
+
+@query(REVIEWS + """, h AS (SELECT item_id, sha256(CAST(item_id AS VARCHAR)) AS d, sha256(text) AS c FROM s JOIN documents ON doc_id = item_id WHERE state = 'gold'),
+n AS (SELECT *, (6 * list_sum(list_transform(range(1, 64), lambda i: strpos('0123456789abcdef', d[i:i]) - 1)) + strpos('0123456789abcdef', d[64:64]) - 1) % 10 AS m FROM h),
+e AS (SELECT CASE m WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS split, item_id, c FROM n), x AS (SELECT split, sha256(item_id || chr(0) || c || chr(0) || split) AS e FROM e),
+g AS (SELECT substr(e, 1, 3) AS g, sha256(string_agg(e, chr(10) ORDER BY e)) AS h FROM x GROUP BY 1), top AS (SELECT sha256(string_agg(h, chr(10) ORDER BY g)) AS h FROM g)
+SELECT count(*) AS item_count, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'validation') AS n_validation, count(*) FILTER (split = 'test') AS n_test, count(*) > 0 AS releasable, (SELECT h FROM top) AS manifest_sha256 FROM x""")
+def release_of_gold(spark, sf):
+    made = datasets.release_manifest(_release_items(spark, sf).filter("state = 'gold'"))
+    return made.select("item_count", "n_train", "n_validation", "n_test", "releasable", "manifest_sha256")
+
+
+@query(S.cte(S.LINES, S.ELEMENTS) + COVERAGE + """, r AS (SELECT doc_id, line_id, CASE WHEN disposition = 'prose' AND (SELECT seq FROM lines l WHERE l.line_id = d.line_id) % 4 = 1 THEN 'user_removed' ELSE disposition END AS disposition FROM d)
+SELECT doc_id, count(*) AS raw_line_count, count(*) FILTER (disposition = 'user_removed') AS n_user_removed, count(*) FILTER (disposition = 'prose') AS n_prose, round((count(*) - count(*) FILTER (disposition = 'unresolved')) * 100.0 / count(*), 2)::DOUBLE AS coverage_percent FROM r GROUP BY doc_id""")
+def coverage_after_removal(spark, sf):
+    found = _dispositions(spark, sf)
+    removed = V.lines(spark, sf).filter("seq % 4 = 1").select("doc_id", "line_id").join(found.filter("disposition = 'prose'").select("doc_id", "line_id"), ["doc_id", "line_id"], "left_semi")
+    return reconcile.content_coverage(reconcile.remove_lines(found, removed)).select("doc_id", "raw_line_count", "n_user_removed", "n_prose", F.col("coverage_percent").cast("double").alias("coverage_percent"))
+
+
+@query(S.cte(S.RESOURCES) + """SELECT resource_id, status FROM resources WHERE resource_type = 'dataset_item' AND status = 'completed' AND course_id = 'BUILDING' AND updated_at >= TIMESTAMP '1993-01-01' AND updated_at <= TIMESTAMP '1998-01-01' AND resource_id % 4 = 2
+AND resource_id % 3 = 1 AND resource_id % 10 <= 6 AND contains(lower(created_by), 'customer')""")
+def search_filters(spark, sf):
+    """Every predicate but the words' own place, at once."""
+    k = F.col("resource_id")
+    payload = F.to_json(F.struct((k % 4).cast("string").alias("assessment_id"), F.when(k % 3 == 1, "en").otherwise("de").alias("language"), (k % 100).alias("quality_score"), (k % 10).alias("warning_count")))
+    r = V.resources(spark, sf).withColumns({"payload": payload, "created_at": F.col("updated_at"), "title": F.col("created_by"), "search_text": F.lit("")})
+    found = governance.search_lexical(r, "CUSTOMER", resource_type="dataset_item", status="completed", course_id="BUILDING", assessment_id="2", created_from=datetime(1993, 1, 1), created_to=datetime(1998, 1, 1), quality_min=0, warning_max=6, language="en")
+    return found.select("resource_id", "status")
+
+
+@query(S.cte(S.LINES) + """, g AS (SELECT DISTINCT doc_id, page_number AS table_index FROM lines)
+SELECT doc_id, CAST(table_index AS INTEGER) AS table_index, round(round(0.20 * (doc_id % 7) / 10 + 0.25 * (doc_id % 10) / 10 + 0.15 * (doc_id % 9) / 10 + 0.10 * (doc_id % 8) / 10 + 0.10 * (doc_id % 2) + 0.10 * (doc_id % 4) / 10 + 0.05 * (doc_id % 3) / 10 + 0.05, 4), 3) AS quality FROM g""")
+def table_blend(spark, sf):
+    """The eight-term blend over stated components."""
+    tenth = lambda n: F.col("doc_id") % n / 10
+    parts = {"source_coverage": tenth(10), "text_agreement": tenth(9), "table_token_coverage": tenth(8), "orientation": (F.col("doc_id") % 2).cast("double"), "bbox_identity": tenth(4), "plausibility": tenth(3)}
+    return V.cells(spark, sf).select("doc_id", "table_index").distinct().select("doc_id", "table_index", F.round(reconcile.table_quality(tenth(7), parts), 3).alias("quality"))

@@ -174,3 +174,26 @@ def markdown_removal(spark, sf):
     lines = ["# the title", "Source file: the.pdf", "$$", "the = 1", "$$", "![the map](the.png)", "a the, b", "- the.", "other "]
     docs = V.table(spark, sf, "documents").select("doc_id", F.concat(F.lit("\n".join(lines)), F.col("doc_id").cast("string")).alias("markdown"))
     return segment.remove_from_markdown(docs, ["the"])
+
+
+SPELLED = """WITH ws AS (SELECT doc_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z]+') AS w FROM documents), b AS (SELECT w[i] AS first, w[i + 1] AS second, count(*) AS n FROM (SELECT w, unnest(range(1, len(w))) AS i FROM ws) GROUP BY ALL),
+u AS (SELECT w AS word, count(*) AS n FROM (SELECT unnest(w) AS w FROM ws) GROUP BY w), sp AS (SELECT replace(word, 'e', 'c') AS token, min(word) AS corrected FROM u WHERE n >= 2 AND length(word) >= 4 AND contains(word, 'e') GROUP BY ALL),
+l AS (SELECT item_id, replace(text, 'e', 'c') AS t FROM benchmark WHERE NOT contains(text, '=')), x AS (SELECT item_id, t, regexp_extract_all(t, '[A-Za-z]+(?:[''-][A-Za-z]+)*|[^A-Za-z]+') AS p FROM l), e AS (SELECT item_id, p, i, p[i] AS token FROM (SELECT item_id, p, unnest(range(1, len(p) + 1)) AS i FROM x)),
+f AS (SELECT item_id, i, token, corrected, lower(list_filter(p[1:i - 1], lambda y: regexp_matches(y, '^[A-Za-z]'))[-1]) AS before, lower(list_filter(p[i + 1:], lambda y: regexp_matches(y, '^[A-Za-z]'))[1]) AS after FROM e JOIN sp USING (token)),
+s AS (SELECT f.*, coalesce(ln(1 + s1.n), 0) + coalesce(ln(1 + s2.n), 0) AS stands, coalesce(ln(1 + c1.n), 0) + coalesce(ln(1 + c2.n), 0) AS speaks FROM f LEFT JOIN b s1 ON s1.first = before AND s1.second = token LEFT JOIN b s2 ON s2.first = token AND s2.second = after LEFT JOIN b c1 ON c1.first = before AND c1.second = corrected LEFT JOIN b c2 ON c2.first = corrected AND c2.second = after),
+j AS (SELECT *, stands = 0 OR speaks > stands + ln(3) AS taken, speaks > stands + ln(3) AS better FROM s),
+n AS (SELECT e.item_id, string_agg(coalesce(j.corrected, e.token), '' ORDER BY e.i) AS text, min(CASE WHEN better THEN 0.95 ELSE 0.9 END) FILTER (j.i IS NOT NULL) AS confidence, count(j.i) AS k FROM e LEFT JOIN j ON j.item_id = e.item_id AND j.i = e.i AND taken GROUP BY e.item_id)
+SELECT item_id, 'line' AS kind, sha256(text) AS text_hash, confidence::DOUBLE AS confidence FROM n WHERE k > 0 UNION ALL SELECT item_id, 'review', sha256(token || '>' || corrected), NULL FROM j WHERE NOT taken"""
+
+
+@query(SPELLED)
+def spelling_in_lines(spark, sf):
+    words = F.regexp_extract_all(X.fold("text"), F.lit("[a-z]+"), F.lit(0))
+    d = V.table(spark, sf, "documents").select(words.alias("w"))
+    pairs = d.select("w", F.posexplode("w").alias("i", "first")).select("first", F.get("w", F.col("i") + 1).alias("second")).filter("second is not null")
+    bigrams = pairs.groupBy("first", "second").agg(F.count("*").alias("n"))
+    often = d.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n")).filter("n >= 2 and length(word) >= 4 and contains(word, 'e')")
+    spelled = often.groupBy(F.replace("word", F.lit("e"), F.lit("c")).alias("token")).agg(F.min("word").alias("corrected"))
+    lines = V.table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("item_id").alias("line_id"), F.replace("text", F.lit("e"), F.lit("c")).alias("text"))
+    corrected, reviews = reconcile.correct_lines(lines, spelled, bigrams)
+    return corrected.select(F.col("doc_id").alias("item_id"), F.lit("line").alias("kind"), F.sha2("text", 256).alias("text_hash"), "confidence").union(reviews.select("doc_id", F.lit("review"), F.sha2(F.concat("token", F.lit(">"), "suggested"), 256), F.lit(None).cast("double")))
