@@ -48,7 +48,16 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int
     marked = ranked(sources.withColumn("last", F.col("source").isNull()), [F.col("last"), F.col("source")], "place")
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
     rows = staged(marked.select("source", "source_size", weight.cast("double").alias("w"), (F.col("source_size") * repeats).cast("double").alias("most")))
+    total, most = rows.agg(F.sum("source_size"), F.max(F.col("most") / F.col("w"))).first()
     level = 0.0
+    low, high = 0.0, float(most or 0.0)
+    while total and high > 0 and low < high * 0.999:  # a level at which no more than the total is given out, near the last such
+        step = (high - low) / (PROBES + 1)
+        probes = [low + step * (i + 1) for i in range(PROBES)]
+        given = rows.agg(*[F.sum(F.least(F.col("most"), F.col("w") * F.lit(p))).alias(f"p{i}") for i, p in enumerate(probes)]).first()
+        low = max([low, *(p for p, g in zip(probes, given, strict=True) if g <= total * (1 - 1e-9))])
+        high = min([high, *(p for p, g in zip(probes, given, strict=True) if g > total * (1 - 1e-9))])
+    level = low
     while True:  # what lies above its bound is reshared by weight until none does
         above = F.col("w") * F.lit(level) >= F.col("most")
         total, fixed, open_w = rows.agg(F.sum("source_size"), F.sum(F.when(above, F.col("most"))), F.sum(F.when(~above, F.col("w")))).first()
