@@ -67,15 +67,20 @@ def remove_lines(found: DataFrame, removed: DataFrame) -> DataFrame:
     return found.join(gone, ["doc_id", "line_id"], "left").withColumn("disposition", F.when(F.col("gone"), "user_removed").otherwise(F.col("disposition"))).drop("gone")
 
 
-def page_quality(lines: DataFrame, frequencies: DataFrame | None = None, least: float = 1.5) -> DataFrame:
-    """doc_id, page_number, quality and reasons. ``frequencies`` (token, zipf) tells improbable words; without it none is."""
+def page_words(lines: DataFrame) -> DataFrame:
+    """doc_id, page_number and token of the distinct words of each page."""
+    return lines.select("doc_id", "page_number", F.explode(X.tokens("text", QUALITY_TOKEN)).alias("token")).distinct()
+
+
+def page_quality(lines: DataFrame, frequencies: DataFrame | None = None, least: float = 1.5, words: DataFrame | None = None) -> DataFrame:
+    """doc_id, page_number, quality and reasons. ``frequencies`` (token, zipf) tells improbable words; without it none is. ``words`` are the ``page_words``, where they are at hand."""
     keys = ["doc_id", "page_number"]
     sure = F.coalesce(F.col("confidence").cast("double"), F.lit(0.0))
     per = lines.groupBy(*keys).agg(F.avg(sure).alias("mean"), F.avg((sure < 0.90).cast("int")).alias("low"), F.avg(F.coalesce("text", F.lit("")).rlike(X.FUSED_WORD).cast("int")).alias("fused"))
     if frequencies is None:
         per = per.withColumn("odd", F.lit(0.0))
     else:
-        words = lines.select(*keys, F.explode(X.tokens("text", QUALITY_TOKEN)).alias("token")).distinct().join(frequencies.select("token", "zipf"), "token", "left")
+        words = (words or page_words(lines)).join(frequencies.select("token", "zipf"), "token", "left")
         per = per.join(words.groupBy(*keys).agg(F.avg((F.coalesce("zipf", F.lit(0.0)) < least).cast("int")).alias("odd")), keys, "left").withColumn("odd", F.coalesce("odd", F.lit(0.0)))
     score = F.col("mean") * 0.58 + (1 - F.col("low")) * 0.17 + (1 - F.col("odd")) * 0.15 + (1 - F.col("fused")) * 0.10
     reasons = F.array_compact(F.array(F.when(F.col("low") >= 0.12, "low_confidence_density"), F.when(F.col("odd") >= 0.12, "improbable_token_density"), F.when(F.col("fused") >= 0.04, "fused_word_density")))

@@ -15,7 +15,7 @@ from paperloom.operators import curriculum, datasets, governance, jobs, overlays
 from paperloom.plans import sql as S
 from paperloom.plans import views as V
 from paperloom.sources import readers
-from paperloom.sources.staging import new_folder
+from paperloom.sources.staging import new_folder, staged
 from paperloom.streaming import events as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,7 +64,7 @@ a AS (SELECT doc_id, count(*) AS n FROM mappings WHERE status = 'approved' GROUP
 SELECT per.*, coalesce(a.n, 0) AS approved_mappings, coalesce(p.n, 0) AS pending_corrections, round(o_totalprice / 500000, 6) AS quality_score, o_orderkey % 5 AS warning_count
 FROM per LEFT JOIN a USING (doc_id) LEFT JOIN p USING (doc_id) LEFT JOIN orders ON o_orderkey = doc_id""")
 def compare_papers(spark, sf):
-    q = V.questions(spark, sf)
+    q = staged(V.questions(spark, sf))
     j = V.jobs(spark, sf).withColumnRenamed("job_id", "doc_id")
     return reports.compare_papers(q, V.corrections(spark, sf), V.mappings(q), j).withColumn("quality_score", F.round("quality_score", 6))
 
@@ -151,7 +151,7 @@ ql AS (SELECT q.doc_id, unnest(string_split(q.line_ids, ',')) AS line_id, q.mark
 g AS (SELECT doc_id, line_id, bool_or(marks IS NOT NULL) AS hm, bool_or(un) AS un FROM ql GROUP BY ALL)
 SELECT l.doc_id, l.line_id, array_to_string(list_sort(list_filter(['text', CASE WHEN g.line_id IS NOT NULL THEN 'question' END, CASE WHEN hm THEN 'marks' END, CASE WHEN un THEN 'unmapped' END], lambda x: x IS NOT NULL)), ',') AS evidence_types FROM lines l LEFT JOIN g ON g.doc_id = l.doc_id AND g.line_id = l.line_id""")
 def evidence_types(spark, sf):
-    q = V.questions(spark, sf)
+    q = staged(V.questions(spark, sf))
     return overlays.evidence_types(V.lines(spark, sf), q, V.mappings(q)).select("doc_id", "line_id", _listed("evidence_types").alias("evidence_types"))
 
 
@@ -162,7 +162,7 @@ def review_issues(spark, sf):
 
 @query(S.cte(S.QUESTIONS, S.MAPPINGS) + "SELECT doc_id, question_id, group_no FROM questions WHERE (doc_id, question_id) NOT IN (SELECT doc_id, question_id FROM mappings WHERE status = 'approved')")
 def unmapped_questions(spark, sf):
-    q = V.questions(spark, sf)
+    q = staged(V.questions(spark, sf))
     return overlays.unmapped_questions(q, V.mappings(q)).select("doc_id", "question_id", "group_no")
 
 
@@ -170,7 +170,7 @@ def unmapped_questions(spark, sf):
 (SELECT count(*) FROM questions WHERE (doc_id + group_no) % 4 = 1) AS bank_pending, (SELECT count(*) FROM questions WHERE (doc_id + group_no) % 4 = 2) AS bank_approved, (SELECT count(*) FROM jobs WHERE status = 'queued') AS active_batches,
 greatest(0, (SELECT count(*) FROM questions) - (SELECT count(*) FROM (SELECT DISTINCT doc_id, question_id FROM mappings WHERE status = 'approved'))) AS unmapped_questions""")
 def dashboard_counts(spark, sf):
-    q = V.questions(spark, sf)
+    q = staged(V.questions(spark, sf))
     key = (F.col("doc_id") + F.col("group_no")) % 4
     bank = q.select(F.when(key == 1, "draft").when(key == 2, "approved").otherwise("rejected").alias("status"))
     return reports.dashboard_counts(V.corrections(spark, sf), V.jobs(spark, sf), bank, V.jobs(spark, sf), q, V.mappings(q).filter("status = 'approved'"))
@@ -386,9 +386,9 @@ SELECT doc_id, page_number, round(round(0.58 * m + 0.17 * (1 - low) + 0.15 * (1
 @query(S.cte(S.LINES) + QUALITY)
 def page_quality(spark, sf):
     rows = V.lines(spark, sf)
-    words = rows.select("doc_id", "page_number", F.explode(X.tokens("text", reconcile.QUALITY_TOKEN)).alias("token")).distinct()
+    words = staged(reconcile.page_words(rows))
     frequencies = words.groupBy("token").agg((F.log(F.count("*")) / F.log(F.lit(10.0))).alias("zipf"))
-    return reconcile.page_quality(rows, frequencies, 0.5).select("doc_id", "page_number", F.round("quality", 3).alias("quality"), _listed("reasons").alias("reasons"))
+    return reconcile.page_quality(rows, frequencies, 0.5, words).select("doc_id", "page_number", F.round("quality", 3).alias("quality"), _listed("reasons").alias("reasons"))
 
 
 COVERAGE = """, t AS (SELECT DISTINCT line_id FROM lines WHERE seq % 40 BETWEEN 12 AND 17 AND doc_id % 3 = 0),
