@@ -85,17 +85,21 @@ def duplicate_questions(questions: DataFrame, threshold: float = 0.55) -> DataFr
 def suggest_mappings(sources: DataFrame, objectives: DataFrame, k: int = 10, pattern: str = r"[A-Za-z0-9]{3,}") -> DataFrame:
     """source_id, objective_id, score, rank and terms: each source's ``k`` objectives of most shared words (Jaccard), drafts only.
 
-    Goes through the words: a word meets the objectives that have it; sources
-    meet no objective with which they share none.
+    Goes through the words' 64-bit hashes: a word meets the objectives that have
+    it, sizes travel along, and partial counts are combined before the shuffle;
+    sources meet no objective with which they share none. The words themselves
+    are looked at for the pairs that are kept only.
     """
-    words = lambda df, key: df.select(F.col(key), F.explode(F.array_distinct(X.tokens("text", pattern))).alias("word"))
+    words = lambda df, key: staged(df.select(key, F.array_distinct(X.tokens("text", pattern)).alias("words")))
     s, o = words(sources, "source_id"), words(objectives, "objective_id")
-    sizes = lambda w, key, n: w.groupBy(key).agg(F.count("*").alias(n))
-    shared = s.join(o, "word").groupBy("source_id", "objective_id").agg(F.count("*").alias("both"), F.slice(F.array_sort(F.collect_list("word")), 1, 12).alias("terms"))
-    scored = shared.join(sizes(s, "source_id", "a"), "source_id").join(sizes(o, "objective_id", "b"), "objective_id")
-    scored = scored.withColumn("raw", F.col("both") / (F.col("a") + F.col("b") - F.col("both")))
+    each = lambda w, key, n: w.select(key, F.size("words").alias(n), F.explode(F.transform("words", lambda x: F.xxhash64(x))).alias("h"))
+    met = each(s, "source_id", "a").join(each(o, "objective_id", "b"), "h").groupBy("source_id", "objective_id", "a", "b").agg(F.count("*").alias("both"))
+    scored = met.withColumn("raw", F.col("both") / (F.col("a") + F.col("b") - F.col("both")))
     rank = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("raw"), "objective_id"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("source_id", "objective_id", F.round("raw", 4).alias("score"), "rank", F.array_join("terms", ", ").alias("terms"), F.lit("draft").alias("mapping_status"))
+    best = staged(scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("source_id", "objective_id", "raw", "rank"))
+    shown = best.join(s.withColumnRenamed("words", "x"), "source_id").join(o.withColumnRenamed("words", "y"), "objective_id")
+    terms = F.slice(F.array_sort(F.array_intersect("x", "y")), 1, 12)
+    return shown.select("source_id", "objective_id", F.round("raw", 4).alias("score"), "rank", F.array_join(terms, ", ").alias("terms"), F.lit("draft").alias("mapping_status"))
 
 
 def multiset_coverage(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
