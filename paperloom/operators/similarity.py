@@ -90,9 +90,9 @@ def suggest_mappings(sources: DataFrame, objectives: DataFrame, k: int = 10, pat
     sources meet no objective with which they share none. The words themselves
     are looked at for the pairs that are kept only.
     """
-    words = lambda df, key: staged(df.select(key, F.array_distinct(X.tokens("text", pattern)).alias("words")))
+    words = lambda df, key: df.select(key, F.array_distinct(X.tokens("text", pattern)).alias("words"))
     s, o = words(sources, "source_id"), words(objectives, "objective_id")
-    each = lambda w, key, n: w.select(key, F.size("words").alias(n), F.explode(F.transform("words", lambda x: F.xxhash64(x))).alias("h"))
+    each = lambda w, key, n: w.select(key, F.size("words").alias(n), F.explode("words").alias("word")).select(key, n, F.xxhash64("word").alias("h"))
     met = each(s, "source_id", "a").join(each(o, "objective_id", "b"), "h").groupBy("source_id", "objective_id", "a", "b").agg(F.count("*").alias("both"))
     scored = met.withColumn("raw", F.col("both") / (F.col("a") + F.col("b") - F.col("both")))
     rank = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("raw"), "objective_id"))
