@@ -202,30 +202,50 @@ def composed(c: Column | str) -> Column:
     return F.when(c.rlike(r"[^\x00-\x7F]"), nfc(c)).otherwise(c)
 
 
-def safe_stem(c: Column | str, fallback: str = "document", most: int = 120) -> Column:
+#: Names that file systems keep to themselves, signs that they refuse, and the greatest length of a stem.
+RESERVED_NAMES = r"(?i)^(?:CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])$"
+REFUSED_SIGNS = r'[<>:"/\\|?*\x00-\x1F]|\.\.'
+MOST_STEM = 120
+
+
+def safe_stem(c: Column | str, fallback: str = "document", most: int = MOST_STEM) -> Column:
     """A file name's stem: the last part of its path in composed characters, without its ending or what file systems refuse, no reserved name, bounded."""
-    leaf = composed(F.element_at(F.split(_col(c), r"[/\\]"), -1))
-    stem = F.when(leaf.rlike(r"^.+\.[^.]+$"), F.regexp_replace(leaf, r"\.[^.]+$", "")).otherwise(leaf)
-    bare = F.replace(F.regexp_replace(stem, r'[<>:"/\\|?*\x00-\x1F]', "_"), F.lit(".."), F.lit("_"))
-    ends = lambda x: F.regexp_replace(x, r"^[ .]+|[ .]+$", "")
-    bare = F.coalesce(F.nullif(ends(F.regexp_replace(bare, r"(?U)\s+", " ")), F.lit("")), F.lit(fallback))
-    bare = F.when(bare.rlike(r"(?i)^(?:CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])$"), F.concat(F.lit("_"), bare)).otherwise(bare)
-    return F.coalesce(F.nullif(F.regexp_replace(F.substring(bare, 1, most), r"[ .]+$", ""), F.lit("")), F.lit(fallback))
+
+    def trimmed(x: Column) -> Column:
+        return F.btrim(x, F.lit(" ."))
+
+    def named(leaf: Column) -> Column:
+        dot = F.length(leaf) - F.instr(F.reverse(leaf), ".")  # characters before the last dot
+        bare = F.when((F.instr(leaf, ".") > 0) & (dot > 0) & (dot < F.length(leaf) - 1), F.substring(leaf, F.lit(1), dot)).otherwise(leaf)
+        plain = trimmed(F.regexp_replace(F.regexp_replace(bare, REFUSED_SIGNS, "_"), r"(?U)\s+", " "))
+        own = F.when(plain.rlike(RESERVED_NAMES), F.concat(F.lit("_"), plain)).otherwise(plain)
+        cut = F.rtrim(F.regexp_replace(F.substring(own, 1, most), r"[ .]+$", ""))
+        return F.when(cut == "", F.lit(fallback)).otherwise(cut)
+
+    return bound(composed(F.element_at(F.split(_col(c), r"[/\\]"), -1)), named)
+
+
+#: Specks around a whole number in a table's cell, all cut out.
+NUMBER_SPECKS = (r"^[.。·](?=\d{3,}$)", r"(?<=\d{3})[.。·]$", r"(?<=\d)\s+[。·]$")
 
 
 def tidy_table_number(c: Column | str) -> Column:
     """A cell without the specks around a whole number."""
     c = clean(c)
-    for pattern in (r"^[.。·](?=\d{3,}$)", r"(?<=\d{3})[.。·]$", r"(?<=\d)\s+[。·]$"):
-        c = F.regexp_replace(c, pattern, "")
+    for speck in NUMBER_SPECKS:
+        c = F.regexp_replace(c, speck, "")
     return c
 
 
+#: What punctuation is tidied, and what takes its place.
+PUNCTUATION = ((r"[ \t]+([,;:!?])", "$1"), (r"([,;:!?])(?=[A-Za-z])", "$1 "), (r"(?<=[a-z])\.(?=[A-Z])", ". "), (r"([,;:])\1+", "$1"), (r"[ \t]{2,}", " "))
+
+
 def tidy_punctuation(c: Column | str) -> Column:
     """No blank before a mark, one after it, marks not doubled, blanks not doubled."""
     c = _col(c)
-    for pattern, new in ((r"[ \t]+([,;:!?])", "$1"), (r"([,;:!?])(?=[A-Za-z])", "$1 "), (r"(?<=[a-z])\.(?=[A-Z])", ". "), (r"([,;:])\1+", "$1"), (r"[ \t]{2,}", " ")):
-        c = F.regexp_replace(c, pattern, new)
+    for found, instead in PUNCTUATION:
+        c = F.regexp_replace(c, found, instead)
     return c
 
 
@@ -317,29 +337,53 @@ def search_text(*candidates: Column | str, most: int = 100_000) -> Column:
     return F.substring(F.coalesce(*[F.nullif(F.trim(_col(c)), F.lit("")) for c in candidates], F.lit("")), 1, most)
 
 
+#: What a log line shows in place of its message, and in place of itself where it has no known form.
+WITHHELD_MESSAGE, WITHHELD_LINE = "<message redacted>", "<non-structured log line redacted>"
+
+
 def redact_log(c: Column | str) -> Column:
     """A log line's time, level and logger; its message goes."""
     c = _col(c)
-    pattern = r"^(\d{4}-\d{2}-\d{2}[^ ]* [^ ]+)\s+(DEBUG|INFO|WARNING|ERROR|CRITICAL)\s+([^ ]+)"
-    parts = [F.regexp_extract(c, pattern, i) for i in (1, 2, 3)]
-    return F.when(c.rlike(pattern), F.concat_ws(" ", *parts, F.lit("<message redacted>"))).otherwise(F.lit("<non-structured log line redacted>"))
+    head = F.regexp_extract(c, r"^\d{4}-\d{2}-\d{2}[^ ]* [^ ]+\s+(?:DEBUG|INFO|WARNING|ERROR|CRITICAL)\s+[^ ]+", 0)
+    return F.when(head != "", F.concat_ws(" ", F.regexp_replace(head, r"\s+", " "), F.lit(WITHHELD_MESSAGE))).otherwise(F.lit(WITHHELD_LINE))
 
 
 def first_words(c: Column | str, most: int = 50) -> Column:
     return F.array_join(F.slice(F.split(clean(c), " "), 1, most), " ")
 
 
+#: How sure a draft is, by the figure's kind, and its sentences, %s for what is known.
+DRAFT_CONFIDENCE = {"decorative": 0.95, "chart": 0.62, "table": 0.68, "equation": 0.55}
+OTHER_CONFIDENCE = 0.5
+SENTENCES = {
+    "chart": "A %s.", "axes": "Axes or measures: %s.", "trend": "Reported pattern: %s.", "seen": "Visible text includes: %s.", "table": "A table.", "sized table": "A table with %s rows and %s columns.",
+    "equation": "An equation: %s.", "near": "It appears near content about: %s.", "diagram": "A diagram.", "figure": "A figure.", "no text": "no reliable OCR text", "no formula": "the mathematical expression needs specialist review",
+}
+
+
 def alternative_text(kind: Column | str, visible: Column | str, context: Column | str, data: Column | str) -> Column:
     """A draft description (text, confidence) of a figure by kind, from what is read on and around it and its structured data (a map of strings)."""
-    kind, data, visible, context = _col(kind), _col(data), first_words(visible), first_words(context, 25)
-    given = lambda f: F.nullif(F.trim(F.try_element_at(data, F.lit(f))), F.lit(""))
-    seen = F.when(visible != "", F.concat(F.lit("Visible text includes: "), visible, F.lit(".")))
-    sentence = lambda before, what: F.when(what.isNotNull(), F.concat(F.lit(before), what, F.lit(".")))
-    chart = F.concat_ws(" ", F.concat(F.lit("A "), F.coalesce(given("chart_type"), F.lit("chart")), F.lit(".")), sentence("Axes or measures: ", given("axes")), sentence("Reported pattern: ", given("trend")), seen)
-    size = F.when(given("rows").isNotNull() & given("columns").isNotNull(), F.concat(F.lit(" with "), given("rows"), F.lit(" rows and "), given("columns"), F.lit(" columns"))).otherwise("")
-    table = F.concat(F.lit("A table"), size, F.lit(". Visible text includes: "), F.coalesce(F.nullif(visible, F.lit("")), F.lit("no reliable OCR text")), F.lit("."))
-    equation = F.concat(F.lit("An equation: "), F.coalesce(F.nullif(visible, F.lit("")), F.lit("the mathematical expression needs specialist review")), F.lit("."))
-    other = F.concat_ws(" ", F.when(kind == "diagram", "A diagram.").otherwise("A figure."), seen, F.when(context != "", F.concat(F.lit("It appears near content about: "), context, F.lit("."))))
-    text = F.when(kind == "decorative", "").when(kind == "chart", chart).when(kind == "table", table).when(kind == "equation", equation).otherwise(other)
-    sure = F.when(kind == "decorative", 0.95).when(kind == "chart", 0.62).when(kind == "table", 0.68).when(kind == "equation", 0.55).otherwise(0.5)
-    return F.struct(text.alias("text"), sure.alias("confidence"))
+    kind, data = _col(kind), _col(data)
+    known = lambda c: F.nullif(F.trim(c), F.lit(""))
+    given = lambda f: known(F.try_element_at(data, F.lit(f)))
+    seen, near = known(first_words(visible)), known(first_words(context, 25))
+
+    def say(name: str, *what: Column) -> Column:
+        """The sentence, or null where something that it tells is not known."""
+        there = F.lit(True)
+        for w in what:
+            there = there & w.isNotNull()
+        return F.when(there, F.format_string(SENTENCES[name], *what)) if what else F.lit(SENTENCES[name])
+
+    text = lambda *sentences: F.concat_ws(" ", *sentences)
+    drafts = {
+        "decorative": F.lit(""),
+        "chart": text(say("chart", F.coalesce(given("chart_type"), F.lit("chart"))), say("axes", given("axes")), say("trend", given("trend")), say("seen", seen)),
+        "table": text(F.coalesce(say("sized table", given("rows"), given("columns")), say("table")), say("seen", F.coalesce(seen, F.lit(SENTENCES["no text"])))),
+        "equation": say("equation", F.coalesce(seen, F.lit(SENTENCES["no formula"]))),
+    }
+    draft = text(F.when(kind == "diagram", say("diagram")).otherwise(say("figure")), say("seen", seen), say("near", near))
+    sure = F.lit(OTHER_CONFIDENCE)
+    for name, own in drafts.items():
+        draft, sure = F.when(kind == name, own).otherwise(draft), F.when(kind == name, DRAFT_CONFIDENCE[name]).otherwise(sure)
+    return F.struct(draft.alias("text"), sure.alias("confidence"))

@@ -82,6 +82,12 @@ def duplicate_questions(questions: DataFrame, threshold: float = 0.55) -> DataFr
     return shown.withColumn("changed_numbers", F.col("left_numbers") != F.col("right_numbers")).withColumn("automatic_action", F.lit("none")).drop("left_text", "right_text").select("left_key", "right_key", "score", "method", "shared_phrases", "left_numbers", "right_numbers", "changed_numbers", "automatic_action")
 
 
+def ranked_pairs(pairs: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` pairs, the most alike first, then by their keys, with their rank from 1."""
+    top = pairs.orderBy(F.desc("score"), "left_key", "right_key").limit(most)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "left_key", "right_key")))
+
+
 def suggest_mappings(sources: DataFrame, objectives: DataFrame, k: int = 10, pattern: str = r"[A-Za-z0-9]{3,}") -> DataFrame:
     """source_id, objective_id, score, rank and terms: each source's ``k`` objectives of most shared words (Jaccard), drafts only.
 

@@ -107,6 +107,13 @@ def near_questions(spark, sf):
     return similarity.duplicate_questions(b.select(F.col("item_id").alias("question_key"), "text").union(more)).select("left_key", "right_key", "score", "method")
 
 
+@query(f"SELECT *, CAST(row_number() OVER (ORDER BY score DESC, left_key, right_key) AS INTEGER) AS rank FROM ({_near(f'SELECT doc_id AS k, {NORMAL} AS normal FROM documents', 0.55)}) ORDER BY rank LIMIT 100")
+def duplicates_ranked(spark, sf):
+    """The hundred pairs that are most alike: a report, whose limit is its use."""
+    docs = V.table(spark, sf, "documents").select(F.col("doc_id").alias("question_key"), "text")
+    return similarity.ranked_pairs(similarity.duplicate_questions(docs, 0.55).select("left_key", "right_key", "score", "method"), 100)
+
+
 @query(_near(f"SELECT doc_id AS k, {NORMAL} AS normal FROM documents", 0.55))
 def duplicate_documents(spark, sf):
     docs = V.table(spark, sf, "documents").select(F.col("doc_id").alias("question_key"), "text")

@@ -26,7 +26,9 @@ def test_query_equals_its_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", [n for n in entry.queries() if n not in entry.oracle_sql() and not n.startswith("op") and n != "pipeline"])
 def test_query_without_sql_runs(spark, name):
-    assert entry.queries()[name](spark, SF).count() >= 0
+    rows = entry.queries()[name](spark, SF).collect()
+    # recognised headers agree on the smallest tables; header_slips has pages that do not
+    assert bool(rows) == (name != "header_consensus") and len(rows) == len({str(r) for r in rows})
 
 
 def test_entry(spark):
