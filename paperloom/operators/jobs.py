@@ -47,6 +47,11 @@ def job_list(jobs: DataFrame, sort: str = "newest", limit: int = 50, offset: int
     return jobs.orderBy(F.desc("pinned"), way(column), key).offset(offset).limit(limit)
 
 
+def job_total(jobs: DataFrame) -> DataFrame:
+    """One row: how many jobs the list holds, and how many of them are pinned."""
+    return jobs.agg(F.count("*").alias("total"), F.count_if(F.coalesce("pinned", F.lit(False))).alias("pinned"))
+
+
 def keyset_page(rows: DataFrame, limit: int, after: tuple | None = None, order: tuple[str, str] = ("updated_at", "id")) -> DataFrame:
     """A page newest first and one row more, which says whether there is a next page; ``after`` is the last row of the page before."""
     time, key = order

@@ -36,6 +36,21 @@ def audit_filter(spark, sf):
     return jobs.filter_audit(e, event_type="view", tenant=3).select("event_id", "user_id")
 
 
+@query(S.cte(S.JOBS) + "SELECT count(*) AS total, count(*) FILTER (pinned) AS pinned FROM jobs")
+def job_total(spark, sf):
+    return jobs.job_total(V.jobs(spark, sf))
+
+
+@query("SELECT user_id % 10 AS tenant, event_id AS sequence FROM events WHERE event_id % 97 = 5")
+def audit_recomputed(spark, sf):
+    """Chains whose links all hold, but some of whose bodies were changed afterwards: only the hashes tell."""
+    e = V.table(spark, sf, "events").select((F.col("user_id") % 10).alias("tenant"), F.col("event_id").alias("sequence"), F.concat_ws("|", "event_type", "props").alias("body"))
+    chained = governance.chain_audit(e)
+    changed = chained.withColumn("body", F.when(F.col("sequence") % 97 == 5, F.concat("body", F.lit("!"))).otherwise(F.col("body")))
+    again = F.sha2(F.concat(F.coalesce("previous_hash", F.lit("")), "body"), 256)
+    return governance.verify_audit_chain(changed, recompute=again).select("tenant", "sequence")
+
+
 @query("SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")
 def audit_recent(spark, sf):
     return jobs.filter_audit(V.table(spark, sf, "events").withColumnRenamed("ts", "created_at"), newest=20).select("event_id", "event_type")
