@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 import pyarrow as pa
@@ -43,7 +44,10 @@ LEAST_SCORE = 0.5
 
 NAME = re.compile(r"""(?<![\w$.-])(?:--)?([A-Za-z_$][\w.$-]*)(?:["']\]?)?[ \t]*(?::=|=>|=(?!=)|:(?![:/]))[ \t]*""")
 TAG = re.compile(r"<([A-Za-z_][\w.-]*)>([^<>\n]+)</\1>")
-TERM = re.compile(r"""(?P<q>["'`])(?P<text>(?:\\.|(?!(?P=q))[^\\\n])*)(?P=q)|(?P<bare>[^\s,;#"'`(){}\[\]<>]+)""")
+QUOTED = re.compile(r"""(["'`])((?:\\.|(?!\1)[^\\\n])*)\1""")
+BARE = re.compile(r"""[^\s,;#"'`(){}\[\]<>]+""")
+#: Longest bare term that may be the name of a constant.
+LONGEST_NAME = 256
 PLUS = re.compile(r"[ \t]*\+[ \t]*")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -69,15 +73,33 @@ def lexed(text: str) -> list[tuple[int, int]]:
     """Spans of the literals that reach a target with a sensitive name."""
     given: dict[str, list[tuple[int, int]]] = {}
     passed: list[tuple[str, str]] = []
+    runs = [m.span() for m in BARE.finditer(text)]  # looked up, as a run may hold many assignments and be long
+    names = [(m.start(), m.end(1)) for m in NAME.finditer(text)]
+
+    def bare_end(at: int) -> int:
+        """Where a bare term ends: with its run, before the next assignment in it, or, if it begins one, with that one's name."""
+        run = bisect_right(runs, (at, len(text))) - 1
+        if run < 0 or runs[run][1] <= at:
+            return at
+        following = bisect_left(names, (at, 0))
+        if following < len(names) and names[following][0] < runs[run][1]:
+            return names[following][1] if names[following][0] == at else names[following][0]
+        return runs[run][1]
+
     for m in NAME.finditer(text):
         name, at = m[1], m.end()
-        while term := TERM.match(text, at):
-            if term["bare"] is None:
-                given.setdefault(name, []).append(term.span("text"))
+        while True:
+            if term := QUOTED.match(text, at):
+                given.setdefault(name, []).append(term.span(2))
+                end = term.end()
             else:
-                given.setdefault(name, []).append(term.span("bare"))
-                passed.append((term["bare"], name))
-            more = PLUS.match(text, term.end())
+                end = bare_end(at)
+                if end == at:
+                    break
+                given.setdefault(name, []).append((at, end))
+                if end - at <= LONGEST_NAME:
+                    passed.append((text[at:end], name))
+            more = PLUS.match(text, end)
             if not more:
                 break
             at = more.end()
@@ -101,6 +123,8 @@ def lexed(text: str) -> list[tuple[int, int]]:
                 todo.append(source)
     found = set()
     for name, spans in given.items():
+        if weight[name] < LEAST_SCORE:  # a literal weighs 1 at most
+            continue
         for a, b in spans:
             value = text[a:b]
             phrase = text[a - 1 : a] in ("'", '"', "`") and name.lower().endswith(PHRASES)

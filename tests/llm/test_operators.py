@@ -277,6 +277,29 @@ def test_secrets_of_joined_names_and_phrases():
     assert secrets.lexed("") == [] and secrets.lexed("a = " * 5000 + "b") == []
 
 
+def test_secrets_in_one_run():
+    text = "https://h/p?token=Zx9kQ2m7pL&user=me a=b=c password=client_secret=q8WmZ2rT"
+    assert [text[a:b] for a, b in secrets.lexed(text)] == ["Zx9kQ2m7pL&", "q8WmZ2rT"]
+
+
+LONG = ["x" * 300_000, "a " * 150_000, "ab\n" * 60_000, "password=" * 30_000, "a=" * 80_000, "pass" * 50_000 + "=1", '"' * 100_000, "=" * 100_000, "日" * 100_000, "a." * 100_000 + "=1", "<a>" * 50_000, "password='a" * 20_000]
+
+
+def test_very_long_texts(spark):
+    """One huge word, repeated words, runs of signs: every operator ends, whole texts counted."""
+    rows = [(i, t, "aa" if i % 2 else "bb", "s") for i, t in enumerate(LONG)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    assert {r["doc_id"]: [(s["start"], s["end"]) for s in r["found"] if s["kind"] != "literal"] for r in secrets.scan(docs).collect()} == {i: [s[1:] for s in brute.base_spans(t)] for i, t in enumerate(LONG)}
+    assert {r["doc_id"]: r["n_words"] for r in licenses.scan(docs).collect()} == {i: brute.licenses(t)[0] for i, t in enumerate(LONG)}
+    assert {r["doc_id"]: r["n_chars"] for r in sketches.fingerprint(docs, buckets=2).collect()} == {i: len(t) for i, t in enumerate(LONG)}
+    assert {r["doc_id"]: r["n_words"] for r in substrings.dedup(docs).collect()} == {i: len(brute.WORD.findall(t)) for i, t in enumerate(LONG)}
+    assert simhash.near_duplicates(docs).count() == len(LONG) and mixing.mix(docs).count() == len(LONG)
+    assert langid.identify(docs, langid.fit(docs)).count() == len(LONG)
+    assert quality.classify(docs, quality.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int"))).count() == len(LONG)
+    packed = packing.pack(docs, vocabulary()).collect()
+    assert {r["doc_id"] for r in packed} == set(range(len(LONG))) and all(r["length"] <= 2048 for r in packed)
+
+
 def test_licenses(docs, empty, pairs):
     found = licenses.scan(docs).collect()
     assert same([(r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in found], [(d, *brute.licenses(t)) for d, t in pairs])
