@@ -40,6 +40,13 @@ def ranked(rows: DataFrame, order: list[Column], rank: str) -> DataFrame:
     return dealt.withColumn(rank, inside).join(F.broadcast(before), part).withColumn(rank, F.col(rank) - 1 + F.col("before")).drop(part, "before")
 
 
+def probed(rows: DataFrame, probes: list[float], value) -> list:
+    """The sum of ``value``, a function of a probe's column, over ``rows`` at each probe: one aggregation that is compiled once for all probes."""
+    each = rows.withColumn("probe", F.explode(F.array(*map(F.lit, probes))))
+    found = {r["probe"]: r["total"] for r in each.groupBy("probe").agg(F.sum(value(F.col("probe"))).alias("total")).collect()}
+    return [found.get(p) or 0 for p in probes]
+
+
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
     """source, source_size and target of each source: all words shared by weight, none above ``repeats`` times its own.
 
@@ -54,7 +61,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int
     while total and high > 0 and low < high * 0.999:  # a level at which no more than the total is given out, near the last such
         step = (high - low) / (PROBES + 1)
         probes = [low + step * (i + 1) for i in range(PROBES)]
-        given = rows.agg(*[F.sum(F.least(F.col("most"), F.col("w") * F.lit(p))).alias(f"p{i}") for i, p in enumerate(probes)]).first()
+        given = probed(rows, probes, lambda p: F.least(F.col("most"), F.col("w") * p))
         low = max([low, *(p for p, g in zip(probes, given, strict=True) if g <= total * (1 - 1e-9))])
         high = min([high, *(p for p, g in zip(probes, given, strict=True) if g > total * (1 - 1e-9))])
     level = low
@@ -83,7 +90,7 @@ def apportioned(cells: DataFrame, seats: int, order: list[str]) -> DataFrame:
         probes = sorted({p for p in probes if low < p < high})
         if not probes:
             break
-        counts = cells.agg(*[F.sum(rounded(F.lit(p))).alias(f"p{i}") for i, p in enumerate(probes)]).first()
+        counts = probed(cells, probes, rounded)
         low = max([low, *(p for p, c in zip(probes, counts, strict=True) if c >= seats)])
         high = min([high, *(p for p, c in zip(probes, counts, strict=True) if c < seats)])
         if low in probes and counts[probes.index(low)] == seats:
