@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paperloom.llm import licenses, substrings
+from paperloom.llm import licenses, ranking, substrings
 
 
 def substring_dedup(window: int = substrings.WINDOW) -> str:
@@ -33,3 +33,13 @@ l AS (SELECT b.doc_id, max(most / pairs) AS score, list(DISTINCT label) FILTER (
 q AS (SELECT doc_id, count(*) AS n_base, min(diagonal) AS first_word, max(diagonal) AS last_word, list(DISTINCT label) AS base FROM g WHERE is_base AND n = pairs GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
 coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(own, [])))), ','), '') AS labels, coalesce(score, 0.0)::DOUBLE AS score FROM d LEFT JOIN q USING (doc_id) LEFT JOIN l USING (doc_id)"""
+
+
+def ranked_search(most: int = ranking.MOST) -> str:
+    """Every term of every document, joined with the items' terms."""
+    terms = f"regexp_extract_all(translate(coalesce(text, ''), '{ranking.UPPER}', '{ranking.LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    return f"""WITH d AS (SELECT doc_id, {terms} AS w FROM documents), a AS (SELECT doc_id, w, len(w) AS size FROM d WHERE len(w) > 0), c AS (SELECT count(*) AS N, CAST(sum(size) AS BIGINT) AS L FROM a),
+p AS (SELECT doc_id, size, word, count(*) AS tf FROM (SELECT doc_id, size, unnest(w) AS word FROM a) GROUP BY ALL), f AS (SELECT word, count(*) AS df FROM p GROUP BY word),
+q AS (SELECT DISTINCT item_id, unnest({terms}) AS word FROM benchmark), v AS (SELECT item_id, word, CAST(floor(1000 * ln((2 * N + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS w FROM q JOIN f USING (word), c),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * size * N) // L)))) AS BIGINT) AS score FROM v JOIN p USING (word), c GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= {most}"""
