@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paperloom.llm import licenses, ranking, substrings
+from paperloom.llm import licenses, ranking, substrings, tries
 
 
 def substring_dedup(window: int = substrings.WINDOW) -> str:
@@ -43,3 +43,20 @@ p AS (SELECT doc_id, size, word, count(*) AS tf FROM (SELECT doc_id, size, unnes
 q AS (SELECT DISTINCT item_id, unnest({terms}) AS word FROM benchmark), v AS (SELECT item_id, word, CAST(floor(1000 * ln((2 * N + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS w FROM q JOIN f USING (word), c),
 s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * size * N) // L)))) AS BIGINT) AS score FROM v JOIN p USING (word), c GROUP BY ALL)
 SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= {most}"""
+
+
+def conversation_trie(family: int = tries.FAMILY, shared: int = tries.SHARED) -> str:
+    """Every prefix of every rebuilt conversation as a string of hashes, and every node met with all nodes above it. CRC-32 goes bit by bit."""
+    bits = "flatten(list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: [ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    step = "CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    crc = f"xor(list_reduce(list_concat([4294967295::BIGINT], {bits}), lambda c, x: {step}), 4294967295)"
+    return f"""WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest, strlen(coalesce(text, '')) AS bytes FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, n, {crc} % {shared} AS h, conv_id - conv_id % {family} AS base FROM (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id)),
+k AS (SELECT c.*, least(c.h, coalesce(b.n, 0)) AS taken FROM c LEFT JOIN c b ON b.conv_id = c.base),
+w AS (SELECT k.conv_id, pos AS depth, digest, bytes FROM k JOIN t ON t.conv_id = k.base AND pos <= taken UNION ALL SELECT k.conv_id, taken + pos - h, digest, bytes FROM k JOIN t ON t.conv_id = k.conv_id AND pos > h),
+p AS (SELECT conv_id, depth, sha256(string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS node, bytes FROM w UNION ALL SELECT conv_id, 0, 'root', 0 FROM c),
+r AS (SELECT *, lag(node) OVER a AS parent, lead(node) OVER a IS NULL AS ends FROM p WINDOW a AS (PARTITION BY conv_id ORDER BY depth)),
+n AS (SELECT node, any_value(parent) AS parent, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM r GROUP BY node),
+m AS (SELECT n.*, count(x.node) AS n_children FROM n LEFT JOIN n x ON x.parent = n.node GROUP BY ALL),
+u AS (SELECT p.node, count(*) FILTER (m.n_children = 0) AS n_leaves, CAST(sum((m.n_convs - 1) * m.bytes) AS BIGINT) AS saved_tokens FROM m JOIN p ON p.conv_id = m.conv_id AND p.depth <= m.depth GROUP BY p.node)
+SELECT m.conv_id, m.depth, y.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, m.ends_sha256 FROM m JOIN u USING (node) LEFT JOIN m y ON y.node = m.parent"""
