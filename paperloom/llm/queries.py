@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import langid, licenses, mixing, neighbours, packing, quality, ranking, secrets, simhash, sketches, sql, substrings, tries
+from paperloom.llm import disclosure, langid, licenses, mixing, neighbours, packing, quality, ranking, secrets, simhash, sketches, sql, substrings, tries
 from paperloom.llm._common import is_held_out, table
 
 
@@ -73,14 +73,22 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = disclosure.scan(table(spark, sf_dir, "documents"))
+    kinds = F.transform("found", lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, lambda k: k == F.lit(kind))).cast("long").alias(f"n_{kind}") for kind in disclosure.PATTERNS]
+    base = F.filter("found", lambda s: s["kind"] != "term")
+    return found.select("doc_id", *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("found")).alias("spans"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_id, op2_source_mixing, op3_substring_dedup, op4_simhash, op5_secret_scan, op6_license_scan, op7_quality, op8_fingerprints, op9_best_fit_packing, op10_neighbours, op11_conversation_trie, op13_ranked_search)
+    found = (op1_language_id, op2_source_mixing, op3_substring_dedup, op4_simhash, op5_secret_scan, op6_license_scan, op7_quality, op8_fingerprints, op9_best_fit_packing, op10_neighbours, op11_conversation_trie, op12_personal_data, op13_ranked_search)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": sql.substring_dedup(), "op6_license_scan": sql.license_scan(), "op11_conversation_trie": sql.conversation_trie(), "op13_ranked_search": sql.ranked_search()}
+    return {"op3_substring_dedup": sql.substring_dedup(), "op6_license_scan": sql.license_scan(), "op11_conversation_trie": sql.conversation_trie(), "op12_personal_data": sql.personal_data(), "op13_ranked_search": sql.ranked_search()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paperloom.llm import licenses, ranking, substrings, tries
+from paperloom.llm import disclosure, licenses, ranking, substrings, tries
 
 
 def substring_dedup(window: int = substrings.WINDOW) -> str:
@@ -60,3 +60,30 @@ n AS (SELECT node, any_value(parent) AS parent, any_value(depth) AS depth, min(c
 m AS (SELECT n.*, count(x.node) AS n_children FROM n LEFT JOIN n x ON x.parent = n.node GROUP BY ALL),
 u AS (SELECT p.node, count(*) FILTER (m.n_children = 0) AS n_leaves, CAST(sum((m.n_convs - 1) * m.bytes) AS BIGINT) AS saved_tokens FROM m JOIN p ON p.conv_id = m.conv_id AND p.depth <= m.depth GROUP BY p.node)
 SELECT m.conv_id, m.depth, y.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, m.ends_sha256 FROM m JOIN u USING (node) LEFT JOIN m y ON y.node = m.parent"""
+
+
+def personal_data(support: int = disclosure.SUPPORT, share: float = disclosure.SHARE, near: int = disclosure.NEAR) -> str:
+    """Matches and what stands between them, from the patterns as they are given; the company of every value; and how much each term tells of it."""
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    cut = " UNION ALL ".join(f"SELECT key, text, {k} AS kind, string_split_regex(text, '{p}') AS pieces, regexp_extract_all(text, '{p}') AS hits FROM t" for k, p in enumerate(patterns.values()))
+    words = disclosure.BETWEEN_WORDS
+    terms = lambda text: f"list_distinct(list_filter(string_split_regex(lower({text}), '{words}'), lambda w: length(w) >= {disclosure.LETTERS}))"
+    starts = "coalesce(sum(length(piece) + coalesce(length(hit), 0)) OVER (PARTITION BY {} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(piece)"
+    luhn = "list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(reverse(digits), i, 1)::INT ELSE (substr(reverse(digits), i, 1)::INT * 2) // 10 + (substr(reverse(digits), i, 1)::INT * 2) % 10 END)) % 10 = 0"
+    listed = lambda where: f"coalesce(string_agg(name || ':' || start || ':' || until, ',' ORDER BY kind, start) FILTER ({where}), '')"
+    counts = ", ".join(f"count(*) FILTER (kind = {k}) AS n_{name}" for k, name in enumerate(patterns))
+    return f"""WITH t AS (SELECT DISTINCT md5(text) AS key, text FROM documents WHERE text IS NOT NULL), cut AS ({cut}),
+e AS (SELECT key, kind, unnest(range(1, len(pieces) + 1)) AS i, unnest(pieces) AS piece, unnest(list_concat(hits, [NULL])) AS hit FROM cut WHERE len(hits) > 0),
+p AS (SELECT *, {starts.format('key, kind')} AS start, lead(piece) OVER (PARTITION BY key, kind ORDER BY i) AS next, regexp_replace(hit, '[^0-9]', '', 'g') AS digits FROM e),
+b AS (SELECT key, kind, CAST(start AS BIGINT) AS start, CAST(start + length(hit) AS BIGINT) AS until, CASE kind WHEN 0 THEN lower(hit) WHEN 1 THEN hit ELSE digits END AS value,
+CASE WHEN length(piece) > {near} THEN regexp_replace(right(piece, {near}), '^\\p{{L}}+', '') ELSE piece END || ' ' || CASE WHEN length(next) > {near} THEN regexp_replace(left(next, {near}), '\\p{{L}}+$', '') ELSE next END AS company
+FROM p WHERE hit IS NOT NULL AND CASE kind WHEN 0 THEN true WHEN 1 THEN list_max(list_transform(string_split(hit, '.'), lambda x: x::HUGEINT)) <= 255 WHEN 2 THEN length(digits) BETWEEN {disclosure.CARD_DIGITS[0]} AND {disclosure.CARD_DIGITS[1]} AND {luhn} ELSE length(digits) BETWEEN {disclosure.PHONE_DIGITS[0]} AND {disclosure.PHONE_DIGITS[1]} END),
+c AS (SELECT DISTINCT key, kind, value, unnest({terms('company')}) AS term FROM b), h AS (SELECT kind, value, count(DISTINCT key) AS n_entity FROM b GROUP BY ALL), m AS (SELECT kind, value, term, count(*) AS met FROM c GROUP BY ALL HAVING count(*) >= {support}),
+a AS (SELECT term, count(*) AS n_term FROM (SELECT key, unnest({terms('text')}) AS term FROM t) GROUP BY term), n AS (SELECT count(DISTINCT coalesce(text, '')) + CASE WHEN count(*) FILTER (text IS NULL) > 0 AND count(*) FILTER (text = '') > 0 THEN 1 ELSE 0 END AS N FROM documents),
+d AS (SELECT kind, value, term FROM m JOIN h USING (kind, value) JOIN a USING (term), n WHERE N > n_entity AND log2(met * N::DOUBLE / (n_entity * n_term)) >= {share} * log2(N::DOUBLE / n_entity)),
+k AS (SELECT DISTINCT key, term FROM c JOIN d USING (kind, value, term)), v AS (SELECT key, string_split_regex(text, '{words}') AS pieces, regexp_extract_all(text, '{words}') AS hits FROM t WHERE key IN (SELECT key FROM k)),
+w AS (SELECT key, unnest(range(1, len(pieces) + 1)) AS i, unnest(pieces) AS piece, unnest(list_concat(hits, [NULL])) AS hit FROM v), x AS (SELECT key, lower(piece) AS term, {starts.format('key')} AS until, piece FROM w),
+y AS (SELECT key, 4 AS kind, CAST(until - length(piece) AS BIGINT) AS start, CAST(until AS BIGINT) AS until FROM x JOIN k USING (key, term)),
+f AS (SELECT key, kind, start, until FROM b UNION ALL SELECT * FROM y WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.key = y.key AND b.start <= y.start AND y.start < b.until)),
+g AS (SELECT key, {counts}, sha256({listed('kind < 4')}) AS base_sha256, {listed('true')} AS spans FROM (SELECT *, ['email', 'ip', 'card', 'phone', 'term'][kind + 1] AS name FROM f) GROUP BY key)
+SELECT doc_id, {', '.join(f'coalesce(n_{name}, 0) AS n_{name}' for name in patterns)}, coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN g ON g.key = md5(documents.text)"""
