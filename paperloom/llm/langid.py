@@ -6,10 +6,19 @@ averaged and a linear softmax names the language. Embeddings and softmax are
 trained by stochastic gradient descent in numpy on a bounded sample; a second
 part of the sample sets the softmax's temperature and the score under which a
 text is rejected.
+
+Chances among languages alone cannot tell a text that is in none of them. So the
+softmax has one class more, learned from counterparts of the sample's texts:
+their letters drawn anew, exchanged for others, or moved to other scripts. What
+that class takes is missing from the chance of the best language, the score.
+Whole texts, passages of any length and counterparts are learned from alike, as
+a text may be a word or a book.
 """
 
 from __future__ import annotations
 
+import random
+import re
 import zlib
 from dataclasses import dataclass
 
@@ -28,8 +37,12 @@ SAMPLE = 2400
 LABELS = 256
 #: Share of rightly named calibration texts that rejection may lose.
 LOSS = 0.002
-#: Highest score that rejection asks for: texts that lean clearly to a language stay, even where another comes near.
-MOST = 0.35
+#: First code point and number of letters of scripts to which counterparts are moved.
+SCRIPTS = ((0x3B1, 25), (0x430, 32), (0x561, 38), (0x5D0, 27), (0x627, 36), (0x905, 50), (0xB85, 30), (0x3042, 80), (0x30A2, 80), (0x4E00, 3000), (0x4E00, 20000), (0xAC00, 11000))
+WORDS = re.compile(r"\S+")
+#: Words of a passage at most, and seed of what is drawn.
+LONGEST = 200
+SEED = 7
 
 _letter: list[np.ndarray] = []
 
@@ -70,8 +83,33 @@ def averages(texts: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.n
     return counts / np.maximum(total, 1), np.array([any(map(str.isalpha, x)) for x in texts], bool)
 
 
+def passage(text: str, rng: random.Random, least: int = 1) -> str:
+    """Consecutive words of a text, from ``least`` on, short ones as often as long ones."""
+    words = WORDS.findall(text)
+    n = min(len(words), int(least * (LONGEST / least) ** rng.random()))
+    at = rng.randint(0, len(words) - n)
+    return " ".join(words[at : at + n])
+
+
+def counterpart(text: str, rng: random.Random) -> str:
+    """A text with the words' lengths and signs of ``text``, in no language: its letters drawn anew, exchanged, or moved to another script."""
+    letters, kind = "abcdefghijklmnopqrstuvwxyz", rng.randrange(4)
+    if kind == 0:
+        return "".join(rng.choice(letters) if c.isalpha() else c for c in text)
+    if kind == 1:
+        other = dict(zip(letters, rng.sample(letters, len(letters)), strict=True))
+        return "".join((other.get(c) or rng.choice(letters)) if c.isalpha() else c for c in text.lower())
+    first, size = rng.choice(SCRIPTS)
+    if kind == 2:  # some letters of a script are frequent, most are not
+        return "".join(chr(first + min(int(rng.expovariate(8 / size)), size - 1)) if c.isalpha() else c for c in text)
+    moved: dict[str, str] = {}
+    return "".join(moved.setdefault(c, chr(first + rng.randrange(size))) if c.isalpha() else c for c in text.lower())
+
+
 @dataclass
 class LanguageModel:
+    """Embeddings and softmax; its last class, without a label, is that of texts in none of the languages."""
+
     labels: list[str]
     embeddings: np.ndarray
     weights: np.ndarray
@@ -83,7 +121,7 @@ class LanguageModel:
         return (x @ self.embeddings) @ self.weights + self.bias
 
     def chances(self, x: np.ndarray) -> np.ndarray:
-        z = self.logits(x) / self.temperature
+        z = self.logits(x).astype(np.float64) / self.temperature
         e = np.exp(z - z.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
@@ -92,15 +130,15 @@ class LanguageModel:
         x, lettered = averages(texts, self.embeddings.shape[0])
         if not self.labels:
             return ["und"] * len(texts), np.zeros(len(texts)), ~lettered
-        p = self.chances(x).astype(np.float64)
+        p = self.chances(x)[:, :-1]
         best, score = p.argmax(axis=1), np.where(lettered, p.max(axis=1), 0.0)
         return [self.labels[b] if ok else "und" for b, ok in zip(best, lettered, strict=True)], np.clip(score, 0, 1), ~lettered | (score < self.least)
 
 
-def train(x: np.ndarray, y: np.ndarray, labels: list[str], epochs: int = 40, batch: int = 32, rate: float = 30.0, seed: int = 7) -> LanguageModel:
-    """Stochastic gradient descent on the averaged embeddings and the softmax."""
+def train(x: np.ndarray, y: np.ndarray, labels: list[str], epochs: int = 30, batch: int = 64, rate: float = 40.0, seed: int = SEED) -> LanguageModel:
+    """Stochastic gradient descent on the averaged embeddings and the softmax; ``y``: places in ``labels``, or its length for none of them."""
     rng = np.random.default_rng(seed)
-    model = LanguageModel(labels, rng.normal(0, 0.3, (x.shape[1], DIM)).astype(np.float32), np.zeros((DIM, len(labels)), np.float32), np.zeros(len(labels), np.float32))
+    model = LanguageModel(labels, rng.normal(0, 0.3, (x.shape[1], DIM)).astype(np.float32), np.zeros((DIM, len(labels) + 1), np.float32), np.zeros(len(labels) + 1, np.float32))
     steps = max(1, epochs * ((len(x) + batch - 1) // batch))
     step = 0
     for _ in range(epochs):
@@ -123,21 +161,27 @@ def train(x: np.ndarray, y: np.ndarray, labels: list[str], epochs: int = 40, bat
 
 
 def calibrate(model: LanguageModel, x: np.ndarray, y: np.ndarray, loss: float = LOSS) -> LanguageModel:
-    """Sets the temperature of least log-loss, and the score that all but a share ``loss`` of right answers reach (``MOST`` at most)."""
+    """Sets the temperature of least log-loss and the least score.
+
+    All but a share ``loss`` of the right answers reach it; where the
+    counterparts' scores leave room below, it lies halfway (by odds) between
+    those of all but that share of them and the right answers.
+    """
     if not len(x):
         return model
-    best = None
-    for t in np.geomspace(0.1, 4, 38):
+    costs = {}
+    for t in np.geomspace(0.01, 100, 93):
         model.temperature = float(t)
-        p = model.chances(x)[np.arange(len(x)), y]
-        cost = -np.log(np.maximum(p, 1e-12)).mean()
-        if best is None or cost < best[0]:
-            best = (cost, float(t))
-    model.temperature = best[1]
+        costs[float(t)] = -np.log(np.maximum(model.chances(x)[np.arange(len(x)), y], 1e-12)).mean()
+    model.temperature = min(costs, key=costs.__getitem__)
     p = model.chances(x)
-    right = p.argmax(axis=1) == y
+    known, score = y < len(model.labels), p[:, :-1].max(axis=1)
+    right = known & (p[:, :-1].argmax(axis=1) == y)
     if right.any():
-        model.least = float(min(MOST, np.quantile(p.max(axis=1)[right], loss)))
+        odds = lambda v: np.log(np.clip(v, 1e-9, 1 - 1e-9) / (1 - np.clip(v, 1e-9, 1 - 1e-9)))
+        high = odds(np.quantile(score[right], loss, method="lower"))
+        low = odds(np.quantile(score[~known], 1 - loss)) if (~known).any() else high
+        model.least = float(1 / (1 + np.exp(-(high if low > high else (low + high) / 2))))
     return model
 
 
@@ -147,20 +191,36 @@ def fit(docs: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS) -> Langua
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LABELS).collect()}
     labels = sorted(sizes)
     if not labels:
-        return LanguageModel([], np.zeros((buckets, DIM), np.float32), np.zeros((DIM, 0), np.float32), np.zeros(0, np.float32))
+        return LanguageModel([], np.zeros((buckets, DIM), np.float32), np.zeros((DIM, 1), np.float32), np.zeros(1, np.float32))
     share = F.create_map(*[F.lit(v) for lang in labels for v in (lang, sample / len(labels) / sizes[lang])])
     drawn = (F.xxhash64(F.col("doc_id"), F.lit("sample")).bitwiseAND(F.lit(0xFFFFFF)) / float(1 << 24)) < share[F.col("lang")]
     some = known.filter(F.col("lang").isin(labels) & drawn).select("lang", (F.crc32(F.col("doc_id").cast("string")) % 5 == 4).alias("second"), "text")
 
     def make():
-        return lambda batch: [pa.array([zlib.compress(subword_counts([x], buckets)[0].astype(np.uint32).tobytes(), 1) for x in texts_of(batch)], pa.binary())]
+        def pack(text: str) -> bytes:
+            return zlib.compress(subword_counts([text], buckets)[0].astype(np.uint32).tobytes(), 1)
+
+        def compute(batch: pa.RecordBatch) -> list[pa.Array]:
+            out: list[list[bytes]] = [[], [], []]
+            for text in texts_of(batch):
+                rng = random.Random(zlib.crc32(text.encode()) ^ SEED)
+                for into, made in zip(out, (text, passage(text, rng), counterpart(passage(text, rng, 3), rng)), strict=True):
+                    into.append(pack(made))
+            return [pa.array(x, pa.binary()) for x in out]
 
-    rows = with_arrow_columns(some, [T.StructField("counts", T.BinaryType())], make).select("lang", "second", "counts").orderBy(F.xxhash64("counts"), "counts", "lang").limit(2 * sample).collect()  # the same order, however the rows are dealt
-    x = np.zeros((len(rows), buckets), np.float32)
+        return compute
+
+    kinds = [T.StructField(c, T.BinaryType()) for c in ("counts", "passage", "counterpart")]
+    rows = with_arrow_columns(some, kinds, make).drop("text").orderBy(F.xxhash64("counts"), "counts", "lang").limit(2 * sample).collect()  # the same order, however the rows are dealt
+    x, y, second = np.zeros((3 * len(rows), buckets), np.float32), np.zeros(3 * len(rows), int), np.zeros(3 * len(rows), bool)
     for i, r in enumerate(rows):
-        x[i] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.uint32)
-    x /= np.maximum(x.sum(axis=1, keepdims=True), 1)
-    y, second = np.array([labels.index(r["lang"]) for r in rows], int), np.array([r["second"] for r in rows], bool)
+        for k, kind in enumerate(kinds):
+            x[3 * i + k] = np.frombuffer(zlib.decompress(bytes(r[kind.name])), np.uint32)
+        y[3 * i : 3 * i + 3] = labels.index(r["lang"]), labels.index(r["lang"]), len(labels)
+        second[3 * i : 3 * i + 3] = r["second"]
+    full = x.sum(axis=1) > 0  # a passage may have no letters
+    x, y, second = x[full], y[full], second[full]
+    x /= x.sum(axis=1, keepdims=True)
     if len(rows) < 20:  # too few to spare any
         return calibrate(train(x, y, labels), x, y)
     return calibrate(train(x[~second], y[~second], labels), x[second], y[second])
@@ -170,7 +230,7 @@ def identify(docs: DataFrame, model: LanguageModel, lang: str = "lang_pred", sco
     """``docs`` with the language, score (0 to 1) and rejection of each whole text.
 
     A null text, or one without letters, is ``und`` with score 0 and rejected;
-    a model that learned nothing names all ``und`` and rejects only those. Rows
+    one in none of the learned languages has a low score and is rejected; a model that learned nothing names all ``und`` and rejects only those. Rows
     repeat as they are; a column of ``docs`` with a new column's name goes; an
     empty table gives no rows.
     """
@@ -192,6 +252,11 @@ def identify(docs: DataFrame, model: LanguageModel, lang: str = "lang_pred", sco
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
-    """The rows of ``docs`` whose language the model does not reject, all columns kept."""
+    """The rows of ``docs`` whose language the model does not reject, all columns kept.
+
+    Null and empty texts, and those without letters, go; repeated rows stay or go
+    together; without a model, one is learned from ``docs`` itself, and where no
+    row has a language, whatever has a letter stays; an empty table gives no rows.
+    """
     lang, score, rejected = own("lang", docs), own("score", docs), own("rejected", docs)
     return identify(docs, model or fit(docs), lang, score, rejected).filter(~F.col(rejected)).select(*docs.columns)
