@@ -12,9 +12,11 @@ fingerprints at four or fewer differing bits fall into one of two cases:
   the other all pairs of codeword indices within four errors, and both add the
   segments' parities (one flipped bit turns a parity around).
 
-No pair is lost, and every pair found is verified on the whole fingerprints.
-Where too many fingerprints share a key, they are dealt to groups, and every two
-groups meet in a task of their own: nothing is compared less, only elsewhere.
+No pair is lost, and every pair found is verified on the whole fingerprints. A
+bitmap of the pair keys that are asked for, one bit for each key that there can
+be, keeps all others from being shipped. Where too many fingerprints ask or
+answer under a key, either side is dealt to groups, and every two groups meet in
+a task of their own: nothing is compared less, only elsewhere.
 """
 
 from __future__ import annotations
@@ -35,8 +37,10 @@ from paperloom.llm.components import connected_components
 SHINGLE = 4
 SEED = 42
 MOST_BITS = 4
-#: Fingerprints that look up one key in one task; where there are more, they are dealt to groups.
+#: Fingerprints that ask, and that answer, under one key in one task; where there are more, they are dealt to groups.
 BUCKET = 20_000
+#: Bits of a pair key: two codeword indices, two parities, and which segments they are of.
+PAIR_BITS = 28
 #: Distinct fingerprints whose keys one task makes.
 SPREAD = 1 << 14
 
@@ -93,6 +97,10 @@ class Golay:
         for s, own_patterns in enumerate(patterns):
             self.lists[s, : len(own_patterns)] = own_patterns
 
+    def nearest(self, words: np.ndarray) -> np.ndarray:
+        """The index of the one codeword within three errors."""
+        return (words ^ self.lists[self.syndrome[words], 0]) >> 11
+
     def near(self, words: np.ndarray) -> np.ndarray:
         """Indices of the codewords within four errors, the nearest first, padded with -1."""
         errors = self.lists[self.syndrome[words]]
@@ -122,11 +130,11 @@ def fifths(prints: np.ndarray) -> np.ndarray:
     return out
 
 
-def keys_of(prints: np.ndarray, asked: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For distinct fingerprints (uint64): keys, the row of each key, and whether it is a key of the side that looks up; only those if not ``asked``."""
+def keys_of(prints: np.ndarray, answers: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For distinct fingerprints (uint64): keys, the row of each key, and whether the row asks under it; only keys that ask if not ``answers``."""
     code, n = golay(), len(prints)
     segments = [((prints >> np.uint64(low)) & np.uint64((1 << width) - 1)).astype(np.int64) for low, width in SEGMENTS]
-    near = [code.near(s).astype(np.int64) for s in segments]
+    near = [code.near(s).astype(np.int64) if answers else code.nearest(s).astype(np.int64)[:, None] for s in segments]
     odd = [np.bitwise_count(s).astype(np.int64) & 1 for s in segments]
     rows, same = np.arange(n), fifths(prints)
     keys, of, asks = [same.ravel()], [np.repeat(rows, same.shape[1])], [np.ones(same.size, bool)]
@@ -137,7 +145,7 @@ def keys_of(prints: np.ndarray, asked: bool = True) -> tuple[np.ndarray, np.ndar
         keys.append(key(near[i][:, 0], near[j][:, 0], odd[i], odd[j]))
         of.append(rows)
         asks.append(np.ones(n, bool))
-        if asked:
+        if answers:
             both = (near[i][:, :, None] >= 0) & (near[j][:, None, :] >= 0)
             r, x, y = np.nonzero(both)
             keys.append(key(near[i][r, x], near[j][r, y], 1 - odd[i][r], 1 - odd[j][r]))
@@ -193,21 +201,45 @@ def bucket_edges(key: np.ndarray, print_: np.ndarray, asks: np.ndarray, most: in
     return np.concatenate(left), np.concatenate(right)
 
 
+KEYED = "key long, fp long, asks boolean"
+
+
+def _asked(prints: DataFrame) -> DataFrame:
+    """The pair keys under which fingerprints ask, as a bitmap: a row (at, bits) for each stretch of it that has a bit set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = keys_of(batch.column(0).to_numpy().view(np.uint64), answers=False)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(key[key & 3 < 3]))], names=["key"])
+
+    keys = prints.mapInArrow(run, "key long")
+    at, bit = F.call_function("bitmap_bucket_number", F.col("key") + 1), F.call_function("bitmap_bit_position", F.col("key") + 1)  # buckets begin with 1
+    return keys.groupBy((at - 1).alias("at")).agg(F.call_function("bitmap_construct_agg", bit).alias("bits"))
+
+
 def linked(prints: DataFrame, most: int = MOST_BITS, bucket: int = BUCKET) -> DataFrame:
     """Edges (a, b) between the distinct fingerprints in the column ``fp`` that connect all that lie within ``most`` bits."""
     if most > MOST_BITS:
         raise ValueError(f"the keys find pairs of at most {MOST_BITS} bits")
 
-    def emit(asked: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                all_prints = batch.column(0).to_numpy().view(np.uint64)
-                for at in range(0, len(all_prints), 2048):
-                    some = all_prints[at : at + 2048]
-                    key, row, asks = keys_of(some, asked)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(some[row].view(np.int64)), pa.array(asks)], names=["key", "fp", "asks"])
+    distinct = staged(prints.select("fp").distinct())
+    spread = distinct.repartition(max(1, -(-distinct.count() // SPREAD)), "fp")
+    asked = staged(_asked(spread))
+    shared = prints.sparkSession.sparkContext.broadcast([(r[0], bytes(r[1])) for r in asked.collect()])  # 2**PAIR_BITS bits at most
 
-        return run
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << PAIR_BITS >> 3, np.uint8)
+        for at, some in shared.value:
+            bits[at * len(some) : (at + 1) * len(some)] = np.frombuffer(some, np.uint8)
+        for batch in batches:
+            all_prints = batch.column(0).to_numpy().view(np.uint64)
+            for at in range(0, len(all_prints), 2048):
+                some = all_prints[at : at + 2048]
+                key, row, asks = keys_of(some)
+                keep = asks.copy()
+                answering = key[~asks]
+                keep[~asks] = bits[answering >> 3] >> (answering & 7) & 1
+                yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(some[row[keep]].view(np.int64)), pa.array(asks[keep])], names=["key", "fp", "asks"])
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[list[np.ndarray]]) -> pa.RecordBatch:
@@ -231,22 +263,22 @@ def linked(prints: DataFrame, most: int = MOST_BITS, bucket: int = BUCKET) -> Da
         if held:
             yield out(held)
 
-    schema = "key long, fp long, asks boolean"
-    distinct = staged(prints.select("fp").distinct())
-    spread = distinct.repartition(max(1, -(-distinct.count() // SPREAD)), "fp")
-    sizes = spread.mapInArrow(emit(False), schema).groupBy("key").count().filter(F.col("count") > bucket)
-    hot = staged(sizes.select("key", F.ceil(F.col("count") / bucket).cast("long").alias("groups")))
-    keyed = spread.mapInArrow(emit(True), schema)
+    keyed = staged(spread.mapInArrow(emit, KEYED))
+    one_kind = F.col("key").bitwiseAND(3) == 3
+    sides = keyed.groupBy("key").agg(F.count_if("asks").alias("n_asks"), F.count_if(~F.col("asks")).alias("n_answers"))
+    groups = [F.greatest(F.ceil(F.col(c) / bucket), F.lit(1)).cast("long").alias(g) for c, g in (("n_asks", "asking"), ("n_answers", "answering"))]
+    hot = staged(sides.filter((F.col("n_asks") > bucket) | (F.col("n_answers") > bucket)).select("key", *groups))
     if hot.isEmpty():
         keyed = keyed.select("key", F.lit(0).cast("long").alias("part"), "fp", "asks")
     else:
-        # who asks meets who is asked at each crossing of their groups; where all ask, every two groups meet
-        keyed = keyed.join(hot, "key", "left").withColumn("groups", F.coalesce("groups", F.lit(1).cast("long")))
-        mine, groups = F.pmod(F.xxhash64("fp"), F.col("groups")), F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)
-        two = F.transform(F.filter(groups, lambda g: g != mine), lambda g: F.greatest(g, mine) * F.col("groups") + F.least(g, mine))
-        one_kind = F.col("key").bitwiseAND(3) == 3
-        crossing = F.when(F.col("asks"), F.transform(groups, lambda g: mine * F.col("groups") + g)).otherwise(F.transform(groups, lambda g: g * F.col("groups") + mine))
-        to = F.when(F.col("groups") == 1, F.array(F.lit(0).cast("long"))).when(one_kind, two).otherwise(crossing)
+        # who asks meets who answers at each crossing of their groups; where all ask, every two groups meet
+        one = F.lit(1).cast("long")
+        keyed = keyed.join(hot, "key", "left").withColumn("asking", F.coalesce("asking", one)).withColumn("answering", F.coalesce("answering", one))
+        upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+        mine = F.pmod(F.xxhash64("fp"), F.when(F.col("asks"), F.col("asking")).otherwise(F.col("answering")))
+        two = F.transform(F.filter(upto(F.col("asking")), lambda g: g != mine), lambda g: F.greatest(g, mine) * F.col("asking") + F.least(g, mine))
+        crossing = F.when(F.col("asks"), F.transform(upto(F.col("answering")), lambda g: mine * F.col("answering") + g)).otherwise(F.transform(upto(F.col("asking")), lambda g: g * F.col("answering") + mine))
+        to = F.when((F.col("asking") == 1) & (F.col("answering") == 1), F.array(F.lit(0).cast("long"))).when(one_kind, two).otherwise(crossing)
         keyed = keyed.select("key", F.explode(to).alias("part"), "fp", "asks")
     return keyed.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(reduce, "a long, b long")
 

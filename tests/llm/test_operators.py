@@ -105,7 +105,7 @@ def test_models_equal_a_plain_version(spark):
         counts = brute.subwords(r["text"] or "", langid.BUCKETS)
         z = (counts / max(counts.sum(), 1)) @ model.embeddings.astype(float) @ model.weights.astype(float) + model.bias
         p = np.exp(z / model.temperature - (z / model.temperature).max())
-        p /= p.sum()
+        p = (p / p.sum())[:-1]  # the last class is that of no language
         assert r["lang_pred"] == model.labels[int(p.argmax())] and r["score"] == pytest.approx(p.max(), abs=1e-3)
     scorer = quality.fit(full, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
     for r in quality.classify(full.select("doc_id", "text"), scorer).limit(40).collect():
@@ -547,3 +547,151 @@ def test_visits_reach_the_aim_on_large_tables(n):
 def test_edited_hash():
     assert sketches.edited("abcdef", "xy") == "abcxy" and sketches.edited("a", "b") == "a"
     assert hashlib.sha256(sketches.edited("", "b").encode()).hexdigest() == hashlib.sha256(b"").hexdigest()
+
+
+FOREIGN = [
+    "Съешь же ещё этих мягких французских булок да выпей чаю", "これは日本語の文章です。今日はとても良い天気ですね。", "აბგდე ვზთი კლმნო პჟრს ტუფქ", "สวัสดีครับ วันนี้อากาศดีมาก", "मैं हिंदी में लिख रहा हूँ", "안녕하세요 오늘 날씨가 좋네요",
+    "ελληνικά είναι μια γλώσσα", "你好世界今天天气很好", "שלום עולם זה משפט", "مرحبا بالعالم هذه جملة", "ይህ ዓረፍተ ነገር ነው", "මෙය වාක්‍යයකි",
+]
+
+
+@pytest.mark.parametrize("langs", [None, ["en", "fr"]])
+def test_language_rejects_what_is_in_no_language(spark, langs):
+    full = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    full = full.filter(F.col("lang").isin(langs)) if langs else full
+    model = langid.fit(full)
+    rng = random.Random(2)
+    letters = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n)) for n in (3, 5, 10, 30, 300) for _ in range(40)]
+    assert model.predict(letters)[2].mean() >= 0.9
+    assert model.predict(FOREIGN)[2].mean() >= 0.9 and model.predict([f"{t} " * 30 for t in FOREIGN])[2].mean() >= 0.9
+    assert model.predict(["xqzv wrtk pplm"])[2].all()
+    held = langid.identify(full, model).filter(F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+    assert held.agg(F.avg(F.col("rejected").cast("int"))).first()[0] <= 0.01
+
+
+def test_calibration_keeps_the_stated_share():
+    """Scores of a model that is sure of nothing: the least score loses no more right answers than stated, temperature and threshold found anew by a plain search."""
+    rng = np.random.default_rng(3)
+    x = rng.random((4000, 5)).astype(np.float32)
+    y = np.array([int(v.argmax()) % 3 if rng.random() < 0.8 else rng.integers(0, 3) for v in x])
+    model = langid.LanguageModel(["a", "b"], np.eye(5, langid.DIM, dtype=np.float32), np.zeros((langid.DIM, 3), np.float32), np.zeros(3, np.float32))
+    for j in range(5):
+        model.weights[j, j % 3] = 3
+    langid.calibrate(model, x, y, 0.01)
+    z = (x @ np.array([[3 * (j % 3 == k) for k in range(3)] for j in range(5)])).astype(float)
+
+    def chances(t):
+        e = np.exp(z / t - (z / t).max(axis=1, keepdims=True))
+        return e / e.sum(axis=1, keepdims=True)
+
+    loss = lambda t: -np.log(chances(t)[np.arange(len(y)), y]).mean()
+    assert loss(model.temperature) <= min(map(loss, np.geomspace(0.01, 100, 93))) + 1e-6
+    p = chances(model.temperature)[:, :2]
+    right = (y < 2) & (p.argmax(axis=1) == y)
+    assert (p.max(axis=1)[right] < model.least - 1e-6).mean() <= 0.0101
+
+
+def test_rejected_documents_go(spark):
+    full = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    junk = [(10_000 + i, t, None, None, len(t or "")) for i, t in enumerate([*FOREIGN, "xqzv wrtk pplm bfgh", None, "", "123 !?"])]
+    kept = {r["doc_id"] for r in langid.keep_identified(full.unionByName(spark.createDataFrame(junk, full.schema))).collect()}
+    assert max(kept) < 10_000 or sum(i >= 10_000 for i in kept) <= 1
+    assert len(kept) >= 0.99 * full.count()
+
+
+def test_language_takes_very_long_texts_and_repeated_rows(spark, docs):
+    model = langid.fit(docs)
+    text = "kalomi neruta shipo " * 50_000
+    out = langid.keep_identified(spark.createDataFrame([(1, text), (1, text), (2, "ж" * 300_000)], "doc_id long, text string"), model).collect()
+    assert len([r for r in out if r["doc_id"] == 1]) in (0, 2)
+
+
+def planted_assignments(seed: int, n: int) -> tuple[str, list[tuple[int, int]], list[tuple[int, int]]]:
+    """A configuration text, put together from assignments whose secret literals are known, and the spans of these and of all literals."""
+    rng = random.Random(seed)
+    value = lambda: "".join(rng.sample("abcdefghjkmnpqrstuvwxyzABCDEFGHJKLMN23456789", rng.randint(14, 20))) + "9Z"
+    out, at, secret, all_spans = [], 0, [], []
+
+    def put(before: str, literal: str, after: str, is_secret: bool):
+        nonlocal at
+        spot = at + len(before)
+        (secret.append if is_secret else lambda _: None)((spot, spot + len(literal)))
+        all_spans.append((spot, spot + len(literal)))
+        out.append(before + literal + after)
+        at += len(out[-1])
+
+    for i in range(n):
+        v = value()
+        for before, after, is_secret in [rng.choice([
+            (f"client_credential_{i} = '", "'\n", True), (f'{{"privateKey": "', '"}\n', True), (f"set --signing-key=", "\n", True), (f"<dbPassphrase>", "</dbPassphrase>\n", True),
+            (f"colour_{i} = '", "'\n", False), (f'"title": "', '"\n', False), (f"plain{i} := ", "\n", False),
+        ])]:
+            put(before, v, after, is_secret)
+        if rng.random() < 0.3:  # a constant that a sensitive target is given, before or after
+            name, tell = f"konst{i}", rng.random() < 0.5
+            lines = [(f"{name} = '", value(), "'\n", tell)]
+            use = f"{'bearer_auth_token' if tell else 'heading'}_{i} = {name}\n"
+            if rng.random() < 0.5:
+                out.append(use)
+                at += len(use)
+                put(*lines[0])
+            else:
+                put(*lines[0])
+                out.append(use)
+                at += len(use)
+    return "".join(out), sorted(secret), all_spans
+
+
+def test_literals_equal_what_was_planted():
+    for seed in range(30):
+        text, expected, _ = planted_assignments(seed, 25)
+        base = [(a, b) for kind, a, b, *_ in secrets.spans_of(text) if kind != "literal"]
+        found = [(a, b) for kind, a, b, *_ in secrets.spans_of(text) if kind == "literal"]
+        assert found == [s for s in expected if not any(a <= s[0] and s[1] <= b for a, b in base)]
+
+
+def test_many_hits_of_both_kinds_take_linear_time():
+    import time
+
+    def took(n: int) -> float:
+        text = "".join(f"auth_{i}: Zx{i:06d}qRkw9mB\n{i * 0x9E3779B97F4A7C15 % (1 << 64):016x}{i:012x}\n" for i in range(n))
+        began = time.process_time()
+        spans = secrets.spans_of(text)
+        assert sum(s[0] == "literal" for s in spans) == n and sum(s[0] == "hex" for s in spans) == n
+        return time.process_time() - began
+
+    took(1000)
+    small, large = took(25_000), took(50_000)
+    assert large < 15 and large < 4 * small
+
+
+def test_a_key_with_many_answers_is_split(spark):
+    """Fingerprints that answer under one key in great number, and a few that ask: every task stays within the bucket, and no link is lost."""
+    rng = np.random.default_rng(4)
+    code = simhash.golay()
+    word = int(np.flatnonzero(code.syndrome[: 1 << 20] == 0)[300])
+    near = [w for w in (word ^ code.lists[code.lists >= 0]).tolist() if w < 1 << 22]  # all words within four errors of one codeword
+    a = rng.choice(near, 6000)
+    b = rng.choice([w for w in near if w < 1 << 21], 6000)
+    prints = (a.astype(np.uint64) | b.astype(np.uint64) << np.uint64(22) | rng.integers(0, 1 << 21, 6000).astype(np.uint64) << np.uint64(43))
+    prints = np.unique(np.concatenate((prints, prints[:300] ^ np.uint64(1) ^ np.uint64(1 << 22) ^ np.uint64(3 << 43))))
+    key, of, asks = simhash.keys_of(prints)
+    keys, counts = np.unique(key[~asks], return_counts=True)
+    assert counts.max() > 1000
+    frame = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "fp long")
+    edges = {(r["a"], r["b"]) for r in simhash.linked(frame, bucket=100).collect()}
+    parent = {int(x): int(x) for x in prints.view(np.int64)}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for x, y in edges:
+        assert bin((x ^ y) & (1 << 64) - 1).count("1") <= 4
+        parent[root(x)] = root(y)
+    for i in range(0, len(prints), 500):  # every pair
+        distance = np.bitwise_count(prints[i : i + 500, None] ^ prints[None, :])
+        for r, c in zip(*np.nonzero(distance <= 4), strict=True):
+            assert root(int(prints.view(np.int64)[i + r])) == root(int(prints.view(np.int64)[c]))
