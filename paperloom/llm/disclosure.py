@@ -10,7 +10,8 @@ tells the entity for certain, else generalised.
 
 A text's matches and the pieces between them are rows; lengths summed up over
 those before give the places, so the work grows with the text and no faster.
-Equal texts are looked at once, and count once.
+Equal texts are looked at once, and count as often as they are there; the terms
+that keep an entity's company have to do so in several different texts.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ SUPPORT = 3
 #: Share of an entity's information content that a term may not give away.
 SHARE = 0.9
 BETWEEN_WORDS = r"[^\p{L}]+"
+#: Terms that are broadcast at most; more are joined after all terms are counted.
+TERMS = 200_000
 #: Characters of a piece from which texts are put together.
 PIECE = 2000
 
@@ -75,24 +78,27 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), BETWEEN_WORDS), lambda t: F.length(t) >= LETTERS))
 
 
-def disclosed(docs: DataFrame, company: DataFrame, n_texts: int, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
-    """kind, value, term, met (texts in which the term keeps the entity's company) and certain (it stands nowhere else): terms that give away ``share`` of an entity's content or more.
+def disclosed(docs: DataFrame, company: DataFrame, n_docs: int, support: int = SUPPORT, share: float = SHARE, most: int = TERMS) -> DataFrame:
+    """kind, value, term, n_texts (in which the term keeps the entity's company) and certain (it stands nowhere else): terms that give away ``share`` of an entity's content or more.
 
-    ``company``: key, kind, value and terms of every text's entities; ``docs``:
-    all texts (text), for how often a term stands anywhere.
+    ``company``: key, n (how often it is there), kind, value and terms of every
+    text's entities; ``docs``: all texts (text), for how often a term stands anywhere.
     """
-    held = company.select("key", "kind", "value").distinct().groupBy("kind", "value").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= support)
-    pairs = company.select("key", "kind", "value", F.explode("terms").alias("term")).distinct()
-    met = staged(pairs.groupBy("kind", "value", "term").agg(F.count("*").alias("met")).filter(F.col("met") >= support).join(held, ["kind", "value"]))
+    held = company.select("key", "n", "kind", "value").distinct().groupBy("kind", "value").agg(F.sum("n").alias("n_entity"))
+    pairs = company.select("key", "n", "kind", "value", F.explode("terms").alias("term")).distinct()
+    met = pairs.groupBy("kind", "value", "term").agg(F.count("*").alias("n_texts"), F.sum("n").alias("met")).filter(F.col("n_texts") >= support)
+    met = staged(met.join(held, ["kind", "value"]))
     wanted = staged(met.select("term").distinct())
-    if wanted.isEmpty():
-        return met.select("kind", "value", "term", "met", F.lit(False).alias("certain"))
-    # where a term stands is counted over all texts, equal ones once
-    anywhere = docs.select(F.md5("text").alias("key"), F.explode(_terms(F.col("text"))).alias("term")).join(wanted, "term").distinct()
+    n_wanted = wanted.count()
+    if not n_wanted:
+        return met.select("kind", "value", "term", "n_texts", F.lit(False).alias("certain"))
+    anywhere = docs.select(F.explode(_terms(F.col("text"))).alias("term"))
+    if n_wanted <= most:
+        anywhere = anywhere.join(F.broadcast(wanted), "term")
     counts = anywhere.groupBy("term").agg(F.count("*").alias("n_term"))
-    content = F.log2(F.lit(float(n_texts)) / F.col("n_entity"))
-    told = F.log2(F.col("met") * F.lit(float(n_texts)) / (F.col("n_entity") * F.col("n_term")))
-    return met.join(counts, "term").filter((content > 0) & (told >= share * content)).select("kind", "value", "term", "met", (F.col("met") == F.col("n_term")).alias("certain"))
+    content = F.log2(F.lit(float(n_docs)) / F.col("n_entity"))
+    told = F.log2(F.col("met") * F.lit(float(n_docs)) / (F.col("n_entity") * F.col("n_term")))
+    return met.join(counts, "term").filter((content > 0) & (told >= share * content)).select("kind", "value", "term", "n_texts", (F.col("met") == F.col("n_term")).alias("certain"))
 
 
 def _spans(docs: DataFrame, support: int, share: float) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -101,11 +107,10 @@ def _spans(docs: DataFrame, support: int, share: float) -> tuple[DataFrame, Data
     texts = staged(held.filter("text is not null").groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("n")))
     base = staged(matches(texts))
     value = F.when(F.col("kind") == 0, F.lower("hit")).when(F.col("kind") == 1, F.col("hit")).otherwise(F.regexp_replace("hit", "[^0-9]", ""))
-    company = staged(base.select("key", "kind", value.alias("value"), _terms(F.concat_ws(" ", "left", "right")).alias("terms")))
-    n_texts = held.select("key").distinct().count()
-    told = staged(disclosed(docs.select("text"), company, n_texts, support, share))
+    company = staged(base.join(texts.select("key", "n"), "key").select("key", "n", "kind", value.alias("value"), _terms(F.concat_ws(" ", "left", "right")).alias("terms")))
+    told = staged(disclosed(docs.select("text"), company, held.count(), support, share))
     pairs = company.select("key", "kind", "value", F.explode("terms").alias("term")).distinct()
-    known = join_spread(pairs, told, ["kind", "value", "term"], "met", pairs.count()).groupBy("key", "term").agg(F.max("certain").alias("certain"))
+    known = join_spread(pairs, told, ["kind", "value", "term"], "n_texts", pairs.count()).groupBy("key", "term").agg(F.max("certain").alias("certain"))
     known = staged(known)
     words = texts.join(known.select("key").distinct(), "key").select("key", F.split("text", BETWEEN_WORDS, -1).alias("pieces"), F.regexp_extract_all("text", F.lit(BETWEEN_WORDS), F.lit(0)).alias("hits"))
     words = _places(words, ["key"]).select("key", F.lower("piece").alias("term"), (F.col("start") - F.length("piece")).alias("start"), F.col("start").alias("end"))
@@ -123,8 +128,7 @@ def _spans(docs: DataFrame, support: int, share: float) -> tuple[DataFrame, Data
 def scan(docs: DataFrame, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
     """doc_id and ``found`` (an array of kind, start, end in code points, by kind as in ``KINDS`` and start) of every row's whole text.
 
-    A null or empty text has none. Rows repeat as they are, and a text counts
-    once in the statistics however often it is there; a null doc_id is an id
+    A null or empty text has none. Rows repeat as they are, and count each; a null doc_id is an id
     like any other; other columns are ignored; an empty table gives no rows.
     """
     held, texts, found = _spans(docs.select("doc_id", "text"), support, share)

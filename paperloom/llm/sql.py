@@ -72,14 +72,14 @@ def personal_data(support: int = disclosure.SUPPORT, share: float = disclosure.S
     luhn = "list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(reverse(digits), i, 1)::INT ELSE (substr(reverse(digits), i, 1)::INT * 2) // 10 + (substr(reverse(digits), i, 1)::INT * 2) % 10 END)) % 10 = 0"
     listed = lambda where: f"coalesce(string_agg(name || ':' || start || ':' || until, ',' ORDER BY kind, start) FILTER ({where}), '')"
     counts = ", ".join(f"count(*) FILTER (kind = {k}) AS n_{name}" for k, name in enumerate(patterns))
-    return f"""WITH t AS (SELECT DISTINCT md5(text) AS key, text FROM documents WHERE text IS NOT NULL), cut AS ({cut}),
+    return f"""WITH t AS (SELECT md5(text) AS key, text, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY text), cut AS ({cut}),
 e AS (SELECT key, kind, unnest(range(1, len(pieces) + 1)) AS i, unnest(pieces) AS piece, unnest(list_concat(hits, [NULL])) AS hit FROM cut WHERE len(hits) > 0),
 p AS (SELECT *, {starts.format('key, kind')} AS start, lead(piece) OVER (PARTITION BY key, kind ORDER BY i) AS next, regexp_replace(hit, '[^0-9]', '', 'g') AS digits FROM e),
 b AS (SELECT key, kind, CAST(start AS BIGINT) AS start, CAST(start + length(hit) AS BIGINT) AS until, CASE kind WHEN 0 THEN lower(hit) WHEN 1 THEN hit ELSE digits END AS value,
 CASE WHEN length(piece) > {near} THEN regexp_replace(right(piece, {near}), '^\\p{{L}}+', '') ELSE piece END || ' ' || CASE WHEN length(next) > {near} THEN regexp_replace(left(next, {near}), '\\p{{L}}+$', '') ELSE next END AS company
 FROM p WHERE hit IS NOT NULL AND CASE kind WHEN 0 THEN true WHEN 1 THEN list_max(list_transform(string_split(hit, '.'), lambda x: x::HUGEINT)) <= 255 WHEN 2 THEN length(digits) BETWEEN {disclosure.CARD_DIGITS[0]} AND {disclosure.CARD_DIGITS[1]} AND {luhn} ELSE length(digits) BETWEEN {disclosure.PHONE_DIGITS[0]} AND {disclosure.PHONE_DIGITS[1]} END),
-c AS (SELECT DISTINCT key, kind, value, unnest({terms('company')}) AS term FROM b), h AS (SELECT kind, value, count(DISTINCT key) AS n_entity FROM b GROUP BY ALL), m AS (SELECT kind, value, term, count(*) AS met FROM c GROUP BY ALL HAVING count(*) >= {support}),
-a AS (SELECT term, count(*) AS n_term FROM (SELECT key, unnest({terms('text')}) AS term FROM t) GROUP BY term), n AS (SELECT count(DISTINCT coalesce(text, '')) + CASE WHEN count(*) FILTER (text IS NULL) > 0 AND count(*) FILTER (text = '') > 0 THEN 1 ELSE 0 END AS N FROM documents),
+c AS (SELECT DISTINCT key, kind, value, unnest({terms('company')}) AS term FROM b), h AS (SELECT kind, value, sum(n) AS n_entity FROM (SELECT DISTINCT key, kind, value FROM b) JOIN t USING (key) GROUP BY ALL), m AS (SELECT kind, value, term, sum(n) AS met FROM c JOIN t USING (key) GROUP BY ALL HAVING count(*) >= {support}),
+a AS (SELECT term, count(*) AS n_term FROM (SELECT unnest({terms('text')}) AS term FROM documents) GROUP BY term), n AS (SELECT count(*) AS N FROM documents),
 d AS (SELECT kind, value, term FROM m JOIN h USING (kind, value) JOIN a USING (term), n WHERE N > n_entity AND log2(met * N::DOUBLE / (n_entity * n_term)) >= {share} * log2(N::DOUBLE / n_entity)),
 k AS (SELECT DISTINCT key, term FROM c JOIN d USING (kind, value, term)), v AS (SELECT key, string_split_regex(text, '{words}') AS pieces, regexp_extract_all(text, '{words}') AS hits FROM t WHERE key IN (SELECT key FROM k)),
 w AS (SELECT key, unnest(range(1, len(pieces) + 1)) AS i, unnest(pieces) AS piece, unnest(list_concat(hits, [NULL])) AS hit FROM v), x AS (SELECT key, lower(piece) AS term, {starts.format('key')} AS until, piece FROM w),

@@ -40,9 +40,9 @@ def base(text: str) -> list[tuple]:
 
 
 def plain(docs: list[tuple], near=disclosure.NEAR, support=disclosure.SUPPORT, share=disclosure.SHARE) -> list[tuple]:
-    texts = {t for _, t, *_ in docs}
+    texts = Counter(t for _, t, *_ in docs)
     company, holds = defaultdict(set), defaultdict(set)
-    for text in texts - {None}:
+    for text in set(texts) - {None}:
         for kind in PATTERNS:
             hits = list(PATTERNS[kind].finditer(text))
             for i, m in enumerate(hits):
@@ -57,11 +57,13 @@ def plain(docs: list[tuple], near=disclosure.NEAR, support=disclosure.SUPPORT, s
                 for term in {w.lower() for w in SPACE.findall(f"{left} {right}")}:
                     if len(term) >= disclosure.LETTERS:
                         company[kind, value, term].add(text)
-    stands = Counter(w for t in texts - {None} for w in {w.lower() for w in SPACE.findall(t)})
+    stands: Counter = Counter()
+    for text, n in texts.items():
+        stands.update({w: n for w in {w.lower() for w in SPACE.findall(text or "")}})
     told = set()
     for (kind, value, term), met in company.items():
-        entity, n = len(holds[kind, value]), len(texts)
-        if len(met) >= support and n > entity and math.log2(len(met) * n / (entity * stands[term])) >= share * math.log2(n / entity):
+        entity, n, together = sum(texts[t] for t in holds[kind, value]), len(docs), sum(texts[t] for t in met)
+        if len(met) >= support and n > entity and math.log2(together * n / (entity * stands[term])) >= share * math.log2(n / entity):
             told |= {(text, term) for text in met}
     out = []
     for doc, text, *_ in docs:
@@ -91,9 +93,10 @@ def as_lists(found):
     return Counter((r["doc_id"], tuple((s["kind"], s["start"], s["end"]) for s in r["found"])) for r in found)
 
 
-@pytest.mark.parametrize("near", [160, 12])
-def test_findings(spark, near, monkeypatch):
+@pytest.mark.parametrize(("near", "most"), [(160, 200_000), (12, 0)])
+def test_findings(spark, near, most, monkeypatch):
     monkeypatch.setattr(disclosure, "NEAR", near)
+    monkeypatch.setattr(disclosure.disclosed, "__defaults__", (disclosure.SUPPORT, disclosure.SHARE, most))
     docs = documents()
     expected = plain(docs, near)
     assert as_lists(disclosure.scan(spark.createDataFrame(docs, SCHEMA).repartition(4)).collect()) == Counter((d, tuple(s)) for d, s in expected)
