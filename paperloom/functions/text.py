@@ -108,31 +108,61 @@ def character_error_rate(expected: Column | str, actual: Column | str) -> Column
     return F.when(F.length(e) > 0, F.round(F.levenshtein(e, a) / F.length(e), 6))
 
 
-#: Distinct words of a pair that the word error rate can tell apart.
-MOST_WORDS = 20_000
+#: Words of a pair up to which each distinct one becomes a character; longer pairs go to ``edits``.
+FEW_WORDS = 2000
+
+
+def edits(one: Sequence, other: Sequence) -> int:
+    """Fewest insertions, deletions and exchanges between two sequences: a column of the table of distances is the bits of two whole numbers (one that rises, one that falls), so that a step takes all its rows at once."""
+    start = 0
+    while start < min(len(one), len(other)) and one[start] == other[start]:
+        start += 1
+    end = 0
+    while end < min(len(one), len(other)) - start and one[-1 - end] == other[-1 - end]:
+        end += 1
+    one, other = one[start : len(one) - end], other[start : len(other) - end]
+    if not one or not other:
+        return len(one) + len(other)
+    places: dict = {}
+    for i, item in enumerate(one):
+        places[item] = places.get(item, 0) | 1 << i
+    every, last = (1 << len(one)) - 1, 1 << len(one) - 1
+    rises, falls, distance = every, 0, len(one)
+    for item in other:
+        same = places.get(item, 0) | falls
+        level = ((rises + (same & rises)) ^ rises) | same
+        up, down = falls | (every & ~(rises | level)), rises & level
+        distance += bool(up & last) - bool(down & last)
+        up, down = (up << 1 | 1) & every, (down << 1) & every
+        falls, rises = up & level, down | (every & ~(up | level))
+    return distance
+
+
+@F.pandas_udf(T.LongType())
+def _word_edits(e: pd.Series, a: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else edits(x.split(), (y or "").split()) for x, y in zip(e, a, strict=True)], dtype="Int64")
 
 
 def word_error_rate(expected: Column | str, actual: Column | str) -> Column:
-    """Word edits by expected words, six places: each distinct word of the pair becomes one character. Null where nothing is expected, and for a pair of more than ``MOST_WORDS`` distinct words (see ``word_error_known``)."""
-    e, a = (F.filter(F.split(clean(c), " "), lambda w: w != "") for c in (expected, actual))
+    """Word edits by expected words, six places, of texts of any length; null where nothing is expected.
+
+    Up to ``FEW_WORDS`` words each distinct word of the pair becomes one
+    character and Spark counts the edits; the words of longer pairs alone go to
+    Python, in Arrow batches.
+    """
+    listed = lambda c: F.filter(F.split(clean(c), " "), lambda w: w != "")
+    e, a = listed(expected), listed(actual)
+    few = F.size(e) + F.size(a) <= FEW_WORDS
 
     def distance(pair: Column) -> Column:
         def coded(words: Column, known: Column) -> Column:
             return F.concat_ws("", F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 0x4E00), 4, "0")), "UTF-16BE")))
 
-        def edits(known: Column) -> Column:
-            few = F.levenshtein(coded(pair["e"], known), coded(pair["a"], known))
-            return F.when(F.size(known) <= MOST_WORDS, few)
-
-        return F.when(F.size(pair["e"]) > 0, F.round(bound(F.array_distinct(F.concat(pair["e"], pair["a"])), edits) / F.size(pair["e"]), 6))
-
-    return bound(F.struct(e.alias("e"), a.alias("a")), distance)
-
+        return bound(F.array_distinct(F.concat(pair["e"], pair["a"])), lambda known: F.levenshtein(coded(pair["e"], known), coded(pair["a"], known)))
 
-def word_error_known(expected: Column | str, actual: Column | str) -> Column:
-    """Whether the pair has few enough distinct words for its word error rate to be told."""
-    both = F.concat(*(F.split(clean(c), " ") for c in (expected, actual)))
-    return F.size(F.array_distinct(F.filter(both, lambda w: w != ""))) <= MOST_WORDS
+    native = F.when(few, bound(F.struct(e.alias("e"), a.alias("a")), distance))
+    long = _word_edits(F.when(~few, clean(expected)), F.when(~few, clean(actual)))
+    return F.when(F.size(e) > 0, F.round(F.coalesce(native, long) / F.size(e), 6))
 
 
 def positional_accuracy(expected: Column, actual: Column) -> Column:
@@ -274,13 +304,24 @@ UNSAFE_COMMANDS = (
 )
 
 
+#: Environments that a formula may use.
+MATH_ENVIRONMENTS = ("aligned", "alignedat", "array", "matrix", "pmatrix", "bmatrix", "Bmatrix", "vmatrix", "Vmatrix", "cases", "gathered", "split")
+#: Pairs of delimiters around a formula.
+DELIMITERS = (r"(?s)^\$\$(.*)\$\$$", r"(?s)^\\\[(.*)\\\]$", r"(?s)^\\\((.*)\\\)$", r"(?s)^\$(.*)\$$")
+
+
 def strip_formula(c: Column | str) -> Column:
-    """A formula without its delimiters, nested ones too (four deep)."""
-    bare = F.trim(_col(c))
-    for _ in range(4):
-        for pattern in (r"(?s)^\$\$(.*)\$\$$", r"(?s)^\\\[(.*)\\\]$", r"(?s)^\\\((.*)\\\)$", r"(?s)^\$(.*)\$$"):
-            bare = F.trim(F.regexp_replace(bare, pattern, "$1"))
-    return bare
+    """A formula without its delimiters, however many are nested: no more than stand at its start."""
+    c = F.btrim(F.regexp_replace(_col(c), r"\r\n?", "\n"), F.lit(" \t\n\x0b\x0c"))
+    first = F.regexp_extract(c, r"^(?:\s|\$|\\\[|\\\()*", 0)
+    layers = F.filter(F.sequence(F.lit(0), F.regexp_count(first, F.lit(r"\$|\\\[|\\\("))), lambda i: i > 0)
+
+    def peel(formula: Column, _: Column) -> Column:
+        for pattern in DELIMITERS:
+            formula = F.btrim(F.regexp_replace(formula, pattern, "$1"), F.lit(" \t\n\x0b\x0c"))
+        return formula
+
+    return F.aggregate(layers, c, peel)
 
 
 def formula_verdict(c: Column | str, commands: Sequence[str] | None = None, environments: Sequence[str] | None = None) -> Column:
@@ -289,7 +330,7 @@ def formula_verdict(c: Column | str, commands: Sequence[str] | None = None, envi
     One pass cuts the formula into tokens: an environment's begin or end, a
     command, an escaped sign, or a sign of its own. A fold over them keeps what is
     open; all other rules ask which tokens there are. ``commands`` and
-    ``environments`` name all that is allowed; without them only the unsafe are refused.
+    ``environments`` (such as ``MATH_ENVIRONMENTS``) name all that is allowed; without them only the unsafe are refused.
     """
     c = _col(c)
     tokens = F.regexp_extract_all(c, F.lit(r"\\(?:begin|end)\s*\{[^{}]*\}|\\[A-Za-z]+|\\[\s\S]|[{}()\[\]$&%#]"), F.lit(0))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as X
-from paperloom.sources.staging import is_small
+from paperloom.sources.staging import is_small, staged
 
 #: Kinds of resources that retention may remove, and final states.
 RETENTION_TYPES = ("archive_document", "evidence_version", "review_task", "answer_script", "answer_response", "dataset_item", "dataset_release", "accessibility_description", "worker_job", "worker_source")
@@ -118,9 +118,20 @@ def student_safe(packs: DataFrame) -> DataFrame:
 
 
 def verify_audit_chain(events: DataFrame, chain: str = "tenant", recompute: Column | None = None) -> DataFrame:
-    """Breaks of the chain: events whose previous_hash is not the hash before (null for the first), or whose hash is not what ``recompute`` gives."""
-    before = F.lag("event_hash").over(Window.partitionBy(chain).orderBy("sequence"))
-    linked = events.withColumn("expected_previous", before)
+    """Breaks of the chain: events whose previous_hash is not the hash before (null for the first), or whose hash is not what ``recompute`` gives.
+
+    Chains may be long: events are dealt by ranges of chain and sequence, each
+    range looks at its own, and the last hashes of the ranges before it, a few
+    for each chain, tell the rest.
+    """
+    part = "range_of_its_own"
+    rows = staged(events.repartitionByRange(F.col(chain), F.col("sequence")).withColumn(part, F.spark_partition_id()))
+    own = F.lag("event_hash").over(Window.partitionBy(chain, part).orderBy("sequence"))
+    first = F.row_number().over(Window.partitionBy(chain, part).orderBy("sequence")) == 1
+    ends = rows.groupBy(chain, part).agg(F.max_by("event_hash", "sequence").alias("last")).groupBy(F.col(chain).alias("of")).agg(F.collect_list(F.struct(F.col(part).alias("part"), "last")).alias("ends"))
+    earlier = F.array_max(F.filter("ends", lambda e: e["part"] < F.col(part)))["last"]
+    linked = rows.withColumn("own", own).withColumn("first", first).join(ends, F.col("of").eqNullSafe(F.col(chain)))
+    linked = linked.withColumn("expected_previous", F.when(F.col("first"), earlier).otherwise(F.col("own"))).select(*events.columns, "expected_previous")
     bad = ~F.col("previous_hash").eqNullSafe(F.col("expected_previous"))
     return linked.filter(bad | (F.col("event_hash") != recompute) if recompute is not None else bad)
 

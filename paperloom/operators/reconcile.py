@@ -5,9 +5,14 @@ Every spatial join is an equi-join on document and page (and table) first.
 
 from __future__ import annotations
 
-import pandas as pd
+import html as entities
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperloom.functions import geometry as G
 from paperloom.functions import text as X
@@ -270,68 +275,131 @@ def better_reading(pairs: DataFrame, page: bool = False) -> DataFrame:
     return rows.withColumn("better", F.coalesce(filled & good, F.lit(False))).drop("ka", "kb")
 
 
-def _attribute(tag: Column, name: str) -> Column:
-    return F.coalesce(F.nullif(F.regexp_extract(tag, rf"""(?i)\b{name}\s*=\s*["']?(\d{{1,9}})""", 1), F.lit("")).cast("int"), F.lit(1))
+TAGS = re.compile(r"""(?is)<!--.*?-->|<(/?)(table|tr|td|th)\b((?:"[^"]*"|'[^']*'|[^'">])*)>|<[^>]*>""")
+SPAN = r"""(?is)(?:^|\s){}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+SPANS = {name: re.compile(SPAN.format(name)) for name in ("rowspan", "colspan")}
+
+
+def _span(attributes: str, name: str) -> int | None:
+    """A cell's span; none where it is no whole number from 1 on."""
+    found = SPANS[name].search(attributes)
+    value = next((g for g in found.groups() if g is not None), "") if found else ""
+    value = value.strip() or "1"
+    return int(value) if re.fullmatch(r"\+?[0-9]{1,18}", value) and int(value) else None
+
+
+def table_cells(html: str | None, most: int) -> list[tuple]:
+    """(table_index, row, col, row_span, col_span, text, error) of the cells of an HTML text's tables.
+
+    The tags are read in order, the open table and cell are kept. A table has one
+    row with an error in place of its cells where a cell stands outside a row,
+    begins or ends a table inside another cell, or is not closed (malformed),
+    where a span is no whole number from 1 on (span), or where spans overlap
+    (overlap). A text whose cells cover more than ``most`` places has one such row.
+    """
+    out: list[tuple] = []
+    index, depth, covered = -1, 0, 0
+    cells: list[tuple] = []
+    taken: set[tuple[int, int]] = set()
+    error = cell = None
+    row, col, at = -1, 0, 0
+    text: list[str] = []
+
+    def close() -> None:
+        wrong = error or ("malformed" if cell else None)
+        out.extend([(index, None, None, None, None, None, wrong)] if wrong else [(index, *c, None) for c in cells])
+
+    for m in TAGS.finditer(html or ""):
+        if cell:
+            text.append(html[at : m.start()])
+        at = m.end()
+        closing, tag, attributes = m[1], (m[2] or "").lower(), m[3] or ""
+        if tag == "table" and not closing:
+            depth += 1
+            if depth == 1:
+                index, cells, taken, error, cell, row, col = index + 1, [], set(), None, None, -1, 0
+            else:
+                error = error or "malformed"
+        elif not depth or not tag:
+            continue
+        elif tag == "table":
+            depth -= 1
+            if not depth:
+                close()
+        elif depth > 1 or error:
+            continue
+        elif tag == "tr":
+            if not closing:
+                row, col = row + 1, 0
+        elif not closing:
+            spans = [_span(attributes, name) for name in SPANS]
+            if row < 0 or cell:
+                error = "malformed"
+            elif None in spans:
+                error = "span"
+            else:
+                while (row, col) in taken:
+                    col += 1
+                cell, text = (row, col, *spans), []
+                covered += spans[0] * spans[1]
+                if covered > most:
+                    return [(None, None, None, None, None, None, "too_many_cells")]
+        elif cell:
+            spots = {(r, c) for r in range(row, row + cell[2]) for c in range(col, col + cell[3])} if cell[0] == row else {(-1, -1)}
+            if cell[0] != row or spots & taken:
+                error = "malformed" if cell[0] != row else "overlap"
+            taken |= spots
+            cells.append((*cell, " ".join(entities.unescape(" ".join(text)).split())))
+            col, cell = col + cell[3], None
+    if depth:
+        close()
+    return out
+
+
+CELL = "table_index int, row int, col int, row_span int, col_span int, text string, error string"
+#: Cells of a batch of rows that go on together.
+CELLS_TOGETHER = 50_000
 
 
 def extract_cells(pages: DataFrame, most: int = 100_000) -> DataFrame:
-    """page_id, table_index, row, col, row_span, col_span and text of the tables in ``html``. A page whose cells cover more positions gives one row with an error.
+    """page_id, table_index, row, col, row_span, col_span, text and error of the tables in ``html`` (see ``table_cells``); a null or a text without tables has no rows.
 
-    Cells get their columns natively; only tables with spans take an ordered fold.
+    Scripts, styles and images go first, natively; a page's tags are then read in
+    one ordered pass, in Arrow batches.
     """
-    tables = pages.select("page_id", F.posexplode(F.regexp_extract_all(X.sanitise_html("html"), F.lit(r"(?is)<table\b.*?</table\s*>"), F.lit(0))).alias("table_index", "t"))
-    rows = tables.select("page_id", "table_index", F.posexplode(F.regexp_extract_all("t", F.lit(r"(?is)<tr\b.*?(?=<tr\b|</tr\s*>|</table\s*>)"), F.lit(0))).alias("row", "r"))
-    cells = rows.select("page_id", "table_index", "row", F.posexplode(F.regexp_extract_all("r", F.lit(r"(?is)<t[dh]\b.*?(?=<t[dh]\b|$)"), F.lit(0))).alias("place", "c"))
-    opening = F.regexp_extract("c", r"(?is)^<t[dh]\b[^>]*>", 0)
-    bare = X.clean(F.regexp_replace(F.regexp_replace("c", r"(?is)<[^>]*>", " "), "&nbsp;", " "))
-    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
-        bare = F.replace(bare, F.lit(entity), F.lit(sign))
-    cells = cells.select("page_id", "table_index", "row", "place", _attribute(opening, "rowspan").alias("row_span"), _attribute(opening, "colspan").alias("col_span"), bare.alias("text"))
-    size = Window.partitionBy("page_id")
-    cells = cells.withColumn("n", F.sum(F.col("row_span").cast("double") * F.col("col_span")).over(size)).withColumn("spans", F.max((F.col("row_span") > 1) | (F.col("col_span") > 1)).over(Window.partitionBy("page_id", "table_index")))
-    fine = cells.filter(F.col("n") <= most)
-    plain = fine.filter("not spans").select("page_id", "table_index", "row", F.col("place").alias("col"), "row_span", "col_span", "text", F.lit(None).cast("string").alias("error"))
-
-    def place(table: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for r in table.sort_values(["row", "place"]).itertuples():
-            col = 0
-            while (r.row, col) in taken:
-                col += 1
-            spot = {(r.row + i, col + j) for i in range(r.row_span) for j in range(r.col_span)}
-            out.append((r.page_id, r.table_index, r.row, col, r.row_span, r.col_span, r.text, "overlap" if spot & taken else None))
-            taken |= spot
-        return pd.DataFrame(out, columns=["page_id", "table_index", "row", "col", "row_span", "col_span", "text", "error"])
-
-    kind = pages.schema["page_id"].dataType.simpleString()
-    spanned = fine.filter("spans").groupBy("page_id", "table_index").applyInPandas(place, f"page_id {kind}, table_index int, row int, col int, row_span int, col_span int, text string, error string")
-    none = F.lit(None)
-    large = cells.filter(F.col("n") > most).select("page_id").distinct().select("page_id", *[none.cast("int").alias(c) for c in ("table_index", "row", "col", "row_span", "col_span")], none.cast("string").alias("text"), F.lit("too_many_cells").alias("error"))
-    return plain.unionByName(spanned).unionByName(large)
+    page_id = pages.schema["page_id"]
+    schema = T.StructType([page_id, *T.StructType.fromDDL(CELL).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(batch: pa.RecordBatch, of: list[int], rows: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.int32(),) * 5 + (pa.string(),) * 2
+            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), *columns], names=schema.names)
+
+        for batch in batches:
+            of: list[int] = []
+            rows: list[tuple] = []
+            for i, html in enumerate(batch.column(1)):
+                found = table_cells(html.as_py(), most)
+                of += [i] * len(found)
+                rows += found
+                if len(rows) >= CELLS_TOGETHER:
+                    yield made(batch, of, rows)
+                    of, rows = [], []
+            if rows:
+                yield made(batch, of, rows)
+
+    return pages.select("page_id", X.sanitise_html("html").alias("html")).filter(F.contains(F.lower("html"), F.lit("<table"))).mapInArrow(run, schema)
 
 
 @F.udtf(returnType="table_index int, row int, col int, row_span int, col_span int, text string")
 class html_cells:
-    """Table function: the cells of an HTML text's tables, for lateral joins over pages of usual size (``extract_cells`` for whole tables of them)."""
+    """Table function: the cells of an HTML text's tables that have no error, for lateral joins."""
 
     def eval(self, html: str):
-        import html as entities
-        import re
-
-        span = lambda tag, name: int(m[1]) if (m := re.search(rf"""(?i)\b{name}\s*=\s*["']?(\d{{1,5}})""", tag)) else 1
-        for t, table in enumerate(re.findall(r"(?is)<table\b.*?</table\s*>", html or "")):
-            free_from: dict[int, int] = {}  # of each column, the first row that no span from above covers
-            for r, row in enumerate(re.findall(r"(?is)<tr\b.*?(?=<tr\b|</tr\s*>|</table\s*>)", table)):
-                col = 0
-                for cell in re.findall(r"(?is)<t[dh]\b.*?(?=<t[dh]\b|$)", row):
-                    while free_from.get(col, 0) > r:
-                        col += 1
-                    tag = re.match(r"(?is)<t[dh]\b[^>]*>", cell)
-                    rows, cols = (span(tag[0], "rowspan"), span(tag[0], "colspan")) if tag else (1, 1)
-                    yield t, r, col, rows, cols, " ".join(entities.unescape(re.sub(r"(?s)<[^>]*>", " ", cell)).split())
-                    for c in range(col, col + min(cols, 1000)):
-                        free_from[c] = r + rows
-                    col += cols
+        for *cell, error in table_cells(html, 100_000):
+            if error is None:
+                yield tuple(cell)
 
 
 def cell_grid(cells: DataFrame) -> DataFrame:

@@ -45,22 +45,21 @@ def segment_questions(lines: DataFrame) -> DataFrame:
     attached (see ``preambles``). A document without any number gives one record
     over all its lines. Ids may repeat over different numbers; group_no is the key.
     """
-    lines = lines.withColumn("box", G.valid_box("normalized_bbox"))
-    numbered = _numbered(lines)
+    line = lines.withColumn("box", G.valid_box("normalized_bbox")).withColumn("t", X.clean("text")).withColumn("number", F.when(F.col("t") != "", X.question_number("t")))
+    starts, doc = F.col("number").isNotNull().cast("int"), Window.partitionBy("doc_id")
+    line = line.withColumn("group_no", F.sum(starts).over(doc.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum(starts).over(doc))
+    loose = F.col("n") == 0
     part = F.when(F.col("number").isNotNull(), F.coalesce(F.nullif(X.after_number("t"), F.lit("")), F.col("t"))).otherwise(F.col("t"))
-    found = numbered.filter("group_no > 0").withColumn("part", part).groupBy("doc_id", "group_no").agg(F.max("number").alias("display_number"), *_record("seq"))
-    base = X.slug("display_number")
-    base = F.when(base == "q-", F.concat(F.lit("q-"), F.col("group_no"))).otherwise(base)
+    held = line.filter(loose | ((F.col("t") != "") & (F.col("group_no") > 0))).withColumn("part", part).withColumn("group_no", F.when(loose, F.lit(1).cast("long")).otherwise(F.col("group_no")))
+    found = held.groupBy("doc_id", "group_no").agg(F.coalesce(F.max("number"), F.lit("Unnumbered 1")).alias("display_number"), *_record("seq"), F.max("n").alias("n"))
+    base = F.when(loose, "q-unstructured-1").otherwise(X.slug("display_number"))
+    found = found.withColumn("base", F.when(base == "q-", F.concat(F.lit("q-"), F.col("group_no"))).otherwise(base))
     again = F.row_number().over(Window.partitionBy("doc_id", "base").orderBy("group_no"))
-    found = found.withColumn("base", base).withColumn("again", again)
-    found = found.withColumn("question_id", F.when(F.col("again") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", "again"))).drop("base", "again")
-    per_doc = numbered.groupBy("doc_id").agg(F.max("group_no").alias("n")).filter("n > 0")
-    loose = lines.join(per_doc, "doc_id", "left_anti").withColumn("part", X.clean("text")).groupBy("doc_id").agg(*_record("seq"))
-    loose = loose.withColumns({"group_no": F.lit(1).cast("long"), "question_id": F.lit("q-unstructured-1"), "display_number": F.lit("Unnumbered 1")})
+    found = found.withColumn("again", again)
+    found = found.withColumn("question_id", F.when(F.col("again") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", "again"))).drop("base", "again", "n")
     value = X.marks("text")
     return (
-        found.unionByName(loose)
-        .withColumn("marks", value)
+        found.withColumn("marks", value)
         .withColumn("marks_status", F.when(value.isNotNull(), "explicit").otherwise("not_detected"))
         .withColumn("review_status", F.lit("needs_teacher_review"))
         .withColumn("segmentation_source", F.lit("deterministic_ocr_evidence"))

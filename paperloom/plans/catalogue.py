@@ -517,6 +517,17 @@ def wer(spark, sf):
     return _spoiled(spark, sf).select("item_id", X.word_error_rate("e", "a").alias("word_error_rate"))
 
 
+@query(r"""WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS e FROM benchmark), a AS (SELECT item_id, e, flatten(list_transform(e, lambda x, i: CASE WHEN (i + item_id) % 5 = 0 THEN [] WHEN (i + item_id) % 7 = 0 THEN [x, x] WHEN (i + item_id) % 11 = 0 THEN [x || '_'] ELSE [x] END)) AS a FROM w),
+k AS (SELECT item_id, e, a, list_distinct(list_concat(e, a)) AS known FROM a), c AS (SELECT item_id, len(e) AS n, len(known) AS kinds, array_to_string(list_transform(e, lambda x: chr(CAST(32 + list_position(known, x) AS INTEGER))), '') AS e, array_to_string(list_transform(a, lambda x: chr(CAST(32 + list_position(known, x) AS INTEGER))), '') AS a FROM k)
+SELECT item_id, CASE WHEN kinds > 94 THEN error('too many kinds of words for one sign each') ELSE round(levenshtein(e, a) / n, 6) END AS word_error_rate FROM c""")
+def wer_edits(spark, sf):
+    """Words left out, doubled and changed; the SQL gives each kind of word of a pair one ASCII sign."""
+    items = V.table(spark, sf, "benchmark").withColumn("w", F.filter(F.split("text", r"\s+"), lambda x: x != ""))
+    key = lambda i: i + 1 + F.col("item_id")
+    spoiled = F.transform("w", lambda x, i: F.when(key(i) % 5 == 0, F.array().cast("array<string>")).when(key(i) % 7 == 0, F.array(x, x)).when(key(i) % 11 == 0, F.array(F.concat(x, F.lit("_")))).otherwise(F.array(x)))
+    return items.select("item_id", X.word_error_rate("text", F.array_join(F.flatten(spoiled), " ")).alias("word_error_rate"))
+
+
 @query(f"SELECT count(*) AS case_count, round(avg(round(levenshtein(e, a) / length(e), 6)), 6) AS character_error_rate FROM ({CER})")
 def score_report(spark, sf):
     return reports.benchmark_report(cer(spark, sf), ["character_error_rate"])

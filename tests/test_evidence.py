@@ -1,6 +1,8 @@
 import hashlib
 import hmac
 import base64
+import random
+import re
 from datetime import datetime
 
 import pytest
@@ -276,12 +278,65 @@ def test_subscriptions_give_each_pair_once(spark):
     assert sorted(tuple(r) for r in governance.fan_out(events, subs).collect()) == [(1, 1), (2, 1), (2, 2), (3, 1)]
 
 
-def test_word_error_rate_of_very_large_pairs_is_null(spark, monkeypatch):
+def plain_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_word_errors_of_any_length(spark):
+    from paperloom.functions import text as X
+
+    rng = random.Random(1)
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 90))] for _ in range(2))
+        assert X.edits(a, b) == plain_edits(a, b)
+    long = [f"w{i}" for i in range(25_000)]
+    changed = [w for i, w in enumerate(long) if i % 500] + ["more"] * 7
+    some = [rng.choice(long[:40]) for _ in range(1500)], [rng.choice(long[:40]) for _ in range(1400)]
+    pairs = [(" ".join(long), " ".join(long)), (" ".join(long), " ".join(changed)), (" ".join(some[0]), " ".join(some[1])), ("a b c", "a b d"), ("a b", None), ("", "a"), (None, "a"), (" ".join(long), None), (" ".join(long), "")]
+    found = [r[0] for r in spark.createDataFrame(pairs, "e string, a string").select(X.word_error_rate("e", "a")).collect()]
+    assert found == [0.0, round(57 / 25_000, 6), pytest.approx(round(plain_edits(*some) / 1500, 6)), round(1 / 3, 6), 1.0, None, None, 1.0, 1.0]
+
+
+def test_formula_delimiters_go_to_the_last(spark):
     from paperloom.functions import text as X
 
-    monkeypatch.setattr(X, "MOST_WORDS", 3)
-    rows = spark.createDataFrame([("a b c", "a b d"), ("a b", "a c")], "e string, a string").select(X.word_error_rate("e", "a").alias("w"), X.word_error_known("e", "a").alias("k")).collect()
-    assert [tuple(r) for r in rows] == [(None, False), (0.5, True)]
+    formulas = {"$$ x $$": "x", r"\( \[ $ $$ \(\[ y \]\) $$ $ \] \)": "y", "$" * 14 + "z" + "$" * 14: "z", "$a$ + $b$": "a$ + $b", "$": "$", "$$": "", "$$\r\n\\frac{a}{b}\r$$": r"\frac{a}{b}", "(a)": "(a)", "": ""}
+    rows = spark.createDataFrame(list(formulas.items()), "c string, e string").select("c", "e", X.strip_formula("c").alias("s")).collect()
+    assert {r["c"]: r["s"] for r in rows} == formulas
+    assert spark.createDataFrame([(r"\begin{odd} x \end{odd}",)], "c string").select(X.formula_verdict("c", environments=X.MATH_ENVIRONMENTS)).first()[0] == "unsupported_environment"
+
+
+def test_tables_that_cannot_be_are_errors(spark):
+    bad = {
+        "<table><tr><td>a<table><tr><td>b</td></tr></table></td><td>c</td></tr></table>": "malformed", "<table><tr><td>a<td>b</td></tr></table>": "malformed", "<table><td>a</td></table>": "malformed", "<table><tr><td>a": "malformed",
+        "<table><tr><td>a</tr><tr></td></table>": "malformed", "<table><tr><td rowspan=0>a</td></tr></table>": "span", '<table><tr><td colspan="two">a</td></tr></table>': "span", "<table><tr><td colspan=-1>a</td></tr></table>": "span",
+        '<table><tr><td>a</td><td rowspan="2">b</td></tr><tr><td colspan="2">c</td></tr></table>': "overlap", "<table><tr><td rowspan='400' colspan='400'>a</td></tr></table>": "too_many_cells",
+    }
+    for html, why in bad.items():
+        found = reconcile.extract_cells(spark.createDataFrame([(1, html + "<table><tr><td>good &lt;b&gt;</td></tr></table>")], "page_id long, html string")).collect()
+        assert found[0]["error"] == why and found[0]["col"] is None
+        assert [r["text"] for r in found[1:]] == ([] if why == "too_many_cells" or not html.endswith("</table>") else ["good <b>"])
+    none = spark.createDataFrame([(1, None), (2, ""), (3, "<p>x</p>"), (4, "<table></table>")], "page_id long, html string")
+    assert reconcile.extract_cells(none).count() == 0
+
+
+def test_chains_are_verified_wherever_ranges_end(spark):
+    rows = [(t, i, f"h{t}-{i}", None if i == 0 else f"h{t}-{i - 1}" if i % 17 else "broken") for t in (0, 1, None) for i in range(300)]
+    events = spark.createDataFrame(rows, "tenant long, sequence long, event_hash string, previous_hash string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = governance.verify_audit_chain(events.repartition(3))
+        windows = re.findall(r"windowspecdefinition\(tenant#\w+, (\w+)#", found._jdf.queryExecution().toString())
+        assert windows and set(windows) == {"range_of_its_own"}  # none over a whole chain
+        bad = {(r["tenant"], r["sequence"], r["expected_previous"]) for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert bad == {(t, i, f"h{t}-{i - 1}") for t, i, _, previous in rows if previous == "broken"}
 
 
 def test_spans_that_fill_a_worker_are_an_error(spark):
