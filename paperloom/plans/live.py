@@ -8,6 +8,7 @@ from paperloom.operators import governance, reconcile
 from paperloom.plans import views as V
 from paperloom.plans.catalogue import ORACLES, QUERIES, STATUS, SUBSCRIPTIONS, _event_files, _scratch, query
 from paperloom.streaming import events as stream
+from paperloom.streaming import ordered
 
 
 def _run(df, **options):
@@ -50,6 +51,34 @@ def lease_stream(spark, sf):
     return _run(stream.expired_leases_stream(e), close=True)
 
 
+PASSED = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 DAY FROM events)"
+
+
+@query("SELECT event_id, key, outcome FROM (" + ORACLES["idempotent_replay"].replace("SELECT event_id, key, CASE", "SELECT ts, event_id, key, CASE") + f") WHERE ts <= {PASSED}")
+def idempotent_in_order(spark, sf):
+    """Requests judged in event time: those that the watermark has passed."""
+    k = F.get_json_object("props", "$.k")
+    e = _event_files(spark, sf).select(F.concat_ws("|", F.col("user_id").cast("string"), "event_type", k).alias("key"), "event_id", F.sha2(F.floor("value").cast("string"), 256).alias("request_hash"), F.col("ts").cast("timestamp").alias("ts"))
+    return _run(ordered.idempotent_in_order(e, kept_ms=None), close=True, state=ordered.ROCKSDB).select("event_id", "key", "outcome")
+
+
+@query("SELECT resource_id, event_id, from_status, to_status FROM (" + ORACLES["status_stream"].replace("SELECT user_id AS resource_id,", "SELECT ts, user_id AS resource_id,") + f") WHERE ts <= {PASSED}")
+def status_in_order(spark, sf):
+    """Status changes judged in event time: those that the watermark has passed."""
+    allowed = {(a, b) for a, to in governance.TRANSITIONS["review_task"].items() for b in to}
+    e = _event_files(spark, sf).select(F.col("user_id").cast("string").alias("resource_id"), "event_id", F.expr(STATUS).alias("status"), F.col("ts").cast("timestamp").alias("ts"))
+    return _run(ordered.status_in_order(e, allowed, kept_ms=None), close=True, state=ordered.ROCKSDB).select(F.col("resource_id").cast("long").alias("resource_id"), "event_id", "from_status", "to_status")
+
+
+@query(f"""WITH e AS (SELECT user_id, event_id, ts, event_type IN ('view', 'click') AS claimed, date_trunc('second', ts) + INTERVAL 1 HOUR AS until, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS later FROM events)
+SELECT CAST(user_id AS VARCHAR) AS job_id, 'queued' AS status, CAST(epoch(until) AS BIGINT) * 1000 AS lease_until FROM e WHERE claimed AND until <= {PASSED} AND (later IS NULL OR later > until)""")
+def leases_in_order(spark, sf):
+    """Every lease that ended, in event time, before its job's next event."""
+    until = (F.unix_seconds(F.col("ts").cast("timestamp")) + 3600) * 1000
+    e = _event_files(spark, sf).select(F.col("user_id").cast("string").alias("job_id"), "event_id", F.when(F.col("event_type").isin("view", "click"), "claimed").otherwise("done").alias("status"), F.col("ts").cast("timestamp").alias("ts"), until.alias("lease_until"))
+    return _run(ordered.leases_in_order(e, "1 day"), close=True, state=ordered.ROCKSDB)
+
+
 @query("SELECT page_id, row, col, text FROM (SELECT page_id, unnest([0, 0, 1, 1, 1]) AS row, unnest([0, 2, 0, 1, 2]) AS col, unnest(['head', 'url', 'a', 'b', 'c']) AS text FROM pages)")
 def cells_lateral(spark, sf):
     """Cells with spans from a table function, joined laterally."""

@@ -6,6 +6,7 @@ Each operator has a batch twin among the operators; on the same events they agre
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from paperloom.operators.governance import fan_out
+from paperloom.streaming.ordered import ROCKSDB, FirstEvidence
 
 
 def event_stream(spark: SparkSession, path: str, schema: T.StructType, files: int = 64) -> DataFrame:
@@ -55,25 +57,35 @@ def validate_sync(events: DataFrame) -> DataFrame:
 def ingest_sync(events: DataFrame, target: str, checkpoint: str):
     """Starts a stream that appends each batch's new evidence (by hash, once) and its rejected events to Parquet tables below ``target``; safe to run again.
 
-    Evidence is partitioned by batch and a batch that is repeated overwrites its
-    own partition, so a retry adds nothing twice.
+    Which hashes have been there is state in RocksDB, so a batch reads nothing of
+    what is stored. Evidence is partitioned by batch and a batch that is repeated
+    overwrites its own partition, so a retry adds nothing twice.
     """
+    judged = validate_sync(events).select(*FirstEvidence.columns)
+    kinds = ", ".join(f"{c} {judged.schema[c].dataType.simpleString()}" for c in FirstEvidence.columns)
+    fresh = judged.groupBy("resource_id", "evidence_hash").transformWithStateInPandas(statefulProcessor=FirstEvidence(), outputStructType=kinds, outputMode="Append", timeMode="None")
 
     def store(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        judged = validate_sync(batch).persist()
-        fresh = judged.filter("verdict = 'ok'").groupBy("resource_id", "evidence_hash").agg(F.min_by("evidence", F.struct("occurred_at", "event_id")).alias("evidence"), F.min("occurred_at").alias("occurred_at"))
-        try:
-            seen = spark.read.parquet(f"{target}/evidence").filter(F.col("epoch") != epoch).select("resource_id", "evidence_hash")
-            fresh = fresh.join(seen, ["resource_id", "evidence_hash"], "left_anti")
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        fresh.write.mode("overwrite").parquet(f"{target}/evidence/epoch={epoch}")
-        judged.filter("verdict <> 'ok'").select("event_id", "verdict").write.mode("overwrite").parquet(f"{target}/rejected/epoch={epoch}")
-        judged.unpersist()
-
-    return events.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        batch = batch.persist()
+        batch.filter("verdict = 'ok'").select("resource_id", "evidence_hash", "evidence", "occurred_at").write.mode("overwrite").parquet(f"{target}/evidence/epoch={epoch}")
+        batch.filter("verdict <> 'ok'").select("event_id", "verdict").write.mode("overwrite").parquet(f"{target}/rejected/epoch={epoch}")
+        batch.unpersist()
+
+    with _state_in(events.sparkSession, ROCKSDB):
+        return fresh.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+@contextmanager
+def _state_in(spark: SparkSession, provider: str | None):
+    """Streams that start meanwhile keep their state there; the setting is put back afterwards."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    if provider:
+        spark.conf.set(name, provider)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def _rows(batches: Iterator[pd.DataFrame], *order: str) -> list:
@@ -140,13 +152,14 @@ def status_timeline(events: DataFrame, allowed: set[tuple[str, str]], kept_ms: i
     return events.groupBy("resource_id").applyInPandasWithState(follow, "resource_id string, event_id long, from_status string, to_status string", "status string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def run_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append", close: bool = False) -> DataFrame:
-    """Runs a stream over all that is there now into a Parquet table, and reads that table. With ``close`` a last batch without data brings out what the watermark has passed."""
+def run_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append", close: bool = False, state: str | None = None) -> DataFrame:
+    """Runs a stream over all that is there now into a Parquet table, and reads that table. With ``close`` a last batch without data brings out what the watermark has passed; ``state`` names the provider of its state."""
     conf, key = df.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
     before = conf.get(key)
     conf.set(key, str(close).lower())  # a processing-time timeout asks for one more batch for ever
     try:
-        query = df.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        with _state_in(df.sparkSession, state):
+            query = df.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     finally:
         conf.set(key, before)
     query.awaitTermination()
