@@ -6,6 +6,7 @@ Every spatial join is an equi-join on document and page (and table) first.
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 from collections.abc import Iterator
 
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 from paperloom.functions import geometry as G
 from paperloom.functions import text as X
 from paperloom.operators.similarity import duplicate_header_ratio, multiset_coverage
+from paperloom.sources.staging import staged
 
 QUALITY_TOKEN = r"[A-Za-z]{3,}"
 
@@ -444,22 +446,80 @@ def correct_spelling(tokens: DataFrame, unigrams: DataFrame, least: int = 5000,
     return best.filter((F.col("n") >= F.col("next_n") * dominance) & (F.col("n") >= F.coalesce("own_n", F.lit(0)) * dominance)).select("token", F.col("word").alias("corrected"))
 
 
+#: Short words that a joined word may hold.
+SHORT_WORDS = ("a", "i", "of", "to", "in", "on", "at", "by", "or", "as", "is", "it", "an", "be")
+#: Letters of a token that may be words joined, of one of its words at most, and words in it at most.
+JOINED, LONGEST_WORD, MOST_JOINED = 12, 24, 5
+#: Frequencies (logarithm to base ten, of a billion words): a word that parts may be, a token that is none; and how far the best parting has to be ahead of the next.
+WORD_LEVEL, UNKNOWN_LEVEL, AHEAD = 3.0, 1.5, 2.5
+
+
+def split_joined(tokens: DataFrame, unigrams: DataFrame, bigrams: DataFrame) -> DataFrame:
+    """token, suggested, score and taken of distinct tokens (token) that words joined: the best parting into two to five known words (``unigrams``: word, n) each two of which are known to stand together (``bigrams``: first, second, n).
+
+    A parting's score adds its words' levels and, for each two, a quarter of
+    log(1 + n). It is taken where no other comes within ``AHEAD`` of it, else it
+    is for a reviewer. Partings grow word by word through joins; of those that
+    end with the same word at the same place, the best two go on, as what may
+    follow depends on nothing else.
+    """
+    total = float(unigrams.agg(F.coalesce(F.sum("n"), F.lit(1))).first()[0])
+    level = lambda n: F.log10(n) + 9 - F.lit(math.log10(total))
+    known = unigrams.select("word", level(F.col("n")).alias("level"))
+    own = tokens.select("token").distinct().filter(F.col("token").rlike(rf"^[a-z]{{{JOINED},}}$")).join(known.select(F.col("word").alias("token"), F.col("level").alias("own_level")), "token", "left")
+    asked = staged(own.filter(F.coalesce("own_level", F.lit(0.0)) < UNKNOWN_LEVEL).select("token"))
+    begins = asked.select("token", F.explode(F.sequence(F.lit(0), F.length("token") - 1)).alias("a"))
+    spots = begins.select("token", "a", F.explode(F.sequence(F.col("a") + 1, F.least(F.length("token"), F.col("a") + LONGEST_WORD))).alias("b"))
+    spots = spots.withColumn("word", F.col("token").substr(F.col("a") + 1, F.col("b") - F.col("a")))
+    short = F.col("word").isin(*SHORT_WORDS)
+    parts = staged(spots.filter((F.length("word") >= 3) | short).join(known, "word").filter(short | (F.col("level") >= WORD_LEVEL)))
+    after = parts.select("token", F.col("a").alias("b"), F.col("b").alias("c"), F.col("word").alias("second"), F.col("level").alias("second_level"))
+    links = parts.select("token", "a", "b", F.col("word").alias("first")).join(after, ["token", "b"]).join(bigrams.select("first", "second", "n").filter("n > 0"), ["first", "second"])
+    links = staged(links.select("token", "a", "b", "c", "second", (F.col("second_level") + F.log1p("n") / 4).alias("more")))
+    paths = parts.filter("a = 0").select("token", "a", "b", F.col("level").alias("score"), F.col("word").alias("suggested"))
+    whole = []
+    for _ in range(MOST_JOINED - 1):
+        longer = paths.join(links, ["token", "a", "b"]).select("token", F.col("b").alias("a"), F.col("c").alias("b"), (F.col("score") + F.col("more")).alias("score"), F.concat_ws(" ", "suggested", "second").alias("suggested"))
+        best = Window.partitionBy("token", "a", "b").orderBy(F.desc("score"), "suggested")
+        paths = longer.withColumn("r", F.row_number().over(best)).filter("r <= 2").drop("r")
+        whole.append(paths.filter(F.col("b") == F.length("token")).select("token", "score", "suggested"))
+    found = whole[0]
+    for more in whole[1:]:
+        found = found.unionByName(more)
+    order = Window.partitionBy("token").orderBy(F.desc("score"), "suggested")
+    first = found.withColumn("next", F.lead("score").over(order)).withColumn("r", F.row_number().over(order)).filter("r = 1")
+    return first.select("token", "suggested", "score", (F.col("next").isNull() | (F.col("score") >= F.col("next") + AHEAD)).alias("taken"))
+
+
 #: A line's words, with inner apostrophes and hyphens, and what lies between them.
 PIECES = r"[A-Za-z]+(?:['-][A-Za-z]+)*|[^A-Za-z]+"
+#: Fixed value: the words before which an expression with an equals sign ends.
+EXPRESSION = r"(?i)^(.*?)((?:[A-Za-z][A-Za-z0-9_]*\s*)?=.*?)(?=\s+(?:at|where|when|for|and|or|but|with|from|on)\s+[A-Za-z]|$)"
 #: A correction's neighbours must speak for it by this factor where they speak for the word as it stands.
 CONTEXT_GAIN = 3.0
 
 
-def correct_lines(lines: DataFrame, spelling: DataFrame, bigrams: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _pieces(text: Column) -> Column:
+    """A line's pieces; an expression, from the name before its equals sign (else from the line's start) on, is one."""
+    whole, before = F.regexp_extract(text, EXPRESSION, 0), F.regexp_extract(text, EXPRESSION, 1)
+    named = F.regexp_extract(text, EXPRESSION, 2).rlike("^[A-Za-z]")
+    start = F.when(named, F.length(before)).otherwise(0)
+    cut = lambda c: F.regexp_extract_all(c, F.lit(PIECES), F.lit(0))
+    parted = F.concat(cut(F.substring(text, F.lit(1), start)), F.array(F.substring(text, start + 1, F.length(whole) - start)), cut(F.substring(text, F.length(whole) + 1, F.length(text))))
+    return F.when(F.contains(text, F.lit("=")), parted).otherwise(cut(text))
+
+
+def correct_lines(lines: DataFrame, spelling: DataFrame, bigrams: DataFrame, joined: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Corrected lines (doc_id, line_id, original, text, confidence), and the corrections that are left to a reviewer (doc_id, line_id, place, token, suggested).
 
     ``spelling`` (token, corrected) proposes for words in lower case; ``bigrams``
     (first, second, n) tell how often two words stand together. Where a word's
     neighbours already speak for it, the proposal has to be three times as likely
-    beside them (in the sum of logarithms), or it is only a review. Lines with an
-    equals sign stay as they are.
+    beside them (in the sum of logarithms), or it is only a review. ``joined``
+    (see ``split_joined``) parts words that were joined, or proposes it. The
+    expression around an equals sign stays as it is.
     """
-    cut = lines.filter(~F.contains("text", F.lit("="))).select("doc_id", "line_id", F.col("text").alias("original"), F.regexp_extract_all("text", F.lit(PIECES), F.lit(0)).alias("pieces"))
+    cut = lines.select("doc_id", "line_id", F.col("text").alias("original"), _pieces(F.col("text")).alias("pieces"))
     each = cut.select("doc_id", "line_id", "pieces", F.posexplode("pieces").alias("place", "token"))
     is_word = lambda w: w.rlike("^[A-Za-z]")
     earlier = lambda i: F.filter(F.slice("pieces", F.lit(1), i), is_word)
@@ -472,8 +532,12 @@ def correct_lines(lines: DataFrame, spelling: DataFrame, bigrams: DataFrame) ->
     stands = F.coalesce("s1", F.lit(0.0)) + F.coalesce("s2", F.lit(0.0))
     speaks = F.coalesce("c1", F.lit(0.0)) + F.coalesce("c2", F.lit(0.0))
     better = speaks > stands + F.log(F.lit(CONTEXT_GAIN))
-    judged = found.withColumn("better", better).withColumn("taken", (stands == 0) | better)
-    taken = judged.filter("taken").groupBy("doc_id", "line_id").agg(F.map_from_entries(F.collect_list(F.struct("place", "corrected"))).alias("new"), F.min(F.when(F.col("better"), 0.95).otherwise(0.9)).alias("confidence"))
+    judged = found.select("doc_id", "line_id", "place", "token", "corrected", F.when(better, 0.95).otherwise(0.9).alias("sure"), ((stands == 0) | better).alias("taken"))
+    if joined is not None:
+        parted = each.join(joined.select("token", F.col("suggested").alias("corrected"), "taken"), "token").select("doc_id", "line_id", "place", "token", "corrected", F.lit(0.97).alias("sure"), "taken")
+        # a token is parted or respelled, not both
+        judged = judged.join(parted.filter("taken").select("doc_id", "line_id", "place"), ["doc_id", "line_id", "place"], "left_anti").unionByName(parted)
+    taken = judged.filter("taken").groupBy("doc_id", "line_id").agg(F.map_from_entries(F.collect_list(F.struct("place", "corrected"))).alias("new"), F.min("sure").alias("confidence"))
     text = F.array_join(F.transform("pieces", lambda w, i: F.coalesce(F.try_element_at("new", i), w)), "")
     corrected = cut.join(taken, ["doc_id", "line_id"]).select("doc_id", "line_id", "original", text.alias("text"), "confidence")
     return corrected, judged.filter("not taken").select("doc_id", "line_id", "place", "token", F.col("corrected").alias("suggested"))

@@ -135,21 +135,49 @@ def header_consensus(lines: DataFrame) -> DataFrame:
     """
     top = lines.withColumn("t", F.trim("text")).filter((F.coalesce(F.get("normalized_bbox", F.lit(1)), F.lit(1.0)) < 0.25) & F.length("t").between(8, 100))
     top = top.withColumn("bare", F.lower(F.regexp_replace("t", r"(?U)\W+", ""))).select("doc_id", "page_number", "seq", "t", "bare", "confidence")
-    spellings = top.groupBy("doc_id", "page_number", "t", "bare").agg(F.count("*").alias("n"), F.max("confidence").alias("sure"))
-    a = spellings.select("doc_id", F.col("page_number").alias("p1"), F.col("t").alias("t1"), F.col("bare").alias("b1"))
-    b = spellings.select("doc_id", F.col("page_number").alias("p2"), F.col("t").alias("t2"), F.col("bare").alias("b2"), "n", "sure")
-    # a ratio of 0.84 bounds the lengths: twice the shorter by the sum
-    near = 2 * F.least(F.length("b1"), F.length("b2")) >= 0.84 * (F.length("b1") + F.length("b2"))
-    met = a.join(b, "doc_id").filter((F.col("p1") != F.col("p2")) & near)
-    pairs = duplicate_header_ratio(met.select("b1", "b2").distinct(), "b1", "b2").filter("ratio >= 0.84")
-    votes = met.join(pairs, ["b1", "b2"]).groupBy("doc_id", "p1", "t1", "t2").agg(F.sum("n").alias("votes"), F.max("sure").alias("sure"))
+    on_page = staged(top.groupBy("doc_id", "page_number", "t", "bare").agg(F.count("*").alias("n"), F.max("confidence").alias("sure")))
+    # what a spelling has on other pages: its sum less this page's, and the surest page or, where that is this one, the next
+    order = Window.partitionBy("doc_id", "t").orderBy(F.desc_nulls_last("sure"), "page_number")
+    surest = on_page.withColumn("r", F.row_number().over(order)).withColumn("second", F.lead("sure").over(order)).filter("r = 1").select("doc_id", "t", F.col("page_number").alias("sure_page"), "sure", "second")
+    all_pages = on_page.groupBy("doc_id", "t", "bare").agg(F.sum("n").alias("total")).join(surest, ["doc_id", "t"]).select("doc_id", F.col("t").alias("t2"), F.col("bare").alias("b2"), "total", "sure_page", "sure", "second")
+    each = on_page.select("doc_id", F.col("page_number").alias("p1"), F.col("t").alias("t1"), F.col("bare").alias("b1"))
+    met = each.join(similar_spellings(on_page.select("doc_id", "bare").distinct()), ["doc_id", "b1"]).join(all_pages, ["doc_id", "b2"])
+    here = on_page.select("doc_id", F.col("page_number").alias("p1"), F.col("t").alias("t2"), F.col("n").alias("here"))
+    votes = met.join(here, ["doc_id", "p1", "t2"], "left").withColumn("votes", F.col("total") - F.coalesce("here", F.lit(0))).filter("votes > 0")
+    votes = votes.withColumn("sure", F.when(F.col("sure_page") == F.col("p1"), F.col("second")).otherwise(F.col("sure")))
     best = votes.groupBy("doc_id", "p1", "t1").agg(F.max_by(F.struct("t2", "votes", "sure"), F.struct("votes", "sure", "t2")).alias("w"))
     out = top.join(best.select("doc_id", F.col("p1").alias("page_number"), F.col("t1").alias("t"), "w"), ["doc_id", "page_number", "t"])
     return out.filter("w.t2 <> t and w.votes >= 2 and w.sure >= confidence").select("doc_id", "page_number", "seq", F.col("t").alias("original"), F.col("w.t2").alias("corrected"), F.col("w.votes").alias("votes"))
 
 
-DIMENSIONS = 128
-TOKEN = r"(?U)[\w'-]{2,}"
+#: Least ratio of two spellings of one header.
+SAME_HEADER = 0.84
+
+
+def similar_spellings(spellings: DataFrame, least: float = SAME_HEADER) -> DataFrame:
+    """doc_id, b1 and b2: the pairs of a document's spellings (doc_id, bare) whose ratio is ``least`` or more, in both orders, each with itself too.
+
+    Matching blocks hold no more characters than two texts share, counted with
+    repeats. So for a ratio r of texts of lengths a and b they share r(a+b)/2 of
+    them, at least r a / (2 - r): two such texts have one in common among the
+    rarest of each, all but that many, and only those meet; of those, the ones
+    that share enough in all go on to the ratio.
+    """
+    known = spellings.filter("bare <> ''")
+    signs = known.select("doc_id", "bare", F.explode(F.split("bare", "")).alias("sign")).groupBy("doc_id", "bare", "sign").agg(F.count("*").alias("k"))
+    signs = staged(signs.select("doc_id", "bare", "sign", F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))).alias("nth")))
+    rarity = signs.groupBy("sign", "nth").agg(F.count("*").alias("held"))
+    place = F.row_number().over(Window.partitionBy("doc_id", "bare").orderBy("held", "sign", "nth"))
+    shared = F.ceil(F.length("bare") * (least / (2 - least)) - 1e-9)
+    placed = signs.join(rarity, ["sign", "nth"]).withColumn("place", place)
+    all_signs = signs.groupBy("doc_id", "bare").agg(F.collect_list(F.concat("sign", "nth")).alias("signs"))  # 100 at most
+    rare = staged(placed.filter(F.col("place") <= F.length("bare") - shared + 1).select("doc_id", "bare", "sign", "nth").join(all_signs, ["doc_id", "bare"]))
+    other = rare.select("doc_id", F.col("bare").alias("b2"), "sign", "nth", F.col("signs").alias("s2"))
+    both = F.length("b1") + F.length("b2")
+    near = (2 * F.least(F.length("b1"), F.length("b2")) >= least * both) & (2 * F.size(F.array_intersect("signs", "s2")) >= least * both)
+    met = rare.withColumnRenamed("bare", "b1").join(other, ["doc_id", "sign", "nth"]).filter((F.col("b1") != F.col("b2")) & near).select("doc_id", "b1", "b2").distinct()
+    pairs = duplicate_header_ratio(met, "b1", "b2").filter(F.col("ratio") >= least).select("doc_id", "b1", "b2")
+    return pairs.unionByName(spellings.select("doc_id", F.col("bare").alias("b1"), F.col("bare").alias("b2")))
 
 
 def dense_vectors(texts: DataFrame, key: str = "doc_id") -> DataFrame:

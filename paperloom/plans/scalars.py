@@ -210,3 +210,27 @@ def spelling_in_lines(spark, sf):
     lines = V.table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("item_id").alias("line_id"), F.replace("text", F.lit("e"), F.lit("c")).alias("text"))
     corrected, reviews = reconcile.correct_lines(lines, spelled, bigrams)
     return corrected.select(F.col("doc_id").alias("item_id"), F.lit("line").alias("kind"), F.sha2("text", 256).alias("text_hash"), "confidence").union(reviews.select("doc_id", F.lit("review"), F.sha2(F.concat("token", F.lit(">"), "suggested"), 256), F.lit(None).cast("double")))
+
+
+@query(r"""WITH RECURSIVE ws AS (SELECT regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z]+') AS w FROM documents), u AS (SELECT word, log10(n) + 9 - log10(sum(n) OVER ()) AS level FROM (SELECT unnest(w) AS word, count(*) AS n FROM ws GROUP BY 1)),
+b AS (SELECT w[i] AS first, w[i + 1] AS second, count(*) AS n FROM (SELECT w, unnest(range(1, len(w))) AS i FROM ws) GROUP BY ALL), j AS (SELECT regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z]+') AS w FROM benchmark),
+t AS (SELECT DISTINCT w[i] || w[i + 1] AS token FROM (SELECT w, unnest(range(1, len(w))) AS i FROM j) WHERE length(w[i] || w[i + 1]) >= 12), a AS (SELECT token FROM t LEFT JOIN u ON word = token WHERE coalesce(level, 0) < 1.5),
+s AS (SELECT token, a, unnest(range(a + 1, least(length(token), a + 24) + 1)) AS b FROM (SELECT token, unnest(range(length(token))) AS a FROM a)), x AS (SELECT token, a, b, substr(token, a + 1, b - a) AS word FROM s),
+e AS (SELECT token, a, b, word, level FROM x JOIN u USING (word) WHERE word IN ('a', 'i', 'of', 'to', 'in', 'on', 'at', 'by', 'or', 'as', 'is', 'it', 'an', 'be') OR (length(word) >= 3 AND level >= 3)),
+l AS (SELECT e.token, e.b, f.b AS c, e.word AS first, f.word AS second, f.level + ln(1 + n) / 4 AS more FROM e JOIN e f ON f.token = e.token AND f.a = e.b JOIN b ON b.first = e.word AND b.second = f.word),
+p AS (SELECT token, b, word AS last, level AS score, word AS suggested, 1 AS k FROM e WHERE a = 0 UNION ALL SELECT p.token, l.c, l.second, p.score + l.more, p.suggested || ' ' || l.second, p.k + 1 FROM p JOIN l ON l.token = p.token AND l.b = p.b AND l.first = p.last WHERE k < 5),
+r AS (SELECT token, suggested, score, lead(score) OVER o AS next, row_number() OVER o AS r FROM p WHERE k >= 2 AND b = length(token) WINDOW o AS (PARTITION BY token ORDER BY score DESC, suggested))
+SELECT token, suggested, round(score, 6) AS score, next IS NULL OR score >= next + 2.5 AS taken FROM r WHERE r = 1""")
+def joined_words(spark, sf):
+    """Neighbouring words of the items, joined, and parted again by what the documents know; the SQL goes through every parting."""
+    words = lambda name: V.table(spark, sf, name).select(F.regexp_extract_all(X.fold("text"), F.lit("[a-z]+"), F.lit(0)).alias("w"))
+    known, pairs = _spoken(words("documents"))
+    each = words("benchmark").select(F.explode(F.zip_with("w", F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.concat(a, b))).alias("token"))
+    return reconcile.split_joined(each.filter("token is not null"), known, pairs).withColumn("score", F.round("score", 6))
+
+
+def _spoken(texts):
+    """How often each word, and each two neighbouring words, stand in the texts (w: array of words)."""
+    known = texts.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    two = F.zip_with("w", F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.struct(a.alias("first"), b.alias("second")))
+    return known, texts.select(F.explode(two).alias("p")).filter("p.second is not null").groupBy("p.first", "p.second").agg(F.count("*").alias("n"))

@@ -1,6 +1,7 @@
 import hashlib
 import hmac
 import base64
+import math
 import random
 import re
 from datetime import datetime
@@ -349,3 +350,66 @@ def test_manifest_tree_is_as_deep_as_the_count_asks(spark):
     one, two = (datasets.release_manifest(x).first() for x in (items, items.repartition(3)))
     assert one == two and one["item_count"] == 70_000 and one["releasable"] and one["n_train"] + one["n_test"] + one["n_validation"] == 70_000
     assert datasets.release_manifest(items.limit(0)).first()["releasable"] is False
+
+
+def test_header_votes_equal_those_of_all_pairs_of_pages(spark):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(11)
+    kinds = ["Physics Paper One", "Annual Examination 2024", "Question Booklet A", "--------", "Answer all questions!"]
+    noisy = lambda t: "".join(rng.choice("xlo1 ") if rng.random() < 0.06 else c for c in t)
+    rows = [(d, 10 * p + i, f"l{d}-{p}-{i}", p, noisy(rng.choice(kinds)) if rng.random() < 0.6 else rng.choice(kinds), rng.randint(5, 9) / 10, [0.1, 0.05, 0.9, 0.1]) for d in (1, 2) for p in range(18) for i in range(3)]
+    found = {tuple(r) for r in similarity.header_consensus(spark.createDataFrame(rows, LINE).repartition(3)).collect()}
+    bare = lambda t: re.sub(r"\W+", "", t).lower()
+    top = [(d, p, seq, t.strip(), c) for d, seq, _, p, t, c, _ in rows if 8 <= len(t.strip()) <= 100]
+    expected = set()
+    for d, p, seq, t, c in top:
+        votes: dict = {}
+        for d2, p2, _, t2, c2 in top:
+            if d2 == d and p2 != p and SequenceMatcher(None, bare(t), bare(t2)).ratio() >= 0.84:
+                n, sure = votes.get(t2, (0, 0))
+                votes[t2] = (n + 1, max(sure, c2))
+        if votes:
+            n, sure, t2 = max((n, sure, t2) for t2, (n, sure) in votes.items())
+            if t2 != t and n >= 2 and sure >= c:
+                expected.add((d, p, seq, t, t2, n))
+    assert found == expected and len(expected) > 10
+
+
+def test_headers_of_a_very_long_document(spark):
+    """5,000 pages of one document: their common headers, and one on each page that no other has."""
+    rng = random.Random(12)
+    own = ["".join(rng.sample("abcdefghijklmnopqrstuvwxyz0123456789", 24)) for _ in range(5000)]
+    near = similarity.similar_spellings(spark.createDataFrame([(1, x) for x in own[:1500]], "doc_id long, bare string")).collect()
+    assert {(r["b1"], r["b2"]) for r in near} == {(x, x) for x in own[:1500]}
+    texts = ["Annual report of the ministry", "Annual rep0rt of the ministry", "Annual report of the rninistry"]
+    rows = [(1, p, f"l{p}", p, texts[0] if p % 50 else texts[1 + p // 50 % 2], 0.9 if p % 50 else 0.5, [0.1, 0.05, 0.9, 0.1]) for p in range(5000)]
+    found = similarity.header_consensus(spark.createDataFrame(rows, LINE)).collect()
+    assert len(found) == 100 and {r["corrected"] for r in found} == {texts[0]} and {r["votes"] for r in found} == {4900}
+
+
+def test_joined_words_are_parted(spark):
+    words = [("the", 50_000), ("quick", 900), ("brown", 800), ("quickbrown", 1), ("answer", 5000), ("question", 4000), ("quest", 400), ("ion", 300), ("in", 90_000), ("international", 700), ("inter", 50), ("national", 900), ("recieve", 2)]
+    pairs = [("answer", "the", 40), ("the", "question", 90), ("the", "quest", 1), ("quest", "ion", 1), ("quick", "brown", 30), ("inter", "national", 5)]
+    u, b = spark.createDataFrame(words, "word string, n long"), spark.createDataFrame(pairs, "first string, second string, n long")
+    tokens = spark.createDataFrame([("answerthequestion",), ("answerthequestion",), ("international",), ("zzzzzzzzzzzzzz",), ("thequick",), ("Answerthequestion",), (None,)], "token string")
+    found = {r["token"]: (r["suggested"], r["taken"]) for r in reconcile.split_joined(tokens, u, b).collect()}
+    assert set(found) == {"answerthequestion"}
+    words_of = {"answerthequestion": ["answer the question", "answer the quest ion"]}
+    total = sum(n for _, n in words)
+    level = lambda w: math.log10(dict(words)[w]) + 9 - math.log10(total)
+    score = lambda t: sum(map(level, t.split())) + sum(math.log1p(n) / 4 for a, c in zip(t.split(), t.split()[1:]) for x, y, n in pairs if (x, y) == (a, c))
+    one, two = sorted(words_of["answerthequestion"], key=score, reverse=True)
+    assert found["answerthequestion"] == (one, score(one) >= score(two) + reconcile.AHEAD)
+    assert reconcile.split_joined(tokens.limit(0), u, b).count() == 0
+
+
+def test_lines_keep_their_expressions(spark):
+    spelling = spark.createDataFrame([("forcc", "force"), ("mascs", "mass")], "token string, corrected string")
+    joined = spark.createDataFrame([("answerthequestion", "answer the question", True), ("quickbrownfoxes", "quick brown foxes", False)], "token string, suggested string, taken boolean")
+    texts = ["the forcc is forcc = mascs a where mascs counts", "= forcc mascs", "forcc answerthequestion here", "quickbrownfoxes run", "plain"]
+    lines = spark.createDataFrame([(1, str(i), t) for i, t in enumerate(texts)], "doc_id long, line_id string, text string")
+    none = spark.createDataFrame([], "first string, second string, n long")
+    corrected, reviews = reconcile.correct_lines(lines, spelling, none, joined)
+    assert {r["line_id"]: (r["text"], r["confidence"]) for r in corrected.collect()} == {"0": ("the force is forcc = mascs a where mass counts", 0.9), "2": ("force answer the question here", 0.9)}
+    assert [(r["line_id"], r["token"], r["suggested"]) for r in reviews.collect()] == [("3", "quickbrownfoxes", "quick brown foxes")]
