@@ -88,23 +88,52 @@ def ranked_pairs(pairs: DataFrame, most: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "left_key", "right_key")))
 
 
+#: Words of a source, its rarest, that find its first objectives, and how many times k of those are scored.
+FIRST_WORDS, FIRST_FOUND = 16, 10
+
+
 def suggest_mappings(sources: DataFrame, objectives: DataFrame, k: int = 10, pattern: str = r"[A-Za-z0-9]{3,}") -> DataFrame:
     """source_id, objective_id, score, rank and terms: each source's ``k`` objectives of most shared words (Jaccard), drafts only.
 
-    Goes through the words' 64-bit hashes: a word meets the objectives that have
-    it, sizes travel along, and partial counts are combined before the shuffle;
-    sources meet no objective with which they share none. The words themselves
-    are looked at for the pairs that are kept only.
+    An exact top-k join that does not meet every objective that shares a word.
+    Words are ordered by how few objectives hold them. The rarest of a source
+    find first objectives, whose exact scores give each source a score that its
+    k-th objective cannot be below. For that score an objective of a given size
+    has to share so many words that one of them stands early in the source's
+    order: only such meetings are made, and scored on the words' 64-bit hashes.
+    The words themselves are looked at for the pairs that are kept only.
     """
     words = lambda df, key: df.select(key, F.array_distinct(X.tokens("text", pattern)).alias("words"))
+    hashed = lambda df, key, n, h: df.select(key, F.size("words").alias(n), F.array_sort(F.transform("words", lambda w: F.xxhash64(w))).alias(h)).filter(F.col(n) > 0)
     s, o = words(sources, "source_id"), words(objectives, "objective_id")
-    each = lambda w, key, n: w.select(key, F.size("words").alias(n), F.explode("words").alias("word")).select(key, n, F.xxhash64("word").alias("h"))
-    met = each(s, "source_id", "a").join(each(o, "objective_id", "b"), "h").groupBy("source_id", "objective_id", "a", "b").agg(F.count("*").alias("both"))
-    scored = met.withColumn("raw", F.col("both") / (F.col("a") + F.col("b") - F.col("both")))
-    rank = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("raw"), "objective_id"))
-    best = staged(scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("source_id", "objective_id", "raw", "rank"))
-    shown = best.join(s.withColumnRenamed("words", "x"), "source_id").join(o.withColumnRenamed("words", "y"), "objective_id")
-    terms = F.slice(F.array_sort(F.array_intersect("x", "y")), 1, 12)
+    left, right = staged(hashed(s, "source_id", "a", "sh")), staged(hashed(o, "objective_id", "b", "oh"))
+    posted = right.select("objective_id", "b", F.explode("oh").alias("h"))
+    each = left.select("source_id", "a", F.explode("sh").alias("h"))
+    held = posted.join(each.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.count("*").alias("held"))
+    place = F.row_number().over(Window.partitionBy("source_id").orderBy(F.coalesce("held", F.lit(0)), "h"))
+    # words that no objective holds come first and meet none
+    each = staged(each.join(held, "h", "left").withColumn("place", place).filter("held is not null").select("source_id", "a", "h", "place"))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        both = F.size(F.array_intersect("sh", "oh"))
+        met = pairs.join(left, "source_id").join(right, "objective_id").withColumn("both", both)
+        return met.select("source_id", "objective_id", (F.col("both") / (F.col("a") + F.col("b") - F.col("both"))).alias("raw"))
+
+    def best(pairs: DataFrame, order: list[Column], most: int) -> DataFrame:
+        return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("source_id").orderBy(*order))).filter(F.col("rank") <= most)
+
+    order = [F.desc("raw"), F.col("objective_id")]
+    rarest = each.withColumn("r", F.row_number().over(Window.partitionBy("source_id").orderBy("place"))).filter(F.col("r") <= FIRST_WORDS)
+    first = rarest.select("source_id", "a", "h").join(posted, "h").groupBy("source_id", "objective_id", "a", "b").agg(F.count("*").alias("n"))
+    first = best(first, [F.desc(F.col("n") / (F.col("a") + F.col("b") - F.col("n"))), F.col("objective_id")], FIRST_FOUND * k)
+    floor = best(scored(first.select("source_id", "objective_id")), order, k).filter(F.col("rank") == k).select("source_id", (F.col("raw") - 1e-12).alias("floor"))
+    asked = staged(each.join(floor, "source_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0))))
+    needed = F.greatest(F.ceil(F.col("floor") * (F.col("a") + F.col("b")) / (1 + F.col("floor")) - 1e-9), F.lit(1))
+    meets = (F.col("place") <= F.col("a") - needed + 1) & (F.least("a", "b") >= needed)
+    met = asked.join(posted, "h").filter(meets).select("source_id", "objective_id").distinct()
+    kept = staged(best(scored(met), order, k).select("source_id", "objective_id", "raw", "rank"))
+    shown = kept.join(sources.select("source_id", F.col("text").alias("x")), "source_id").join(objectives.select("objective_id", F.col("text").alias("y")), "objective_id")
+    terms = F.slice(F.array_sort(F.array_intersect(*(F.array_distinct(X.tokens(c, pattern)) for c in "xy"))), 1, 12)
     return shown.select("source_id", "objective_id", F.round("raw", 4).alias("score"), "rank", F.array_join(terms, ", ").alias("terms"), F.lit("draft").alias("mapping_status"))
 
 

@@ -413,3 +413,19 @@ def test_lines_keep_their_expressions(spark):
     corrected, reviews = reconcile.correct_lines(lines, spelling, none, joined)
     assert {r["line_id"]: (r["text"], r["confidence"]) for r in corrected.collect()} == {"0": ("the force is forcc = mascs a where mass counts", 0.9), "2": ("force answer the question here", 0.9)}
     assert [(r["line_id"], r["token"], r["suggested"]) for r in reviews.collect()] == [("3", "quickbrownfoxes", "quick brown foxes")]
+
+
+def test_mappings_equal_those_of_every_shared_word(spark):
+    rng = random.Random(21)
+    words = [f"word{i}" for i in range(80)]
+    text = lambda n: " ".join(words[min(int(rng.expovariate(0.06)), 79)] for _ in range(n))
+    sources = [(i, text(rng.randint(1, 30))) for i in range(25)] + [(100, None), (101, ""), (102, "none shares this"), (103, "word79 word78"), (104, text(400))]
+    objectives = [(i, text(rng.randint(1, 120))) for i in range(150)] + [(200 + i, "word1 word2 word3") for i in range(6)] + [(300, None), (301, "")]
+    found = similarity.suggest_mappings(spark.createDataFrame(sources, "source_id long, text string"), spark.createDataFrame(objectives, "objective_id long, text string"), 4)
+    expected = {}
+    for i, t in sources:
+        x = set((t or "").split())
+        x = {w for w in x if len(w) >= 3}
+        scored = sorted((-len(x & set((u or "").split())) / len(x | set((u or "").split())), o) for o, u in objectives if x & set((u or "").split()))
+        expected |= {(i, o): (r + 1, round(-s, 4)) for r, (s, o) in enumerate(scored[:4])}
+    assert {(r["source_id"], r["objective_id"]): (r["rank"], r["score"]) for r in found.collect()} == expected
