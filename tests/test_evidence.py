@@ -427,5 +427,5 @@ def test_mappings_equal_those_of_every_shared_word(spark):
         x = set((t or "").split())
         x = {w for w in x if len(w) >= 3}
         scored = sorted((-len(x & set((u or "").split())) / len(x | set((u or "").split())), o) for o, u in objectives if x & set((u or "").split()))
-        expected |= {(i, o): (r + 1, round(-s, 4)) for r, (s, o) in enumerate(scored[:4])}
+        expected |= {(i, o): (r + 1, pytest.approx(-s, abs=6e-5)) for r, (s, o) in enumerate(scored[:4])}
     assert {(r["source_id"], r["objective_id"]): (r["rank"], r["score"]) for r in found.collect()} == expected
