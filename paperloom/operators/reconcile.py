@@ -125,13 +125,17 @@ def table_geometry(cells: DataFrame) -> DataFrame:
     return per.join(twice, keys, "left").select(*keys, F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4).alias("geometry_score"))
 
 
+#: What a table's components weigh.
+GEOMETRY_WEIGHT = 0.20
+TABLE_WEIGHTS = {"source_coverage": 0.25, "text_agreement": 0.15, "table_token_coverage": 0.10, "orientation": 0.10, "bbox_identity": 0.10, "plausibility": 0.05, "cell_html_correspondence": 0.05}
+
+
 def table_quality(geometry: Column, components: dict[str, Column] | None = None) -> Column:
     """The geometry score, or with components the weighted blend of eight terms, four places."""
     if components is None:
         return geometry
-    weights = {"source_coverage": 0.25, "text_agreement": 0.15, "table_token_coverage": 0.10, "orientation": 0.10, "bbox_identity": 0.10, "plausibility": 0.05, "cell_html_correspondence": 0.05}
-    total = geometry * 0.20
-    for name, weight in weights.items():
+    total = geometry * GEOMETRY_WEIGHT
+    for name, weight in TABLE_WEIGHTS.items():
         default = 1.0 if name == "cell_html_correspondence" else 0.0
         total = total + F.coalesce(components.get(name, F.lit(default)), F.lit(default)) * weight
     return F.round(total, 4)

@@ -160,6 +160,11 @@ def join_paragraph_lines(lines: DataFrame) -> DataFrame:
     )
 
 
+#: A line that is an image, and how lines that name the source begin.
+IMAGE_LINE = r"^(\s*!\[)(.*?)(\]\([^)]+\).*)$"
+SOURCE_LINES = ("Source file:", "## Source page ")
+
+
 def remove_from_markdown(documents: DataFrame, terms: list[str]) -> DataFrame:
     """doc_id, markdown without the terms, and how many were removed, of documents (doc_id, markdown).
 
@@ -171,8 +176,8 @@ def remove_from_markdown(documents: DataFrame, terms: list[str]) -> DataFrame:
     upto = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     marker = F.col("bare") == "$$"
     fences = F.sum(marker.cast("int")).over(upto)
-    kept = marker | (fences % 2 == 1) | (F.col("seq") == 0) | F.startswith("bare", F.lit("Source file:")) | F.startswith("bare", F.lit("## Source page "))
-    image = r"^(\s*!\[)(.*?)(\]\([^)]+\).*)$"
+    kept = marker | (fences % 2 == 1) | (F.col("seq") == 0) | F.startswith("bare", F.lit(SOURCE_LINES[0])) | F.startswith("bare", F.lit(SOURCE_LINES[1]))
+    image = IMAGE_LINE
     alone = F.col("bare").startswith("![") & F.col("line").rlike(image) & ~marker & (fences % 2 == 0)
     target = F.when(alone, F.regexp_extract("line", image, 2)).when(kept, F.lit("")).otherwise(F.col("line"))
     marked = line.withColumn("alone", alone).withColumn("target", target).withColumn("n", F.when(F.col("target") == "", 0).otherwise(X.count_terms("target", terms)))

@@ -423,6 +423,18 @@ def document_quality(spark, sf):
     return reconcile.document_quality(V.lines(spark, sf), tables, reconcile.content_coverage(_dispositions(spark, sf)), reviews).select("doc_id", "low_confidence_count", "unaccounted_line_count", "status")
 
 
+@query(S.cte(S.LINES, S.ELEMENTS) + COVERAGE + """, u AS (SELECT doc_id, count(*) AS n FROM d WHERE disposition = 'unresolved' GROUP BY doc_id), x AS (SELECT doc_id, count(*) FILTER (confidence < 0.90) AS low_confidence_count, count(DISTINCT page_number) FILTER (doc_id % 4 IN (0, 3) OR doc_id % 9 = 0) AS unverified_table_count, count(*) FILTER (seq % 50 = 7 AND contains(text, 'e')) AS improbable_token_count, count(*) FILTER (seq % 50 = 7) AS review_count FROM lines GROUP BY doc_id)
+SELECT x.*, coalesce(u.n, 0) AS unaccounted_line_count, CASE WHEN low_confidence_count + unverified_table_count + coalesce(u.n, 0) + review_count > 0 THEN 'needs_review' ELSE 'good' END AS status FROM x LEFT JOIN u USING (doc_id)""")
+def document_quality_whole(spark, sf):
+    """With the tables' states (a page's table is unverified in every fourth document, or where its geometry is weak) and reviews of lines."""
+    cells = V.cells(spark, sf)
+    scored = reconcile.table_geometry(cells).select("doc_id", "table_index", "geometry_score")
+    tables = scored.select("doc_id", F.when((F.col("doc_id") % 4 == 0) | (F.col("geometry_score") < 0.6), "review").otherwise("accepted").alias("status"))
+    kind = F.when(F.contains("text", F.lit("e")), F.when(F.col("seq") % 100 == 7, "spelling").otherwise("word_boundary")).otherwise("punctuation")
+    reviews = V.lines(spark, sf).filter("seq % 50 = 7").select("doc_id", kind.alias("kind"))
+    return reconcile.document_quality(V.lines(spark, sf), tables, reconcile.content_coverage(_dispositions(spark, sf)), reviews)
+
+
 CELLS = """, cells AS (SELECT doc_id, page_number, c AS cell_index, ([0.1, 0.35, 0.65, 0.9]::DOUBLE[])[c % 3 + 1] AS cx1, ([0.1, 0.35, 0.65, 0.9]::DOUBLE[])[c % 3 + 2] AS cx2, ([0.3, 0.375, 0.45]::DOUBLE[])[c // 3 + 1] AS cy1, ([0.3, 0.375, 0.45]::DOUBLE[])[c // 3 + 2] AS cy2 FROM (SELECT DISTINCT doc_id, page_number FROM lines), (SELECT unnest(range(6)) AS c))
 """
 
