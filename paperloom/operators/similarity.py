@@ -209,6 +209,10 @@ def similar_spellings(spellings: DataFrame, least: float = SAME_HEADER) -> DataF
     return pairs.unionByName(spellings.select("doc_id", F.col("bare").alias("b1"), F.col("bare").alias("b2")))
 
 
+DIMENSIONS = 128
+TOKEN = r"(?U)[\w'-]{2,}"
+
+
 def dense_vectors(texts: DataFrame, key: str = "doc_id") -> DataFrame:
     """key and v, the hashed vector of length 1 of each text's words; texts whose words cancel out, or that have none, are left out.
 

@@ -380,8 +380,8 @@ def test_headers_of_a_very_long_document(spark):
     """5,000 pages of one document: their common headers, and one on each page that no other has."""
     rng = random.Random(12)
     own = ["".join(rng.sample("abcdefghijklmnopqrstuvwxyz0123456789", 24)) for _ in range(5000)]
-    near = similarity.similar_spellings(spark.createDataFrame([(1, x) for x in own[:1500]], "doc_id long, bare string")).collect()
-    assert {(r["b1"], r["b2"]) for r in near} == {(x, x) for x in own[:1500]}
+    near = similarity.similar_spellings(spark.createDataFrame([(1, x) for x in own[:500]], "doc_id long, bare string")).collect()
+    assert {(r["b1"], r["b2"]) for r in near} == {(x, x) for x in own[:500]}
     texts = ["Annual report of the ministry", "Annual rep0rt of the ministry", "Annual report of the rninistry"]
     rows = [(1, p, f"l{p}", p, texts[0] if p % 50 else texts[1 + p // 50 % 2], 0.9 if p % 50 else 0.5, [0.1, 0.05, 0.9, 0.1]) for p in range(5000)]
     found = similarity.header_consensus(spark.createDataFrame(rows, LINE)).collect()
