@@ -270,16 +270,20 @@ def better_reading(pairs: DataFrame, page: bool = False) -> DataFrame:
     ratio of 0.72. A page: 0.025 more score, a ratio of 0.55 and 85 % of the length.
     """
     bare = lambda c: F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\W+", ""))
-    rows = duplicate_header_ratio(pairs.withColumn("ka", bare("original")).withColumn("kb", bare("candidate")), "ka", "kb")
+    rows = pairs.withColumn("ka", bare("original")).withColumn("kb", bare("candidate"))
     filled = (F.col("ka") != "") & (F.col("kb") != "")
     gain = F.col("candidate_confidence") - F.col("original_confidence")
+    enough = (gain >= 0.025) & (F.length("kb") >= F.floor(F.length("ka") * 0.85)) if page else gain >= 0.08
+    # only a gain makes the ratio matter, and equal texts have 1
+    rows = rows.withColumn("apart", filled & enough & (F.col("ka") != F.col("kb"))).withColumns({"xa": F.when(F.col("apart"), F.col("ka")), "xb": F.when(F.col("apart"), F.col("kb"))})
+    rows = duplicate_header_ratio(rows, "xa", "xb").drop("apart", "xa", "xb")
     if page:
-        good = (gain >= 0.025) & (F.col("ratio") >= 0.55) & (F.length("kb") >= F.floor(F.length("ka") * 0.85))
+        good = enough & (F.col("ratio") >= 0.55)
     else:
         blanks = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
         restored = (F.col("ka") == F.col("kb")) & (blanks("candidate") > blanks("original")) & F.col("original").rlike(X.FUSED_WORD)
-        good = (restored & (gain >= 0)) | ((gain >= 0.08) & (F.col("ratio") >= 0.72))
-    return rows.withColumn("better", F.coalesce(filled & good, F.lit(False))).drop("ka", "kb")
+        good = (restored & (gain >= 0)) | (enough & (F.col("ratio") >= 0.72))
+    return rows.withColumn("better", F.coalesce(filled & good, F.lit(False))).drop("ka", "kb", "ratio")
 
 
 TAGS = re.compile(r"""(?is)<!--.*?-->|<(/?)(table|tr|td|th)\b((?:"[^"]*"|'[^']*'|[^'">])*)>|<[^>]*>""")
