@@ -5,10 +5,13 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator, Sequence
 from datetime import datetime
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperloom.functions import text as X
 from paperloom.sources.staging import is_small, staged
@@ -68,23 +71,33 @@ def apply_scopes(resources: DataFrame, principals: DataFrame) -> DataFrame:
     return out
 
 
+def _payload_meets(rows: DataFrame, asked: list) -> Column:
+    """Whether the payload meets all conditions (path, type, test). One parse: the payload is bound to a name that all of them share."""
+    payload = F.col("payload") if isinstance(rows.schema["payload"].dataType, T.VariantType) else F.try_parse_json("payload")
+    return F.exists(F.array(payload), lambda v: reduce(and_, [F.coalesce(test(F.try_variant_get(v, path, kind)), F.lit(False)) for path, kind, test in asked]))
+
+
 def search_lexical(resources: DataFrame, query: str = "", resource_type: str | None = None, status: str | None = None, course_id: str | None = None, unit_id: str | None = None, assessment_id: str | None = None, created_by: str | None = None, created_from: datetime | None = None, created_to: datetime | None = None, quality_min: float | None = None, warning_max: int | None = None, language: str | None = None) -> DataFrame:
-    """Scoped resources that meet all conditions given; each of the query's first 20 words must stand in title or search_text, in any case. payload is JSON."""
+    """Scoped resources that meet all conditions given; each of the query's first 20 words must stand in title or search_text, in any case.
+
+    payload is a VARIANT, or JSON text, which is then parsed once a row however
+    many conditions look into it. A payload that is no JSON, or names a key twice,
+    meets no condition.
+    """
     for column, value in (("resource_type", resource_type), ("status", status), ("course_id", course_id), ("unit_id", unit_id), ("created_by", created_by)):
         if value is not None:
             resources = resources.filter(F.col(column) == value)
-    for column, path, value in (("assessment_id", "$.assessment_id", assessment_id), ("language", "$.language", language)):
-        if value is not None:
-            resources = resources.filter(F.get_json_object("payload", path) == value)
     if created_from is not None:
         resources = resources.filter(F.col("created_at") >= F.lit(created_from))
     if created_to is not None:
         resources = resources.filter(F.col("created_at") <= F.lit(created_to))
-    number = lambda path: F.get_json_object("payload", path).try_cast("double")
+    asked = [(path, "string", lambda found, value=value: found == value) for path, value in (("$.assessment_id", assessment_id), ("$.language", language)) if value is not None]
     if quality_min is not None:
-        resources = resources.filter(number("$.quality_score") >= quality_min)
+        asked.append(("$.quality_score", "double", lambda found: found >= quality_min))
     if warning_max is not None:
-        resources = resources.filter(number("$.warning_count") <= warning_max)
+        asked.append(("$.warning_count", "double", lambda found: found <= warning_max))
+    if asked:
+        resources = resources.filter(_payload_meets(resources, asked))
     for term in query.casefold().split()[:20]:
         resources = resources.filter(F.contains(X.fold("title"), F.lit(term)) | F.contains(X.fold("search_text"), F.lit(term)))
     return resources

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import json
 from collections.abc import Sequence
 from datetime import datetime
 
@@ -52,15 +54,48 @@ def job_total(jobs: DataFrame) -> DataFrame:
     return jobs.agg(F.count("*").alias("total"), F.count_if(F.coalesce("pinned", F.lit(False))).alias("pinned"))
 
 
-def keyset_page(rows: DataFrame, limit: int, after: tuple | None = None, order: tuple[str, str] = ("updated_at", "id")) -> DataFrame:
-    """A page newest first and one row more, which says whether there is a next page; ``after`` is the last row of the page before."""
+def encode_cursor(at: datetime, identifier: object) -> str:
+    """A page's end (time and id of its last row) as one opaque word that is safe in an address."""
+    return base64.urlsafe_b64encode(json.dumps([at.isoformat(), identifier]).encode()).decode().rstrip("=")
+
+
+def decode_cursor(cursor: str) -> tuple[datetime, object]:
+    """The time and id in a cursor; ValueError where it is none, whatever is wrong with it."""
+    try:
+        at, identifier = json.loads(base64.b64decode(cursor + "=" * (-len(cursor) % 4), b"-_", validate=True))
+        if isinstance(identifier, bool) or not isinstance(identifier, (str, int)):
+            raise TypeError("an id is a text or a number")
+        return datetime.fromisoformat(at), identifier
+    except (ValueError, TypeError) as e:
+        raise ValueError(f"not a cursor: {cursor!r}") from e
+
+
+def keyset_page(rows: DataFrame, limit: int, after: tuple | str | None = None, order: tuple[str, str] = ("updated_at", "id")) -> DataFrame:
+    """A page newest first and one row more, which says whether there is a next page; ``after`` is the last row of the page before, or its cursor.
+
+    Rows without a time are on no page.
+    """
     time, key = order
+    rows = rows.filter(F.col(time).isNotNull())
     if after is not None:
-        at, identifier = F.lit(after[0]), F.lit(after[1])
+        end = decode_cursor(after) if isinstance(after, str) else after
+        at, identifier = F.lit(end[0]), F.lit(end[1])
         rows = rows.filter((F.col(time) < at) | ((F.col(time) == at) & (F.col(key) < identifier)))
     return rows.orderBy(F.desc(time), F.desc(key)).limit(limit + 1)
 
 
+def cursor_page(rows: DataFrame, limit: int, cursor: str | None = None, order: tuple[str, str] = ("updated_at", "id")) -> tuple[list, str | None]:
+    """The rows of a page, and the cursor of the next one or none: what a client is answered. At most ``limit`` + 1 rows reach the driver.
+
+    Going from cursor to cursor sees each row that stays as it is once, whatever
+    is added in the meantime.
+    """
+    time, key = order
+    found = keyset_page(rows, limit, cursor, order).collect()
+    page = found[:limit]
+    return page, encode_cursor(page[-1][time], page[-1][key]) if len(found) > limit and page else None
+
+
 def filter_bank(items: DataFrame, status: str | None = None, query: str | None = None, limit: int = 100) -> DataFrame:
     """Bank items newest first; the query is looked for in the payload, a per cent sign is no wild card; limit from 1 to 500."""
     if status:

@@ -7,6 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperloom.functions import geometry as G
 from paperloom.functions import keys as K
@@ -233,6 +234,16 @@ def job_page_keyset(spark, sf):
     return jobs.keyset_page(V.jobs(spark, sf).select("job_id", "updated_at"), 50, (datetime(1998, 6, 1), 5000), ("updated_at", "job_id"))
 
 
+@query(S.cte(S.JOBS) + ", r AS (SELECT job_id, updated_at, row_number() OVER (ORDER BY updated_at DESC, job_id DESC) AS place FROM jobs) SELECT job_id, updated_at, CAST((place - 1) // 40 AS INTEGER) AS page FROM r WHERE place <= 120")
+def job_pages_by_cursor(spark, sf):
+    """Three pages, each found by the cursor that the one before gave."""
+    rows, cursor, pages = V.jobs(spark, sf).select("job_id", "updated_at"), None, []
+    for page in range(3):
+        found, cursor = jobs.cursor_page(rows, 40, cursor, ("updated_at", "job_id"))
+        pages += [(r["job_id"], r["updated_at"], page) for r in found]
+    return spark.createDataFrame(pages, T.StructType([*rows.schema.fields, T.StructField("page", T.IntegerType())]))
+
+
 @query(S.cte(S.JOBS) + "SELECT job_id, pinned, round(quality_score, 6) AS quality_score FROM jobs ORDER BY pinned DESC, jobs.quality_score DESC, job_id LIMIT 100 OFFSET 20")
 def job_list(spark, sf):
     return jobs.job_list(V.jobs(spark, sf), "quality", 100, 20).select("job_id", "pinned", F.round("quality_score", 6).alias("quality_score"))

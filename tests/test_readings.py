@@ -67,3 +67,42 @@ def test_hooks(spark):
 def test_both_choices_occur(spark):
     rows = plans.second_readings(spark, "/root/testdata/sf0.001").collect()
     assert {r["accepted"] for r in rows if r["read_again"]} == {True, False} and any(r["n_retried"] for r in rows)
+
+
+def test_cursors(spark):
+    import base64
+    from datetime import datetime
+
+    import pytest
+
+    from paperloom.operators import jobs
+
+    at = datetime(2024, 1, 2, 3, 4, 5, 6)
+    assert jobs.decode_cursor(jobs.encode_cursor(at, "a/ü+")) == (at, "a/ü+") and set("+/=") & set(jobs.encode_cursor(at, "??>>")) == set()
+    for bad in ("", "!", "e30", "a" * 5, base64.urlsafe_b64encode(b'["x", 1]').decode(), base64.urlsafe_b64encode(b'["2024-01-02", null]').decode()):
+        with pytest.raises(ValueError, match="not a cursor"):
+            jobs.decode_cursor(bad)
+    rows = spark.createDataFrame([(i, None if i == 9 else datetime(2024, 1, 1 + i // 3)) for i in range(10)], "id int, updated_at timestamp")
+    seen, cursor, pages = [], None, 0
+    while True:
+        page, cursor = jobs.cursor_page(rows, 4, cursor)
+        seen, pages = seen + [r["id"] for r in page], pages + 1
+        if cursor is None:
+            break
+    assert seen == [8, 7, 6, 5, 4, 3, 2, 1, 0] and pages == 3
+    assert jobs.cursor_page(rows.filter("false"), 4) == ([], None)
+
+
+def test_payloads_are_parsed_once(spark):
+    from pyspark.sql import functions as F
+
+    from paperloom.operators import governance
+
+    texts = ['{"language": "en", "quality_score": 0.9, "warning_count": "2"}', '{"language": "en", "quality_score": "x", "warning_count": 2}', '{"language": "de", "quality_score": 0.9, "warning_count": 2}', '{"language": "en"', None, "{}", '{"language": "en", "quality_score": 0.9, "warning_count": 7}']
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, payload string")
+    found = governance.search_lexical(rows, language="en", quality_min=0.5, warning_max=6)
+    assert [r["id"] for r in found.collect()] == [0]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("parse_json") + plan.count("parseJson") == 1
+    variants = rows.withColumn("payload", F.try_parse_json("payload"))
+    assert [r["id"] for r in governance.search_lexical(variants, language="en", quality_min=0.5, warning_max=6).collect()] == [0]
