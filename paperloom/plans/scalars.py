@@ -234,3 +234,37 @@ def _spoken(texts):
     known = texts.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     two = F.zip_with("w", F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.struct(a.alias("first"), b.alias("second")))
     return known, texts.select(F.explode(two).alias("p")).filter("p.second is not null").groupBy("p.first", "p.second").agg(F.count("*").alias("n"))
+
+
+@query(S.cte(S.LINES) + r""", w AS (SELECT doc_id, seq, regexp_extract_all(replace(text, ' a ', ' a A '), '[\p{L}\p{M}\p{N}_]+|[ \t\n\f\r]+|[^\p{L}\p{M}\p{N}_ \t\n\f\r]') AS t FROM lines),
+i AS (SELECT doc_id, seq, t, list_filter(range(1, len(t) - 1), lambda i: regexp_matches(t[i], '^[A-Za-z]+$') AND regexp_matches(t[i + 1], '^[ \t\n\f\r]+$') AND lower(t[i]) = lower(t[i + 2]))[1] AS i FROM w)
+SELECT doc_id, CAST(seq AS BIGINT) AS seq, t[i] || t[i + 1] || t[i + 2] AS original, t[i] AS suggested FROM i WHERE i IS NOT NULL""")
+def words_said_twice(spark, sf):
+    """Hints in all lines of all documents, in which the word a is said once more."""
+    rows = V.lines(spark, sf).select("doc_id", F.col("seq").cast("long").alias("seq"), F.explode(X.grammar_hints(F.replace("text", F.lit(" a "), F.lit(" a A ")))).alias("h"))
+    return rows.select("doc_id", "seq", "h.original", "h.suggested")
+
+
+@query(S.cte(S.LINES) + r""", l AS (SELECT doc_id, seq, CASE seq % 4 WHEN 0 THEN '' WHEN 1 THEN '2024-01-02 03:04:05,678  INFO ' WHEN 2 THEN '2024-01-02T03:04 12 ERROR   app. ' ELSE '2024-01-02 03:04 TRACE ' END || text AS line FROM lines), h AS (SELECT doc_id, seq, regexp_extract(line, '^\d{4}-\d{2}-\d{2}[^ ]* [^ ]+[ \t\n\f\r]+(?:DEBUG|INFO|WARNING|ERROR|CRITICAL)[ \t\n\f\r]+[^ ]+') AS head FROM l)
+SELECT doc_id, count(*) FILTER (head <> '') AS n_known, sha256(string_agg(CASE WHEN head = '' THEN '<non-structured log line redacted>' ELSE regexp_replace(head, '[ \t\n\f\r]+', ' ', 'g') || ' <message redacted>' END, chr(10) ORDER BY seq)) AS log_hash FROM h GROUP BY doc_id""")
+def text_logs_redacted(spark, sf):
+    """All lines of all documents as messages of a log, under heads of four forms, two of which are known."""
+    head = _one_of(F.col("seq"), "", "2024-01-02 03:04:05,678  INFO ", "2024-01-02T03:04 12 ERROR   app. ", "2024-01-02 03:04 TRACE ")
+    rows = V.lines(spark, sf).select("doc_id", "seq", X.redact_log(F.concat(head, "text")).alias("line"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"]), "\n")
+    return rows.groupBy("doc_id").agg(F.count_if(F.endswith("line", F.lit("<message redacted>"))).alias("n_known"), F.sha2(whole, 256).alias("log_hash"))
+
+
+SPOILED = r"replace(replace(replace(text, ', ', '  ,,'), '. ', '.'), ': ', ' ::')"
+
+
+@query(rf"""WITH s AS (SELECT doc_id, {SPOILED} AS t FROM documents), a AS (SELECT doc_id, t, regexp_replace(regexp_replace(t, '[ \t]+([,;:!?])', '\1', 'g'), '([,;:!?])([A-Za-z])', '\1 \2', 'g') AS u FROM s),
+b AS (SELECT doc_id, t, regexp_replace(u, '([a-z])\.([A-Z])', '\1. \2', 'g') AS u FROM a)
+SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(u, ',,+', ',', 'g'), ';;+', ';', 'g'), '::+', ':', 'g'), '[ \t][ \t]+', ' ', 'g')) AS tidied_hash, t <> regexp_replace(regexp_replace(regexp_replace(regexp_replace(u, ',,+', ',', 'g'), ';;+', ';', 'g'), '::+', ':', 'g'), '[ \t][ \t]+', ' ', 'g') AS changed FROM b""")
+def texts_tidied(spark, sf):
+    """Whole texts with blanks put before marks, marks doubled and blanks after stops taken out, tidied again."""
+    spoiled = F.col("text")
+    for found, instead in ((", ", "  ,,"), (". ", "."), (": ", " ::")):
+        spoiled = F.replace(spoiled, F.lit(found), F.lit(instead))
+    tidy = V.table(spark, sf, "documents").select("doc_id", spoiled.alias("spoiled"), X.tidy_punctuation(spoiled).alias("tidied"))
+    return tidy.select("doc_id", F.sha2("tidied", 256).alias("tidied_hash"), (F.col("spoiled") != F.col("tidied")).alias("changed"))
