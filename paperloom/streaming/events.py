@@ -5,7 +5,7 @@ Each operator has a batch twin among the operators; on the same events they agre
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from paperloom.operators.governance import fan_out
-from paperloom.streaming.ordered import ROCKSDB, FirstEvidence
+from paperloom.streaming.ordered import ROCKSDB, FirstEvidence, bucket_of
 
 
 def event_stream(spark: SparkSession, path: str, schema: T.StructType, files: int = 64) -> DataFrame:
@@ -93,22 +93,41 @@ def _rows(batches: Iterator[pd.DataFrame], *order: str) -> list:
     return list(pd.concat(list(batches)).sort_values(list(order)).itertuples())
 
 
-def idempotent_stream(events: DataFrame, kept_ms: int = 7 * 24 * 3600 * 1000) -> DataFrame:
-    """key, event_id and outcome (new, replay, conflict) of events (key, event_id, request_hash, ts). After seven days without a request a key counts as new."""
+def _remembering(events: DataFrame, key: str, schema: str, kept_ms: int, judge: Callable[[tuple, str | None], tuple[tuple | None, str]]) -> DataFrame:
+    """The rows that ``judge`` makes of each event and what is remembered of its key (a text, None at first), in order within a micro-batch.
 
-    def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+    One call does a group of keys (``bucket_of``), whose state is a row of arrays.
+    A key without an event for ``kept_ms`` is forgotten.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def follow(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:  # nothing came for any of its keys
             state.remove()
             return
-        first, out = (state.get[0] if state.exists else None), []
+        now, out = state.getCurrentProcessingTimeMs(), []
+        known = {k: (held, at) for k, held, at in zip(*state.get, strict=True) if now - at < kept_ms} if state.exists else {}
         for r in _rows(batches, "ts", "event_id"):
-            out.append((key[0], int(r.event_id), "new" if first is None else "replay" if first == r.request_hash else "conflict"))
-            first = r.request_hash if first is None else first
-        state.update((first,))
+            row, held = judge(r, known[r.key][0] if r.key in known else None)
+            known[r.key] = (held, now)
+            if row is not None:
+                out.append(row)
+        state.update(tuple(map(list, zip(*((k, held, at) for k, (held, at) in known.items()), strict=True))))
         state.setTimeoutDuration(kept_ms)
-        yield pd.DataFrame(out, columns=["key", "event_id", "outcome"])
+        yield pd.DataFrame(out, columns=names)
+
+    keyed = events.withColumn("key", F.col(key).cast("string")).withColumn("bucket", bucket_of("key"))
+    return keyed.groupBy("bucket").applyInPandasWithState(follow, schema, "key array<string>, held array<string>, at array<bigint>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def idempotent_stream(events: DataFrame, kept_ms: int = 7 * 24 * 3600 * 1000) -> DataFrame:
+    """key, event_id and outcome (new, replay, conflict) of events (key, event_id, request_hash, ts). After seven days without a request a key counts as new."""
 
-    return events.groupBy("key").applyInPandasWithState(judge, "key string, event_id long, outcome string", "hash string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    def judge(r: tuple, first: str | None) -> tuple[tuple, str]:
+        outcome = "new" if first is None else "replay" if first == r.request_hash else "conflict"
+        return (r.key, int(r.event_id), outcome), r.request_hash if first is None else first
+
+    return _remembering(events, "key", "key string, event_id long, outcome string", kept_ms, judge)
 
 
 def expired_leases_stream(events: DataFrame, late: str = "1 minute") -> DataFrame:
@@ -136,20 +155,11 @@ def expired_leases_stream(events: DataFrame, late: str = "1 minute") -> DataFram
 def status_timeline(events: DataFrame, allowed: set[tuple[str, str]], kept_ms: int = 90 * 24 * 3600 * 1000) -> DataFrame:
     """Forbidden status changes of a stream of events (resource_id, event_id, status, ts), in order within each batch. A resource without an event for ``kept_ms`` is forgotten: its next status counts as the first."""
 
-    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last, out = (state.get[0] if state.exists else None), []
-        for r in _rows(batches, "ts", "event_id"):
-            if last is not None and last != r.status and (last, r.status) not in allowed:
-                out.append((key[0], int(r.event_id), last, r.status))
-            last = r.status
-        state.update((last,))
-        state.setTimeoutDuration(kept_ms)
-        yield pd.DataFrame(out, columns=["resource_id", "event_id", "from_status", "to_status"])
+    def judge(r: tuple, last: str | None) -> tuple[tuple | None, str]:
+        wrong = last is not None and last != r.status and (last, r.status) not in allowed
+        return ((r.key, int(r.event_id), last, r.status) if wrong else None), r.status
 
-    return events.groupBy("resource_id").applyInPandasWithState(follow, "resource_id string, event_id long, from_status string, to_status string", "status string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return _remembering(events, "resource_id", "resource_id string, event_id long, from_status string, to_status string", kept_ms, judge)
 
 
 def run_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append", close: bool = False, state: str | None = None) -> DataFrame:

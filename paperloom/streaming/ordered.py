@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -23,6 +23,14 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 DAY_MS = 24 * 3600 * 1000
 
 
+#: Groups that keys are dealt to by their hash. A call, its state and its timer are a group's, so that millions of keys are not as many calls. A checkpoint holds for the number that it was made with.
+BUCKETS = 4096
+
+
+def bucket_of(*keys: Column | str, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
 class InOrder(StatefulProcessor):
     """Hands a key's events to ``judge`` in the order of time and event_id, once the watermark has passed them.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -106,3 +107,29 @@ def test_evidence_is_stored_once_over_batches(spark, tmp_path):
     stored = [(r["resource_id"], r["evidence"]) for r in spark.read.parquet(f"{tmp_path}/out/evidence").collect()]
     assert sorted(stored) == sorted({(r[0], r[2]) for r in rows if r[1] % 9})
     assert spark.read.parquet(f"{tmp_path}/out/rejected").count() == sum(r[1] % 9 == 0 for r in rows) + sum(r[1] % 9 == 0 for r in batches[0])
+
+
+def many(n: int = 600):
+    """Two batches of events of so many keys that keys share their group."""
+    event = lambda i, hours, h: (f"k{i}", i * 10 + hours, h, "open" if hours else "approved", START + timedelta(hours=hours), int((START - datetime(1970, 1, 1)).total_seconds() + 3600) * 1000)
+    first = [event(i, h, "a" if i % 3 else "ab"[h]) for i in range(n) for h in (0, 1)]
+    return [first, [event(i, 2, "b") for i in range(0, n, 2)]], ("end", 9, "a", "open", START + timedelta(days=400), 0)
+
+
+def grouped(df) -> str:
+    """What the calls of a stateful operator are made for."""
+    return re.search(r"(?:TransformWithState|FlatMapGroupsInPandasWithState)\w* .*", df._jdf.queryExecution().analyzed().toString()).group(0)
+
+
+def test_requests_of_many_keys_are_judged_by_groups(spark, tmp_path):
+    batches, _ = many()
+    rows = batches[0] + batches[1]
+    source = f"{tmp_path}/events"
+    for batch in batches:
+        spark.createDataFrame(batch, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        made = stream.idempotent_stream(stream.event_stream(spark, source, spark.createDataFrame([], SCHEMA).schema))
+        assert "bucket" in grouped(made)
+        found = stream.run_once(made, f"{tmp_path}/out", f"{tmp_path}/state")
+    twin = jobs.idempotent(spark.createDataFrame(rows, SCHEMA).withColumns({"tenant": F.lit("t"), "endpoint": F.lit("e")}))
+    pick = lambda df: sorted(tuple(r) for r in df.select("key", "event_id", "outcome").collect())
+    assert pick(found) == pick(twin) and len(rows) == 1500
