@@ -1,9 +1,9 @@
 """Streams that judge each key's events in event time, however late and in whatever order they come.
 
-An event waits in its key's state until the watermark has passed it; then it is
-judged after all that came before it. A key has one timer, for what happens to
-it next: its earliest waiting event, the end of its lease, or the time after
-which it is forgotten. State is typed, lives in RocksDB and is restored from the
+An event waits in the state until the watermark has passed it; then it is
+judged after all that came before it. Keys are dealt to groups by their hash. A
+group has one timer, for what happens to its keys next: the earliest waiting
+event, the end of a lease, or the time after which a key is forgotten. State is typed, lives in RocksDB and is restored from the
 checkpoint. Events later than the watermark are dropped by Spark, as stated by
 ``late``.
 """
@@ -31,13 +31,26 @@ def bucket_of(*keys: Column | str, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
-class InOrder(StatefulProcessor):
-    """Hands a key's events to ``judge`` in the order of time and event_id, once the watermark has passed them.
+def _values(column: pd.Series, kind: str) -> list:
+    """A column's values as the state takes them: pandas holds whole numbers with nulls among them as floats."""
+    if kind == "bigint" and column.dtype.kind != "i":
+        return [None if pd.isna(v) else int(v) for v in column]
+    return column.tolist()
+
+
+def _arrays(fields: dict[str, str]) -> str:
+    return ", ".join(f"{n} array<{t}>" for n, t in fields.items())
 
-    ``fields``: the columns of an event beside its time and id, ``held``: what is
-    remembered of a key (a row of Spark types, its first field the time of the
-    last event in microseconds). ``kept_ms``: how long after its last event a key
-    is remembered, None: for good.
+
+class InOrder(StatefulProcessor):
+    """Hands each key's events to ``judge`` in the order of time and event_id, once the watermark has passed them.
+
+    It is called for groups of keys (``bucket_of``), whose state is a row of
+    arrays with an entry for each event that waits, and each key that is
+    remembered. ``fields``: the columns of an event beside its key, time and id,
+    ``held``: what is remembered of a key (its first field the time of the last
+    event in microseconds). ``kept_ms``: how long after its last event a key is
+    remembered, None: for good.
     """
 
     fields: dict[str, str] = {}
@@ -48,10 +61,10 @@ class InOrder(StatefulProcessor):
         self.kept_ms = kept_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        ddl = lambda fields: ", ".join(f"{n} {t}" for n, t in fields.items())
         self.handle = handle
-        self.waiting = handle.getListState("waiting", ddl({"us": "bigint", "event_id": "bigint", **self.fields}))
-        self.last = handle.getValueState("last", ddl({"us": "bigint", **self.held}))
+        self.event = {"key": "string", "us": "bigint", "event_id": "bigint", **self.fields}
+        self.waiting = handle.getValueState("waiting", _arrays(self.event))
+        self.last = handle.getValueState("last", _arrays({"key": "string", "us": "bigint", **self.held}))
 
     def judge(self, key: tuple, event: tuple, last: tuple | None) -> tuple[list[tuple], tuple]:
         """The rows that an event brings, and what is remembered after it."""
@@ -65,46 +78,52 @@ class InOrder(StatefulProcessor):
         """When something ends without an event, in milliseconds."""
         return None
 
-    def _settle(self, key: tuple, stored: list[tuple], new: list[tuple], watermark: int) -> Iterator[pd.DataFrame]:
+    def _next(self, last: tuple) -> list[int]:
+        """When a key's memory has to be looked at without an event, in milliseconds."""
+        kept = [] if self.kept_ms is None else [last[0] // 1000 + self.kept_ms]
+        return kept + [t for t in (self.until(last),) if t is not None]
+
+    def _settle(self, new: list[tuple], watermark: int) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
-        before = last = self.last.get()
-        waiting = sorted([*stored, *new], key=lambda e: e[:2])
-        due = [e for e in waiting if e[0] <= watermark * 1000]
-        for event in due:
-            rows, last = self.judge(key, event, last)
+        stored = list(zip(*self.waiting.get(), strict=True)) if self.waiting.exists() else []
+        known = {k: tuple(held) for k, *held in zip(*self.last.get(), strict=True)} if self.last.exists() else {}
+        before = dict(known)
+        due, rest = [], []
+        for event in (*stored, *new):
+            (due if event[1] <= watermark * 1000 else rest).append(event)
+        for key, *event in sorted(due, key=lambda e: e[1:3]):
+            rows, known[key] = self.judge((key,), tuple(event), known.get(key))
             out += rows
-        rest = waiting[len(due) :]
-        if last is not None:
-            more, over = self.ended(key, last, watermark)
+        still = {e[0] for e in rest}
+        for key, last in list(known.items()):
+            more, over = self.ended((key,), last, watermark)
             out += more
-            forgotten = self.kept_ms is not None and not rest and last[0] // 1000 + self.kept_ms <= watermark
-            last = None if over or forgotten else last
-        if last is not None and last != before:
-            self.last.update(last)
-        elif last is None and before is not None:
-            self.last.clear()
-        if rest:
-            self.waiting.put(rest)
-        elif stored:
+            if over or (self.kept_ms is not None and key not in still and last[0] // 1000 + self.kept_ms <= watermark):
+                del known[key]
+        if known != before:
+            self.last.update(tuple(map(list, zip(*((k, *held) for k, held in known.items()), strict=True)))) if known else self.last.clear()
+        if rest and (new or due):
+            self.waiting.update(tuple(map(list, zip(*rest, strict=True))))
+        elif stored and not rest:
             self.waiting.clear()
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        following = [-(-rest[0][0] // 1000)] if rest else []
-        if last is not None:
-            following += [t for t in (self.until(last),) if t is not None]
-            if self.kept_ms is not None:
-                following.append(last[0] // 1000 + self.kept_ms)
-        if following:
-            self.handle.registerTimer(max(min(following), watermark + 1))
+        following = [-(-e[1] // 1000) for e in rest] + [t for last in known.values() for t in self._next(last)]
+        timer = [max(min(following), watermark + 1)] if following else []
+        held = list(self.handle.listTimers())
+        for t in held:
+            if t not in timer:
+                self.handle.deleteTimer(t)
+        for t in timer:
+            if t not in held:
+                self.handle.registerTimer(t)
         if out:
             yield pd.DataFrame(out, columns=self.columns)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [e for batch in rows for e in batch[["us", "event_id", *self.fields]].itertuples(index=False, name=None)]
-        yield from self._settle(key, [tuple(e) for e in self.waiting.get()], new, timerValues.getCurrentWatermarkInMs())
+        new = [e for batch in rows for e in zip(*(_values(batch[c], t) for c, t in self.event.items()), strict=True)]
+        yield from self._settle(new, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._settle(key, [tuple(e) for e in self.waiting.get()], [], timerValues.getCurrentWatermarkInMs())
+        yield from self._settle([], timerValues.getCurrentWatermarkInMs())
 
 
 class Idempotent(InOrder):
@@ -149,8 +168,8 @@ class Lease(InOrder):
 
 
 def _in_order(events: DataFrame, key: str, processor: InOrder, schema: str, late: str) -> DataFrame:
-    timed = events.withWatermark("ts", late).withColumn("us", F.unix_micros("ts")).withColumn("event_id", F.col("event_id").cast("long"))
-    return timed.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    timed = events.withWatermark("ts", late).select("ts", F.col(key).cast("string").alias("key"), F.unix_micros("ts").alias("us"), F.col("event_id").cast("long").alias("event_id"), *processor.fields)
+    return timed.withColumn("bucket", bucket_of("key")).groupBy("bucket").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
 def idempotent_in_order(events: DataFrame, late: str = "1 day", kept_ms: int | None = 7 * DAY_MS) -> DataFrame:

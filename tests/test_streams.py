@@ -133,3 +133,27 @@ def test_requests_of_many_keys_are_judged_by_groups(spark, tmp_path):
     twin = jobs.idempotent(spark.createDataFrame(rows, SCHEMA).withColumns({"tenant": F.lit("t"), "endpoint": F.lit("e")}))
     pick = lambda df: sorted(tuple(r) for r in df.select("key", "event_id", "outcome").collect())
     assert pick(found) == pick(twin) and len(rows) == 1500
+
+
+def test_events_of_many_keys_are_judged_by_groups(spark, tmp_path):
+    batches, end = many()
+    rows = batches[0] + batches[1]
+    made = []
+    found = streamed(spark, tmp_path, batches, lambda e: made.append(ordered.idempotent_in_order(e, "1 hour", None)) or made[-1], end).filter("key <> 'end'")
+    assert "bucket" in grouped(made[0])
+    twin = jobs.idempotent(spark.createDataFrame(rows, SCHEMA).withColumns({"tenant": F.lit("t"), "endpoint": F.lit("e")}))
+    pick = lambda df: sorted(tuple(r) for r in df.select("key", "event_id", "outcome").collect())
+    assert pick(found) == pick(twin)
+
+
+def test_statuses_and_leases_of_many_keys_are_judged_by_groups(spark, tmp_path):
+    batches, end = many(300)
+    batches = [[(k, i, h, "claimed" if s == "open" else s, at, until) for k, i, h, s, at, until in b] for b in batches]
+    end = (*end[:3], "done", *end[4:])
+    made = []
+    found = streamed(spark, f"{tmp_path}/a", batches, lambda e: made.append(ordered.status_in_order(e.withColumnRenamed("key", "resource_id"), {("approved", "open")}, "1 hour", None)) or made[-1], end)
+    assert sorted(r["event_id"] for r in found.collect()) == [i * 10 + 1 for i in range(300)]
+    found = streamed(spark, f"{tmp_path}/b", batches, lambda e: made.append(ordered.leases_in_order(e.withColumnRenamed("key", "job_id"), "1 hour")) or made[-1], end)
+    # a lease until 1:00 that began at 1:00 has ended when another event comes at 2:00, or when the watermark has passed it
+    assert sorted(r["job_id"] for r in found.collect()) == sorted([f"k{i}" for i in range(300)] + [f"k{i}" for i in range(0, 300, 2)])
+    assert all("bucket" in grouped(df) for df in made)
