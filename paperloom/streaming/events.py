@@ -61,9 +61,10 @@ def ingest_sync(events: DataFrame, target: str, checkpoint: str):
     what is stored. Evidence is partitioned by batch and a batch that is repeated
     overwrites its own partition, so a retry adds nothing twice.
     """
-    judged = validate_sync(events).select(*FirstEvidence.columns)
+    identity = F.to_json(F.struct("resource_id", "evidence_hash"), {"ignoreNullFields": "false"})
+    judged = validate_sync(events).select(*FirstEvidence.columns, identity.alias("identity"))
     kinds = ", ".join(f"{c} {judged.schema[c].dataType.simpleString()}" for c in FirstEvidence.columns)
-    fresh = judged.groupBy("resource_id", "evidence_hash").transformWithStateInPandas(statefulProcessor=FirstEvidence(), outputStructType=kinds, outputMode="Append", timeMode="None")
+    fresh = judged.withColumn("bucket", bucket_of("identity")).groupBy("bucket").transformWithStateInPandas(statefulProcessor=FirstEvidence(), outputStructType=kinds, outputMode="Append", timeMode="None")
 
     def store(batch: DataFrame, epoch: int) -> None:
         batch = batch.persist()

@@ -188,24 +188,22 @@ def leases_in_order(events: DataFrame, late: str = "1 minute") -> DataFrame:
 
 
 class FirstEvidence(StatefulProcessor):
-    """The first row of each resource and evidence hash that is in order, and all rows that are not."""
+    """The first row of each resource and evidence hash (``identity``) that is in order, and all rows that are not; called for groups of identities."""
 
     columns = ["resource_id", "evidence_hash", "evidence", "occurred_at", "event_id", "verdict"]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "seen boolean")
+        self.seen = handle.getValueState("seen", "identity array<string>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        best, known = None, self.seen.exists()
+        known, best = set(self.seen.get()[0]) if self.seen.exists() else set(), None
         for batch in rows:
-            bad = batch[batch["verdict"] != "ok"]
-            if len(bad):
-                yield bad[self.columns]
-            good = batch[batch["verdict"] == "ok"]
-            if len(good) and not known:
-                first = good.sort_values(["occurred_at", "event_id"]).iloc[:1]
-                if best is None or (first["occurred_at"].iloc[0], first["event_id"].iloc[0]) < (best["occurred_at"].iloc[0], best["event_id"].iloc[0]):
-                    best = first
+            fine = batch["verdict"] == "ok"
+            if not fine.all():
+                yield batch.loc[~fine, self.columns]
+            good = batch[fine & ~batch["identity"].isin(known)]
+            if len(good):
+                best = (good if best is None else pd.concat([best, good])).sort_values(["occurred_at", "event_id"]).drop_duplicates("identity")
         if best is not None:
-            self.seen.update((True,))
+            self.seen.update(([*known, *best["identity"]],))
             yield best[self.columns]

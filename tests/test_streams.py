@@ -157,3 +157,21 @@ def test_statuses_and_leases_of_many_keys_are_judged_by_groups(spark, tmp_path):
     # a lease until 1:00 that began at 1:00 has ended when another event comes at 2:00, or when the watermark has passed it
     assert sorted(r["job_id"] for r in found.collect()) == sorted([f"k{i}" for i in range(300)] + [f"k{i}" for i in range(0, 300, 2)])
     assert all("bucket" in grouped(df) for df in made)
+
+
+def test_evidence_of_many_resources_is_stored_once_by_groups(spark, tmp_path):
+    none = F.array().cast("array<struct<media_type:string,size:int,approved:boolean>>")
+    batches, _ = many(300)
+    source, own = f"{tmp_path}/events", F.sha2("request_hash", 256)
+    for batch in [*batches, batches[0]]:
+        spark.createDataFrame(batch, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        e = stream.event_stream(spark, source, spark.createDataFrame([], SCHEMA).schema)
+        sync = e.select("event_id", F.lit("archive.upsert").alias("event_type"), F.col("key").alias("resource_id"), F.col("request_hash").alias("evidence"), own.alias("evidence_hash"), F.lit(None).cast("string").alias("overlay_hash"), none.alias("previews"), F.col("ts").alias("occurred_at"))
+        query = stream.ingest_sync(sync, f"{tmp_path}/out", f"{tmp_path}/state")
+        query.awaitTermination()
+    assert "bucket" in query._jsq.explainInternal(True)
+    stored = [(r["resource_id"], r["evidence"], r["occurred_at"]) for r in spark.read.parquet(f"{tmp_path}/out/evidence").collect()]
+    expected = {}
+    for key, _, h, _, at, _ in batches[0] + batches[1]:
+        expected[key, h] = min(at, expected.get((key, h), at))
+    assert sorted(stored) == sorted((*k, at) for k, at in expected.items())
