@@ -71,6 +71,17 @@ def apply_scopes(resources: DataFrame, principals: DataFrame) -> DataFrame:
     return out
 
 
+def scope_counts(resources: DataFrame, principals: DataFrame) -> DataFrame:
+    """subject and n: how many resources ``apply_scopes`` shows to each principal that sees any, for all its tenants and courses.
+
+    Rows of one tenant, course and visibility (private ones: and creator) are seen
+    by the same principals, so they are counted before they meet them.
+    """
+    private = F.coalesce("visibility", F.lit("tenant")) == "private"
+    alike = resources.groupBy("tenant_id", "course_id", F.when(private, "private").otherwise("tenant").alias("visibility"), F.when(private, F.col("created_by")).alias("created_by")).agg(F.count("*").alias("n"))
+    return apply_scopes(alike, principals).groupBy("subject").agg(F.sum("n").alias("n"))
+
+
 def _payload_meets(rows: DataFrame, asked: list) -> Column:
     """Whether the payload meets all conditions (path, type, test). One parse: the payload is bound to a name that all of them share."""
     payload = F.col("payload") if isinstance(rows.schema["payload"].dataType, T.VariantType) else F.try_parse_json("payload")

@@ -280,7 +280,7 @@ def scope_counts(spark, sf):
 def scope_many(spark, sf):
     c, n = V.table(spark, sf, "customer"), V.table(spark, sf, "nation")
     who = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_name").alias("subject"), F.col("n_name").alias("tenant_id"), F.array("c_mktsegment").alias("courses"))
-    return governance.apply_scopes(V.resources(spark, sf), who).groupBy("subject").agg(F.count("*").alias("n"))
+    return governance.scope_counts(V.resources(spark, sf), who)
 
 
 @query(S.cte(S.RESOURCES) + "SELECT * FROM (SELECT CASE WHEN status = 'draft' THEN 'drafts' WHEN status = 'archived' THEN 'archived' ELSE 'completed' END AS queue, count(*) AS n FROM resources GROUP BY ALL)")

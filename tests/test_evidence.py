@@ -429,3 +429,12 @@ def test_mappings_equal_those_of_every_shared_word(spark):
         scored = sorted((-len(x & set((u or "").split())) / len(x | set((u or "").split())), o) for o, u in objectives if x & set((u or "").split()))
         expected |= {(i, o): (r + 1, pytest.approx(-s, abs=6e-5)) for r, (s, o) in enumerate(scored[:4])}
     assert {(r["source_id"], r["objective_id"]): (r["rank"], r["score"]) for r in found.collect()} == expected
+
+
+def test_scopes_are_counted_before_they_meet(spark):
+    rows = [(i, t, c, s, v) for i, (t, c, s, v) in enumerate([("t", "c", "a", "tenant"), ("t", "c", "b", None), ("t", "c", "a", "private"), ("t", None, "a", "private"), ("t", None, "b", "tenant"), ("u", "c", "a", "tenant"), ("t", "d", None, "private"), ("t", "d", "a", "tenant")] * 50)]
+    resources = spark.createDataFrame(rows, "resource_id int, tenant_id string, course_id string, created_by string, visibility string")
+    principals = spark.createDataFrame([("a", "t", ["c"]), ("b", "t", ["*"]), ("x", "t", ["c", "d", "c"]), ("a", "u", ["c"]), ("y", "v", ["*"])], "subject string, tenant_id string, courses array<string>")
+    pick = lambda df: sorted(tuple(r) for r in df.collect())
+    counted = governance.scope_counts(resources, principals)
+    assert pick(counted) == pick(governance.apply_scopes(resources, principals).groupBy("subject").agg(F.count("*").alias("n"))) == [("a", 300), ("b", 200), ("x", 200)]
