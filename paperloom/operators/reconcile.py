@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from paperloom.functions import geometry as G
 from paperloom.functions import text as X
-from paperloom.operators.similarity import duplicate_header_ratio, multiset_coverage
+from paperloom.operators.similarity import duplicate_header_ratio, multiset_coverage, ratio_at_least
 from paperloom.sources.staging import staged
 
 QUALITY_TOKEN = r"[A-Za-z]{3,}"
@@ -276,14 +276,14 @@ def better_reading(pairs: DataFrame, page: bool = False) -> DataFrame:
     enough = (gain >= 0.025) & (F.length("kb") >= F.floor(F.length("ka") * 0.85)) if page else gain >= 0.08
     # only a gain makes the ratio matter, and equal texts have 1
     rows = rows.withColumn("apart", filled & enough & (F.col("ka") != F.col("kb"))).withColumns({"xa": F.when(F.col("apart"), F.col("ka")), "xb": F.when(F.col("apart"), F.col("kb"))})
-    rows = duplicate_header_ratio(rows, "xa", "xb").drop("apart", "xa", "xb")
+    rows = rows.withColumn("alike", ratio_at_least("xa", "xb", 0.55 if page else 0.72)).drop("apart", "xa", "xb")
     if page:
-        good = enough & (F.col("ratio") >= 0.55)
+        good = enough & F.col("alike")
     else:
         blanks = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
         restored = (F.col("ka") == F.col("kb")) & (blanks("candidate") > blanks("original")) & F.col("original").rlike(X.FUSED_WORD)
-        good = (restored & (gain >= 0)) | (enough & (F.col("ratio") >= 0.72))
-    return rows.withColumn("better", F.coalesce(filled & good, F.lit(False))).drop("ka", "kb", "ratio")
+        good = (restored & (gain >= 0)) | (enough & F.col("alike"))
+    return rows.withColumn("better", F.coalesce(filled & good, F.lit(False))).drop("ka", "kb", "alike")
 
 
 TAGS = re.compile(r"""(?is)<!--.*?-->|<(/?)(table|tr|td|th)\b((?:"[^"]*"|'[^']*'|[^'">])*)>|<[^>]*>""")

@@ -438,3 +438,20 @@ def test_scopes_are_counted_before_they_meet(spark):
     pick = lambda df: sorted(tuple(r) for r in df.collect())
     counted = governance.scope_counts(resources, principals)
     assert pick(counted) == pick(governance.apply_scopes(resources, principals).groupBy("subject").agg(F.count("*").alias("n"))) == [("a", 300), ("b", 200), ("x", 200)]
+
+
+def test_long_texts_are_alike_by_all_their_characters(spark):
+    from difflib import SequenceMatcher
+
+    words = "the line of the page that a reader has read twice and that is long enough".split()
+    rng = random.Random(6)
+    one = " ".join(rng.choice(words) for _ in range(300))
+    two = re.sub("[rd]", "x", one)
+    bare = one.replace(" ", ""), two.replace(" ", "")
+    assert SequenceMatcher(None, *bare).ratio() < 0.55 <= SequenceMatcher(None, *bare, autojunk=False).ratio()
+    pairs = spark.createDataFrame([(one, two, 0.7, 0.8), (one, "q" * len(one), 0.7, 0.8)], "original string, candidate string, original_confidence double, candidate_confidence double")
+    assert [r["better"] for r in reconcile.better_reading(pairs, page=True).collect()] == [True, False]
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 12))) for _ in range(2))
+        for least in (0.55, 0.72):
+            assert similarity.ratio_reaches(a, b, least) == (SequenceMatcher(None, a, b, autojunk=False).ratio() >= least)
