@@ -181,29 +181,31 @@ def verify_tables(tables: DataFrame, cells: DataFrame, lines: DataFrame, least_q
 def match_tables_to_blocks(tables: DataFrame, blocks: DataFrame) -> DataFrame:
     """doc_id, page_number, table_index, block_index and score: tables take, in order, the block of best overlap that none has; a single pair without any matches by 0.5.
 
-    A page holds tens of them, so each page is one small group of a vectorised function.
+    A page holds tens of them: they are collected on its row, and taken one after the other there.
     """
     keys = ["doc_id", "page_number"]
-    t = tables.select(*keys, "table_index", F.col("normalized_bbox").alias("tb"))
-    b = blocks.select(*keys, "block_index", F.col("normalized_bbox").alias("bb"))
-    sizes = t.groupBy(*keys).agg(F.count("*").alias("nt")).join(b.groupBy(*keys).agg(F.count("*").alias("nb")), keys, "left")
-    met = t.join(b, keys, "left").join(sizes, keys).select(*keys, "table_index", "block_index", G.iou("tb", "bb").alias("iou"), "nt", F.coalesce("nb", F.lit(0)).alias("nb"))
-
-    def greedy(page: pd.DataFrame) -> pd.DataFrame:
-        used, rows = set(), []
-        for index, own in page.groupby("table_index", sort=True):
-            free = own[own["block_index"].notna() & ~own["block_index"].isin(used)].sort_values(["iou", "block_index"], ascending=[False, True])
-            block, score = None, 0.0
-            if len(free) and free.iloc[0]["iou"] > 0:
-                block, score = int(free.iloc[0]["block_index"]), float(free.iloc[0]["iou"])
-            elif len(free) and page["nt"].iloc[0] == 1 and page["nb"].iloc[0] == 1:
-                block, score = int(free.iloc[0]["block_index"]), 0.5
-            if block is not None:
-                used.add(block)
-            rows.append((page["doc_id"].iloc[0], page["page_number"].iloc[0], index, block, score))
-        return pd.DataFrame(rows, columns=[*keys, "table_index", "block_index", "score"]).astype({"block_index": "Int32"})
-
-    return met.groupBy(*keys).applyInPandas(greedy, "doc_id long, page_number int, table_index int, block_index int, score double")
+    t = tables.select(*keys, F.col("table_index").cast("int").alias("table_index"), F.col("normalized_bbox").alias("tb"))
+    b = blocks.select(*keys, F.col("block_index").cast("int").alias("block_index"), F.col("normalized_bbox").alias("bb"))
+    on_page = b.groupBy(*keys).agg(F.count("*").alias("nb"), F.collect_list(F.when(F.col("block_index").isNotNull(), F.struct("block_index", "bb"))).alias("blocks"))
+    met = t.groupBy(*keys).agg(F.count("*").alias("nt"), F.collect_list(F.struct("table_index", "tb")).alias("tables")).join(on_page, keys, "left")
+    met = met.withColumn("nb", F.coalesce("nb", F.lit(0))).select(*keys, "nt", "nb", F.explode("tables").alias("t"), "blocks").select(*keys, "nt", "nb", "t.*", F.explode_outer("blocks").alias("b"))
+    met = met.select(*keys, "nt", "nb", "table_index", F.col("b.block_index").alias("block_index"), G.iou("tb", "b.bb").alias("iou"))
+    # the best first, unknown overlaps last
+    option = F.when(F.col("block_index").isNotNull(), F.struct((-F.coalesce("iou", F.lit(float("-inf")))).alias("less"), "block_index"))
+    each = met.groupBy(*keys, "table_index").agg(F.array_sort(F.collect_list(option)).alias("options"), F.first("nt").alias("nt"), F.first("nb").alias("nb"))
+    pages = each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("table_index", "options"))).alias("tables"), (F.first("nt") == 1).alias("one"), (F.first("nb") == 1).alias("single"))
+
+    def take(taken: Column, table: Column) -> Column:
+        free = F.get(F.filter(table["options"], lambda o: ~F.exists(taken, lambda r: F.coalesce(r["block_index"] == o["block_index"], F.lit(False)))), F.lit(0))
+
+        def row(o: Column) -> Column:
+            meets, alone = F.coalesce(o["less"] < 0, F.lit(False)), o.isNotNull() & F.col("one") & F.col("single")
+            return F.struct(table["table_index"].alias("table_index"), F.when(meets | alone, o["block_index"]).alias("block_index"), F.when(meets, -o["less"]).when(alone, 0.5).otherwise(0.0).alias("score"))
+
+        return F.concat(taken, F.transform(F.array(free), row))
+
+    none = F.array().cast("array<struct<table_index:int,block_index:int,score:double>>")
+    return pages.select(*keys, F.explode(F.aggregate("tables", none, take)).alias("m")).select(*keys, "m.*")
 
 
 def attach_margin_marks(lines: DataFrame) -> DataFrame:

@@ -455,3 +455,14 @@ def test_long_texts_are_alike_by_all_their_characters(spark):
         a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 12))) for _ in range(2))
         for least in (0.55, 0.72):
             assert similarity.ratio_reaches(a, b, least) == (SequenceMatcher(None, a, b, autojunk=False).ratio() >= least)
+
+
+def test_tables_take_blocks_without_python(spark):
+    box = lambda low, high: [0.1, low, 0.9, high]
+    tables = [(1, 1, 0, box(0.1, 0.3)), (1, 1, 1, box(0.1, 0.3)), (1, 1, 2, box(0.8, 0.9)), (2, 1, 0, box(0.1, 0.2)), (3, 1, 0, box(0.1, 0.2)), (4, 1, 0, None), (4, 1, 1, box(0.1, 0.2)), (5, 1, 5, box(0.1, 0.3))]
+    blocks = [(1, 1, 7, box(0.1, 0.25)), (1, 1, 8, box(0.1, 0.29)), (2, 1, 4, box(0.7, 0.8)), (4, 1, 1, box(0.1, 0.2)), (5, 1, 3, box(0.1, 0.2)), (5, 1, 2, box(0.1, 0.2)), (6, 1, 1, box(0.0, 1.0))]
+    rows = lambda data, name: spark.createDataFrame(data, f"doc_id long, page_number int, {name} int, normalized_bbox array<double>")
+    made = reconcile.match_tables_to_blocks(rows(tables, "table_index"), rows(blocks, "block_index"))
+    found = sorted(((r["doc_id"], r["table_index"], r["block_index"], round(r["score"], 6)) for r in made.collect()), key=lambda r: r[:2])
+    assert found == [(1, 0, 8, 0.95), (1, 1, 7, 0.75), (1, 2, None, 0.0), (2, 0, 4, 0.5), (3, 0, None, 0.0), (4, 0, None, 0.0), (4, 1, 1, 1.0), (5, 5, 2, 0.5)]
+    assert "InPandas" not in made._jdf.queryExecution().optimizedPlan().toString()
