@@ -97,7 +97,7 @@ exact AS (SELECT d.k AS left_key, n.k AS right_key, 1.0::DOUBLE AS score, 'exact
 @query(_near(f"SELECT conv_id * 1000 + turn AS k, {NORMAL} AS normal FROM conversations", 0.55))
 def duplicates_near(spark, sf):
     turns = V.table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_key"), "text")
-    return similarity.duplicate_questions(turns).select("left_key", "right_key", "score", "method")
+    return similarity.duplicate_pairs(turns)
 
 
 @query(_near(f"SELECT item_id AS k, {NORMAL} AS normal FROM benchmark UNION ALL SELECT item_id + 1000000, {NORMAL.replace('text', 'text || chr(32) || chr(97) || chr(32) || item_id')} FROM benchmark", 0.55))
@@ -105,20 +105,20 @@ def near_questions(spark, sf):
     """Each question and a version with two words more."""
     b = V.table(spark, sf, "benchmark")
     more = b.select((F.col("item_id") + 1000000).alias("question_key"), F.concat("text", F.lit(" a "), F.col("item_id").cast("string")).alias("text"))
-    return similarity.duplicate_questions(b.select(F.col("item_id").alias("question_key"), "text").union(more)).select("left_key", "right_key", "score", "method")
+    return similarity.duplicate_pairs(b.select(F.col("item_id").alias("question_key"), "text").union(more))
 
 
 @query(f"SELECT *, CAST(row_number() OVER (ORDER BY score DESC, left_key, right_key) AS INTEGER) AS rank FROM ({_near(f'SELECT doc_id AS k, {NORMAL} AS normal FROM documents', 0.55)}) ORDER BY rank LIMIT 100")
 def duplicates_ranked(spark, sf):
     """The hundred pairs that are most alike: a report, whose limit is its use."""
     docs = V.table(spark, sf, "documents").select(F.col("doc_id").alias("question_key"), "text")
-    return similarity.ranked_pairs(similarity.duplicate_questions(docs, 0.55).select("left_key", "right_key", "score", "method"), 100)
+    return similarity.ranked_pairs(similarity.duplicate_pairs(docs, 0.55), 100)
 
 
 @query(_near(f"SELECT doc_id AS k, {NORMAL} AS normal FROM documents", 0.55))
 def duplicate_documents(spark, sf):
     docs = V.table(spark, sf, "documents").select(F.col("doc_id").alias("question_key"), "text")
-    return similarity.duplicate_questions(docs, 0.55).select("left_key", "right_key", "score", "method")
+    return similarity.duplicate_pairs(docs, 0.55)
 
 
 EFFECTIVE = """, e AS (SELECT l.doc_id, l.seq, l.line_id, l.page_number, l.text AS raw_text, coalesce(c.replacement, l.text) AS text, c.correction_id IS NOT NULL AS corrected, c.correction_id, round(l.confidence, 4) AS confidence,

@@ -78,6 +78,35 @@ def test_prefix_filter_finds_what_brute_force_finds(spark):
         assert got == want
 
 
+def test_pairs_of_many_texts_equal_brute_force(spark, monkeypatch):
+    import random
+
+    draw = random.Random(5)
+    base = [[f"w{draw.randrange(40)}" for _ in range(n)] for n in (3, 8, 20, 60)]
+    texts = []
+    for _ in range(60):
+        words = list(draw.choice(base))
+        for _ in range(draw.randrange(4)):
+            words[draw.randrange(len(words))] = f"w{draw.randrange(40)}"
+        texts.append(" ".join(words))
+    rows = list(enumerate([*texts, "", "...", texts[0].upper()])) + [(None, texts[1])]
+    runs = lambda t: {tuple(t.split()[i : i + 3]) for i in range(max(len(t.split()) - 2, 1))}
+    first = {}
+    for i, t in reversed(list(enumerate(texts))):
+        first[t] = i
+    expected = {(first[t], i, 1.0) for i, t in enumerate([*texts, "", "", texts[0]]) if t and first[t] != i}
+    for a, i in first.items():
+        for b, j in first.items():
+            score = len(runs(a) & runs(b)) / len(runs(a) | runs(b))
+            if i < j and score >= 0.55:
+                expected.add((i, j, round(score, 4)))
+    df = spark.createDataFrame(rows, "question_key long, text string")
+    found = lambda: similarity.duplicate_pairs(df).collect()
+    assert {(r["left_key"], r["right_key"], r["score"]) for r in found()} == expected
+    monkeypatch.setattr(similarity, "KEYS_SENT", 0)
+    assert {(r["left_key"], r["right_key"], r["score"]) for r in found()} == expected and len(found()) == len(expected)
+
+
 def test_vectors_rank_by_meaning(spark):
     t = spark.createDataFrame([(1, "motion acceleration force"), (2, "poetry rhyme metaphor")], "doc_id long, text string")
     q = spark.createDataFrame([(9, "force acceleration motion")], "query_id long, text string")
