@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from paperloom.functions import geometry as G
 from paperloom.functions import text as X
 from paperloom.operators.similarity import duplicate_header_ratio, multiset_coverage, ratio_at_least
-from paperloom.sources.staging import staged
+from paperloom.sources.staging import is_small, staged
 
 QUALITY_TOKEN = r"[A-Za-z]{3,}"
 
@@ -465,6 +465,12 @@ JOINED, LONGEST_WORD, MOST_JOINED = 12, 24, 5
 WORD_LEVEL, UNKNOWN_LEVEL, AHEAD = 3.0, 1.5, 2.5
 
 
+def _asked_of(counts: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``counts`` that ``asked`` names, as a table; a small ``asked`` is sent to every task, where Spark drops the others before it counts."""
+    named = staged(asked.select(*keys).distinct())
+    return staged(counts.join(F.broadcast(named) if is_small(named) else named, keys, "left_semi"))
+
+
 def split_joined(tokens: DataFrame, unigrams: DataFrame, bigrams: DataFrame) -> DataFrame:
     """token, suggested, score and taken of distinct tokens (token) that words joined: the best parting into two to five known words (``unigrams``: word, n) each two of which are known to stand together (``bigrams``: first, second, n).
 
@@ -474,6 +480,7 @@ def split_joined(tokens: DataFrame, unigrams: DataFrame, bigrams: DataFrame) ->
     end with the same word at the same place, the best two go on, as what may
     follow depends on nothing else.
     """
+    unigrams = staged(unigrams)
     total = float(unigrams.agg(F.coalesce(F.sum("n"), F.lit(1))).first()[0])
     level = lambda n: F.log10(n) + 9 - F.lit(math.log10(total))
     known = unigrams.select("word", level(F.col("n")).alias("level"))
@@ -485,7 +492,8 @@ def split_joined(tokens: DataFrame, unigrams: DataFrame, bigrams: DataFrame) ->
     short = F.col("word").isin(*SHORT_WORDS)
     parts = staged(spots.filter((F.length("word") >= 3) | short).join(known, "word").filter(short | (F.col("level") >= WORD_LEVEL)))
     after = parts.select("token", F.col("a").alias("b"), F.col("b").alias("c"), F.col("word").alias("second"), F.col("level").alias("second_level"))
-    links = parts.select("token", "a", "b", F.col("word").alias("first")).join(after, ["token", "b"]).join(bigrams.select("first", "second", "n").filter("n > 0"), ["first", "second"])
+    meets = staged(parts.select("token", "a", "b", F.col("word").alias("first")).join(after, ["token", "b"]))
+    links = meets.join(_asked_of(bigrams.select("first", "second", "n"), meets, ["first", "second"]).filter("n > 0"), ["first", "second"])
     links = staged(links.select("token", "a", "b", "c", "second", (F.col("second_level") + F.log1p("n") / 4).alias("more")))
     paths = parts.filter("a = 0").select("token", "a", "b", F.col("level").alias("score"), F.col("word").alias("suggested"))
     whole = []
@@ -537,8 +545,12 @@ def correct_lines(lines: DataFrame, spelling: DataFrame, bigrams: DataFrame, joi
     found = each.join(spelling.select("token", "corrected"), "token")
     later = F.filter(F.slice("pieces", F.col("place") + 2, F.size("pieces")), is_word)
     found = found.withColumn("before", F.lower(F.try_element_at(earlier(F.col("place")), F.lit(-1)))).withColumn("after", F.lower(F.get(later, F.lit(0)))).drop("pieces")
-    for name, first, second in (("s1", "before", "token"), ("s2", "token", "after"), ("c1", "before", "corrected"), ("c2", "corrected", "after")):
-        known = bigrams.select(F.col("first").alias(first), F.col("second").alias(second), F.log1p("n").alias(name))
+    found = staged(found)
+    beside = (("s1", "before", "token"), ("s2", "token", "after"), ("c1", "before", "corrected"), ("c2", "corrected", "after"))
+    asked = found.select(F.explode(F.array(*[F.struct(F.col(a).alias("first"), F.col(b).alias("second")) for _, a, b in beside])).alias("p")).select("p.first", "p.second")
+    told = _asked_of(bigrams.select("first", "second", "n"), asked.dropna(), ["first", "second"])
+    for name, first, second in beside:
+        known = told.select(F.col("first").alias(first), F.col("second").alias(second), F.log1p("n").alias(name))
         found = found.join(known, [first, second], "left")
     stands = F.coalesce("s1", F.lit(0.0)) + F.coalesce("s2", F.lit(0.0))
     speaks = F.coalesce("c1", F.lit(0.0)) + F.coalesce("c2", F.lit(0.0))

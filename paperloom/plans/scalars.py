@@ -202,10 +202,8 @@ SELECT item_id, 'line' AS kind, sha256(text) AS text_hash, confidence::DOUBLE AS
 @query(SPELLED)
 def spelling_in_lines(spark, sf):
     words = F.regexp_extract_all(X.fold("text"), F.lit("[a-z]+"), F.lit(0))
-    d = V.table(spark, sf, "documents").select(words.alias("w"))
-    pairs = d.select("w", F.posexplode("w").alias("i", "first")).select("first", F.get("w", F.col("i") + 1).alias("second")).filter("second is not null")
-    bigrams = pairs.groupBy("first", "second").agg(F.count("*").alias("n"))
-    often = d.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n")).filter("n >= 2 and length(word) >= 4 and contains(word, 'e')")
+    known, bigrams = _spoken(V.table(spark, sf, "documents").select(words.alias("w")))
+    often = known.filter("n >= 2 and length(word) >= 4 and contains(word, 'e')")
     spelled = often.groupBy(F.replace("word", F.lit("e"), F.lit("c")).alias("token")).agg(F.min("word").alias("corrected"))
     lines = V.table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("item_id").alias("line_id"), F.replace("text", F.lit("e"), F.lit("c")).alias("text"))
     corrected, reviews = reconcile.correct_lines(lines, spelled, bigrams)
@@ -232,8 +230,8 @@ def joined_words(spark, sf):
 def _spoken(texts):
     """How often each word, and each two neighbouring words, stand in the texts (w: array of words)."""
     known = texts.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    two = F.zip_with("w", F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.struct(a.alias("first"), b.alias("second")))
-    return known, texts.select(F.explode(two).alias("p")).filter("p.second is not null").groupBy("p.first", "p.second").agg(F.count("*").alias("n"))
+    two = F.arrays_zip("w", F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1))).alias("v"))
+    return known, texts.select(F.explode(two).alias("p")).select(F.col("p.w").alias("first"), F.col("p.v").alias("second")).filter("second is not null").groupBy("first", "second").agg(F.count("*").alias("n"))
 
 
 @query(S.cte(S.LINES) + r""", w AS (SELECT doc_id, seq, regexp_extract_all(replace(text, ' a ', ' a A '), '[\p{L}\p{M}\p{N}_]+|[ \t\n\f\r]+|[^\p{L}\p{M}\p{N}_ \t\n\f\r]') AS t FROM lines),

@@ -79,8 +79,6 @@ def test_prefix_filter_finds_what_brute_force_finds(spark):
 
 
 def test_pairs_of_many_texts_equal_brute_force(spark, monkeypatch):
-    import random
-
     draw = random.Random(5)
     base = [[f"w{draw.randrange(40)}" for _ in range(n)] for n in (3, 8, 20, 60)]
     texts = []
@@ -514,3 +512,34 @@ def test_few_spellings_meet_without_an_index(spark, monkeypatch):
     lines = [(1, i, f"1:{i}", 1, f"The annual header {i}", 0.9, [0.0, 0.1, 1.0, 0.2]) for i in range(3)] + [(2, p, f"2:{p}", p, "The annual header of 2", 0.9, [0.0, 0.1, 1.0, 0.2]) for p in (1, 2)]
     similarity.header_consensus(spark.createDataFrame(lines, LINE)).collect()
     assert {r["doc_id"] for r in asked[0].collect()} == {2}
+
+
+def _counted(spark, df, column):
+    """``df`` with a function that counts the rows that it is asked for, as often as they are."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def same(value):
+        seen.add(1)
+        return value
+
+    return df.withColumn(column, F.udf(same, df.schema[column].dataType).asNondeterministic()(column)), seen
+
+
+def test_words_are_counted_once_for_joined_words(spark):
+    words = spark.createDataFrame([("annual", 900), ("examination", 900)], "word string, n long")
+    pairs = spark.createDataFrame([("annual", "examination", 50), ("other", "pair", 7)], "first string, second string, n long")
+    tokens = spark.createDataFrame([("annualexamination",)], "token string")
+    counted, seen = _counted(spark, words, "n")
+    asked, met = _counted(spark, pairs, "n")
+    out = reconcile.split_joined(tokens, counted, asked).collect()
+    assert [(r["token"], r["suggested"], r["taken"]) for r in out] == [("annualexamination", "annual examination", True)]
+    assert seen.value == 2 and met.value <= 2
+
+
+def test_pairs_of_words_are_counted_once_for_lines(spark):
+    lines = spark.createDataFrame([(1, 1, "the papcr here"), (1, 2, "papcr")], "doc_id long, line_id long, text string")
+    spelling = spark.createDataFrame([("papcr", "paper")], "token string, corrected string")
+    pairs, seen = _counted(spark, spark.createDataFrame([("the", "paper", 9), ("paper", "here", 9), ("no", "one", 3)], "first string, second string, n long"), "n")
+    corrected, reviews = reconcile.correct_lines(lines, spelling, pairs)
+    assert {(r["line_id"], r["text"], r["confidence"]) for r in corrected.collect()} == {(1, "the paper here", 0.95), (2, "paper", 0.9)}
+    assert reviews.count() == 0 and seen.value <= 3
