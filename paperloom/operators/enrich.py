@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,12 +60,26 @@ def enrich_questions(questions: DataFrame, classify: Classify, fallback: Classif
     return validate_grounding(questions, rows)
 
 
+#: Pages of a batch whose lines are in memory together.
+PAGES_TOGETHER = 64
+
+
+def few_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The rows of Arrow batches, ``PAGES_TOGETHER`` at most at a time: a batch may hold 10,000 pages, and their lines as objects take many times their bytes."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PAGES_TOGETHER):
+            yield batch.slice(at, PAGES_TOGETHER).to_pylist()
+
+
+LINE = pa.schema([("path", pa.string()), ("seq", pa.int32()), ("text", pa.string()), ("confidence", pa.float64()), ("bbox", pa.list_(pa.float64()))])
+
+
 def ocr_pages(pages: DataFrame, read: Callable[[bytes], list[dict]]) -> DataFrame:
     """path, seq, text, confidence and bbox of the lines that ``read`` finds in each page's bytes (path, content, as of the binaryFile source)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(path, i, x["text"], float(x.get("confidence", 0.0)), [float(v) for v in x.get("bbox", [])]) for path, content in zip(batch["path"], batch["content"], strict=True) for i, x in enumerate(read(content))]
-            yield pd.DataFrame(rows, columns=["path", "seq", "text", "confidence", "bbox"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for few in few_pages(batches):
+            rows = [{"path": p["path"], "seq": i, "text": x["text"], "confidence": float(x.get("confidence", 0.0)), "bbox": [float(v) for v in x.get("bbox", [])]} for p in few for i, x in enumerate(read(p["content"]))]
+            yield pa.RecordBatch.from_pylist(rows, LINE)
 
-    return pages.select("path", "content").mapInPandas(run, "path string, seq int, text string, confidence double, bbox array<double>")
+    return pages.select("path", "content").mapInArrow(run, "path string, seq int, text string, confidence double, bbox array<double>")

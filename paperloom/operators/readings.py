@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import geometry as G
 from paperloom.functions import text as X
-from paperloom.operators.enrich import ocr_pages
+from paperloom.operators.enrich import few_pages, ocr_pages
 from paperloom.operators.reconcile import better_reading, page_quality
 from paperloom.sources.staging import staged
 
@@ -106,6 +106,7 @@ def keep_better(lines: DataFrame, again: DataFrame, frequencies: DataFrame | Non
 
 
 Read = Callable[[bytes], list[dict]]
+REGION = pa.schema([("doc_id", pa.string()), ("page_number", pa.int32()), ("line_id", pa.string()), ("candidate", pa.string()), ("candidate_confidence", pa.float64())])
 
 
 def read_twice(pages: DataFrame, read: Read, finer: Read | None = None, region: Callable[[bytes, list], list[list[dict]]] | None = None, frequencies: DataFrame | None = None, least: float = 1.5) -> tuple[DataFrame, DataFrame]:
@@ -132,21 +133,23 @@ def read_twice(pages: DataFrame, read: Read, finer: Read | None = None, region:
     pairs = None
     if region is not None:
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for few in few_pages(batches):
                 rows = []
-                for path, content, asked in zip(batch["path"], batch["content"], batch["asked"], strict=True):
-                    answers = list(region(content, [list(a["bbox"]) for a in asked]))
+                for page in few:
+                    asked = page["asked"]
+                    answers = list(region(page["content"], [list(a["bbox"]) for a in asked]))
                     if len(answers) != len(asked):
                         continue
                     for a, found in zip(asked, answers, strict=True):
                         texts = [t for t in (str(x["text"]).strip() for x in found) if t]
                         if texts:
-                            rows.append((path, 1, a["line_id"], " ".join(texts), sum(float(x.get("confidence", 0.0)) for x in found) / len(found)))
-                yield pd.DataFrame(rows, columns=["doc_id", "page_number", "line_id", "candidate", "candidate_confidence"])
+                            sure = sum(float(x.get("confidence", 0.0)) for x in found) / len(found)
+                            rows.append({"doc_id": page["path"], "page_number": 1, "line_id": a["line_id"], "candidate": " ".join(texts), "candidate_confidence": sure})
+                yield pa.RecordBatch.from_pylist(rows, REGION)
 
         asked = uncertain(lines).filter(G.box_of("bbox").isNotNull()).groupBy(F.col("doc_id").alias("path")).agg(F.array_sort(F.collect_list(F.struct(F.col("seq"), "line_id", G.box_of("bbox").alias("bbox")))).alias("asked"))
-        pairs = pages.select("path", "content").join(asked, "path").mapInPandas(run, "doc_id string, page_number int, line_id string, candidate string, candidate_confidence double")
+        pairs = pages.select("path", "content").join(asked, "path").mapInArrow(run, "doc_id string, page_number int, line_id string, candidate string, candidate_confidence double")
     if pairs is None:
         out = lines.withColumns({"retry_text": F.lit(None).cast("string"), "retry_confidence": F.lit(None).cast("double")})
     else:

@@ -106,3 +106,17 @@ def test_payloads_are_parsed_once(spark):
     assert plan.count("parse_json") + plan.count("parseJson") == 1
     variants = rows.withColumn("payload", F.try_parse_json("payload"))
     assert [r["id"] for r in governance.search_lexical(variants, language="en", quality_min=0.5, warning_max=6).collect()] == [0]
+
+
+def test_lines_of_few_pages_are_in_memory_together(spark):
+    """A batch of many pages goes on in pieces: the first lines are out before the last page is read."""
+    import pyarrow as pa
+
+    from paperloom.operators import enrich
+
+    batch = pa.RecordBatch.from_pylist([{"path": str(i), "content": b"x"} for i in range(1000)])
+    sizes = [len(few) for few in enrich.few_pages(iter([batch]))]
+    assert sum(sizes) == 1000 and max(sizes) <= enrich.PAGES_TOGETHER
+    pages = spark.createDataFrame([(str(i), b"x") for i in range(300)], "path string, content binary").coalesce(1)
+    lines = enrich.ocr_pages(pages, lambda c: [{"text": "a", "confidence": 1}, {"text": "b", "bbox": [1, 2, 3, 4]}]).collect()
+    assert len(lines) == 600 and {(r["seq"], r["text"], r["confidence"], tuple(r["bbox"])) for r in lines} == {(0, "a", 1.0, ()), (1, "b", 0.0, (1.0, 2.0, 3.0, 4.0))}
