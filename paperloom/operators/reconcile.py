@@ -292,6 +292,10 @@ TAGS = re.compile(r"""(?is)<!--.*?-->|<(/?)(table|tr|td|th)\b((?:"[^"]*"|'[^']*'
 SPAN = r"""(?is)(?:^|\s){}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 SPANS = {name: re.compile(SPAN.format(name)) for name in ("rowspan", "colspan")}
 
+#: Cells one after the other without attributes and without tags or comments in or between them, and one of them.
+PLAIN_CELLS = re.compile(r"(?i)[^<]*+(?:<(?:td>[^<]*+</td|th>[^<]*+</th)>[^<]*+)++")
+PLAIN_CELL = re.compile(r"(?i)<t[dh]>([^<]*+)<")
+
 
 def _span(attributes: str, name: str) -> int | None:
     """A cell's span; none where it is no whole number from 1 on."""
@@ -309,20 +313,23 @@ def table_cells(html: str | None, most: int) -> list[tuple]:
     begins or ends a table inside another cell, or is not closed (malformed),
     where a span is no whole number from 1 on (span), or where spans overlap
     (overlap). A text whose cells cover more than ``most`` places has one such row.
+    Plain cells below which no other reaches are taken together.
     """
     out: list[tuple] = []
     index, depth, covered = -1, 0, 0
     cells: list[tuple] = []
     taken: set[tuple[int, int]] = set()
     error = cell = None
-    row, col, at = -1, 0, 0
+    row, col, at, reach = -1, 0, 0, -1  # reach: the last row that a span covers
     text: list[str] = []
+    html, begin = html or "", 0
 
     def close() -> None:
         wrong = error or ("malformed" if cell else None)
         out.extend([(index, None, None, None, None, None, wrong)] if wrong else [(index, *c, None) for c in cells])
 
-    for m in TAGS.finditer(html or ""):
+    while m := TAGS.search(html, begin):
+        begin = m.end()
         if cell:
             text.append(html[at : m.start()])
         at = m.end()
@@ -330,7 +337,7 @@ def table_cells(html: str | None, most: int) -> list[tuple]:
         if tag == "table" and not closing:
             depth += 1
             if depth == 1:
-                index, cells, taken, error, cell, row, col = index + 1, [], set(), None, None, -1, 0
+                index, cells, taken, error, cell, row, col, reach = index + 1, [], set(), None, None, -1, 0, -1
             else:
                 error = error or "malformed"
         elif not depth or not tag:
@@ -344,6 +351,13 @@ def table_cells(html: str | None, most: int) -> list[tuple]:
         elif tag == "tr":
             if not closing:
                 row, col = row + 1, 0
+                if not cell and reach < row and (run := PLAIN_CELLS.match(html, begin)):
+                    found = PLAIN_CELL.findall(run[0])
+                    covered += len(found)
+                    if covered > most:
+                        return [(None, None, None, None, None, None, "too_many_cells")]
+                    cells += [(row, c, 1, 1, " ".join((entities.unescape(t) if "&" in t else t).split())) for c, t in enumerate(found)]
+                    col, begin = len(found), run.end()
         elif not closing:
             spans = [_span(attributes, name) for name in SPANS]
             if row < 0 or cell:
@@ -362,6 +376,7 @@ def table_cells(html: str | None, most: int) -> list[tuple]:
             if cell[0] != row or spots & taken:
                 error = "malformed" if cell[0] != row else "overlap"
             taken |= spots
+            reach = max(reach, cell[0] + cell[2] - 1)
             cells.append((*cell, " ".join(entities.unescape(" ".join(text)).split())))
             col, cell = col + cell[3], None
     if depth:
@@ -386,7 +401,7 @@ def extract_cells(pages: DataFrame, most: int = 100_000) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(batch: pa.RecordBatch, of: list[int], rows: list[tuple]) -> pa.RecordBatch:
             kinds = (pa.int32(),) * 5 + (pa.string(),) * 2
-            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+            columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
             return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), *columns], names=schema.names)
 
         for batch in batches:
@@ -402,7 +417,8 @@ def extract_cells(pages: DataFrame, most: int = 100_000) -> DataFrame:
             if rows:
                 yield made(batch, of, rows)
 
-    return pages.select("page_id", X.sanitise_html("html").alias("html")).filter(F.contains(F.lower("html"), F.lit("<table"))).mapInArrow(run, schema)
+    # a row of its own, so that the filter does not make the text once more
+    return pages.select("page_id", F.explode(F.array(X.sanitise_html("html"))).alias("html")).filter(F.contains(F.lower("html"), F.lit("<table"))).mapInArrow(run, schema)
 
 
 @F.udtf(returnType="table_index int, row int, col int, row_span int, col_span int, text string")

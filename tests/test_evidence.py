@@ -543,3 +543,28 @@ def test_pairs_of_words_are_counted_once_for_lines(spark):
     corrected, reviews = reconcile.correct_lines(lines, spelling, pairs)
     assert {(r["line_id"], r["text"], r["confidence"]) for r in corrected.collect()} == {(1, "the paper here", 0.95), (2, "paper", 0.9)}
     assert reviews.count() == 0 and seen.value <= 3
+
+
+def test_plain_cells_are_taken_together(monkeypatch):
+    seen = []
+
+    class Tags:
+        def search(self, html, begin=0):
+            seen.append(begin)
+            return reconcile_tags.search(html, begin)
+
+        def finditer(self, html):
+            for m in reconcile_tags.finditer(html):
+                seen.append(m.start())
+                yield m
+
+    reconcile_tags = reconcile.TAGS
+    monkeypatch.setattr(reconcile, "TAGS", Tags())
+    row = "<tr>" + "\n".join(f"<td> w{i} &amp;  x</td>" for i in range(500)) + "</tr>"
+    cells = reconcile.table_cells(f"<table>{row}<tr><td rowspan=2>a</td><th>b</th></tr><tr><td>c</td></tr><tr><td>d<tr><td>e</td></tr></table>", 10_000)
+    assert cells == [(0, None, None, None, None, None, "malformed")]
+    seen.clear()
+    cells = reconcile.table_cells(f"<table>{row}<tr><td rowspan=2>a</td><th>b</th></tr><tr><td>c</td></tr></table>", 10_000)
+    assert cells[499] == (0, 0, 499, 1, 1, "w499 & x", None) and [c[1:6] for c in cells[500:]] == [(1, 0, 2, 1, "a"), (1, 1, 1, 1, "b"), (2, 1, 1, 1, "c")]
+    assert len(seen) < 30
+    assert reconcile.table_cells(f"<table>{row}</table>", 499) == [(None, None, None, None, None, None, "too_many_cells")]
